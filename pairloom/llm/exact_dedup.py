@@ -79,12 +79,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Repeated rows (equal id and equal text) collapse into one. The verdicts
     are narrow, so the texts are moved once, by the last join.
     """
-    verdicts = mark_copies(docs, id_col, text_col, radix, rounds).where("kept").select(F.col("doc_id").alias("_kept_id"), F.unhex("text_sha256").alias("_kept_digest"))
-    digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    found = docs.withColumn("_digest", digest).join(
-        verdicts.select(F.col("_kept_id"), F.col("_kept_digest")),
-        F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest")),
-        "left_semi",
-    )
-    once = Window.partitionBy(id_col, "_digest").orderBy(F.xxhash64(F.lit(0)))
+    kept = mark_copies(docs, id_col, text_col, radix, rounds).where("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest"))
+    row = F.xxhash64("_id", "_digest").alias("_row")  # unlike the id it is never null
+    found = docs.withColumns({"_id": F.col(id_col), "_digest": F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))}).withColumn("_row", row)
+    found = found.join(kept.select(row, "_digest"), ["_row", "_digest"], "left_semi")
+    once = Window.partitionBy("_row", "_digest").orderBy("_id")
     return found.withColumn("_copy", F.row_number().over(once)).where("_copy = 1").select(*docs.columns)
