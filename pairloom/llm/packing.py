@@ -198,7 +198,7 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def _pack(capacity: int, with_ids: bool):
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
         length = table.column("length").to_numpy()
         full = int((length == capacity).sum())
