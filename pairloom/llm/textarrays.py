@@ -123,3 +123,22 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE):
             yield window_hashes(words[lo:hi], hi - lo) + np.uint64(hi - lo)
         else:
             yield np.unique(window_hashes(words[lo:hi], size))
+
+
+def row_chunks(batch: pa.RecordBatch, text_col: str, limit: int = 4 << 20):
+    """Slices of a batch whose texts have ``limit`` bytes or are one text, so that work arrays stay small."""
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(text_col)), 0), dtype=np.int64)
+    filled = np.cumsum(lengths)
+    at = 0
+    while at < len(lengths):
+        before = filled[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(filled, before + limit, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def counts(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many bytes of each text have the flag."""
+    sums = np.zeros(len(flags) + 1, dtype=np.int64)
+    np.cumsum(flags, out=sums[1:])
+    return np.diff(sums[offsets])
