@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard, packing, quality_rules
+from . import exact_dedup, jaccard, mixing, packing, quality_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mix(table(spark, sf_dir, "documents")).taken()
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op8_ngram_jaccard": op8_ngram_jaccard,
@@ -41,6 +46,52 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_mixing": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                   CAST('0x' || substr(md5(concat_ws('|', '1', coalesce(CAST(doc_id AS VARCHAR), 't' || md5(coalesce(text, ''))))), 1, 15) AS BIGINT) AS pos
+            FROM documents),
+        per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS docs FROM d GROUP BY source),
+        weighed AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM per),
+        filling AS (
+            SELECT *, (sum(source_size) OVER () * 150 / 100.0 - coalesce(sum(source_size) OVER f, 0) * 2)
+                      / (sum(weight) OVER () - coalesce(sum(weight) OVER f, 0)) AS level
+            FROM weighed
+            WINDOW f AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        aimed AS (
+            SELECT source, source_size, docs,
+                   CASE WHEN source_size * 2 <= level * weight THEN CAST(source_size * 2 AS DOUBLE)
+                        ELSE least(CAST(source_size * 2 AS DOUBLE), max(CASE WHEN source_size * 2 > level * weight THEN level END) OVER () * weight) END AS target
+            FROM filling),
+        s AS (
+            SELECT source, source_size, target, greatest(1, ceil(source_size / 65536), ceil(docs / 4096)) AS blocks,
+                   CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes
+            FROM aimed),
+        b AS (
+            SELECT d.*, s.source_size, s.target, s.passes, s.target - s.passes * s.source_size AS rest,
+                   least(floor(CAST(d.pos AS DOUBLE) / CAST(1152921504606846976 AS DOUBLE) * s.blocks), s.blocks - 1) AS block
+            FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+        filled AS (SELECT source, block, any_value(rest) AS rest, sum(size) AS words FROM b GROUP BY source, block),
+        started AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM filled),
+        last AS (SELECT source, block AS last_block, rest - start AS room FROM started WHERE start <= rest AND start + words > rest),
+        queue AS (
+            SELECT b.source, doc_id, size, room, row_number() OVER (PARTITION BY b.source ORDER BY pos, size) AS n
+            FROM b JOIN last l ON b.source IS NOT DISTINCT FROM l.source AND b.block = l.last_block WHERE size > 0),
+        walk AS (
+            SELECT source, doc_id, n, size <= room AS fits, CASE WHEN size <= room THEN room - size ELSE room END AS room FROM queue WHERE n = 1
+            UNION ALL
+            SELECT q.source, q.doc_id, q.n, q.size <= w.room, CASE WHEN q.size <= w.room THEN w.room - q.size ELSE w.room END
+            FROM walk w JOIN queue q ON q.source IS NOT DISTINCT FROM w.source AND q.n = w.n + 1),
+        left_over AS (SELECT source, min(room) AS room FROM walk GROUP BY source),
+        nearer AS (
+            SELECT DISTINCT ON (q.source) q.source, q.doc_id FROM queue q JOIN left_over r ON q.source IS NOT DISTINCT FROM r.source
+            JOIN walk w ON w.source IS NOT DISTINCT FROM q.source AND w.doc_id = q.doc_id AND NOT w.fits
+            WHERE q.size < 2 * r.room ORDER BY q.source, q.size, q.n),
+        extra AS (SELECT source, doc_id FROM walk WHERE fits UNION ALL SELECT source, doc_id FROM nearer)
+        SELECT b.doc_id, b.size, b.source_size, b.target,
+               CAST(b.size * (b.passes + CASE WHEN b.block < l.last_block OR w.doc_id IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS taken
+        FROM b LEFT JOIN last l ON b.source IS NOT DISTINCT FROM l.source
+        LEFT JOIN extra w ON w.doc_id = b.doc_id AND w.source IS NOT DISTINCT FROM b.source""",
     "op2_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
