@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard, mixing, packing, quality_rules
+from . import exact_dedup, jaccard, mixing, packing, quality_rules, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,31 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+def _secret_sql() -> str:
+    """Every rule's matches, and their places by the lengths of what lies before them."""
+    kinds = []
+    for rank, r in enumerate(secret_scan.RULES):
+        p = "'" + r.pattern.replace("'", "''") + "'"
+        kinds.append(f"SELECT doc_id, '{r.kind}' AS kind, {rank} AS rank, {r.least} AS least, {str(r.base).lower()} AS base, regexp_extract_all(t, {p}) AS hits, regexp_extract_all(t, {p}, {r.group}) AS parts, string_split_regex(t, {p}) AS gaps FROM d")
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        m AS ({' UNION ALL '.join(kinds)}),
+        e AS (SELECT doc_id, kind, rank, base, hits, gaps, least, parts, unnest(range(1, len(hits) + 1)) AS i FROM m WHERE len(hits) > 0),
+        s AS (
+            SELECT doc_id, kind, rank, base, length(hits[i]) AS n,
+                   list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS start
+            FROM e WHERE length(parts[i]) >= least),
+        w AS (SELECT *, concat(kind, ':', CAST(start AS BIGINT), ':', CAST(start + n AS BIGINT)) AS shown FROM s)
+        SELECT d.doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+               sha256(coalesce(string_agg(shown, ',' ORDER BY start, rank) FILTER (WHERE base), '')) AS base_sha256,
+               coalesce(string_agg(shown, ',' ORDER BY start, rank), '') AS spans
+        FROM d LEFT JOIN w USING (doc_id) GROUP BY d.doc_id"""
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -42,6 +67,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op8_ngram_jaccard": op8_ngram_jaccard,
+    "op9_secret_scan": op9_secret_scan,
     "op10_packing": op10_packing,
 }
 
@@ -97,4 +123,5 @@ ORACLES = {
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN g USING (t)""",
+    "op9_secret_scan": _secret_sql(),
 }
