@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, mixing, packing, quality_rules, secret_scan
+from . import chat_format, exact_dedup, html_text, jaccard, line_dedup, mixing, packing, quality_rules, secret_scan, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,38 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+#: Entries of three dated lists; the hosts are made up.
+LIST_LOG = [
+    ("adult", "cheap-pills.example.com", "2024-01-15", "add"),
+    ("adult", "cheap-pills.example.com", "2024-06-01", "remove"),
+    ("adult", "cheap-pills.example.com", "2024-09-01", "add"),
+    ("ads", "ads-track.example.org", "2024-02-01", "add"),
+    ("ads", "tionsh.example.net", "2024-03-10", "add"),
+    ("ads", "tionsh.example.net", "2024-03-10", "remove"),
+    ("ads", "tionsh.example.net", "2024-05-01", "add"),
+    ("ads", "tionsh.example.net", "2024-05-20", "remove"),
+    ("spam", "example.com", "2024-11-01", "add"),
+    ("spam", "example.com", "2024-12-01", "remove"),
+    ("spam", "m.ththth.example.net/en", "2024-04-01", "add"),
+    ("spam", "blog.tionble.example.com/fr/10", "2024-01-01", "add"),
+]
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a fetch day, which the table lacks: one of 2024, by the page's number."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 37, F.lit(366)).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", "url", day.alias("fetched"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = spark.createDataFrame(LIST_LOG, "list string, key string, day string, action string").withColumn("day", F.to_date("day"))
+    return url_filter.filter_urls(captures(spark, sf_dir), log)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(table(spark, sf_dir, "documents"))
 
@@ -33,6 +66,15 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.render(table(spark, sf_dir, "conversations"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "source", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
@@ -65,7 +107,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_html_text": op3_html_text,
+    "op4_url_filter": op4_url_filter,
     "op5_quality_rules": op5_quality_rules,
+    "op6_chat_format": op6_chat_format,
+    "op7_line_dedup": op7_line_dedup,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_secret_scan": op9_secret_scan,
     "op10_packing": op10_packing,
@@ -123,5 +169,39 @@ ORACLES = {
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN g USING (t)""",
+    "op4_url_filter": f"""
+        WITH log AS (SELECT * FROM (VALUES {', '.join(f"('{a}', '{b}', DATE '{c}', '{d}')" for a, b, c, d in LIST_LOG)}) AS v(list, key, day, action)),
+        daily AS (SELECT list, key, day, max(CAST(action <> 'add' AS INT)) AS off FROM log GROUP BY ALL),
+        turned AS (SELECT *, coalesce(lag(off) OVER (PARTITION BY list, key ORDER BY day), 1) AS was FROM daily),
+        turns AS (SELECT * FROM turned WHERE was <> off),
+        spans AS (SELECT *, lead(day) OVER (PARTITION BY list, key ORDER BY day) AS until FROM turns),
+        active AS (SELECT list, key, day AS since, until FROM spans WHERE off = 0),
+        c AS (SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INT) AS DATE) AS fetched,
+                     regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '[.]$', '') AS host,
+                     regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+        hits AS (
+            SELECT page_id, list FROM c JOIN active a ON fetched >= since AND (until IS NULL OR fetched < until)
+            AND (CASE WHEN contains(key, '/') THEN host = split_part(key, '/', 1) AND (path || '/') LIKE (substr(key, length(split_part(key, '/', 1)) + 1) || '/%')
+                 ELSE host = key OR host LIKE '%.' || key END)),
+        n AS (SELECT page_id, count(*) AS n, string_agg(DISTINCT list, ',' ORDER BY list) AS lists FROM hits GROUP BY page_id)
+        SELECT page_id AS id, url, fetched, n.n IS NULL AS allowed, coalesce(n.n, 0) AS n_matches, coalesce(lists, '') AS lists FROM c LEFT JOIN n USING (page_id)""",
+    "op6_chat_format": """
+        WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+        p AS (SELECT *, row_number() OVER w AS place, string_agg(concat('<|', role, '|>', chr(10), text, chr(10)), '') OVER w AS prefix, count(*) OVER (PARTITION BY conv_id) AS n_turns
+              FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+        whole AS (SELECT prefix, n_turns, min(conv_id) AS conv_id FROM p WHERE place = n_turns GROUP BY prefix, n_turns),
+        kept AS (SELECT conv_id, n_turns FROM whole w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.place < p.n_turns AND p.prefix = w.prefix))
+        SELECT p.conv_id, (place - 1) // 256 AS part, kept.n_turns, string_agg(concat('<|', role, '|>', chr(10), text, chr(10)), '' ORDER BY place) AS text
+        FROM p JOIN kept USING (conv_id) GROUP BY 1, 2, 3""",
+    "op7_line_dedup": r"""
+        WITH l AS (SELECT doc_id, source, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+        k AS (SELECT *, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS inked FROM l),
+        c AS (SELECT source, inked, count(DISTINCT doc_id) AS pages FROM k WHERE inked <> '' GROUP BY ALL),
+        t AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
+        b AS (SELECT c.source, inked FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source WHERE pages >= 5 AND pages > total * CAST(0.02 AS DOUBLE)),
+        m AS (SELECT k.*, b.inked IS NOT NULL AS gone FROM k LEFT JOIN b ON k.source IS NOT DISTINCT FROM b.source AND k.inked = b.inked)
+        SELECT doc_id, source, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS text_sha256
+        FROM m GROUP BY doc_id, source""",
     "op9_secret_scan": _secret_sql(),
 }
