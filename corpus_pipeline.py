@@ -1,8 +1,57 @@
-"""Training-data pipeline: the stages are applied to documents one after the other."""
+"""Training-data pipeline: quality, exact copies, near copies, mix, packing.
 
-STAGES = []
+Each stage takes what its predecessor kept, written as Parquet, and returns a
+table with the columns of ``documents``; the last returns packed pieces.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from pairloom.llm import exact_dedup, jaccard, mixing, packing, quality_rules, registry
+from pairloom.llm.storage import shared_dir
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.keep_good(docs)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.drop_near_copies(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, so one may appear twice."""
+    return mixing.Mix(docs).documents()
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, registry.tokenizer_path())
+
+
+STAGES = [
+    ("quality rules", keep_good),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing to target weights", mix),
+    ("packing", pack),
+]
+
+#: Neither the similarity join nor packing has a SQL form; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is a table in the shared folder."""
+    where = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{where}/{k}")
+        docs = spark.read.parquet(f"{where}/{k}")
+    return docs
