@@ -1,4 +1,6 @@
 """Queries and their DuckDB equivalents, gathered from the plan modules."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import evidence
+
+QUERIES = {**evidence.QUERIES}
+ORACLES = {**evidence.ORACLES}
