@@ -79,9 +79,9 @@ def calibration(scored: DataFrame, p: str, y: str, bins: int = 20) -> DataFrame:
 
 def quantile_calibration(scored: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
     """Bins between the quantiles of the score; equal scores share a bin."""
-    edges = scored.agg(F.percentile(p, F.array(*[F.lit(i / bins) for i in range(1, bins)]))).scalar()
-    place = F.aggregate(edges, F.lit(0), lambda n, e: n + (F.col(p) > e).cast("int"))
-    return scored.select(p, y, place.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_p"), F.avg(F.col(y).cast("double")).alias("mean_y"))
+    edges = scored.agg(F.percentile(p, F.array(*[F.lit(i / bins) for i in range(1, bins)]))).first()[0]  # bins - 1 numbers
+    place = sum(((F.col(p) > e).cast("int") for e in edges or []), F.lit(0))
+    return scored.groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_p"), F.avg(F.col(y).cast("double")).alias("mean_y"))
 
 
 def slope_by_group(rows: DataFrame, group: str, x: str, y: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Queries and their DuckDB equivalents, gathered from the plan modules."""
 
-from . import evidence
+from . import analysis, evidence
 
-QUERIES = {**evidence.QUERIES}
-ORACLES = {**evidence.ORACLES}
+QUERIES = {**evidence.QUERIES, **analysis.QUERIES}
+ORACLES = {**evidence.ORACLES, **analysis.ORACLES}
