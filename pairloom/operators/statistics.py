@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .ontology import step_table
 
 
+#: Edges are paired inside cells of about this many.
+EDGES_A_CELL = 512
+
+
 def rates(train: DataFrame, key: str = "condition", y: str = "y") -> DataFrame:
     """Flag rate of each key, over train pairs alone."""
     return train.groupBy(key).agg(F.avg(F.col(y).cast("double")).alias("p_c"))
@@ -83,10 +87,11 @@ def swap_edges(edges: DataFrame, a: str, b: str, seed: int = 42, rounds: int = 4
     that makes no edge twice. All pairs of a round are tested at once against
     the edges of the round and each other, so it is a join, not a chain.
     """
-    now = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
+    now = step_table(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
+    cells = max(1, now.count() // EDGES_A_CELL)
     for turn in range(rounds):
         hashed = F.md5(F.concat_ws("|", F.col("a").cast("string"), F.col("b").cast("string"), F.lit(f"{seed}:{turn}")))
-        numbered = now.withColumns({"_h": hashed, "_cell": F.substring(hashed, 1, 3)}).withColumn("_n", F.row_number().over(Window.partitionBy("_cell").orderBy("_h")))
+        numbered = now.withColumns({"_h": hashed, "_cell": F.pmod(F.conv(F.substring(hashed, 1, 8), 16, 10).cast("long"), F.lit(cells))}).withColumn("_n", F.row_number().over(Window.partitionBy("_cell").orderBy("_h")))
         mates = numbered.withColumn("_pair", F.floor((F.col("_n") + 1) / 2)).groupBy("_cell", "_pair").agg(F.sort_array(F.collect_list(F.struct("_h", "a", "b"))).alias("e"))
         first, second = F.col("e")[0], F.get("e", F.lit(1))
         swapped = F.array(F.struct(first["a"].alias("a"), second["b"].alias("b")), F.struct(second["a"].alias("a"), first["b"].alias("b")))
