@@ -12,11 +12,11 @@ shingles last: their lists would be long. Where light ends is chosen by
 comparing the subsets of a size with its postings and the pairs that these
 lead to.
 
-Short lists give all their pairs. In a long list every node is compared with
-a leader first; nodes that end up in one component need no further comparing.
-What is left between components is compared in blocks, less the pairs whose
-parity sketches prove them too different. Every candidate is verified on the
-full sets, so links are neither missed nor invented.
+Short lists give all their pairs. In a long list every node is paired with a
+leader; what is left between the components that this makes likely is paired
+in blocks. Parity sketches drop the pairs that they prove too different. The
+others are verified on the full sets, nearest first, until none is left
+between components, so links are neither missed nor invented.
 """
 
 from __future__ import annotations
@@ -44,10 +44,16 @@ SHORT_LIST = 4
 FREQUENT = 32
 #: ... unless there would be more frequent shingles than this (8 bytes each go to every executor).
 MOST_FREQUENT = 1_000_000
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
+#: Rounds in which a component verifies its nearest pair only.
+NEAREST_ROUNDS = 2
 BLOCK = 2048
 POSTINGS_PER_BUCKET = 400_000
 SKETCH_BITS = 1024
+#: Postings carry sizes in two bytes; larger ones look alike there, and are told apart when a pair is verified.
+CLIPPED = 0xFFFF
+#: Bits of the filter that tells which documents' sets a round needs: 2 MB at most. With more nodes it lets more through, which a join then drops.
+FILTER_BITS = 1 << 24
 
 NODES = "doc_id long, n int, sig long, sketch binary"
 
@@ -92,15 +98,24 @@ def find_nodes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, NODES)
 
 
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (keys & np.uint64(0xFFFF)) % np.uint64(buckets)
+
+
+def count_key(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """32 bits of a hash behind its bucket: enough to count by, as counts only order the shingles."""
+    return (bucket_of(keys, buckets) << np.uint64(32)) | ((keys >> np.uint64(16)) & np.uint64(0xFFFFFFFF))
+
+
 def in_buckets(keys: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[tuple]:
-    """Rows ``(bucket, bytes, bytes, ...)`` of the keys and their companions."""
-    bucket = (keys & np.uint64(0xFFFF)) % np.uint64(buckets)
+    """Rows ``(bucket, bytes, bytes, ...)`` of the columns of the keys."""
+    bucket = bucket_of(keys, buckets)
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for b in range(buckets):
         at = order[cuts[b] : cuts[b + 1]]
         if len(at):
-            yield (b, *(c[at].tobytes() for c in (keys, *columns)))
+            yield (b, *(c[at].tobytes() for c in columns))
 
 
 def frequent_shingles(docs: DataFrame, buckets: int, most_postings: int) -> np.ndarray:
@@ -121,19 +136,20 @@ def frequent_shingles(docs: DataFrame, buckets: int, most_postings: int) -> np.n
                         seen.add(name)
                         heads.append(x[: prefix(len(x)) * 3 // 2 + 8])
                 if heads:
-                    rows = list(in_buckets(np.concatenate(heads), buckets))
+                    keys = np.concatenate(heads)
+                    rows = list(in_buckets(keys, buckets, (keys >> np.uint64(16)).astype(np.uint32)))
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], type=pa.int32()), pa.array([r[1] for r in rows], type=pa.binary())], names=["bucket", "keys"])
 
     least = max(FREQUENT, -(-most_postings // MOST_FREQUENT))
 
     def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        keys, n = np.unique(np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("keys")]), return_counts=True)
+        keys, n = np.unique(np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint32) for x in table.column("keys")]), return_counts=True)
         often = n > least
-        return pa.table({"key": pa.array(keys[often].view(np.int64)), "postings": pa.array(n[often])})
+        return pa.table({"key": pa.array(keys[often].astype(np.int64) | key[0].as_py() << 32), "postings": pa.array(n[often])})
 
     found = docs.mapInArrow(emit, "bucket int, keys binary").groupBy("bucket").applyInArrow(count, "key long, postings long")
     rows = found.collect()  # MOST_FREQUENT at most
-    out = np.array([(np.int64(k).view(np.uint64), n) for k, n in rows], dtype=[("key", np.uint64), ("postings", np.int64)])
+    out = np.array([tuple(r) for r in rows], dtype=[("key", np.uint64), ("postings", np.int64)])
     return np.sort(out, order="key")
 
 
@@ -155,13 +171,14 @@ def wanted(n: int, most: int) -> list[int]:
     return sorted({c for m in range(low, high + 1) if (c := common(n, m)) <= min(n, m)})
 
 
-def head(x: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+def head(x: np.ndarray, frequent: np.ndarray, buckets: int) -> np.ndarray:
     """First shingles of a set in the global order: infrequent ones by hash, then frequent ones by postings."""
     n = prefix(len(x))
     if not len(frequent):
         return x[:n]
-    at = np.minimum(np.searchsorted(frequent["key"], x), len(frequent) - 1)
-    hot = frequent["key"][at] == x
+    key = count_key(x, buckets)
+    at = np.minimum(np.searchsorted(frequent["key"], key), len(frequent) - 1)
+    hot = frequent["key"][at] == key
     cool = x[~hot]
     if len(cool) >= n:
         return cool[:n]
@@ -197,13 +214,16 @@ def emit_postings(frequent: np.ndarray, buckets: int, light: int):
                     if n <= light:
                         own.append(subset_keys(x, light))
                     if 100 * n >= PERCENT * (light + 1):  # a partner may be heavy
-                        own.append(head(x, frequent))
+                        own.append(head(x, frequent, buckets))
                     count = sum(map(len, own))
                     keys += own
                     names.append(np.full(count, name, dtype=np.int64))
-                    sizes.append(np.full(count, n, dtype=np.int32))
+                    sizes.append(np.full(count, min(n, CLIPPED), dtype=np.uint16))
                 if keys:
-                    rows = list(in_buckets(np.concatenate(keys), buckets, np.concatenate(names), np.concatenate(sizes)))
+                    keys = np.concatenate(keys)
+                    # six bytes and the bucket tell keys apart; a clash would only add a candidate
+                    short = np.ascontiguousarray((keys >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
+                    rows = list(in_buckets(keys, buckets, short, np.concatenate(names), np.concatenate(sizes)))
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], type=pa.int32())] + [pa.array([r[k] for r in rows], type=pa.binary()) for k in (1, 2, 3)], names=["bucket", "keys", "sigs", "sizes"])
 
     return run
@@ -214,7 +234,10 @@ LISTS = "key long, a long, na int, b long, nb int"
 
 def scan_lists(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Pairs of the short lists of a bucket, and the members of its long ones (with a null ``b``)."""
-    keys, names, sizes = (np.concatenate([np.frombuffer(x.as_py(), dtype=t) for x in table.column(c)]) for c, t in (("keys", np.uint64), ("sigs", np.int64), ("sizes", np.int32)))
+    short, names, sizes = (np.concatenate([np.frombuffer(x.as_py(), dtype=t) for x in table.column(c)]) for c, t in (("keys", np.uint8), ("sigs", np.int64), ("sizes", np.uint16)))
+    keys = np.zeros((len(names), 8), dtype=np.uint8)
+    keys[:, :6] = short.reshape(-1, 6)
+    keys = keys.view(np.uint64)[:, 0] | np.uint64(key[0].as_py() << 48)
     order = np.lexsort((names, sizes, keys))
     keys, names, sizes = keys[order], names[order], sizes[order]
     new = np.ones(len(keys), dtype=bool)
@@ -229,7 +252,7 @@ def scan_lists(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             first.append(at + i)
             second.append(at + j)
     first, second = np.concatenate(first), np.concatenate(second)
-    near = 100 * sizes[first].astype(np.int64) >= PERCENT * sizes[second].astype(np.int64)
+    near = (100 * sizes[first].astype(np.int64) >= PERCENT * sizes[second].astype(np.int64)) | (sizes[second] == CLIPPED)
     first, second = first[near], second[near]
     pairs = np.unique(np.stack([names[first], sizes[first], names[second], sizes[second]]), axis=1) if len(first) else np.zeros((4, 0), dtype=np.int64)
     long = np.flatnonzero(np.repeat(length > SHORT_LIST, length))
@@ -244,14 +267,64 @@ def scan_lists(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     )
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
+def differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many shingles sets differ at least, by their sketches (rows of 64-bit words)."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+
+
+def plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """``a, b, apart``: pairs that their sizes and sketches don't rule out, and how far apart these are."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for c in ("x", "y"))
+            total = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
+            apart = differ(x, y)
+            # sets that differ in d shingles share (total - d) / 2
+            out = batch.select(["a", "b"]).append_column("apart", pa.array(apart / total))
+            yield out.filter(pa.array(100 * (total - apart) >= PERCENT * (total + apart)))
+
+    x = sketches.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
+    y = sketches.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
+    near = pairs.join(x, "a").join(y, "b").where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
+    return near.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long, apart double")
+
+
+def filter_words(names: DataFrame) -> np.ndarray:
+    """A Bloom filter of the nodes, of bounded size, as 64-bit words."""
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (12 * names.count()).bit_length()))
+    places = F.array(F.col("sig").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("sig", 32).bitwiseAND(F.lit(bits - 1)))
+    set_bits = names.select(F.explode(places).alias("at")).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    rows = set_bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def sets_of(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """``sig, members`` of the named nodes, found again from the texts."""
+    words = filter_words(names)
+    mask = np.int64(len(words) * 64 - 1)
+
+    def asked(name: int) -> bool:
+        places = (name & int(mask), (name & 0xFFFFFFFFFFFFFFFF) >> 32 & int(mask))
+        return all(int(words[p >> 6]) >> (p & 63) & 1 for p in places)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for part in row_chunks(batch, "text"):
-                found = [x for x in shingle_sets(part.column("text")) if len(x)]
-                yield pa.RecordBatch.from_arrays([pa.array([signature(x) for x in found], type=pa.int64()), pa.array([x.tobytes() for x in found], type=pa.binary())], names=["sig", "members"])
+                found = []
+                for x in shingle_sets(part.column("text")):
+                    if len(x) and (name := signature(x)) not in seen and asked(name):
+                        seen.add(name)
+                        found.append((name, x.tobytes()))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], type=pa.int64()), pa.array([x[1] for x in found], type=pa.binary())], names=["sig", "members"])
 
-    return docs.mapInArrow(run, "sig long, members binary")
+    return docs.mapInArrow(run, "sig long, members binary").join(names, "sig", "left_semi").dropDuplicates(["sig"])
 
 
 def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,10 +338,43 @@ def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(yes, type=pa.bool_()))
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def links_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that link, found on the full sets."""
     x = sets.select(F.col("sig").alias("a"), F.col("members").alias("x"))
     y = sets.select(F.col("sig").alias("b"), F.col("members").alias("y"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(linked, "a long, b long")
+    return keep(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(linked, "a long, b long"), "links")
+
+
+def labelled(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Pairs between components, with the labels ``la, lb`` of their nodes."""
+    if labels is None:
+        return pairs.withColumns({"la": F.col("a"), "lb": F.col("b")})
+    for node in ("a", "b"):
+        named = labels.select(F.col("node").alias(node), F.col("label").alias("_label"))
+        pairs = pairs.join(named, node, "left").withColumn(f"l{node}", F.coalesce("_label", node)).drop("_label")
+    return pairs.where("la <> lb")
+
+
+def verified_labels(pairs: DataFrame, sets: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Components by the pairs that link, verifying no pair inside a component.
+
+    In each of the first rounds every component verifies its nearest open
+    pair only; what is still between components is verified after that.
+    """
+    tried = None
+    for turn in range(NEAREST_ROUNDS + 1):
+        left = labelled(pairs, labels)
+        if tried is not None:
+            left = left.join(tried, ["a", "b"], "left_anti")
+        if turn < NEAREST_ROUNDS:
+            ends = left.select("a", "b", F.explode(F.array("la", "lb")).alias("own"), "apart")
+            left = ends.groupBy("own").agg(F.min(F.struct("apart", "a", "b")).alias("near")).select("near.a", "near.b").distinct()
+        left = keep(left.select("a", "b"), "pairs")
+        if labels is not None and left.isEmpty():
+            break
+        tried = left if tried is None else tried.unionByName(left)
+        labels = components(links_of(left, sets), labels)
+    return labels
 
 
 def ordered_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -278,15 +384,17 @@ def ordered_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
 def leader_pairs(members: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
     """Pairs of each member of a long list with the list's leader of this turn.
 
-    At first any node leads; later one outside the list's largest component,
-    and only members of other components than the leader's are compared.
+    The member of most long lists leads: it has the fewest shingles of its
+    own, so among near copies it is the closest to all. Later it is one
+    outside the list's largest component, and only members of other
+    components than its own are compared.
     """
-    rank = F.struct(F.xxhash64(F.lit(turn), "sig").alias("rank"), "sig", "n", "label")
+    rank = F.struct((-F.col("lists")).alias("rank"), F.xxhash64(F.lit(turn), "sig").alias("turn"), "sig", "n", "label")
     if labels is None:
         members = members.withColumn("label", F.col("sig"))
         leaders = members.groupBy("key").agg(F.min(rank).alias("lead"))
     else:
-        members = members.join(labels, members.sig == labels.node, "left").select("key", "sig", "n", F.coalesce("label", "sig").alias("label"))
+        members = members.join(labels, members.sig == labels.node, "left").select("key", "sig", "n", "lists", F.coalesce("label", "sig").alias("label"))
         parts = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"), F.min(rank).alias("lead"))
         largest = parts.groupBy("key").agg(F.max(F.struct("size", "label")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
         leaders = parts.join(largest, "key").where(F.col("label") != F.col("top.label")).groupBy("key").agg(F.min("lead").alias("lead"))
@@ -300,34 +408,32 @@ def leader_pairs(members: DataFrame, labels: DataFrame | None, turn: int) -> Dat
 def block_pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Pairs between components, from two blocks of a list, that sketches don't rule out."""
     _, i, j = (k.as_py() for k in key)
-    block, names, labels, sizes = (table.column(c).to_numpy() for c in ("block", "sig", "label", "n"))
+    block, names, labels, sizes = (table.column(c).to_numpy().astype(np.int64) for c in ("block", "sig", "label", "n"))
     bits = np.stack([np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("sketch")])
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    a, b = [], []
+    a, b, gaps = [], [], []
     for x in left:
         other = right[(labels[right] != labels[x]) & ((names[right] > names[x]) | (i != j))]
-        total = sizes[other].astype(np.int64) + sizes[x]
         other = other[(100 * np.minimum(sizes[other], sizes[x]) >= PERCENT * np.maximum(sizes[other], sizes[x]))]
-        total = sizes[other].astype(np.int64) + sizes[x]
-        apart = np.bitwise_count(bits[other] ^ bits[x]).sum(axis=1, dtype=np.int64)
-        # sets that differ in d shingles share (total - d) / 2
-        other = other[100 * (total - apart) >= PERCENT * (total + apart)]
-        a.append(np.full(len(other), names[x]))
-        b.append(names[other])
-    a, b = (np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for v in (a, b))
-    return pa.table({"a": pa.array(np.minimum(a, b), type=pa.int64()), "b": pa.array(np.maximum(a, b), type=pa.int64())})
+        total, apart = sizes[other] + sizes[x], differ(bits[other], bits[x])
+        near = np.flatnonzero(100 * (total - apart) >= PERCENT * (total + apart))
+        a.append(np.full(len(near), names[x]))
+        b.append(names[other[near]])
+        gaps.append(apart[near] / total[near])
+    a, b, gaps = (np.concatenate(v) if v else np.zeros(0) for v in (a, b, gaps))
+    return pa.table({"a": pa.array(np.minimum(a, b), type=pa.int64()), "b": pa.array(np.maximum(a, b), type=pa.int64()), "apart": pa.array(gaps, type=pa.float64())})
 
 
 def rest_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs of long lists that leaders have left open: between components, in bounded blocks."""
-    members = members.join(labels, members.sig == labels.node, "left").select("key", "sig", "n", F.coalesce("label", "sig").alias("label"))
+    members = members.join(labels, members.sig == labels.node, "left").select("key", "sig", F.coalesce("label", "sig").alias("label"))
     lists = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("who")).where("low <> high")
     # lists of the same members open the same pairs
     lists = lists.groupBy("size", "who").agg(F.min("key").alias("key")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     spread = members.join(lists.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64(F.lit(7), "sig"), F.col("blocks")).cast("int"))
     spread = spread.join(sketches, "sig").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    return spread.select("key", "i", "j", "block", "sig", "label", "n", "sketch").groupBy("key", "i", "j").applyInArrow(block_pairs, "a long, b long").distinct()
+    return spread.select("key", "i", "j", "block", "sig", "label", "n", "sketch").groupBy("key", "i", "j").applyInArrow(block_pairs, "a long, b long, apart double").dropDuplicates(["a", "b"])
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -342,34 +448,37 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = keep(find_nodes(docs), "sets")
-    nodes = rows.where("doc_id is not null and n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    rows = keep(find_nodes(docs), "nodes")
+    nodes = rows.where("doc_id is not null and n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = keep(nodes, "nodes")
     total = rows.agg(F.sum(F.floor(F.col("n") / 5) + 1)).first()[0] or 0
-    sizes = {r.n: r["count"] for r in rows.where(f"n between 1 and {LARGEST_LIGHT}").groupBy("n").count().collect()}
+    sizes = {r.n: r["count"] for r in nodes.where(f"n <= {LARGEST_LIGHT}").groupBy("n").count().collect()}
     buckets = max(1, min(0xFFFF, -(-total // POSTINGS_PER_BUCKET)))
     known = docs.where("doc_id is not null")
     frequent = frequent_shingles(known, buckets, total)
     light = light_boundary(sizes)
     lists = known.mapInArrow(emit_postings(frequent, buckets, light), "bucket int, keys binary, sigs binary, sizes binary")
-    lists = keep(lists.groupBy("bucket").applyInArrow(scan_lists, LISTS).distinct(), "lists")
+    lists = keep(lists.groupBy("bucket").applyInArrow(scan_lists, LISTS), "lists")
 
+    sketches = nodes.select("sig", "n", "sketch")
     members = lists.where("key is not null").select("key", F.col("a").alias("sig"), F.col("na").alias("n"))
-    short = ordered_pairs(lists.where("key is null"), "a", "b")
-    asked = lists.select(F.col("a").alias("sig")).union(lists.where("b is not null").select("b")).distinct().join(nodes, "sig").select(F.col("rep").alias("doc_id")).distinct()
-    sets = keep(sets_of(known.join(asked, "doc_id", "left_semi")).dropDuplicates(["sig"]), "members")
-
-    tried = keep(short.unionByName(leader_pairs(members, None, 0)).distinct(), "pairs")
-    labels = components(keep(verify(tried, sets), "links"))
+    members = keep(members.join(members.groupBy("sig").agg(F.count(F.lit(1)).alias("lists")), "sig"), "members")
+    # What sketches leave possible is settled first, so that one more pass over the texts finds the sets.
+    pairs = keep(plausible(ordered_pairs(lists.where("key is null"), "a", "b").unionByName(leader_pairs(members, None, 0)).distinct(), sketches), "pairs")
+    likely = components(pairs)
     for turn in range(1, LEADER_ROUNDS):
-        more = keep(leader_pairs(members, labels, turn).join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = keep(plausible(leader_pairs(members, likely, turn), sketches), "pairs")
         if more.isEmpty():
             break
-        tried = tried.unionByName(more)
-        labels = components(keep(verify(more, sets), "links"), labels)
-    sketches = rows.where("n > 0").select("sig", "sketch").dropDuplicates(["sig"])
-    rest = keep(rest_pairs(members, labels, sketches).join(tried, ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        labels = components(keep(verify(rest, sets), "links"), labels)
+        pairs = pairs.unionByName(more).dropDuplicates(["a", "b"])
+        likely = components(more, likely)
+    pairs = keep(pairs.unionByName(rest_pairs(members, likely, sketches)).dropDuplicates(["a", "b"]), "pairs")
+    sets = keep(sets_of(known, pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()), "members")
+    labels = verified_labels(pairs, sets)
+    # Members of one list that only seemed to be in one component; their sets are known.
+    missed = keep(rest_pairs(members, labels, sketches).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    if not missed.isEmpty():
+        labels = verified_labels(missed, sets, labels)
 
     named = nodes.join(labels, nodes.sig == labels.node, "left").select("sig", "rep", F.coalesce("label", "sig").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
