@@ -260,7 +260,7 @@ def paged_read(spark: SparkSession, d: str) -> DataFrame:
     return catalog.page(rows, 120, 50).select("row_index", F.col("o_orderkey").cast("string").alias("o_orderkey"), "o_orderpriority")
 
 
-@query("SELECT n_nationkey AS row_index, CASE WHEN n_nationkey % 5 = 0 THEN 'edited' ELSE n_name END AS n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation UNION ALL SELECT 25, 'new', ''")
+@query("SELECT CAST(n_nationkey AS BIGINT) AS row_index, CASE WHEN n_nationkey % 5 = 0 THEN 'edited' ELSE n_name END AS n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation UNION ALL SELECT CAST(25 AS BIGINT), 'new', ''")
 def commit_edits(spark: SparkSession, d: str) -> DataFrame:
     nation = B.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("row_index"), "n_name", F.col("n_regionkey").cast("string").alias("n_regionkey"))
     edits = nation.where("row_index % 5 = 0").select("row_index", F.explode(F.array(F.struct(F.lit("n_name").alias("column"), F.lit("old").alias("value"), F.lit(1).alias("seq")), F.struct(F.lit("n_name").alias("column"), F.lit("edited").alias("value"), F.lit(2).alias("seq")), F.struct(F.lit("none").alias("column"), F.lit("x").alias("value"), F.lit(3).alias("seq")))).alias("e")).select("row_index", "e.*")
@@ -274,7 +274,7 @@ def latest_log_state(spark: SparkSession, d: str) -> DataFrame:
     return logs.latest(events, "user_id", "ts", "event_id").drop("ts")
 
 
-@query("SELECT row_number() OVER (ORDER BY value DESC, CAST(event_id AS VARCHAR)) AS rank, CAST(event_id AS VARCHAR) AS id, event_type AS label, value AS metric FROM events WHERE event_type = 'click' AND event_id % 3 <> 0 AND event_id % 11 <> 0")
+@query("SELECT CAST(row_number() OVER (ORDER BY value DESC, CAST(event_id AS VARCHAR)) AS INT) AS rank, CAST(event_id AS VARCHAR) AS id, event_type AS label, value AS metric FROM events WHERE event_type = 'click' AND event_id % 3 <> 0 AND event_id % 11 <> 0")
 def leaderboard(spark: SparkSession, d: str) -> DataFrame:
     events = B.table(spark, d, "events").withColumn("id", F.col("event_id").cast("string"))
     begun = events.select("id", F.lit("register").alias("event"), F.col("event_type").alias("label"), F.lit(None).cast("double").alias("metric"), F.lit(False).alias("failed"), F.lit(None).cast("string").alias("supersedes"))
