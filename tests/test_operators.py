@@ -143,3 +143,31 @@ def test_joins(spark):
     routes = spark.createDataFrame([(1, 1, 4, 2, "ontology", 7), (1, 1, 3, 9, "mesh", None)], "drug int, condition int, max_phase int, n_refs int, route string, n_descendants int")
     assert tuple(J.pair_indications(routes).first()) == (1, 1, 4, 9, "mesh+ontology", 7, True)
     assert T.forbidden(["a", "faers_x", "y"], ("y",), ("faers_",)) == ["faers_x", "y"]
+
+
+def test_nested_records(spark):
+    rows = spark.createDataFrame([("a", [("b", [("c", None), ("d", None)]), ("e", [])])], "id string, children array<struct<id:string,children:array<struct<id:string,children:string>>>>")
+    assert {(r.id, r.depth) for r in O.tree_rows(rows, "id", "children", 5).collect()} == {("a", 0), ("b", 1), ("e", 1), ("c", 2), ("d", 2)}
+    genes = spark.createDataFrame([("g", [("P1", "x"), (None, "y")]), ("h", [])], "gene string, pathways array<struct<pathwayId:string,pathway:string>>")
+    assert {tuple(r) for r in N.pathways(genes).collect()} == {("g", "P1"), ("g", "y")}
+    terms = spark.createDataFrame([("HP_1", ["SCTID:1", "sctid:1", "FOO:2"])], "id string, refs array<string>")
+    assert [tuple(r) for r in O.term_xrefs(terms, "id", "refs").collect()] == [("HP:1", "SNOMED", "1")]
+    first = spark.createDataFrame([("A", "a")], "id string, name string")
+    sssom = spark.createDataFrame([("A", "x", "skos:exactMatch", "M:1"), ("B", "b", "skos:broadMatch", "M:2")], "subject_id string, subject_label string, predicate_id string, object_id string")
+    assert {tuple(r) for r in O.merged_terms(first, sssom).collect()} == {("A", "a"), ("B", "b")}
+    assert [tuple(r) for r in O.exact_xrefs(sssom).collect()] == [("A", "M:1")]
+
+
+def test_evidence_by_symbol(spark):
+    evidence = spark.createDataFrame([(1, "E1", 0.5), (1, "E2", 0.7), (1, "E3", 0.9)], "condition int, gene string, max_score double")
+    symbols = spark.createDataFrame([("E1", "S"), ("E2", "S")], "gene string, symbol string")
+    assert [tuple(r) for r in M.to_symbols(evidence, symbols).collect()] == [(1, "S", 0.7, 2)]
+    panel = spark.createDataFrame([(1, 5.0), (2, 6.0)], "k int, affinity double")
+    guess = spark.createDataFrame([(2, 1.0), (3, 2.0)], "k int, affinity double")
+    assert {tuple(r) for r in N.measured_or_imputed(panel, guess, ["k"]).collect()} == {(1, 5.0, True), (2, 6.0, True), (3, 2.0, False)}
+
+
+def test_imputation_by_group(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", None), ("b", None)], "g string, v double")
+    assert sorted((r.g, r.v) for r in J.impute(rows, "v", "g").collect()) == [("a", 1.0), ("a", 2.0), ("a", 3.0), ("b", 2.0)]
+    assert [r.v for r in J.impute(rows.where("g = 'b'"), "v").collect()] == [0.0]

