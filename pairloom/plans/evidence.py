@@ -73,7 +73,7 @@ def pair_degrees(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {B.PAIR_SQL} SELECT drug, condition, count(*) OVER (PARTITION BY drug) AS drug_degree, count(*) OVER (PARTITION BY condition) AS condition_degree FROM pc")
 def nuisance_join(spark: SparkSession, d: str) -> DataFrame:
-    pairs = B.pair_counts(spark, d).select("drug", "condition")
+    pairs = B.step_table(B.pair_counts(spark, d)).select("drug", "condition")
     out = J.lookup(J.lookup(pairs, L.degrees(pairs, "drug", "drug_degree"), "drug"), L.degrees(pairs, "condition", "condition_degree"), "condition")
     return out.select("drug", "condition", "drug_degree", "condition_degree")
 
