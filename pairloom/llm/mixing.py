@@ -234,24 +234,24 @@ def splitting_tree(quota: DataFrame, shards: int, seed: int) -> DataFrame:
     A node holds the draws of every source; it exists as one row, so a level
     of the tree is one projection and the sources' number is its width.
     """
-    node = quota.groupBy().agg(F.sort_array(F.collect_list(F.struct("src", "draws"))).alias("have")).select(F.lit(0).alias("node"), "have")
+    node = quota.groupBy().agg(F.sort_array(F.collect_list(F.struct("src", "draws"))).alias("have")).select(F.lit(1).alias("level"), F.lit(0).alias("node"), "have")
+    total = F.aggregate("have", F.lit(0).cast("long"), lambda acc, x: acc + x["draws"])
+    start = F.struct(total.alias("left"), F.floor((total + F.col("node") % 2) / 2).cast("long").alias("room"), F.array().cast("array<bigint>").alias("took"))
+
+    def step(acc: Column, x: Column) -> Column:
+        u = uniform(F.concat(F.lit(f"{seed}:"), F.col("level").cast("string")), F.col("node").cast("string"), F.size(acc["took"]).cast("string"))
+        k = hypergeometric(x["draws"], acc["left"] - x["draws"], acc["room"], u)
+        return F.struct((acc["left"] - x["draws"]).alias("left"), (acc["room"] - k).alias("room"), F.concat(acc["took"], F.array(k)).alias("took"))
+
+    # one expression serves all levels
+    took = F.aggregate("have", start, step)["took"]
+    left = F.zip_with("have", "took", lambda x, k: F.struct(x["src"].alias("src"), k.alias("draws")))
+    right = F.zip_with("have", "took", lambda x, k: F.struct(x["src"].alias("src"), (x["draws"] - k).alias("draws")))
+    halves = F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), left.alias("have")), F.struct((F.col("node") * 2 + 1).alias("node"), right.alias("have")))).alias("h")
     level = 1
     while level < shards:
-        total = F.aggregate("have", F.lit(0).cast("long"), lambda acc, x: acc + x["draws"])
-        start = F.struct(total.alias("left"), F.floor((total + F.col("node") % 2) / 2).cast("long").alias("room"), F.array().cast("array<bigint>").alias("took"))
-
-        def step(acc: Column, x: Column) -> Column:  # evaluated at once, with this level
-            u = uniform(F.lit(f"{seed}:{level}"), F.col("node").cast("string"), F.size(acc["took"]).cast("string"))
-            k = hypergeometric(x["draws"], acc["left"] - x["draws"], acc["room"], u)
-            return F.struct((acc["left"] - x["draws"]).alias("left"), (acc["room"] - k).alias("room"), F.concat(acc["took"], F.array(k)).alias("took"))
-
-        split = node.withColumn("took", F.aggregate("have", start, step)["took"])
-        halves = F.array(
-            F.struct((F.col("node") * 2).alias("node"), F.zip_with("have", "took", lambda x, k: F.struct(x["src"].alias("src"), k.alias("draws"))).alias("have")),
-            F.struct((F.col("node") * 2 + 1).alias("node"), F.zip_with("have", "took", lambda x, k: F.struct(x["src"].alias("src"), (x["draws"] - k).alias("draws"))).alias("have")),
-        )
-        node = split.select(F.explode(halves).alias("h")).select("h.node", "h.have")
         level *= 2
+        node = node.withColumn("took", took).select("level", halves).select((F.col("level") * 2).alias("level"), "h.node", "h.have")
     leaves = node.select(F.col("node").alias("shard"), F.explode("have").alias("h")).select(F.col("h.src").alias("src"), "shard", F.col("h.draws").alias("draws"))
     before = Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return leaves.withColumn("first", F.coalesce(F.sum("draws").over(before), F.lit(0)))
