@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import small_batches
+from .storage import keep, small_batches
 from .textarrays import row_chunks
 
 #: A host with fewer distinct pages has no say.
 MIN_PAGES = 6
 #: Branches less important than this, and than this share of the host's most important one, are cut.
 LOW = 0.3
+#: Branches to cut are sent to every task up to this size.
+SENT_BYTES = 8 << 20
 #: Weight of the children in a node's importance, to the power of the number of its styles.
 GAMMA = 0.9
 
@@ -270,7 +272,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     # A tree has a row for each path of a host's templates, whatever the number of its pages.
-    low = style_tree(pages).groupBy("host").applyInPandas(_low, "host string, low array<string>").where(F.size("low") > 0)
+    low = keep(style_tree(pages).groupBy("host").applyInPandas(_low, "host string, low array<string>").where(F.size("low") > 0), "branches")
+    # Sent to every task while it is small, so that pages stay where they are; beyond that Spark joins by host.
+    size = low.agg(F.sum(F.octet_length("host") + F.octet_length(F.array_join("low", " ")) + 64)).first()[0] or 0
+    if size <= SENT_BYTES:
+        low = F.broadcast(low)
     named = F.coalesce(F.lower(F.nullif(F.regexp_extract("url", HOST.pattern, 1), F.lit(""))), F.lit(""))
     joined = pages.withColumn("_host", named).join(low.withColumnRenamed("host", "_host"), "_host", "left").select("page_id", "url", "html", "low")
 
