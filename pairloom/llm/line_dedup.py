@@ -14,10 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import keep
+
 #: A line on more than this share of a site's pages is dropped.
 RATIO = 0.02
 #: A line must be on this many pages of the site; it spares the lines of small sites.
 MIN_PAGES = 5
+#: Boilerplate lines, 16 bytes each, are sent to every task up to this size.
+SENT_BYTES = 8 << 20
 
 
 def lines(text: Column) -> Column:
@@ -54,7 +58,11 @@ def drop_boilerplate(pages: DataFrame, text_col: str = "text", site_col: str = "
     treated like others; an empty table stays empty. The added columns
     replace columns of the same names.
     """
-    known = boilerplate(pages, text_col, site_col, ratio, min_pages)
+    known = keep(boilerplate(pages, text_col, site_col, ratio, min_pages), "boilerplate")
+    # Sent to every task while it is small, so that texts stay where they are; beyond that Spark joins by site.
+    size = known.agg(F.sum(16 * F.size("_lines") + 64)).first()[0] or 0
+    if size <= SENT_BYTES:
+        known = F.broadcast(known)
     joined = pages.join(known, F.col(site_col).eqNullSafe(F.col("_site")), "left")
     before = lines(F.col(text_col))
     after = F.when(F.col("_lines").isNull(), before).otherwise(F.filter(before, lambda x: ~F.coalesce(F.array_contains("_lines", line_key(x)), F.lit(False))))
