@@ -11,11 +11,22 @@ from .joins import top_per_group
 from .ontology import step_table
 
 
+#: Drugs of one value are joined in blocks of about this many.
+DRUGS_A_BLOCK = 256
+
+
 def neighbours(edges: DataFrame, train: DataFrame, drug: str = "drug", value: str = "value") -> DataFrame:
-    """``drug, neighbour``: train drugs that share a value with a drug, itself left out."""
+    """``drug, neighbour``: train drugs that share a value with a drug, itself left out.
+
+    The drugs of a frequent value are dealt over blocks by a hash, and its
+    train drugs go to each of its blocks, so that no task holds all pairs of it.
+    """
     left = edges.where(F.col(value).isNotNull()).select(drug, value).distinct()
-    right = left.join(train.select(drug), drug, "left_semi").select(F.col(drug).alias("neighbour"), value)
-    return left.join(right, value).where(F.col(drug) != F.col("neighbour")).select(drug, "neighbour").distinct()
+    hubs = left.groupBy(value).agg(F.ceil(F.count(F.lit(1)) / DRUGS_A_BLOCK).cast("int").alias("_blocks")).where("_blocks > 1")
+    dealt = left.join(hubs, value, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    right = dealt.join(train.select(drug), drug, "left_semi").select(F.col(drug).alias("neighbour"), value, F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
+    dealt = dealt.select(drug, value, F.pmod(F.xxhash64(drug), F.col("_blocks")).cast("int").alias("_block"))
+    return dealt.join(right, [value, "_block"]).where(F.col(drug) != F.col("neighbour")).select(drug, "neighbour").distinct()
 
 
 def transported_rate(pairs: DataFrame, near: DataFrame, flagged: DataFrame, rates: DataFrame, k: float = 10.0) -> DataFrame:

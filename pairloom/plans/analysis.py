@@ -155,9 +155,7 @@ NEIGHBOUR_SQL = f"""{B.PAIR_SQL}, {B.GENE_SQL}, {B.TRAIN_SQL},
 
 def transported(spark: SparkSession, d: str) -> DataFrame:
     df, train = B.scored(spark, d), B.train_drugs(spark, d)
-    genes = B.drug_genes(spark, d)
-    rare = genes.groupBy("gene").agg(F.count(F.lit(1)).alias("n")).where("n < 40")
-    near = N.neighbours(genes.join(rare, "gene", "left_semi").withColumnRenamed("gene", "value"), train)
+    near = N.neighbours(B.drug_genes(spark, d).withColumnRenamed("gene", "value"), train)
     known = df.join(train, "drug", "left_semi")
     return N.transported_rate(df.select("drug", "condition"), near, known.where("y = 1"), T.rates(known))
 
