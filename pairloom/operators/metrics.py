@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.catalog import numbered
+from .ontology import step_table
+
 
 def average_rank(group: list[str], value: str) -> Column:
     """Rank of a value in its group, equal values sharing the mean of their ranks."""
@@ -64,11 +67,41 @@ def regression_errors(rows: DataFrame, truth: str, guess: str) -> DataFrame:
     return rows.agg(F.corr(truth, guess).alias("pearson"), (1 - F.sum((t - g) * (t - g)) / total).alias("r_squared"), F.sqrt(F.avg((t - g) * (t - g))).alias("rmse"))
 
 
+def dense_rank(values: DataFrame, x: str) -> DataFrame:
+    """``x, rank``: the distinct values of a column, numbered from 0 in order."""
+    return numbered(values.where(F.col(x).isNotNull()).select(x).distinct(), [x]).withColumnRenamed("row_index", "rank")
+
+
+def untied(ranks: DataFrame, x: str) -> Column:
+    """Pairs of rows with unequal values."""
+    sizes = ranks.where(F.col(x).isNotNull()).groupBy(x).agg(F.count(F.lit(1)).alias("_n"))
+    return sizes.agg((F.sum("_n") * F.sum("_n") - F.sum(F.col("_n") * F.col("_n"))) / 2).scalar()
+
+
 def kendall_tau_b(ranks: DataFrame, item: str, x: str, y: str) -> DataFrame:
-    """Tau-b of two short rankings; pairs are of items in order, so the join is of a small table with itself."""
-    a, b = ranks.select(F.col(item).alias("i"), F.col(x).alias("x"), F.col(y).alias("y"), F.lit(1).alias("_one")), ranks.select(F.col(item).alias("j"), F.col(x).alias("u"), F.col(y).alias("v"), F.lit(1).alias("_one"))
-    pairs = a.join(F.broadcast(b), "_one").where("i < j").select(F.signum(F.col("x") - F.col("u")).alias("s"), F.signum(F.col("y") - F.col("v")).alias("t"))
-    return pairs.agg((F.sum(F.col("s") * F.col("t")) / F.sqrt(F.sum(F.abs("s")) * F.sum(F.abs("t")))).alias("tau"))
+    """Tau-b of two rankings of items, of any length, without forming pairs of rows.
+
+    Values become dense ranks. Two unequal ranks part at exactly one binary
+    digit, below a common prefix; so every pair that differs in both rankings
+    is counted once, in the block of its two prefixes, as a product of counts:
+    rows times the square of the digits, summed by block.
+    """
+    ranks = step_table(ranks.where(F.col(item).isNotNull()).select(x, y))
+    both = ranks.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("_x"), F.col(y).alias("_y"))
+    cells = both.join(dense_rank(both, "_x").withColumnRenamed("rank", "_i"), "_x").join(dense_rank(both, "_y").withColumnRenamed("rank", "_j"), "_y")
+    cells = step_table(cells.groupBy("_i", "_j").agg(F.count(F.lit(1)).alias("_n")))
+    digits = [int(m or 0).bit_length() for m in cells.agg(F.max("_i"), F.max("_j")).first()]  # two numbers
+    at = lambda n: F.explode(F.array(*[F.lit(k) for k in range(n)]).cast("array<int>"))
+    split = cells.withColumn("_k", at(digits[0])).withColumn("_l", at(digits[1]))
+    above = lambda c, k: F.call_function("shiftright", c, k)
+    part = {"_a": above(F.col("_i"), F.col("_k")), "_b": above(F.col("_j"), F.col("_l"))}
+    split = split.withColumns(part)
+    prefix = [above(F.col(c), F.lit(1)).alias(f"{c}_up") for c in part]
+    low, high = [[(F.col(c) % 2) == d for c in part] for d in (0, 1)]
+    n = lambda p, q: F.coalesce(F.sum(F.when(p & q, F.col("_n"))), F.lit(0))
+    blocks = split.groupBy("_k", "_l", *prefix).agg((n(low[0], low[1]) * n(high[0], high[1]) - n(low[0], high[1]) * n(high[0], low[1])).alias("_s"))
+    apart = F.sqrt(untied(ranks, x)) * F.sqrt(untied(ranks, y))
+    return blocks.agg(F.sum("_s").alias("_s")).select((F.coalesce("_s", F.lit(0)) / F.nullif(apart, F.lit(0.0))).alias("tau"))
 
 
 def calibration(scored: DataFrame, p: str, y: str, bins: int = 20) -> DataFrame:

@@ -83,7 +83,7 @@ def regression_errors(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {B.PAIR_SQL}, k AS (SELECT drug, sum(score) AS x, sum(case_count) AS z FROM sc WHERE drug < 40 GROUP BY 1)
     SELECT round(sum(sign(a.x - b.x) * sign(a.z - b.z)) / sqrt(sum(abs(sign(a.x - b.x))) * sum(abs(sign(a.z - b.z)))), 6) AS tau FROM k a JOIN k b ON a.drug < b.drug""")
 def kendall_tau(spark: SparkSession, d: str) -> DataFrame:
-    ranks = B.scored(spark, d).where("drug < 40").groupBy("drug").agg(F.sum("score").alias("x"), F.sum("case_count").alias("z"))
+    ranks = B.scored(spark, d).groupBy("drug").agg(F.sum("score").alias("x"), F.sum("case_count").alias("z"))
     return R.kendall_tau_b(ranks, "drug", "x", "z").select(r6(F.col("tau")).alias("tau"))
 
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from pairloom.operators import metrics as R
 from pairloom.operators import network as N
 from pairloom.plans import analysis as A
 from pairloom.plans import base as B
@@ -15,7 +16,7 @@ def hub_dir(spark, tmp_path_factory):
     spark.range(60).select(F.col("id").alias("s_suppkey")).write.parquet(f"{where}/supplier.parquet")
     parts = [(0, "b0", "g0"), (1, "b1", "g1"), (2, "b1", "g2"), (3, "b0", "g3")]
     spark.createDataFrame(parts, "p_partkey long, p_brand string, p_name string").write.parquet(f"{where}/part.parquet")
-    lines = [(s, p, s, q, f, "O") for s in range(60) for p in (0, 1 + s % 2, 3) for q, f in [(50.0, "R" if p < 3 else "A")] + [(9.0, "R" if (s * 7 + p) % 5 < 2 else "A")] * 4]
+    lines = [(s, p, s, q, f, "O") for s in range(60) for p in (0, 1 + s % 2, 3) for q, f in [(50.0, "R" if p < 3 else "A")] + [(9.0, "R" if (s * 7 + p) % 5 < 2 else "A")] * (4 + s * s % 7)]
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string, l_linestatus string").write.parquet(f"{where}/lineitem.parquet")
     return where
 
@@ -41,3 +42,22 @@ def test_neighbours_in_blocks(spark, monkeypatch):
     train = spark.createDataFrame([(d,) for d in range(0, 30, 2)], "drug int")
     got = sorted(map(tuple, N.neighbours(spark.createDataFrame(rows, "drug int, value string"), train).collect()))
     assert got == sorted((a, b) for a in range(30) for b in range(0, 30, 2) if a != b and (a // 2 == b // 2 or (a % 5 and b % 5)))
+
+
+def tau_b(pairs):
+    sign = lambda v: (v > 0) - (v < 0)
+    both = [(sign(a[0] - b[0]), sign(a[1] - b[1])) for i, a in enumerate(pairs) for b in pairs[:i]]
+    return sum(s * t for s, t in both) / (sum(s * s for s, _ in both) * sum(t * t for _, t in both)) ** 0.5
+
+
+def test_tau_of_all_drugs(spark, hub_dir):
+    ranks = B.scored(spark, hub_dir).groupBy("drug").agg(F.sum("score"), F.sum("case_count")).collect()
+    want = tau_b([r[1:] for r in ranks])
+    assert len(ranks) == 60 and abs(want - tau_b([r[1:] for r in ranks if r[0] < 40])) > 1e-3
+    assert A.kendall_tau(spark, hub_dir).first()[0] == pytest.approx(want, abs=1e-6)
+    varied = [(i, float(i * 37 % 101 // 3), i * 53 % 89 // 2) for i in range(150)]
+    plan = R.kendall_tau_b(spark.createDataFrame(varied, "i int, x double, y int"), "i", "x", "y")
+    assert plan.first()[0] == pytest.approx(tau_b([v[1:] for v in varied]), abs=1e-12)
+    assert "NestedLoop" not in plan._jdf.queryExecution().toString() and "_one" not in plan._jdf.queryExecution().toString()
+    flat = spark.createDataFrame([(i, 1.0, i) for i in range(3)], "i int, x double, y int")
+    assert R.kendall_tau_b(flat, "i", "x", "y").first()[0] is None
