@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_LEVELS = 64
+#: After so many levels what is known becomes one table, for short plans.
+LEVELS_A_TABLE = 16
 
 
 def step_table(df: DataFrame) -> DataFrame:
@@ -19,19 +22,21 @@ def closure(edges: DataFrame, terms: DataFrame | None = None) -> DataFrame:
 
     Parents that are no terms are ignored. Each round extends the newest
     pairs by one edge and drops those already known, so that diamonds don't
-    multiply and cycles end.
+    multiply and cycles end. Rounds go on until there is no new pair.
     """
     edges = edges.select(F.col("child"), F.col("parent")).where("child is not null and parent is not null and child <> parent").distinct()
     if terms is not None:
         edges = edges.join(terms.select(F.col("term").alias("parent")), "parent", "left_semi").join(terms.select(F.col("term").alias("child")), "child", "left_semi")
     up = edges.select(F.col("child").alias("ancestor"), F.col("parent").alias("_next"))
     known = newest = edges.select(F.col("child").alias("term"), F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
-    for level in range(2, MOST_LEVELS):
+    for level in count(2):
         longer = newest.join(up, "ancestor").select("term", F.col("_next").alias("ancestor")).where("term <> ancestor").distinct()
         newest = step_table(longer.join(known, ["term", "ancestor"], "left_anti").withColumn("distance", F.lit(level)))
         if newest.isEmpty():
             break
         known = known.unionByName(newest)
+        if level % LEVELS_A_TABLE == 0:
+            known = step_table(known)
     return known
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pairloom.operators import metrics as R
 from pairloom.operators import network as N
+from pairloom.operators import ontology as O
 from pairloom.plans import analysis as A
 from pairloom.plans import base as B
 
@@ -61,3 +62,8 @@ def test_tau_of_all_drugs(spark, hub_dir):
     assert "NestedLoop" not in plan._jdf.queryExecution().toString() and "_one" not in plan._jdf.queryExecution().toString()
     flat = spark.createDataFrame([(i, 1.0, i) for i in range(3)], "i int, x double, y int")
     assert R.kendall_tau_b(flat, "i", "x", "y").first()[0] is None
+
+
+def test_closure_of_a_long_chain(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(66)], "child int, parent int").coalesce(1)
+    assert sorted(map(tuple, O.closure(chain).collect())) == [(a, b, b - a) for a in range(66) for b in range(a + 1, 67)]
