@@ -190,7 +190,7 @@ def gene_idf(spark: SparkSession, d: str) -> DataFrame:
     SELECT drug, condition, coalesce(sh.n, 0) AS n_shared, round(CASE WHEN coalesce(l.n, 0) + coalesce(r.n, 0) - coalesce(sh.n, 0) > 0 THEN coalesce(sh.n, 0) / (coalesce(l.n, 0) + coalesce(r.n, 0) - coalesce(sh.n, 0))::DOUBLE ELSE 0 END, 6) AS jaccard
     FROM pc LEFT JOIN sh USING (drug, condition) LEFT JOIN l USING (drug) LEFT JOIN r USING (condition)""")
 def pathway_overlap(spark: SparkSession, d: str) -> DataFrame:
-    out = N.pathway_overlap(B.pair_counts(spark, d).select("drug", "condition"), B.drug_genes(spark, d), B.condition_genes(spark, d), B.gene_pathways(spark, d), 10)
+    out = N.pathway_overlap(B.pair_counts(spark, d).select("drug", "condition"), B.drug_genes(spark, d), B.condition_genes(spark, d), B.gene_pathways(spark, d))
     return out.select("drug", "condition", "n_shared", r6(F.col("jaccard")).alias("jaccard"))
 
 

@@ -67,3 +67,13 @@ def test_tau_of_all_drugs(spark, hub_dir):
 def test_closure_of_a_long_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(66)], "child int, parent int").coalesce(1)
     assert sorted(map(tuple, O.closure(chain).collect())) == [(a, b, b - a) for a in range(66) for b in range(a + 1, 67)]
+
+
+def test_pathways_beyond_the_tenth_gene(spark, tmp_path):
+    """12 genes of one condition, each with a pathway of its own; drug 0 has them all, drug 1 the last alone."""
+    parts = [(i, "b", f"g{i:02}", f"p{i:02}", 50) for i in range(12)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_name string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    lines = [(0, i, s, 50.0, "R", "O") for s in (0, 1) for i in range(12) if s == 0 or i == 11]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.drug: (r.n_shared, r.jaccard) for r in A.pathway_overlap(spark, str(tmp_path)).collect()}
+    assert got == {0: (12, 1.0), 1: (1, round(1 / 12, 6))}
