@@ -1,4 +1,4 @@
-"""Joins of evidence tables: lookups, best tiers, bridges over genes, surviving null keys."""
+"""Joins of evidence tables: lookups, best tiers, pairs that share genes, surviving null keys."""
 
 from __future__ import annotations
 
@@ -41,7 +41,7 @@ def first_value(df: DataFrame, key: str, value: str, *order: str) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(key).agg(F.min_by(value, F.struct(*order)).alias(value))
 
 
-def gene_bridge(targets: DataFrame, genes: DataFrame, drug: str = "drug", condition: str = "condition", gene: str = "gene", weight: str = "weight") -> DataFrame:
+def gene_links(targets: DataFrame, genes: DataFrame, drug: str = "drug", condition: str = "condition", gene: str = "gene", weight: str = "weight") -> DataFrame:
     """``drug, condition, n_genes, weight``: pairs that share a gene, which each pair counts once."""
     edges = targets.select(drug, gene).where(F.col(gene).isNotNull()).distinct()
     return edges.join(genes.where(F.col(gene).isNotNull()), gene).groupBy(drug, condition).agg(F.count(F.lit(1)).alias("n_genes"), F.sum(weight).alias("weight"))

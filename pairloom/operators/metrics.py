@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.catalog import numbered
-from .ontology import step_table
+from ..sources.catalog import numbered, prefix_sums
+from ..sources.shared import keep
 
 
 def average_rank(group: list[str], value: str) -> Column:
@@ -86,10 +86,10 @@ def kendall_tau_b(ranks: DataFrame, item: str, x: str, y: str) -> DataFrame:
     is counted once, in the block of its two prefixes, as a product of counts:
     rows times the square of the digits, summed by block.
     """
-    ranks = step_table(ranks.where(F.col(item).isNotNull()).select(x, y))
+    ranks = keep(ranks.where(F.col(item).isNotNull()).select(x, y))
     both = ranks.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("_x"), F.col(y).alias("_y"))
     cells = both.join(dense_rank(both, "_x").withColumnRenamed("rank", "_i"), "_x").join(dense_rank(both, "_y").withColumnRenamed("rank", "_j"), "_y")
-    cells = step_table(cells.groupBy("_i", "_j").agg(F.count(F.lit(1)).alias("_n")))
+    cells = keep(cells.groupBy("_i", "_j").agg(F.count(F.lit(1)).alias("_n")))
     digits = [int(m or 0).bit_length() for m in cells.agg(F.max("_i"), F.max("_j")).first()]  # two numbers
     at = lambda n: F.explode(F.array(*[F.lit(k) for k in range(n)]).cast("array<int>"))
     split = cells.withColumn("_k", at(digits[0])).withColumn("_l", at(digits[1]))
@@ -122,11 +122,18 @@ def slope_by_group(rows: DataFrame, group: str, x: str, y: str) -> DataFrame:
 
 
 def feature_screen(wide: DataFrame, features: list[str], y: str = "y") -> DataFrame:
-    """``feature, auc, folded_auc``: how well each feature alone ranks the label; constant features are left out."""
+    """``feature, auc, folded_auc``: how well each feature alone ranks the label; constant features are left out.
+
+    A null or NaN takes the feature's median. Ranks come from prefix sums over
+    the distinct values, as a feature has a row for each row of the table.
+    """
     long = wide.unpivot([y], features, "feature", "value").select("feature", F.col(y).alias("y"), F.col("value").cast("double").alias("value"))
-    varied = long.groupBy("feature").agg(F.min("value").alias("_low"), F.max("value").alias("_high")).where("_low < _high").select("feature")
-    auc = group_auc(long.join(varied, "feature", "left_semi"), "feature", "y", "value", 2)
-    return auc.select("feature", "auc", F.greatest("auc", 1 - F.col("auc")).alias("folded_auc"))
+    cells = filled_scores(long, "feature", "value").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("long")).alias("hits"))
+    ranked = prefix_sums(cells, "feature", "value", {"before": "n"})
+    per = ranked.groupBy("feature").agg(F.sum("n").cast("double").alias("n"), F.sum("hits").cast("double").alias("p"), F.sum(F.col("hits") * (F.col("before") + (F.col("n") + 1) / F.lit(2.0))).alias("ranks"), F.count(F.lit(1)).alias("values"))
+    p, n = F.col("p"), F.col("n")
+    per = per.where((F.col("values") > 1) & (p > 0) & (p < n)).select("feature", ((F.col("ranks") - p * (p + 1) / 2) / (p * (n - p))).alias("auc"))
+    return per.select("feature", "auc", F.greatest("auc", 1 - F.col("auc")).alias("folded_auc"))
 
 
 def restricted_auc(scored: DataFrame, outcomes: DataFrame, group: str = "condition", **options) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .joins import top_per_group
-from .ontology import step_table
+from ..sources.shared import keep
 
 
 #: Drugs of one value are joined in blocks of about this many.
@@ -124,27 +124,39 @@ def measured_or_imputed(measured: DataFrame, imputed: DataFrame, keys: list[str]
 
 
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """``node, component``: the smallest node of each connected component, by label passing with pointer jumps."""
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
-    both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    labels = step_table(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("u"), F.min("v")).alias("component")))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("_near"))
-        least = labels.join(near, "node", "left").select("node", F.least("component", "_near").alias("component"), F.col("component").alias("_old"))
-        hop = labels.select(F.col("node").alias("component"), F.col("component").alias("_hop"))
-        moved = step_table(least.join(hop, "component", "left").select("node", F.least("component", "_hop").alias("component"), "_old"))
-        labels = moved.select("node", "component")
-        if moved.where("component <> _old").isEmpty():
-            return labels
+    """``node, component``: the smallest node of each connected component, by star contraction.
+
+    In each round every node hands its larger neighbours to its smallest one
+    (large star), and then its smaller ones (small star), so that components
+    shrink to stars round their smallest nodes, long chains by more than half
+    a round. Edges run from the larger node to the smaller, each once.
+    """
+    u, v = F.col("u"), F.col("v")
+    ends = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
+    nodes = keep(ends.select("u").unionByName(ends.select(v.alias("u"))).distinct(), "nodes")
+    now = keep(ends.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    mark = [F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
+    before, found = None, now.agg(*mark).first()
+    while before != found:
+        before = found
+        both = now.unionByName(now.select(v.alias("u"), u.alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where(v > u).select(v.alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(u.alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
+        now = keep(small.where("u <> v").distinct(), "edges")
+        found = now.agg(*mark).first()
+    stars = now.groupBy("u").agg(F.min("v").alias("component"))
+    return nodes.join(stars, "u", "left").select(u.alias("node"), F.coalesce("component", "u").alias("component"))
 
 
 def tanimoto(queries: DataFrame, reference: DataFrame, key: str = "bits") -> DataFrame:
-    """``id, best``: the highest Tanimoto similarity of each query's bits to a reference set.
+    """``id, best``: the highest Tanimoto similarity of each query's bits to the rows of a reference set of other ids.
 
     Bits are given as arrays of set positions; only rows that share one meet.
     """
     q = queries.select("id", F.size(key).alias("_n"), F.explode(key).alias("_bit"))
     r = reference.select(F.col("id").alias("_ref"), F.size(key).alias("_m"), F.explode(key).alias("_bit"))
-    shared = q.join(r, "_bit").groupBy("id", "_ref", "_n", "_m").agg(F.count(F.lit(1)).alias("_both"))
+    shared = q.join(r, "_bit").where("id <> _ref").groupBy("id", "_ref", "_n", "_m").agg(F.count(F.lit(1)).alias("_both"))
     best = shared.groupBy("id").agg(F.max(F.col("_both") / (F.col("_n") + F.col("_m") - F.col("_both"))).alias("best"))
     return queries.select("id").join(best, "id", "left").select("id", F.coalesce("best", F.lit(0.0)).alias("best"))

@@ -7,16 +7,12 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import keep
+
 #: After so many levels what is known becomes one table, for short plans.
 LEVELS_A_TABLE = 16
 
 
-def step_table(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration; in the shared checkpoint folder if there is one."""
-    spark = df.sparkSession
-    return df.checkpoint() if spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", "") else df.persist()
-
-
 def closure(edges: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """``term, ancestor, distance``: all ancestors, the term itself left out, with the shortest distance.
 
@@ -31,12 +27,12 @@ def closure(edges: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     known = newest = edges.select(F.col("child").alias("term"), F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
     for level in count(2):
         longer = newest.join(up, "ancestor").select("term", F.col("_next").alias("ancestor")).where("term <> ancestor").distinct()
-        newest = step_table(longer.join(known, ["term", "ancestor"], "left_anti").withColumn("distance", F.lit(level)))
+        newest = keep(longer.join(known, ["term", "ancestor"], "left_anti").withColumn("distance", F.lit(level)))
         if newest.isEmpty():
             break
         known = known.unionByName(newest)
         if level % LEVELS_A_TABLE == 0:
-            known = step_table(known)
+            known = keep(known)
     return known
 
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.catalog import numbered
+
 # Folds and their shares of the pairs.
 FOLDS = {"train": 0.50, "validate": 0.30, "test": 0.20}
+#: Groups that are dealt before their folds are put to those of the chunks before.
+CHUNK = 512
 
 
 def primary_gene(targets: DataFrame, drugs: DataFrame) -> DataFrame:
@@ -23,13 +27,15 @@ def greedy_folds(sizes: DataFrame, seed: int = 42, folds: dict[str, float] = FOL
     """``group_key, fold``: largest groups first, each to the fold that lacks most of its share.
 
     Equal sizes go by a hash of key and seed; of equally lacking folds the
-    first wins. The rule is sequential; it folds over one array that has an
-    entry for each group, not for each pair.
+    first wins. The rule is sequential: each step needs the sums of all before.
+    It folds over one array with an entry for each group, not for each pair,
+    in chunks, so that a step copies what its chunk has dealt and no more.
     """
     names = list(folds)
     item = F.struct((-F.col("n_pairs")).alias("o"), F.md5(F.concat("group_key", F.lit(str(seed)))).alias("h"), "group_key", "n_pairs")
     every = sizes.agg(F.sort_array(F.collect_list(item)).alias("queue"), F.sum("n_pairs").cast("double").alias("total"))
-    start = F.struct(*[F.lit(0.0).alias(n) for n in names], F.array().cast("array<string>").alias("out"))
+    none = F.array().cast("array<string>")
+    start = [F.lit(0.0).alias(n) for n in names]
 
     def step(acc: Column, x: Column) -> Column:
         lack = [(F.lit(s) * F.col("total") - acc[n]) / (F.lit(s) * F.col("total")) for n, s in folds.items()]
@@ -37,7 +43,13 @@ def greedy_folds(sizes: DataFrame, seed: int = 42, folds: dict[str, float] = FOL
         pick = reduce(lambda c, k: c.when(lack[k] == most, F.lit(names[k])), range(len(names)), F)
         return F.struct(*[(acc[n] + F.when(pick == n, x["n_pairs"].cast("double")).otherwise(0.0)).alias(n) for n in names], F.concat(acc["out"], F.array(pick)).alias("out"))
 
-    dealt = every.withColumn("folds", F.aggregate("queue", start, step)["out"])
+    def chunk(acc: Column, items: Column) -> Column:
+        dealt = F.aggregate(items, F.struct(*[acc[n].alias(n) for n in names], none.alias("out")), step)
+        return F.get(F.transform(F.array(dealt), lambda d: F.struct(*[d[n].alias(n) for n in names], F.concat(acc["all"], F.array(d["out"])).alias("all"))), F.lit(0))
+
+    chunks = F.transform(F.sequence(F.lit(1), F.size("queue"), F.lit(CHUNK)), lambda i: F.slice("queue", i, F.lit(CHUNK)))
+    begin = F.struct(*start, F.array().cast("array<array<string>>").alias("all"))
+    dealt = every.where(F.size("queue") > 0).withColumn("folds", F.flatten(F.aggregate(chunks, begin, chunk)["all"]))
     return dealt.select(F.explode(F.arrays_zip("queue", "folds")).alias("x")).select("x.queue.group_key", F.col("x.folds").alias("fold"))
 
 
@@ -57,8 +69,8 @@ def cold_conditions(conditions: DataFrame, share: float = 0.2, seed: int = 42) -
     """``condition, cold``: the share of conditions, first by hash, whose pairs are held out."""
     hashed = F.md5(F.concat(F.col("condition").cast("string"), F.lit(str(seed))))
     every = conditions.agg(F.count_distinct("condition")).scalar()
-    order = Window.orderBy(hashed)  # one row for each condition
-    return conditions.select("condition").distinct().withColumn("_row", F.row_number().over(order)).select("condition", (F.col("_row") <= F.floor(every * share)).alias("cold"))
+    indexed = numbered(conditions.select("condition").distinct().withColumn("_hash", hashed), ["_hash", "condition"])
+    return indexed.select("condition", (F.col("row_index") < F.floor(every * share)).alias("cold"))
 
 
 def group_folds(groups: DataFrame, key: str = "group_key", k: int = 3) -> DataFrame:

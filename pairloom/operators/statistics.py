@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ontology import step_table
+from ..sources.catalog import numbered
+from ..sources.shared import keep
 
 
 #: Edges are paired inside cells of about this many.
@@ -19,7 +20,7 @@ def rates(train: DataFrame, key: str = "condition", y: str = "y") -> DataFrame:
 
 def floor_scores(train: DataFrame, held_out: DataFrame, fallback: str = "mean") -> DataFrame:
     """Held-out pairs scored by their condition's train rate; unseen ones by the mean or median of rates, or the train prevalence."""
-    table = step_table(rates(train))
+    table = keep(rates(train))
     other = {"mean": table.agg(F.avg("p_c")), "median": table.agg(F.percentile("p_c", 0.5)), "prevalence": train.agg(F.avg(F.col("y").cast("double")))}[fallback]
     return held_out.join(table, "condition", "left").withColumn("score", F.coalesce("p_c", other.scalar())).drop("p_c")
 
@@ -41,7 +42,7 @@ def two_way_demean(rows: DataFrame, a: str, b: str, value: str, rounds: int = 4,
     for _ in range(rounds):
         for key in (a, b):
             means = out.groupBy(key).agg(F.avg("residual").alias("_mean"))
-            out = step_table(out.join(means, key).withColumn("residual", F.col("residual") - F.col("_mean")))
+            out = keep(out.join(means, key).withColumn("residual", F.col("residual") - F.col("_mean")))
             largest = out.agg(F.max(F.abs("_mean"))).first()[0] if tolerance is not None else None
             out = out.drop("_mean")
         if tolerance is not None and (largest or 0.0) < tolerance:
@@ -60,9 +61,7 @@ def bootstrap(values: DataFrame, key: str, value: str, rounds: int = 200, seed:
     Values are one per group (a drug, say); rounds times groups rows are
     drawn by hashes, so a rerun gives the same interval.
     """
-    order = Window.orderBy(key)  # one row for each group
-    placed = values.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), (F.row_number().over(order) - 1).cast("long").alias("at"))
-    placed = step_table(placed)
+    placed = keep(numbered(values.where(F.col(value).isNotNull()).select(key, F.col(value).alias("v")), [key]).select("v", F.col("row_index").alias("at")))
     n = placed.agg(F.count(F.lit(1))).scalar()
     draws = placed.select("at").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
     picked = draws.select("round", draw(seed, n, F.col("round").cast("string"), F.col("at").cast("string")).alias("at")).join(placed, "at")
@@ -87,7 +86,7 @@ def swap_edges(edges: DataFrame, a: str, b: str, seed: int = 42, rounds: int = 4
     that makes no edge twice. All pairs of a round are tested at once against
     the edges of the round and each other, so it is a join, not a chain.
     """
-    now = step_table(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
+    now = keep(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
     cells = max(1, now.count() // EDGES_A_CELL)
     for turn in range(rounds):
         hashed = F.md5(F.concat_ws("|", F.col("a").cast("string"), F.col("b").cast("string"), F.lit(f"{seed}:{turn}")))
@@ -103,7 +102,7 @@ def swap_edges(edges: DataFrame, a: str, b: str, seed: int = 42, rounds: int = 4
         good = tried.join(clash.unionByName(twice).distinct(), ["_cell", "_pair"], "left_anti")
         gone = good.select(F.explode("old").alias("x")).select("x.a", "x.b")
         come = good.select(F.explode("new").alias("x")).select("x.a", "x.b")
-        now = step_table(now.join(gone, ["a", "b"], "left_anti").unionByName(come))
+        now = keep(now.join(gone, ["a", "b"], "left_anti").unionByName(come))
     return now.select(F.col("a").alias(a), F.col("b").alias(b))
 
 

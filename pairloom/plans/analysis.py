@@ -11,6 +11,7 @@ from ..operators import network as N
 from ..operators import ontology as O
 from ..operators import splits as S
 from ..operators import statistics as T
+from ..sources.catalog import tiles
 from . import base as B
 from .base import r6
 
@@ -80,7 +81,7 @@ def regression_errors(spark: SparkSession, d: str) -> DataFrame:
     return R.regression_errors(rows, "t", "g").select(*[r6(F.col(c)).alias(c) for c in ("pearson", "r_squared", "rmse")])
 
 
-@query(f"""WITH {B.PAIR_SQL}, k AS (SELECT drug, sum(score) AS x, sum(case_count) AS z FROM sc WHERE drug < 40 GROUP BY 1)
+@query(f"""WITH {B.PAIR_SQL}, k AS (SELECT drug, sum(score) AS x, sum(case_count) AS z FROM sc GROUP BY 1)
     SELECT round(sum(sign(a.x - b.x) * sign(a.z - b.z)) / sqrt(sum(abs(sign(a.x - b.x))) * sum(abs(sign(a.z - b.z)))), 6) AS tau FROM k a JOIN k b ON a.drug < b.drug""")
 def kendall_tau(spark: SparkSession, d: str) -> DataFrame:
     ranks = B.scored(spark, d).groupBy("drug").agg(F.sum("score").alias("x"), F.sum("case_count").alias("z"))
@@ -144,7 +145,7 @@ def information_content(spark: SparkSession, d: str) -> DataFrame:
 
 
 NEIGHBOUR_SQL = f"""{B.PAIR_SQL}, {B.GENE_SQL}, {B.TRAIN_SQL},
-    te AS (SELECT DISTINCT drug, gene AS value FROM dg JOIN (SELECT gene FROM dg GROUP BY 1 HAVING count(*) < 40) USING (gene)),
+    te AS (SELECT drug, gene AS value FROM dg),
     nb AS (SELECT DISTINCT a.drug, b.drug AS neighbour FROM te a JOIN te b ON a.value = b.value AND a.drug <> b.drug WHERE b.drug IN (SELECT drug FROM tr)),
     pcr AS (SELECT condition, avg(y) AS p_c FROM sc WHERE drug IN (SELECT drug FROM tr) GROUP BY 1),
     nt AS (SELECT sc.drug, sc.condition, coalesce(k.n, 0) AS n_neighbours, coalesce(h.n, 0) AS n_flagged, p_c
@@ -184,7 +185,7 @@ def gene_idf(spark: SparkSession, d: str) -> DataFrame:
     return N.gene_idf(B.condition_genes(spark, d)).withColumn("idf", r6(F.col("idf")))
 
 
-@query(f"""WITH {B.PAIR_SQL}, {B.GENE_SQL}, top AS (SELECT condition, gene FROM (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY score DESC, gene) AS n FROM cg) WHERE n <= 10),
+@query(f"""WITH {B.PAIR_SQL}, {B.GENE_SQL}, top AS (SELECT condition, gene FROM (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY score DESC, gene) AS n FROM cg) WHERE n <= 50),
     dp AS (SELECT DISTINCT drug, pathway FROM dg JOIN gp USING (gene)), cp AS (SELECT DISTINCT condition, pathway FROM top JOIN gp USING (gene)),
     sh AS (SELECT drug, condition, count(*) AS n FROM dp JOIN cp USING (pathway) GROUP BY 1, 2), l AS (SELECT drug, count(*) AS n FROM dp GROUP BY 1), r AS (SELECT condition, count(*) AS n FROM cp GROUP BY 1)
     SELECT drug, condition, coalesce(sh.n, 0) AS n_shared, round(CASE WHEN coalesce(l.n, 0) + coalesce(r.n, 0) - coalesce(sh.n, 0) > 0 THEN coalesce(sh.n, 0) / (coalesce(l.n, 0) + coalesce(r.n, 0) - coalesce(sh.n, 0))::DOUBLE ELSE 0 END, 6) AS jaccard
@@ -228,12 +229,12 @@ def connected_components(spark: SparkSession, d: str) -> DataFrame:
     return N.connected(genes.unionByName(more), "a", "b")
 
 
-@query("""WITH b AS (SELECT vec_id AS id, list_filter(range(1, 65), lambda i: embedding[i] > 0.1) AS bits FROM embeddings), q AS (SELECT * FROM b WHERE id % 100 = 0), r AS (SELECT * FROM b WHERE id % 100 <> 0)
-    SELECT q.id, round(coalesce(max(len(list_intersect(q.bits, r.bits)) / (len(q.bits) + len(r.bits) - len(list_intersect(q.bits, r.bits)))::DOUBLE), 0), 6) AS best FROM q, r GROUP BY 1""")
+@query("""WITH b AS (SELECT vec_id AS id, list_filter(range(1, 65), lambda i: embedding[i] > 0.1) AS bits FROM embeddings), q AS (SELECT * FROM b WHERE id % 100 = 0), r AS (SELECT * FROM b)
+    SELECT q.id, round(coalesce(max(len(list_intersect(q.bits, r.bits)) / (len(q.bits) + len(r.bits) - len(list_intersect(q.bits, r.bits)))::DOUBLE), 0), 6) AS best FROM q, r WHERE q.id <> r.id GROUP BY 1""")
 def tanimoto_max(spark: SparkSession, d: str) -> DataFrame:
     found = F.filter(F.transform("embedding", lambda x, i: F.when(x > 0.1, i)), lambda i: i.isNotNull())
     rows = B.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), found.alias("bits"))
-    return N.tanimoto(rows.where("id % 100 = 0"), rows.where("id % 100 <> 0")).withColumn("best", r6(F.col("best")))
+    return N.tanimoto(rows.where("id % 100 = 0"), rows).withColumn("best", r6(F.col("best")))
 
 
 def group_sizes(spark: SparkSession, d: str) -> DataFrame:
@@ -304,19 +305,23 @@ def variance_shares(spark: SparkSession, d: str) -> DataFrame:
     return out.select(r6(F.col("between")).alias("between"), r6(F.col("inside")).alias("inside"))
 
 
-@query(f"""WITH {B.PAIR_SQL}, r0 AS (SELECT drug, condition, CAST(case_count AS DOUBLE) AS v FROM sc), r1 AS (SELECT drug, condition, v - avg(v) OVER (PARTITION BY drug) AS v FROM r0), r2 AS (SELECT drug, condition, v - avg(v) OVER (PARTITION BY condition) AS v FROM r1),
-    r3 AS (SELECT drug, condition, v - avg(v) OVER (PARTITION BY drug) AS v FROM r2), r4 AS (SELECT drug, condition, v - avg(v) OVER (PARTITION BY condition) AS v FROM r3) SELECT drug, condition, round(v, 5) AS residual FROM r4""")
+#: Alternating means of the SQL; more change nothing in the places that are compared.
+SQL_ROUNDS = 12
+DEMEAN_SQL = ", ".join(f"r{k + 1} AS (SELECT drug, condition, v - avg(v) OVER (PARTITION BY {('drug', 'condition')[k % 2]}) AS v FROM r{k})" for k in range(2 * SQL_ROUNDS))
+
+
+@query(f"WITH {B.PAIR_SQL}, r0 AS (SELECT drug, condition, CAST(case_count AS DOUBLE) AS v FROM sc), {DEMEAN_SQL} SELECT drug, condition, round(v, 5) + 0 AS residual FROM r{2 * SQL_ROUNDS}")
 def two_way_demean(spark: SparkSession, d: str) -> DataFrame:
-    out = T.two_way_demean(B.scored(spark, d), "drug", "condition", "case_count", rounds=2)
-    return out.select("drug", "condition", F.round("residual", 5).alias("residual"))
+    out = T.two_way_demean(B.scored(spark, d), "drug", "condition", "case_count", rounds=200, tolerance=1e-9)
+    return out.select("drug", "condition", (F.round("residual", 5) + 0).alias("residual"))
 
 
 @query(f"""WITH {B.PAIR_SQL}, v AS (SELECT drug, avg(score) AS v, row_number() OVER (ORDER BY drug) - 1 AS at_ FROM sc GROUP BY 1), n AS (SELECT count(*) AS n FROM v),
-    p AS (SELECT b, CAST('0x' || substr(md5(concat_ws('|', b, at_, 42)), 1, 8) AS BIGINT) % n AS k FROM v, n, range(50) AS r(b)), m AS (SELECT b, avg(v) AS m FROM p JOIN v ON v.at_ = p.k GROUP BY 1)
+    p AS (SELECT b, CAST('0x' || substr(md5(concat_ws('|', b, at_, 42)), 1, 8) AS BIGINT) % n AS k FROM v, n, range(1000) AS r(b)), m AS (SELECT b, avg(v) AS m FROM p JOIN v ON v.at_ = p.k GROUP BY 1)
     SELECT round((SELECT avg(v) FROM v), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     per = B.scored(spark, d).groupBy("drug").agg(F.avg("score").alias("v"))
-    return T.bootstrap(per, "drug", "v", rounds=50).select(*[r6(F.col(c)).alias(c) for c in ("mean", "low", "high")])
+    return T.bootstrap(per, "drug", "v", rounds=1000).select(*[r6(F.col(c)).alias(c) for c in ("mean", "low", "high")])
 
 
 @query(f"""WITH {B.PAIR_SQL}, a AS (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY drug) AS i, row_number() OVER (PARTITION BY condition ORDER BY md5(drug || '42'), drug) AS j FROM sc)
@@ -337,10 +342,8 @@ def edge_swap(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {B.PAIR_SQL}, x AS (SELECT ntile(4) OVER (ORDER BY drug, condition) AS design, score FROM sc), m AS (SELECT design, avg(score) AS metric FROM x GROUP BY 1)
     SELECT CAST(design AS INT) AS design, round(metric, 6) AS metric, round(metric - lag(metric) OVER (ORDER BY design), 6) AS increment, abs(metric - lag(metric) OVER (ORDER BY design)) < 0.01 AS is_noise FROM m""")
 def ablation_increments(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    tiles = B.scored(spark, d).select(F.ntile(4).over(Window.orderBy("drug", "condition")).alias("design"), "score")
-    out = T.increments(tiles.groupBy("design").agg(F.avg("score").alias("metric")), "design", "metric")
+    designs = tiles(B.scored(spark, d), ["drug", "condition"], 4, "design").select("design", "score")
+    out = T.increments(designs.groupBy("design").agg(F.avg("score").alias("metric")), "design", "metric")
     return out.select("design", r6(F.col("metric")).alias("metric"), r6(F.col("increment")).alias("increment"), "is_noise")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..operators.ontology import step_table
+from ..sources.shared import keep
 
 MIN_PRR = 1.3  # the tables are near uniform, so that 2 leaves hardly a signal
 
@@ -66,7 +66,7 @@ PAIR_SQL = """
 
 def statistics(spark: SparkSession, d: str) -> DataFrame:
     """The pair table is kept: its margins and totals are small sums over it, not three more scans of the lines."""
-    return L.disproportionality(step_table(pair_counts(spark, d)))
+    return L.disproportionality(keep(pair_counts(spark, d)))
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:

@@ -73,7 +73,7 @@ def pair_degrees(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {B.PAIR_SQL} SELECT drug, condition, count(*) OVER (PARTITION BY drug) AS drug_degree, count(*) OVER (PARTITION BY condition) AS condition_degree FROM pc")
 def nuisance_join(spark: SparkSession, d: str) -> DataFrame:
-    pairs = B.step_table(B.pair_counts(spark, d)).select("drug", "condition")
+    pairs = B.keep(B.pair_counts(spark, d)).select("drug", "condition")
     out = J.lookup(J.lookup(pairs, L.degrees(pairs, "drug", "drug_degree"), "drug"), L.degrees(pairs, "condition", "condition_degree"), "condition")
     return out.select("drug", "condition", "drug_degree", "condition_degree")
 
@@ -126,8 +126,8 @@ def top_m_per_group(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"WITH {B.PAIR_SQL}, {B.GENE_SQL} SELECT drug, condition, count(*) AS n_genes, sum(score) AS weight FROM dg JOIN cg USING (gene) GROUP BY 1, 2")
-def gene_bridge(spark: SparkSession, d: str) -> DataFrame:
-    return J.gene_bridge(B.drug_genes(spark, d), B.condition_genes(spark, d).withColumnRenamed("score", "weight"))
+def gene_links(spark: SparkSession, d: str) -> DataFrame:
+    return J.gene_links(B.drug_genes(spark, d), B.condition_genes(spark, d).withColumnRenamed("score", "weight"))
 
 
 @query("SELECT p_type, count(*) AS n, round_even(count(*) / CAST((SELECT count(*) FROM part) AS DOUBLE), 4) AS share FROM part GROUP BY 1")

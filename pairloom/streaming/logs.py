@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.catalog import numbered
+
 EVENT = "id string, event string, ts string, label string, metric double, supersedes string, failed boolean"
 
 
@@ -28,8 +30,8 @@ def leaderboard(events: DataFrame, label: str) -> DataFrame:
     """Completed, not failed runs of a label, best metric first, with their rank."""
     begun = events.where((F.col("event") == "register") & (F.col("label") == label)).select("id", "label")
     done = events.where((F.col("event") == "complete") & ~F.coalesce("failed", F.lit(False))).select("id", "metric")
-    order = Window.orderBy(F.col("metric").desc_nulls_last(), "id")  # one row for each run
-    return begun.join(done, "id").withColumn("rank", F.row_number().over(order))
+    ranked = numbered(begun.join(done, "id"), [F.col("metric").desc_nulls_last(), F.col("id")])
+    return ranked.withColumn("rank", (F.col("row_index") + 1).cast("int")).drop("row_index")
 
 
 def score_stream(spark: SparkSession, source: str, schema: str, keys: list[str], score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
