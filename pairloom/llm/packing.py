@@ -1,9 +1,9 @@
 """Packing of token sequences by Karmarkar-Karp multiway differencing.
 
 Documents are tokenised in place, and whole windows are cut off the front of
-long ones. What is left of each document, in pieces of a quarter of a window
-at most, goes to one of many groups of bounded size. Inside a group the largest differencing method
-deals the pieces into k windows of near-equal load: two partial partitions are
+long ones; what is left is cut into pieces of a quarter of a window at most.
+Each piece goes to one of many groups of bounded size. Inside a group the
+largest differencing method deals the pieces into k windows of near-equal load: two partial partitions are
 merged so that the heavy windows of one meet the light windows of the other.
 k starts at the fewest windows that could hold the group and rises until no
 window exceeds the capacity.
@@ -25,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import small_batches
+from .storage import keep
 
 CAPACITY = 1024
-GROUP_DOCS = 1024
+#: Pieces of a group, on average.
+GROUP_PIECES = 3072
 #: What is left of a document is cut into pieces of this size at most: small pieces balance with little padding.
 TAIL_PIECE = 256
 END_ID = 0
@@ -138,7 +139,6 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     A null text is empty: its one token is the end id. ``with_ids`` adds the
     ids of a piece as little-endian unsigned 32-bit bytes.
     """
-    small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return narrow.mapInArrow(_cut(tokenizer_path, "doc_id", "text", capacity, tail_piece, with_ids), PIECES + (", ids binary" if with_ids else ""))
 
@@ -162,8 +162,8 @@ def difference(sizes: list[int], k: int) -> list[tuple[int, list[int]]]:
         if len(a) < len(b):
             a, b = b, a
         spare = k - len(a)
-        # b's lightest windows take a's empty ones' place only while there are some;
-        # its others meet a's windows, heavy with light
+        # b's heaviest windows take the places of a's empty ones while there are some;
+        # its lighter ones meet windows of a, the heaviest of these the lightest of a
         if len(b) <= spare:
             if len(b) == 1:
                 insort(a, b[0])
@@ -218,17 +218,19 @@ def _pack(capacity: int, with_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tail_piece: int = TAIL_PIECE, group_docs: int = GROUP_DOCS, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tail_piece: int = TAIL_PIECE, group_pieces: int = GROUP_PIECES, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents with their place in sequences of at most ``capacity`` tokens.
 
     Returns ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset`` (and ``ids`` if asked for). Every token is in exactly one piece.
     Documents with null ids, repeated ids or equal texts are packed like any
     others; an empty table gives no pieces. Other columns are not read.
-    Groups are dealt by a hash of id, length and content, so that neither a
-    null id nor copies of one text gather in one group.
+    The pieces are written once. A piece's group is a hash of its place in
+    that table, so neither one id, null or not, nor copies of one text gather
+    in a group, and groups are bounded in pieces, whatever the documents.
+    Rerun on the same input files, the same pieces meet.
     """
-    pieces = token_pieces(docs, tokenizer_path, id_col, text_col, capacity, tail_piece, with_ids)
-    groups = max(1, -(-docs.count() // group_docs))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "doc_tokens", F.when(F.col("doc_id").isNull(), F.col("ids_crc32"))), F.lit(groups)))
+    pieces = keep(token_pieces(docs, tokenizer_path, id_col, text_col, capacity, tail_piece, with_ids), "pieces")
+    groups = max(1, -(-pieces.count() // group_pieces))
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("_group").applyInArrow(_pack(capacity, with_ids), PACKED if not with_ids else PIECES + ", ids binary, sequence_id long, offset long")

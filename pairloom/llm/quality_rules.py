@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import small_batches
 from .textarrays import WHITE, counts, row_chunks, text_bytes, window_hashes, word_hashes, word_spans
 
 WINDOW = 8
@@ -170,7 +169,6 @@ def keep_good(docs: DataFrame, text_col: str = "text", rules: dict[str, Rule] =
     A null text has no words and is rejected as too short; repeated rows get
     equal verdicts; an empty table stays empty.
     """
-    small_batches(docs.sparkSession)
     order = order or order_rules(profile(docs, text_col, rules))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +190,6 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     failed. Nulls count as empty texts; null and repeated ids are returned as
     they are; further columns are not read.
     """
-    small_batches(docs.sparkSession)
     rest = {k: f for k, f in rules.items() if k not in BASE_RULES}
     order = order or order_rules(profile(docs, text_col, rest))
 

@@ -2,37 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from ..sources.shared import fresh, keep, shared_dir
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (tests), a local one."""
-    where = spark.conf.get("spark.checkpoint.dir", "")
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="pairloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return a reader of that table.
-
-    Unlike a cached block, the table survives the loss of any executor, and
-    later jobs neither recompute its lineage nor hold it in memory.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what one Arrow batch brings to a Python worker.
-
-    Texts may be long, so the batch is bounded in rows well below Spark's
-    default of 10,000; Spark bounds it in bytes as well.
-    """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+__all__ = ["fresh", "keep", "shared_dir"]

@@ -54,3 +54,18 @@ def test_edges(spark):
     assert sum(r.length for r in rows if r.doc_id == 5) == next(r.doc_tokens for r in rows if r.doc_id == 5)
     assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
     assert K.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_equal_rows_are_spread_over_groups(spark):
+    """Neither rows of one null id and text nor rows of one id gather in a group."""
+    docs = spark.range(6000).selectExpr("if(id < 3000, null, 7L) doc_id", "if(id % 2 = 0 or id < 3000, 'a b c', concat('t', id % 50)) text").repartition(4)
+    rows = K.pack(docs, PATH, group_pieces=200).selectExpr("doc_id", "sequence_id >> 32 g", "sequence_id", "offset")
+    sizes = {(r.doc_id, r.g): r["count"] for r in rows.groupBy("doc_id", "g").count().collect()}
+    assert len({g for _, g in sizes}) == 30 and max(sizes.values()) < 170
+    assert rows.distinct().count() == 6000
+
+
+def test_equal_lengths(spark):
+    """Ties in length are dealt one by one, to full windows."""
+    assert sorted(map(len, K.windows([256] * 40, 1024))) == [4] * 10
+    assert sorted(map(len, K.windows([300] * 9, 1024))) == [3, 3, 3]
