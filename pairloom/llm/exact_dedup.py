@@ -61,7 +61,8 @@ def merge_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         ends = np.append(np.flatnonzero(~same_as_next(batch)), batch.num_rows - 1)
         counts = np.add.reduceat(batch.column("n").to_numpy(), np.append(0, ends[:-1] + 1))
-        merged = batch.take(pa.array(ends)).set_column(batch.schema.get_field_index("n"), "n", pa.array(counts))
+        merged = batch.take(pa.array(ends))
+        merged = pa.RecordBatch.from_arrays([pa.array(counts) if f.name == "n" else merged.column(f.name) for f in batch.schema], schema=batch.schema)
         held = merged.slice(merged.num_rows - 1)
         yield merged.slice(0, merged.num_rows - 1)
     if held is not None:

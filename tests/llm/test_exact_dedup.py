@@ -27,7 +27,7 @@ def test_groups(spark):
 
 
 def test_runs_merge_across_batches():
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("length", pa.int32()), ("check", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("length", pa.int32()), ("check", pa.int64()), pa.field("n", pa.int64(), nullable=False)])
     rng = random.Random(2)
     rows = sorted((bytes([rng.randrange(9)]), i) for i in range(200))
     batches = [pa.RecordBatch.from_pylist([dict(doc_id=i, digest=d, length=1, check=0, n=1) for d, i in rows[at : at + 7]], schema=schema) for at in range(0, 200, 7)]
