@@ -133,21 +133,25 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     u, v = F.col("u"), F.col("v")
     ends = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
-    nodes = keep(ends.select("u").unionByName(ends.select(v.alias("u"))).distinct(), "nodes")
-    now = keep(ends.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = [F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
-    before, found = None, now.agg(*mark).first()
-    while before != found:
-        before = found
+    now = keep(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    alone = now.where("u = v").select("u")
+    now = now.where("u <> v")
+    while not is_star_forest(now):
         both = now.unionByName(now.select(v.alias("u"), u.alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where(v > u).select(v.alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(u.alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
         now = keep(small.where("u <> v").distinct(), "edges")
-        found = now.agg(*mark).first()
-    stars = now.groupBy("u").agg(F.min("v").alias("component"))
-    return nodes.join(stars, "u", "left").select(u.alias("node"), F.coalesce("component", "u").alias("component"))
+    rows = now.select(u.alias("node"), v.alias("component")).unionByName(now.select(v.alias("node"), v.alias("component"))).unionByName(alone.select(u.alias("node"), u.alias("component")))
+    return rows.groupBy("node").agg(F.min("component").alias("component"))
+
+
+def is_star_forest(edges: DataFrame) -> bool:
+    """Whether every edge ``u, v`` leads from a node with no other edge to a centre, which leads nowhere."""
+    per = edges.groupBy("u").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("n"))
+    inner = per.join(per.select(F.col("v").alias("u")), "u", "left_semi")
+    return per.where("n > 1").unionByName(inner).isEmpty()
 
 
 def tanimoto(queries: DataFrame, reference: DataFrame, key: str = "bits") -> DataFrame:
