@@ -1,7 +1,11 @@
 """Near duplicates: exact Jaccard join of word n-grams, light sets apart from heavy ones.
 
-A document's set holds 64-bit hashes of its distinct five-word shingles.
-Documents with one and the same set form a node, so copies meet once.
+A document's set holds 64-bit hashes of its distinct five-word shingles. The
+sets are found in one pass over the texts and written, once for each task
+that meets them; all later steps read them there. Documents with one and the
+same set form a node, so copies meet once. Sets are the same when 128 bits
+of hash are; a node is then known by 64 of them, or by other 64 where two
+nodes share these.
 
 Two linked sets of sizes n and m share at least c(n, m) shingles. A light set,
 of few shingles, enumerates its subsets of each size c that a light partner
@@ -10,13 +14,14 @@ goes to inverted lists with the first shingles of a global order, just so
 many that linked sets have one of them in common. The order puts frequent
 shingles last: their lists would be long. Where light ends is chosen by
 comparing the subsets of a size with its postings and the pairs that these
-lead to.
+lead to, as counted in the lists of the small sets.
 
 Short lists give all their pairs. In a long list every node is paired with a
 leader; what is left between the components that this makes likely is paired
 in blocks. Parity sketches drop the pairs that they prove too different. The
 others are verified on the full sets, nearest first, until none is left
-between components, so links are neither missed nor invented.
+between components. So no link is missed or invented, short of two shingles
+of one pair of sets that share a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -42,7 +47,7 @@ LARGEST_LIGHT = 16
 SHORT_LIST = 4
 #: A shingle in more lists' worth of postings than this counts as frequent ...
 FREQUENT = 32
-#: ... unless there would be more frequent shingles than this (8 bytes each go to every executor).
+#: ... unless there could be more frequent shingles than this (16 bytes each go to every executor).
 MOST_FREQUENT = 1_000_000
 LEADER_ROUNDS = 2
 #: Rounds in which a component verifies its nearest pair only.
@@ -52,10 +57,13 @@ POSTINGS_PER_BUCKET = 400_000
 SKETCH_BITS = 1024
 #: Postings carry sizes in two bytes; larger ones look alike there, and are told apart when a pair is verified.
 CLIPPED = 0xFFFF
-#: Bits of the filter that tells which documents' sets a round needs: 2 MB at most. With more nodes it lets more through, which a join then drops.
-FILTER_BITS = 1 << 24
+#: Bits of the filter that spares the join most sets of other nodes: 8 MB at most. With more than some
+#: ten million nodes it lets more through, which the join drops; at worst it moves every set once.
+FILTER_BITS = 1 << 26
+#: Bits of a hash that choose a bucket, so that there may be 16 million of them.
+BUCKET_BITS = 24
 
-NODES = "doc_id long, n int, sig long, sketch binary"
+NODES = "doc_id long, n int, sig long, check long, sketch binary, members binary"
 
 
 def common(n: int, m: int) -> int:
@@ -68,11 +76,14 @@ def prefix(n):
     return n - -(-PERCENT * n // 100) + 1
 
 
-def signature(x: np.ndarray) -> int:
-    """A 64-bit name of a set."""
+def signature(x: np.ndarray) -> tuple[int, int]:
+    """A 128-bit name of a set."""
     with np.errstate(over="ignore"):
-        y = mix(x + np.uint64(0xA0761D6478BD642F))
-        return int(mix(np.array([np.add.reduce(y) ^ (np.bitwise_xor.reduce(y) * np.uint64(len(x) * 2 + 1))], dtype=np.uint64)).view(np.int64)[0])
+        names = []
+        for salt in (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)):
+            y = mix(x + salt)
+            names.append(np.add.reduce(y) ^ (np.bitwise_xor.reduce(y) * np.uint64(len(x) * 2 + 1)))
+        return tuple(int(v) for v in mix(np.array(names, dtype=np.uint64)).view(np.int64))
 
 
 def sketch(x: np.ndarray) -> bytes:
@@ -81,30 +92,58 @@ def sketch(x: np.ndarray) -> bytes:
 
 
 def find_nodes(docs: DataFrame) -> DataFrame:
+    """One row per document; ``members`` is null where a task has met the set before (it remembers 16 bytes a set)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for part in row_chunks(batch, "text"):
-                sets = list(shingle_sets(part.column("text")))
+                sets, names, members = list(shingle_sets(part.column("text"))), [], []
+                for doc, x in zip(part.column("doc_id").to_pylist(), sets, strict=True):
+                    name = signature(x) if len(x) else (0, 0)
+                    new = len(x) and doc is not None and name not in seen
+                    if new:
+                        seen.add(name)
+                    names.append(name)
+                    members.append(x.tobytes() if new else None)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
                         pa.array([len(x) for x in sets], type=pa.int32()),
-                        pa.array([signature(x) if len(x) else 0 for x in sets], type=pa.int64()),
+                        pa.array([a for a, _ in names], type=pa.int64()),
+                        pa.array([b for _, b in names], type=pa.int64()),
                         pa.array([sketch(x) if len(x) else b"" for x in sets], type=pa.binary()),
+                        pa.array(members, type=pa.binary()),
                     ],
-                    names=["doc_id", "n", "sig", "sketch"],
+                    names=["doc_id", "n", "sig", "check", "sketch", "members"],
                 )
 
     return docs.mapInArrow(run, NODES)
 
 
+def named(rows: DataFrame) -> DataFrame:
+    """``rows`` with nodes told apart by ``sig`` alone.
+
+    Among N nodes about N * N / 2**65 pairs share a ``sig`` (three of ten
+    billion nodes), so the list of these is short; they are named anew.
+    """
+    pairs = rows.where("members is not null").select("sig", "check").distinct()
+    shared = [r[0] for r in pairs.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("sig").collect()]
+    return rows.withColumn("sig", F.when(F.col("sig").isin(shared), F.xxhash64("sig", "check")).otherwise(F.col("sig"))) if shared else rows
+
+
+def sets_in(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    for name, x in zip(batch.column("sig").to_pylist(), batch.column("members"), strict=True):
+        yield name, np.frombuffer(x.as_buffer(), dtype=np.uint64)
+
+
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return (keys & np.uint64(0xFFFF)) % np.uint64(buckets)
+    return (keys & np.uint64((1 << BUCKET_BITS) - 1)) % np.uint64(buckets)
 
 
 def count_key(keys: np.ndarray, buckets: int) -> np.ndarray:
     """32 bits of a hash behind its bucket: enough to count by, as counts only order the shingles."""
-    return (bucket_of(keys, buckets) << np.uint64(32)) | ((keys >> np.uint64(16)) & np.uint64(0xFFFFFFFF))
+    return (bucket_of(keys, buckets) << np.uint64(32)) | ((keys >> np.uint64(BUCKET_BITS)) & np.uint64(0xFFFFFFFF))
 
 
 def in_buckets(keys: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[tuple]:
@@ -118,47 +157,65 @@ def in_buckets(keys: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator
             yield (b, *(c[at].tobytes() for c in columns))
 
 
-def frequent_shingles(docs: DataFrame, buckets: int, most_postings: int) -> np.ndarray:
+def counted(n):
+    """How many first shingles of a set of ``n`` are counted, n a number or a column."""
+    return prefix(n) * 3 // 2 + 8
+
+
+def frequent_shingles(sets: DataFrame, buckets: int) -> np.ndarray:
     """Shingles with many postings, and how many each has: a structured array sorted by shingle.
 
-    Counts cover the first shingles of all documents, half again as many as a
+    Counts cover the first shingles of all sets, half again as many as a
     search needs, so that those that move up as frequent ones move back are
-    counted too. The threshold bounds the number of frequent shingles.
+    counted too. A frequent shingle has more than the threshold of these
+    postings, so there are at most ``MOST_FREQUENT``.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            for part in row_chunks(batch, "text"):
-                heads = []
-                for x in shingle_sets(part.column("text")):
-                    if len(x) and (name := signature(x)) not in seen:
-                        seen.add(name)
-                        heads.append(x[: prefix(len(x)) * 3 // 2 + 8])
-                if heads:
-                    keys = np.concatenate(heads)
-                    rows = list(in_buckets(keys, buckets, (keys >> np.uint64(16)).astype(np.uint32)))
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], type=pa.int32()), pa.array([r[1] for r in rows], type=pa.binary())], names=["bucket", "keys"])
+            heads = [x[: counted(len(x))] for _, x in sets_in(batch)]
+            if heads:
+                keys = np.concatenate(heads)
+                rows = list(in_buckets(keys, buckets, (keys >> np.uint64(BUCKET_BITS)).astype(np.uint32)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], type=pa.int32()), pa.array([r[1] for r in rows], type=pa.binary())], names=["bucket", "keys"])
 
-    least = max(FREQUENT, -(-most_postings // MOST_FREQUENT))
+    n = F.col("n")
+    some = n - F.floor((PERCENT * n + 99) / 100) + 1
+    postings = sets.agg(F.sum(F.least(n, F.floor(some * 3 / 2) + 8))).first()[0] or 0
+    least = max(FREQUENT, -(-postings // MOST_FREQUENT))
 
     def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         keys, n = np.unique(np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint32) for x in table.column("keys")]), return_counts=True)
         often = n > least
         return pa.table({"key": pa.array(keys[often].astype(np.int64) | key[0].as_py() << 32), "postings": pa.array(n[often])})
 
-    found = docs.mapInArrow(emit, "bucket int, keys binary").groupBy("bucket").applyInArrow(count, "key long, postings long")
-    rows = found.collect()  # MOST_FREQUENT at most
-    out = np.array([tuple(r) for r in rows], dtype=[("key", np.uint64), ("postings", np.int64)])
+    found = sets.select("sig", "members").mapInArrow(emit, "bucket int, keys binary").groupBy("bucket").applyInArrow(count, "key long, postings long").toArrow()
+    out = np.zeros(found.num_rows, dtype=[("key", np.uint64), ("postings", np.int64)])
+    for c in ("key", "postings"):
+        out[c] = found.column(c).to_numpy()
     return np.sort(out, order="key")
 
 
-def light_boundary(sizes: dict[int, int], pairs_a_posting: float = 1.0) -> int:
-    """The largest size up to which subsets cost no more than postings and their pairs."""
+def pairs_a_posting(sets: DataFrame) -> float:
+    """Pairs that a posting of the small sets leads to, counted in the lists of all of them."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = [x[: prefix(len(x))] for _, x in sets_in(batch)]
+            if heads:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64))], names=["key"])
+
+    small = sets.where(f"n <= {LARGEST_LIGHT}").select("sig", "members").mapInArrow(emit, "key long")
+    k = F.col("k").cast("double")
+    return small.groupBy("key").agg(F.count(F.lit(1)).alias("k")).agg(F.sum(k * (k - 1) / 2) / F.sum(k)).first()[0] or 0.0
+
+
+def light_boundary(sizes: dict[int, int], pairs: float) -> int:
+    """The largest size up to which subsets cost no more than postings and the pairs that each leads to."""
     best = 0
     for n in range(1, LARGEST_LIGHT + 1):
         subsets = sum(comb(n, c) for c in wanted(n, n))
-        if sizes.get(n, 0) and subsets > prefix(n) * (1 + pairs_a_posting):
+        if sizes.get(n, 0) and subsets > prefix(n) * (1 + pairs):
             break
         best = n
     return best
@@ -199,37 +256,33 @@ def subset_keys(x: np.ndarray, light: int) -> np.ndarray:
     return mix(np.array(keys, dtype=np.uint64))
 
 
-def emit_postings(frequent: np.ndarray, buckets: int, light: int):
+def emit_postings(frequent, buckets: int, light: int):
+    """``frequent`` is a broadcast array."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            for part in row_chunks(batch, "text"):
-                keys, names, sizes = [], [], []
-                for x in shingle_sets(part.column("text")):
-                    n = len(x)
-                    if not n or (name := signature(x)) in seen:
-                        continue
-                    seen.add(name)
-                    own = []
-                    if n <= light:
-                        own.append(subset_keys(x, light))
-                    if 100 * n >= PERCENT * (light + 1):  # a partner may be heavy
-                        own.append(head(x, frequent, buckets))
-                    count = sum(map(len, own))
-                    keys += own
-                    names.append(np.full(count, name, dtype=np.int64))
-                    sizes.append(np.full(count, min(n, CLIPPED), dtype=np.uint16))
-                if keys:
-                    keys = np.concatenate(keys)
-                    # six bytes and the bucket tell keys apart; a clash would only add a candidate
-                    short = np.ascontiguousarray((keys >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
-                    rows = list(in_buckets(keys, buckets, short, np.concatenate(names), np.concatenate(sizes)))
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], type=pa.int32())] + [pa.array([r[k] for r in rows], type=pa.binary()) for k in (1, 2, 3)], names=["bucket", "keys", "sigs", "sizes"])
+            keys, names, sizes = [], [], []
+            for name, x in sets_in(batch):
+                n, own = len(x), []
+                if n <= light:
+                    own.append(subset_keys(x, light))
+                if 100 * n >= PERCENT * (light + 1):  # a partner may be heavy
+                    own.append(head(x, frequent.value, buckets))
+                count = sum(map(len, own))
+                keys += own
+                names.append(np.full(count, name, dtype=np.int64))
+                sizes.append(np.full(count, min(n, CLIPPED), dtype=np.uint16))
+            if keys:
+                keys = np.concatenate(keys)
+                # six bytes and the bucket tell keys apart; a clash would only add a candidate
+                short = np.ascontiguousarray((keys >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
+                rows = list(in_buckets(keys, buckets, short, np.concatenate(names), np.concatenate(sizes)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], type=pa.int32())] + [pa.array([r[k] for r in rows], type=pa.binary()) for k in (1, 2, 3)], names=["bucket", "keys", "sigs", "sizes"])
 
     return run
 
 
-LISTS = "key long, a long, na int, b long, nb int"
+LISTS = "bucket int, key long, a long, na int, b long, nb int"
 
 
 def scan_lists(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -237,7 +290,7 @@ def scan_lists(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     short, names, sizes = (np.concatenate([np.frombuffer(x.as_py(), dtype=t) for x in table.column(c)]) for c, t in (("keys", np.uint8), ("sigs", np.int64), ("sizes", np.uint16)))
     keys = np.zeros((len(names), 8), dtype=np.uint8)
     keys[:, :6] = short.reshape(-1, 6)
-    keys = keys.view(np.uint64)[:, 0] | np.uint64(key[0].as_py() << 48)
+    keys = keys.view(np.uint64)[:, 0]
     order = np.lexsort((names, sizes, keys))
     keys, names, sizes = keys[order], names[order], sizes[order]
     new = np.ones(len(keys), dtype=bool)
@@ -258,6 +311,7 @@ def scan_lists(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     long = np.flatnonzero(np.repeat(length > SHORT_LIST, length))
     return pa.table(
         {
+            "bucket": pa.array(np.full(pairs.shape[1] + len(long), key[0].as_py(), dtype=np.int32)),
             "key": pa.concat_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(keys[long].view(np.int64))]),
             "a": pa.array(np.concatenate([pairs[0], names[long]])),
             "na": pa.array(np.concatenate([pairs[1], sizes[long]]).astype(np.int32)),
@@ -303,28 +357,21 @@ def filter_words(names: DataFrame) -> np.ndarray:
     return out
 
 
-def sets_of(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """``sig, members`` of the named nodes, found again from the texts."""
-    words = filter_words(names)
-    mask = np.int64(len(words) * 64 - 1)
-
-    def asked(name: int) -> bool:
-        places = (name & int(mask), (name & 0xFFFFFFFFFFFFFFFF) >> 32 & int(mask))
-        return all(int(words[p >> 6]) >> (p & 63) & 1 for p in places)
+def sets_of(sets: DataFrame, names: DataFrame) -> DataFrame:
+    """``sig, members`` of the named nodes."""
+    words = sets.sparkSession.sparkContext.broadcast(filter_words(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        bits = words.value
+        mask = np.uint64(len(bits) * 64 - 1)
         for batch in batches:
-            for part in row_chunks(batch, "text"):
-                found = []
-                for x in shingle_sets(part.column("text")):
-                    if len(x) and (name := signature(x)) not in seen and asked(name):
-                        seen.add(name)
-                        found.append((name, x.tobytes()))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], type=pa.int64()), pa.array([x[1] for x in found], type=pa.binary())], names=["sig", "members"])
+            name = batch.column("sig").to_numpy().view(np.uint64)
+            asked = np.ones(len(name), dtype=bool)
+            for at in (name & mask, name >> np.uint64(32) & mask):
+                asked &= (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+            yield batch.filter(pa.array(asked))
 
-    return docs.mapInArrow(run, "sig long, members binary").join(names, "sig", "left_semi").dropDuplicates(["sig"])
+    return sets.select("sig", "members").mapInArrow(run, "sig long, members binary").join(names, "sig", "left_semi").dropDuplicates(["sig"])
 
 
 def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,22 +494,22 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = keep(find_nodes(docs), "nodes")
+    rows = named(keep(find_nodes(docs), "sets"))
+    sets = rows.where("members is not null").select("sig", "n", "members")
     nodes = rows.where("doc_id is not null and n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = keep(nodes, "nodes")
-    total = rows.agg(F.sum(F.floor(F.col("n") / 5) + 1)).first()[0] or 0
+    total = sets.agg(F.sum(F.floor(F.col("n") / 5) + 1)).first()[0] or 0
     sizes = {r.n: r["count"] for r in nodes.where(f"n <= {LARGEST_LIGHT}").groupBy("n").count().collect()}
-    buckets = max(1, min(0xFFFF, -(-total // POSTINGS_PER_BUCKET)))
-    known = docs.where("doc_id is not null")
-    frequent = frequent_shingles(known, buckets, total)
-    light = light_boundary(sizes)
-    lists = known.mapInArrow(emit_postings(frequent, buckets, light), "bucket int, keys binary, sigs binary, sizes binary")
+    buckets = max(1, min(1 << BUCKET_BITS, -(-total // POSTINGS_PER_BUCKET)))
+    frequent = spark.sparkContext.broadcast(frequent_shingles(sets, buckets))
+    light = light_boundary(sizes, pairs_a_posting(sets))
+    lists = sets.select("sig", "members").mapInArrow(emit_postings(frequent, buckets, light), "bucket int, keys binary, sigs binary, sizes binary")
     lists = keep(lists.groupBy("bucket").applyInArrow(scan_lists, LISTS), "lists")
 
     sketches = nodes.select("sig", "n", "sketch")
-    members = lists.where("key is not null").select("key", F.col("a").alias("sig"), F.col("na").alias("n"))
+    members = lists.where("key is not null").select(F.struct("bucket", "key").alias("key"), F.col("a").alias("sig"), F.col("na").alias("n"))
     members = keep(members.join(members.groupBy("sig").agg(F.count(F.lit(1)).alias("lists")), "sig"), "members")
-    # What sketches leave possible is settled first, so that one more pass over the texts finds the sets.
+    # What sketches leave possible is settled first, so that one pass over the sets finds those that it takes.
     pairs = keep(plausible(ordered_pairs(lists.where("key is null"), "a", "b").unionByName(leader_pairs(members, None, 0)).distinct(), sketches), "pairs")
     likely = components(pairs)
     for turn in range(1, LEADER_ROUNDS):
@@ -472,16 +519,16 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         pairs = pairs.unionByName(more).dropDuplicates(["a", "b"])
         likely = components(more, likely)
     pairs = keep(pairs.unionByName(rest_pairs(members, likely, sketches)).dropDuplicates(["a", "b"]), "pairs")
-    sets = keep(sets_of(known, pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()), "members")
+    sets = keep(sets_of(sets, pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()), "members")
     labels = verified_labels(pairs, sets)
     # Members of one list that only seemed to be in one component; their sets are known.
     missed = keep(rest_pairs(members, labels, sketches).join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not missed.isEmpty():
         labels = verified_labels(missed, sets, labels)
 
-    named = nodes.join(labels, nodes.sig == labels.node, "left").select("sig", "rep", F.coalesce("label", "sig").alias("label"))
-    least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    found = named.join(least, "label").select("sig", "component_id")
+    belongs = nodes.join(labels, nodes.sig == labels.node, "left").select("sig", "rep", F.coalesce("label", "sig").alias("label"))
+    least = belongs.groupBy("label").agg(F.min("rep").alias("component_id"))
+    found = belongs.join(least, "label").select("sig", "component_id")
     inked = rows.where("doc_id is not null and n > 0").select("doc_id", "n", "sig").join(found, "sig").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     bare = rows.where("doc_id is null or n = 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return inked.unionByName(bare)

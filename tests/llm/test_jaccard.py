@@ -90,6 +90,33 @@ def test_edges(spark):
     assert got == [(0, 1, 0), (0, 1, 0), (2, 1, 2), (3, 1, 3), (3, 1, 3)]
 
 
+def test_light_half_finds_links(spark, monkeypatch):
+    """Many short texts with most shingles in common make lists dear, so that sets of more than five are light and link by subsets."""
+    rng = random.Random(8)
+    rows = []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(12)]
+        for i in range(60):
+            text = base[: rng.randint(9, 12)]
+            text[-1 if i % 2 else 0] = f"u{g}.{i % 20}"
+            rows.append((len(rows), " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = J.find_nodes(docs).where("members is not null")
+    assert J.pairs_a_posting(sets) > 5
+    chosen = []
+    boundary = J.light_boundary
+    monkeypatch.setattr(J, "light_boundary", lambda *a: chosen.append(boundary(*a)) or chosen[-1])
+    agrees(spark, rows)
+    assert chosen[0] > 5
+
+
+def test_nodes_that_share_a_name(spark):
+    rows = [(1, 10, 1), (2, 10, 2), (3, 11, 1), (4, 10, 1)]
+    got = J.named(spark.createDataFrame([(*r, b"") for r in rows], "doc_id long, sig long, check long, members binary")).collect()
+    name = {r.doc_id: r.sig for r in got}
+    assert name[1] == name[4] != name[2] and name[3] == 11 and len(set(name.values())) == 3
+
+
 def test_boundary_by_cost():
     assert J.light_boundary({n: 9 for n in range(20)}, 1.0) < J.light_boundary({n: 9 for n in range(20)}, 50.0)
     assert J.wanted(4, 16) == [4] and J.wanted(9, 16) == [8, 9]
