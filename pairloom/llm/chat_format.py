@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import keep
+
 #: Turns of a chunk of a running sum, and of a rendered part.
 CHUNK = 256
 #: Bits of one lane of the rolling hash: sums of 2**22 turns fit a long.
@@ -43,10 +45,12 @@ def turns(chats: DataFrame) -> DataFrame:
     """``conv_id, place, role, text`` and the rolling hash up to each turn; places count from 1.
 
     Turns are ordered by ``turn`` (null first), then role and text; rows that
-    repeat all four columns are one turn.
+    repeat all four columns are one turn. Turns without a number
+    go to chunks by role and the first bits of the hash that orders them.
     """
     rows = chats.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    rows = rows.withColumn("_chunk", F.floor(F.col("turn") / CHUNK))
+    # a struct of what the order begins with
+    rows = rows.withColumn("_chunk", F.struct(F.floor(F.col("turn") / CHUNK).alias("a"), F.when(F.col("turn").isNull(), F.col("role")).alias("b"), F.when(F.col("turn").isNull(), F.shiftright(F.xxhash64("text"), 54)).alias("c")))
     order = [F.col("turn"), F.col("role"), F.xxhash64("text"), F.col("text")]
     placed = running(rows, "conv_id", "_chunk", order, {"place": F.lit(1).cast("long")})
     lanes = {name: lane(k, F.col("place"), F.col("role"), F.col("text")) for k, name in enumerate(LANES)}
@@ -69,9 +73,9 @@ def render(chats: DataFrame) -> DataFrame:
     Part k holds turns 256 k + 1 and on; the parts of a conversation, one
     after the other, are its text. A null role or text is empty; turns with a
     null conversation id are one conversation; other columns are not read; an
-    empty table gives no rows.
+    empty table gives no rows. Texts are rendered whole, however long.
     """
-    rolled = turns(chats)
+    rolled = keep(turns(chats), "turns")  # read four times below
     kept = maximal(rolled).withColumnRenamed("conv_id", "_kept")
     left, middle, right = (F.lit(x) for x in TEMPLATE)
     shown = F.concat(left, F.col("role"), middle, F.col("text"), right)

@@ -4,13 +4,15 @@ A rule looks at whole texts and rejects some. Its cost and selectivity are
 estimated on a bounded sample; rules are then ordered by rejections per
 second, and each rule sees only what the rules before it have let through. A
 document is kept when no rule rejects it, so the order decides the work, never
-the verdict.
+the verdict. What a rule has measured (words, lines, symbols) the rules after
+it find measured, each for the texts that are left.
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from functools import cached_property, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,7 @@ from .textarrays import WHITE, counts, row_chunks, text_bytes, window_hashes, wo
 
 WINDOW = 8
 MIN_WORDS = 20
+#: Texts of the sample, which come from all partitions; with the bound on their length it is 26 MB at most.
 SAMPLE_ROWS = 256
 #: Sampled texts are shorter than this; it bears on the order of the rules alone.
 SAMPLE_CHARS = 100_000
@@ -36,50 +39,74 @@ FIRST_BYTE[128:192] = False
 INK_CHAR = FIRST_BYTE & ~WHITE
 
 
+def measured(f: Callable[[Texts], np.ndarray]) -> Callable[[Texts], np.ndarray]:
+    """A figure of each text, found once; texts taken from others take their figures along."""
+
+    @wraps(f)
+    def found(t: Texts) -> np.ndarray:
+        if f.__name__ not in t.known:
+            t.known[f.__name__] = f(t)
+        return t.known[f.__name__]
+
+    return found
+
+
 class Texts:
-    """The texts of one slice of a batch, with what rules share found at most once."""
+    """The texts of one slice of a batch, with what has been measured of them."""
 
-    def __init__(self, column: pa.Array):
-        self.data, self.offsets = text_bytes(column)
-        self._spans = None
+    def __init__(self, column: pa.Array, known: dict[str, np.ndarray] | None = None):
+        self.column, self.known = column, known or {}
 
-    @property
-    def spans(self):
-        if self._spans is None:
-            self._spans = word_spans(self.data, self.offsets)
-        return self._spans
+    def __len__(self) -> int:
+        return len(self.column)
 
-    def each(self) -> Iterator[np.ndarray]:
-        for lo, hi in zip(self.offsets[:-1], self.offsets[1:], strict=True):
-            yield self.data[lo:hi]
+    def take(self, at: np.ndarray) -> Texts:
+        return Texts(self.column.take(pa.array(at)), {k: v[at] for k, v in self.known.items()})
 
+    @cached_property
+    def bytes(self) -> tuple[np.ndarray, np.ndarray]:
+        return text_bytes(self.column)
 
+    @cached_property
+    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return word_spans(*self.bytes)
+
+    def count(self, flags: np.ndarray) -> np.ndarray:
+        data, offsets = self.bytes
+        return counts(flags[data], offsets)
+
+
+@measured
 def n_words(t: Texts) -> np.ndarray:
     return np.diff(t.spans[2]).astype(np.int64)
 
 
+@measured
 def word_chars(t: Texts) -> np.ndarray:
-    return counts(INK_CHAR[t.data], t.offsets)
+    return t.count(INK_CHAR)
 
 
+@measured
 def n_symbols(t: Texts) -> np.ndarray:
-    return counts(SYMBOL[t.data], t.offsets)
+    return t.count(SYMBOL)
 
 
-def line_counts(t: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Lines with a word, and those of them that equal an earlier line."""
-    lines, copies = [], []
-    for raw in t.each():
-        inked = [x for x in raw.tobytes().split(b"\n") if x.strip()]
-        lines.append(len(inked))
-        copies.append(len(inked) - len(set(inked)))
-    return np.array(lines, dtype=np.int64), np.array(copies, dtype=np.int64)
+@measured
+def line_counts(t: Texts) -> np.ndarray:
+    """Lines with a word, and those of them that equal an earlier line, as two columns."""
+    data, offsets = t.bytes
+    out = np.zeros((len(t), 2), dtype=np.int64)
+    for i, (lo, hi) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+        inked = [x for x in data[lo:hi].tobytes().split(b"\n") if x.strip()]
+        out[i] = len(inked), len(inked) - len(set(inked))
+    return out
 
 
+@measured
 def n_repeat_words(t: Texts) -> np.ndarray:
     """Words inside windows of eight words that occur twice or more in their text, the first occurrence included."""
     starts, ends, first = t.spans
-    words = word_hashes(t.data, starts, ends)
+    words = word_hashes(t.bytes[0], starts, ends)
     out = np.zeros(len(first) - 1, dtype=np.int64)
     for i, (lo, hi) in enumerate(zip(first[:-1], first[1:], strict=True)):
         windows = window_hashes(words[lo:hi], WINDOW)
@@ -117,13 +144,13 @@ def odd_words(t: Texts) -> np.ndarray:
 
 def copied_lines(t: Texts) -> np.ndarray:
     """More than half of the lines repeat an earlier one."""
-    lines, copies = line_counts(t)
+    lines, copies = line_counts(t).T
     return 2 * copies > lines
 
 
 def shouting(t: Texts) -> np.ndarray:
     """More than six of ten unaccented letters in upper case."""
-    return 10 * counts(UPPER[t.data], t.offsets) > 6 * counts(LETTER[t.data], t.offsets)
+    return 10 * t.count(UPPER) > 6 * t.count(LETTER)
 
 
 Rule = Callable[[Texts], np.ndarray]
@@ -132,11 +159,12 @@ BASE_RULES = ("too_short", "repetitive")
 
 
 def profile(docs: DataFrame, text_col: str = "text", rules: dict[str, Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, int, int, float]]:
-    """``(rule, documents, rejected, seconds)`` on the first ``sample_rows`` texts that Spark comes across.
+    """``(rule, documents, rejected, seconds)`` on a uniform sample of ``sample_rows`` texts.
 
-    ``take`` reads as few partitions as it needs, at any size of the input.
+    Each partition offers its ``sample_rows`` texts of lowest random number,
+    and the lowest of all are taken.
     """
-    rows = docs.select(F.col(text_col).alias("text")).where(F.length("text") < SAMPLE_CHARS).take(sample_rows)
+    rows = docs.select(F.col(text_col).alias("text")).where(F.length("text") < SAMPLE_CHARS).orderBy(F.rand(42)).take(sample_rows)
     column = pa.array([r[0] for r in rows], type=pa.string())
     out = []
     for name, rule in rules.items():
@@ -151,14 +179,16 @@ def order_rules(profiled: list[tuple[str, int, int, float]]) -> list[str]:
     return [name for name, _, _, _ in sorted(profiled, key=lambda r: (-r[2] / max(r[3], 1e-9), r[3], r[0]))]
 
 
-def passes(column: pa.Array, order: list[str], rules: dict[str, Rule]) -> np.ndarray:
+def passes(texts: Texts, order: list[str], rules: dict[str, Rule]) -> np.ndarray:
     """Whether each text passes all rules; a text is not looked at again once it is rejected."""
-    alive = np.arange(len(column))
+    alive, left = np.arange(len(texts)), texts
     for name in order:
         if not len(alive):
             break
-        alive = alive[~rules[name](Texts(column.take(pa.array(alive))))]
-    kept = np.zeros(len(column), dtype=bool)
+        passed = ~rules[name](left)
+        if not passed.all():
+            alive, left = alive[passed], left.take(np.flatnonzero(passed))
+    kept = np.zeros(len(texts), dtype=bool)
     kept[alive] = True
     return kept
 
@@ -174,7 +204,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", rules: dict[str, Rule] =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in row_chunks(batch, text_col):
-                yield part.filter(pa.array(passes(part.column(text_col), order, rules)))
+                yield part.filter(pa.array(passes(Texts(part.column(text_col)), order, rules)))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -196,14 +226,14 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in row_chunks(batch, "text"):
-                column = part.column("text")
-                t = Texts(column)
+                t = Texts(part.column("text"))
                 words, repeats = n_words(t), n_repeat_words(t)
+                base = [words, word_chars(t), n_symbols(t), line_counts(t)[:, 1].copy(), repeats]
                 failed = (words < MIN_WORDS) | (100 * repeats > 30 * words)
                 kept = np.zeros(len(words), dtype=bool)
                 left = np.flatnonzero(~failed)
-                kept[left] = passes(column.take(pa.array(left)), order, rest)
-                columns = [words, word_chars(t), n_symbols(t), line_counts(t)[1], repeats, failed, kept]
+                kept[left] = passes(t.take(left), order, rest)
+                columns = [*base, failed, kept]
                 names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, columns)], names=["doc_id", *names])
 

@@ -75,6 +75,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "source", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
+def host_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the host of a page's address, over the lines of raw pages."""
+    pages = table(spark, sf_dir, "pages")
+    kept = line_dedup.drop_boilerplate(pages, "html", url_filter.host(F.col("url")))
+    return kept.select("page_id", "n_lines", "n_dropped", F.sha2("html", 256).alias("html_sha256"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
@@ -112,6 +119,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_chat_format": op6_chat_format,
     "op7_line_dedup": op7_line_dedup,
+    "host_line_dedup": host_line_dedup,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_secret_scan": op9_secret_scan,
     "op10_packing": op10_packing,
@@ -203,5 +211,16 @@ ORACLES = {
         SELECT doc_id, source, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS text_sha256
         FROM m GROUP BY doc_id, source""",
+    "host_line_dedup": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, nullif(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '[.]$', ''), '') AS host FROM pages),
+        l AS (SELECT page_id, host, generate_subscripts(string_split(html, chr(10)), 1) AS i, unnest(string_split(html, chr(10))) AS line FROM p),
+        k AS (SELECT *, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS inked FROM l),
+        c AS (SELECT host, inked, count(DISTINCT page_id) AS pages FROM k WHERE inked <> '' GROUP BY ALL),
+        t AS (SELECT host, count(*) AS total FROM p GROUP BY host),
+        b AS (SELECT c.host, inked FROM c JOIN t ON c.host IS NOT DISTINCT FROM t.host WHERE pages >= 5 AND pages > total * CAST(0.02 AS DOUBLE)),
+        m AS (SELECT k.*, b.inked IS NOT NULL AS gone FROM k LEFT JOIN b ON k.host IS NOT DISTINCT FROM b.host AND k.inked = b.inked)
+        SELECT page_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS html_sha256
+        FROM m GROUP BY page_id""",
     "op9_secret_scan": _secret_sql(),
 }

@@ -1,10 +1,13 @@
 """Secret scans through a trigram inverted index.
 
 Each rule's regular expression yields a Boolean query over trigrams that any
-match must contain. The trigrams of all queries are indexed: a posting is a
-trigram and a document that holds it. A document whose postings satisfy a
-rule's query is a candidate, and the expression then runs on candidates
-alone. A rule without mandatory trigrams runs on every document.
+match must contain. One pass over the texts makes the index: for each of the
+queries' trigrams and each bucket of documents the posting list of those that
+hold it. A query is answered bucket by bucket, by intersecting posting lists
+and uniting the results of alternatives. The expression then runs on these
+candidates alone, in a second pass in which texts stay where they are while
+the candidates are few enough to be sent to them. A rule without mandatory
+trigrams runs on every document.
 
 All of it is DataFrame and SQL functions; the queries are derived from the
 expressions once, on the driver, when the plan is made.
@@ -20,6 +23,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .mixing import let
+from .storage import keep
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -42,6 +48,14 @@ RULES = (
 
 #: Alternatives that the derivation spells out before it gives up on a stretch.
 MOST_STRINGS = 32
+#: Trigrams of an alternative that are looked up, the ones that most alternatives have first; of many alternatives one each.
+LOOKED_UP, FEW = 2, 4
+#: Postings of a bucket, on average.
+BUCKET_POSTINGS = 65_536
+#: Candidates are sent to every task up to this many (about 40 MB); beyond, documents and candidates are joined by key.
+SENT_ROWS = 400_000
+#: Matches whose places are summed up before those of the next are.
+CHUNK = 256
 
 #: A query: all of its clauses hold; a clause: one of its sets of trigrams is present as a whole.
 Query = list[frozenset]
@@ -56,6 +70,16 @@ def clause(strings: set[str]) -> Query:
     return [] if frozenset() in options else [frozenset(options)]
 
 
+def thinned(query: Query) -> Query:
+    """A weaker query over fewer trigrams: it lets more documents through and misses none."""
+    out = []
+    for options in query:
+        often = {t: sum(t in o for o in options) for o in options for t in o}
+        most = LOOKED_UP if len(options) <= FEW else 1
+        out.append(frozenset(frozenset(sorted(o, key=lambda t: (-often[t], t))[:most]) for o in options))
+    return out
+
+
 def derive(pattern: str) -> Query:
     """The trigram query of a regular expression, in lower case; empty if it has no mandatory trigram."""
     query, open_ends = walk(re._parser.parse(pattern))
@@ -118,28 +142,41 @@ def walk(nodes) -> tuple[Query, set[str]]:
     return query, ends
 
 
-def row_key(id_col: str, text: Column) -> dict[str, Column]:
+def row_key(id_col: str, text: Column) -> Column:
     """128 bits that name an id and text, never null; rows that repeat both share it."""
-    return {"_k1": F.xxhash64(F.lit(1), F.col(id_col), text), "_k2": F.xxhash64(F.lit(2), text, F.col(id_col))}
+    halves = (F.xxhash64(F.lit(1), F.col(id_col), text), F.xxhash64(F.lit(2), text, F.col(id_col)))
+    return F.concat(*[F.lpad(F.hex(h), 16, "0") for h in halves])
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str, wanted: list[str]) -> DataFrame:
-    """``trigram, _k1, _k2``: the inverted index of the wanted trigrams over lower-case texts."""
+def inverted_index(docs: DataFrame, id_col: str, text_col: str, wanted: list[str]) -> DataFrame:
+    """``bucket, trigram, postings``: the documents, by key, whose lower-case text holds the trigram."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lowered = docs.select(*[c.alias(k) for k, c in row_key(id_col, text).items()], F.lower(text).alias("_low"))
+    lowered = docs.select(row_key(id_col, text).alias("_key"), F.lower(text).alias("_low"))
     held = F.filter(F.array(*[F.when(F.contains("_low", F.lit(t)), F.lit(t)) for t in wanted]), lambda t: t.isNotNull())
-    return lowered.select("_k1", "_k2", F.explode(held).alias("trigram"))
+    postings = keep(lowered.select("_key", F.explode(held).alias("trigram")), "postings")
+    buckets = max(1, -(-postings.count() // BUCKET_POSTINGS))
+    return postings.groupBy(F.pmod(F.xxhash64("_key"), F.lit(buckets)).alias("bucket"), "trigram").agg(F.collect_set("_key").alias("postings"))
 
 
 def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
-    """``_k1, _k2, kinds``: documents whose postings satisfy the query of one rule or more."""
-    have = index.groupBy("_k1", "_k2").agg(F.collect_set("trigram").alias("have"))
+    """``_key, kinds``: documents that the posting lists leave for one rule or more."""
+    none = F.array().cast("array<string>")
 
-    def holds(query: Query) -> Column:
-        return reduce(Column.__and__, [reduce(Column.__or__, [F.size(F.array_intersect("have", F.array(*map(F.lit, sorted(s))))) == len(s) for s in sorted(c, key=sorted)]) for c in query])
+    def found(lists: Column, query: Query) -> Column:
+        clauses = []
+        for options in query:
+            each = [reduce(F.array_intersect, [F.coalesce(F.try_element_at(lists, F.lit(t)), none) for t in sorted(o)]) for o in sorted(options, key=sorted)]
+            clauses.append(reduce(F.array_union, each))
+        return reduce(F.array_intersect, clauses)
 
-    kinds = F.filter(F.array(*[F.when(holds(q), F.lit(k)) for k, q in queries.items()]), lambda k: k.isNotNull())
-    return have.select("_k1", "_k2", kinds.alias("kinds")).where(F.size("kinds") > 0)
+    lists = index.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "postings"))).alias("lists"))
+
+    def tagged(kind: str, query: Query) -> Column:
+        return F.transform(found(F.col("lists"), query), lambda k: F.struct(k.alias("_key"), F.lit(kind).alias("kind")))
+
+    hits = [tagged(kind, q) for kind, q in queries.items()]
+    pairs = lists.select(F.explode(F.concat(*hits)).alias("x")).select("x._key", "x.kind")
+    return pairs.groupBy("_key").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
 
 
 SPAN = "struct<start:int,rank:int,end:int,kind:string,base:boolean>"
@@ -149,20 +186,37 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     """Spans of a rule's matches in code points, leftmost and without overlap; short ones are dropped.
 
     The pieces between the matches and the matches themselves add up to the
-    text, so running lengths give the places.
+    text, so running lengths give the places. They are summed in chunks, so
+    that a text of very many matches takes no more than time in proportion.
     """
-    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    parts = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), found.alias("hit"), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)).alias("part"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    none = F.array().cast(f"array<{SPAN}>")
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["hit"])
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"), F.lit(rule.base).alias("base"))
-        out = F.when(F.length(x["part"]) >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), out.alias("out")))
+    def piece(gap: Column, hit: Column) -> Column:
+        part = F.regexp_extract(hit, rule.pattern, rule.group) if rule.group else hit
+        return F.struct(F.length(gap).alias("gap"), F.length(hit).alias("n"), (F.length(part) >= rule.least).alias("good"))
 
-    return F.when(F.rlike(text, F.lit(rule.pattern)), F.aggregate(parts, start, step)["out"]).otherwise(F.array().cast(f"array<{SPAN}>"))
+    def inside(chunk: Column, begin: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            start = acc["at"] + x["gap"]
+            span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + x["n"]).alias("end"), F.lit(rule.kind).alias("kind"), F.lit(rule.base).alias("base"))
+            return F.struct((start + x["n"]).alias("at"), F.when(x["good"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(chunk, F.struct(begin.alias("at"), none.alias("out")), step)["out"]
+
+    def placed(chunks: Column) -> Column:
+        lengths = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x["gap"] + x["n"]))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        starts = F.aggregate(lengths, start, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")))["all"]
+        return F.flatten(F.zip_with(chunks, starts, inside))
+
+    def chunked(pieces: Column) -> Column:
+        return let(F.transform(F.sequence(F.lit(1), F.size(pieces), F.lit(CHUNK)), lambda i: F.slice(pieces, i, F.lit(CHUNK))), placed)
+
+    def matched(hits: Column) -> Column:
+        gaps = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(hits))
+        return F.when(F.size(hits) == 0, none).otherwise(let(F.zip_with(gaps, hits, piece), chunked))
+
+    return let(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), matched)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -172,19 +226,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     row by row; an empty table gives no rows; other columns are not read.
     Whole texts are scanned, however long.
     """
-    queries = {r.kind: derive(r.pattern) for r in rules}
+    queries = {r.kind: thinned(derive(r.pattern)) for r in rules}
     queries = {k: q for k, q in queries.items() if q}
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"), *[c.alias(k) for k, c in row_key(id_col, text).items()])
-    full = [spans_of(F.col("_text"), r, i) for i, r in enumerate(rules) if r.kind not in queries]
-    rows = keyed.select("doc_id", "_k1", "_k2", F.concat(*full, F.array().cast(f"array<{SPAN}>")).alias("_full"))
-
-    wanted = sorted({t for q in queries.values() for c in q for s in c for t in s})
-    likely = candidates(postings(docs, id_col, text_col, wanted), queries)
+    keyed = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"), row_key(id_col, text).alias("_key"))
     none = F.array().cast(f"array<{SPAN}>")
-    checked = [F.when(F.array_contains("kinds", r.kind), spans_of(F.col("_text"), r, i)).otherwise(none) for i, r in enumerate(rules) if r.kind in queries]
-    found = keyed.join(likely, ["_k1", "_k2"]).select("_k1", "_k2", F.concat(*checked, none).alias("_found")).where(F.size("_found") > 0).dropDuplicates(["_k1", "_k2"])
-    return rows.join(found, ["_k1", "_k2"], "left").select("doc_id", F.sort_array(F.concat("_full", F.coalesce("_found", none))).alias("spans"))
+    asked = F.coalesce("kinds", F.array().cast("array<string>"))
+    if queries:
+        wanted = sorted({t for q in queries.values() for c in q for s in c for t in s})
+        likely = keep(candidates(inverted_index(docs, id_col, text_col, wanted), queries), "candidates")
+        keyed = keyed.join(F.broadcast(likely) if likely.count() <= SENT_ROWS else likely, "_key", "left")
+    found = [spans_of(F.col("_text"), r, i) if r.kind not in queries else F.when(F.array_contains(asked, r.kind), spans_of(F.col("_text"), r, i)).otherwise(none) for i, r in enumerate(rules)]
+    return keyed.select("doc_id", F.sort_array(F.concat(*found, none)).alias("spans"))
 
 
 def digest(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

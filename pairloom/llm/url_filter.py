@@ -3,7 +3,12 @@
 A list is a log of dated entries: from a day on, a host, site or address
 prefix is listed, or no longer is. The entries of a key become validity
 intervals, and each capture is matched, as of the time it was fetched, with
-the interval of each of its keys that was open then.
+the interval of each of its keys that was open then. An interval that no
+removal ends is open for ever.
+
+A key may be that of a third of all captures (a top-level domain is). The
+captures of such a key are dealt over blocks, and the key's intervals go to
+each block.
 """
 
 from __future__ import annotations
@@ -11,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Captures of a listed key that make a block.
+CAPTURES_A_BLOCK = 1_000_000
 
 
 def host(url: Column) -> Column:
@@ -49,30 +56,33 @@ def intervals(entries: DataFrame) -> DataFrame:
     return turns.withColumn("until", F.lead("day").over(order)).where("off = 0").select("list", "key", F.col("day").alias("since"), "until")
 
 
-def matches(captures: DataFrame, entries: DataFrame, id_col: str, url_col: str, time_col: str) -> DataFrame:
-    """``id, list, key, since, until``: the listed keys of every capture that were active when it was fetched."""
-    seen = captures.select(F.col(id_col).alias("id"), F.to_date(time_col).alias("day"), F.explode(F.array_distinct(keys(F.col(url_col)))).alias("key"))
-    last = F.coalesce(F.col("until"), F.greatest(F.current_date(), F.lit("2100-01-01").cast("date")))
-    return (
-        seen.where("day is not null")
-        .join(intervals(entries), "key")
-        .where((F.col("day") >= F.col("since")) & (F.col("day") < last))
-        .select("id", "list", "key", "since", "until")
-    )
+def matches(captures: DataFrame, entries: DataFrame, ids: list[str], url_col: str, time_col: str, block_rows: int = CAPTURES_A_BLOCK) -> DataFrame:
+    """``*ids, list, key, since, until``: the listed keys of every capture that were active when it was fetched."""
+    seen = captures.select(*ids, F.to_date(time_col).alias("day"), F.explode(F.array_distinct(keys(F.col(url_col)))).alias("key")).where("day is not null")
+    listed = intervals(entries)
+    # One hub at most for block_rows keys of captures: 80,000 for ten billion captures of eight keys, so it is sent to every task.
+    hubs = seen.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_blocks")).where("_blocks > 1")
+    hubs = F.broadcast(hubs.join(listed.select("key").distinct(), "key", "left_semi"))
+    blocks = F.coalesce("_blocks", F.lit(1))
+    spread = listed.join(hubs, "key", "left").withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("_blocks")
+    dealt = seen.join(hubs, "key", "left").withColumn("_block", F.pmod(F.xxhash64(*ids), blocks).cast("int")).drop("_blocks")
+    found = dealt.join(spread, ["key", "_block"])
+    return found.where((F.col("day") >= F.col("since")) & (F.col("until").isNull() | (F.col("day") < F.col("until")))).select(*ids, "list", "key", "since", "until")
 
 
-def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched") -> DataFrame:
+def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched", block_rows: int = CAPTURES_A_BLOCK) -> DataFrame:
     """One row per capture: ``id, url, fetched, allowed, n_matches, lists``.
 
     ``lists`` names the lists that covered it, sorted and joined by commas
     (empty if none). An address without host, a null address or a null time
-    matches nothing and is allowed. Rows that repeat an id are reported one
-    by one and share its matches. Other columns are not read.
+    matches nothing and is allowed. Rows that repeat id, address and time are
+    reported one by one and share their matches; captures are told apart by
+    128 bits of hash of the three. Addresses are read whole, however long.
+    Other columns are not read; an empty table gives no rows.
     """
-    row = F.xxhash64(F.col(id_col), F.col(url_col), F.col(time_col))
-    numbered = captures.select(row.alias("_row"), F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).alias("fetched"))
-    distinct = numbered.dropDuplicates(["_row"])
-    found = matches(distinct, entries, "_row", "url", "fetched")
-    per_row = found.groupBy("id").agg(F.count(F.lit(1)).alias("n_matches"), F.array_join(F.sort_array(F.collect_set("list")), ",").alias("lists")).withColumnRenamed("id", "_row")
-    joined = numbered.join(per_row, "_row", "left")
+    name = {"_a": F.xxhash64(F.lit(1), F.col(id_col), F.col(url_col), F.col(time_col)), "_b": F.xxhash64(F.lit(2), F.col(time_col), F.col(url_col), F.col(id_col))}
+    rows = captures.select(*[c.alias(k) for k, c in name.items()], F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).alias("fetched"))
+    found = matches(rows.select("_a", "_b", "url", "fetched").dropDuplicates(["_a", "_b"]), entries, ["_a", "_b"], "url", "fetched", block_rows)
+    per_row = found.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("n_matches"), F.array_join(F.sort_array(F.collect_set("list")), ",").alias("lists"))
+    joined = rows.join(per_row, ["_a", "_b"], "left")
     return joined.select("id", "url", "fetched", F.col("n_matches").isNull().alias("allowed"), F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"), F.coalesce("lists", F.lit("")).alias("lists"))

@@ -1,5 +1,7 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from pairloom.llm import chat_format as C
 from pairloom.llm import line_dedup as L
 from pairloom.llm import url_filter as U
@@ -19,6 +21,25 @@ def test_boilerplate_lines(spark):
     assert all(r.n_dropped == 0 for r in L.drop_boilerplate(docs, ratio=0.5).collect())
 
 
+def test_sites_by_host_and_clashing_names(spark):
+    names = ["_site", "_lines", "_after", "_BEFORE", "a.b"]
+    rows = [(i, f"http://h{i % 2}.com/{i}", "top\nx%d" % i, *[f"{c}{i}" for c in names]) for i in range(12)]
+    docs = spark.createDataFrame(rows, ["doc_id", "url", "text", *names])
+    out = L.drop_boilerplate(docs, "text", U.host(F.col("url")), ratio=0.5)
+    assert out.columns == ["doc_id", "url", *names, "text", "n_lines", "n_dropped"]
+    for r in out.collect():
+        assert r.text == f"x{r.doc_id}" and [r[c] for c in names] == [f"{c}{r.doc_id}" for c in names]
+
+
+def test_hot_key_is_dealt_over_blocks_and_open_intervals_never_end(spark):
+    far = dt.date(9999, 1, 1)
+    entries = spark.createDataFrame([("l", "com", dt.date(2024, 1, 1), "add"), ("m", "b.com", dt.date(2024, 1, 1), "add")], "list string, key string, day date, action string")
+    captures = spark.createDataFrame([(i, "http://%s.com/%s" % ("b" if i % 3 else "c", "p/" * (i % 50 * 40)), far) for i in range(200)], "page_id long, url string, fetched date")
+    whole = sorted(map(tuple, U.filter_urls(captures, entries).collect()))
+    assert sorted(map(tuple, U.filter_urls(captures, entries, block_rows=7).collect())) == whole
+    assert all(r[4] == (2 if r[0] % 3 else 1) for r in whole)
+
+
 def listed(log, url, day):
     """Replay of the log up to a day."""
     state = {}
@@ -61,3 +82,14 @@ def test_snapshots_collapse(spark):
     assert by[8] == "".join(f"<|{'user' if i % 2 == 0 else 'bot'}|>\n{i}\n" for i in range(700))
     assert max(r.part for r in out) == 2 and {r.n_turns for r in out if r.conv_id == 8} == {700}
     assert C.render(df.limit(0)).collect() == []
+
+
+def test_turns_without_numbers_and_long_texts(spark):
+    """Null turns go by role, hash and text, in chunks; a snapshot of them collapses like any other."""
+    rows = [(1, None, "r%d" % (i % 3), f"t{i}") for i in range(900)] + [(2, 1, "user", "x" * 300_000), (3, 1, "user", "x" * 300_000), (3, 2, "bot", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    placed = C.turns(df).where("conv_id = 1").orderBy("place").collect()
+    assert [r.place for r in placed] == list(range(1, 901)) and [r.role for r in placed] == sorted(r.role for r in placed)
+    assert len({r.text for r in placed}) == 900
+    out = {(r.conv_id, r.part): r for r in C.render(df).collect()}
+    assert {k[0] for k in out} == {1, 3} and len(out[3, 0].text) > 300_000

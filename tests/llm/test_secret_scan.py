@@ -56,3 +56,32 @@ def test_edges(spark):
     rows = sorted((r.doc_id or 0, r.spans) for r in S.digest(S.scan(docs)).collect())
     assert rows == [(0, "assign:0:22"), (7, "access:0:20"), (7, "access:0:20"), (8, "private_key:0:27")]
     assert S.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_index_gives_the_documents_that_hold_the_trigrams(spark):
+    texts = ["password", "pass word", "a Secret", "secre", "token secret", "", None, "ghp_x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    queries = {r.kind: S.thinned(S.derive(r.pattern)) for r in S.RULES if S.derive(r.pattern)}
+    wanted = sorted({t for q in queries.values() for c in q for o in c for t in o})
+    index = S.inverted_index(docs, "doc_id", "text", wanted)
+    key = {r[1]: r[0] for r in docs.select("doc_id", S.row_key("doc_id", S.F.coalesce("text", S.F.lit("")))).collect()}
+    for r in index.collect():
+        assert {key[k] for k in r.postings} == {i for i, t in enumerate(texts) if t and r.trigram in t.lower()}
+    got = {key[r._key]: r.kinds for r in S.candidates(index, queries).collect()}
+    for i, t in enumerate(texts):
+        holds = [k for k, q in queries.items() if all(any(all(x in (t or "").lower() for x in o) for o in c) for c in q)]
+        assert got.get(i, []) == sorted(holds)
+    assert "assign" in got[0] and "github" in got[7] and 5 not in got
+
+
+def test_candidates_beyond_what_is_sent(spark, monkeypatch):
+    """Very many matches in one text, and candidates that are joined by key."""
+    monkeypatch.setattr(S, "SENT_ROWS", 0)
+    text = " ".join(f"é token={'x' * (10 + i % 4)} {i:016x}" for i in range(1500))
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text), (2, "plain")], "doc_id long, text string")
+    rows = S.digest(S.scan(docs)).collect()
+    expected = brute(text)
+    assert len(rows) == 4 and sum(r.spans == "" for r in rows) == 1
+    for r in rows:
+        if r.spans:
+            assert r.spans == ",".join(x[2] for x in expected) and r.n_assign == 750
