@@ -19,8 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def keep(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` once to the shared folder and return a reader of that table.
+def keep(df: DataFrame, name: str = "step", **options: str) -> DataFrame:
+    """Write ``df`` once to the shared folder, with options of the Parquet writer, and return a reader of that table.
 
     Unlike a cached block, the table survives the loss of any executor. Later
     jobs neither recompute its lineage nor hold it in memory, and plan with
@@ -29,7 +29,7 @@ def keep(df: DataFrame, name: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
