@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import keep
+from .storage import keep, rows_a_batch
 from .textarrays import mix, row_chunks, shingle_sets
 
 #: 100 * intersection >= PERCENT * union links two sets.
@@ -63,6 +63,9 @@ FILTER_BITS = 1 << 26
 #: Bits of a hash that choose a bucket, so that there may be 16 million of them.
 BUCKET_BITS = 24
 
+#: A task holds a row group of a table of sets while it writes it.
+SMALL_GROUPS = {"parquet.block.size": str(8 << 20), "parquet.enable.dictionary": "false"}
+
 NODES = "doc_id long, n int, sig long, check long, sketch binary, members binary"
 
 
@@ -132,6 +135,11 @@ def named(rows: DataFrame) -> DataFrame:
     return rows.withColumn("sig", F.when(F.col("sig").isin(shared), F.xxhash64("sig", "check")).otherwise(F.col("sig"))) if shared else rows
 
 
+def set_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from row_chunks(batch, "members")
+
+
 def sets_in(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
     for name, x in zip(batch.column("sig").to_pylist(), batch.column("members"), strict=True):
         yield name, np.frombuffer(x.as_buffer(), dtype=np.uint64)
@@ -172,7 +180,7 @@ def frequent_shingles(sets: DataFrame, buckets: int) -> np.ndarray:
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in set_chunks(batches):
             heads = [x[: counted(len(x))] for _, x in sets_in(batch)]
             if heads:
                 keys = np.concatenate(heads)
@@ -200,7 +208,7 @@ def pairs_a_posting(sets: DataFrame) -> float:
     """Pairs that a posting of the small sets leads to, counted in the lists of all of them."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in set_chunks(batches):
             heads = [x[: prefix(len(x))] for _, x in sets_in(batch)]
             if heads:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64))], names=["key"])
@@ -260,7 +268,7 @@ def emit_postings(frequent, buckets: int, light: int):
     """``frequent`` is a broadcast array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in set_chunks(batches):
             keys, names, sizes = [], [], []
             for name, x in sets_in(batch):
                 n, own = len(x), []
@@ -492,9 +500,13 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     with nothing. Repeated ids are separate rows. Other columns are not read;
     an empty table gives no rows.
     """
+    with rows_a_batch(docs.sparkSession):
+        return _link(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+
+
+def _link(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = named(keep(find_nodes(docs), "sets"))
+    rows = named(keep(find_nodes(docs), "sets", **SMALL_GROUPS))
     sets = rows.where("members is not null").select("sig", "n", "members")
     nodes = rows.where("doc_id is not null and n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = keep(nodes, "nodes")
@@ -519,7 +531,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         pairs = pairs.unionByName(more).dropDuplicates(["a", "b"])
         likely = components(more, likely)
     pairs = keep(pairs.unionByName(rest_pairs(members, likely, sketches)).dropDuplicates(["a", "b"]), "pairs")
-    sets = keep(sets_of(sets, pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()), "members")
+    sets = keep(sets_of(sets, pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()), "members", **SMALL_GROUPS)
     labels = verified_labels(pairs, sets)
     # Members of one list that only seemed to be in one component; their sets are known.
     missed = keep(rest_pairs(members, labels, sketches).join(pairs, ["a", "b"], "left_anti"), "pairs")

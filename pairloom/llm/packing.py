@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import keep
+from .storage import keep, rows_a_batch
 
 CAPACITY = 1024
 #: Pieces of a group, on average.
@@ -230,7 +230,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     in a group, and groups are bounded in pieces, whatever the documents.
     Rerun on the same input files, the same pieces meet.
     """
-    pieces = keep(token_pieces(docs, tokenizer_path, id_col, text_col, capacity, tail_piece, with_ids), "pieces")
+    with rows_a_batch(docs.sparkSession):
+        pieces = keep(token_pieces(docs, tokenizer_path, id_col, text_col, capacity, tail_piece, with_ids), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
     dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("_group").applyInArrow(_pack(capacity, with_ids), PACKED if not with_ids else PIECES + ", ids binary, sequence_id long, offset long")

@@ -2,6 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import SparkSession
+
 from ..sources.shared import fresh, keep, shared_dir
 
-__all__ = ["fresh", "keep", "shared_dir"]
+__all__ = ["fresh", "keep", "rows_a_batch", "shared_dir"]
+
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def rows_a_batch(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """Bound the Arrow batches of the jobs that run meanwhile; the session's setting is put back after them."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
