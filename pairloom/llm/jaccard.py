@@ -394,9 +394,10 @@ def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that link, found on the full sets."""
-    x = sets.select(F.col("sig").alias("a"), F.col("members").alias("x"))
-    y = sets.select(F.col("sig").alias("b"), F.col("members").alias("y"))
+    """The pairs that link, found on the full sets, of which only those that the pairs name are moved."""
+    some = sets_of(sets, pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct())
+    x = some.select(F.col("sig").alias("a"), F.col("members").alias("x"))
+    y = some.select(F.col("sig").alias("b"), F.col("members").alias("y"))
     return keep(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(linked, "a long, b long"), "links")
 
 
@@ -521,7 +522,7 @@ def _link(docs: DataFrame) -> DataFrame:
     sketches = nodes.select("sig", "n", "sketch")
     members = lists.where("key is not null").select(F.struct("bucket", "key").alias("key"), F.col("a").alias("sig"), F.col("na").alias("n"))
     members = keep(members.join(members.groupBy("sig").agg(F.count(F.lit(1)).alias("lists")), "sig"), "members")
-    # What sketches leave possible is settled first, so that one pass over the sets finds those that it takes.
+    # What sketches leave possible is settled first; then the sets are read.
     pairs = keep(plausible(ordered_pairs(lists.where("key is null"), "a", "b").unionByName(leader_pairs(members, None, 0)).distinct(), sketches), "pairs")
     likely = components(pairs)
     for turn in range(1, LEADER_ROUNDS):
@@ -531,9 +532,8 @@ def _link(docs: DataFrame) -> DataFrame:
         pairs = pairs.unionByName(more).dropDuplicates(["a", "b"])
         likely = components(more, likely)
     pairs = keep(pairs.unionByName(rest_pairs(members, likely, sketches)).dropDuplicates(["a", "b"]), "pairs")
-    sets = keep(sets_of(sets, pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()), "members", **SMALL_GROUPS)
     labels = verified_labels(pairs, sets)
-    # Members of one list that only seemed to be in one component; their sets are known.
+    # Members of one list that only seemed to be in one component.
     missed = keep(rest_pairs(members, labels, sketches).join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not missed.isEmpty():
         labels = verified_labels(missed, sets, labels)
