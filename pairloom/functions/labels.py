@@ -43,6 +43,13 @@ def signal_or_false(cases: Column, prr: Column, chi_square: Column) -> Column:
     return reduce(Column.__and__, [F.coalesce(F.nanvl(x.cast("double"), F.lit(None).cast("double")) >= y, F.lit(False)) for x, y in figures])
 
 
+def alternative_labels(pairs: DataFrame, cases: str = "case_count", prr: str = "prr") -> DataFrame:
+    """0/1 labels by other thresholds; a missing figure is below any."""
+    at_least = lambda c, v: F.coalesce(F.col(c) >= v, F.lit(False))
+    labels = {"prr2": at_least(prr, 2), "prr4_c5": at_least(prr, 4) & at_least(cases, 5), "cases10": at_least(cases, 10)}
+    return pairs.withColumns({k: v.cast("int") for k, v in labels.items()})
+
+
 def build_labels(pairs: DataFrame, relations: str = "relations") -> DataFrame:
     """Counts of every relation, both directional labels with their contradictions, and ``treats_and_causes``."""
     n = {r: F.col(f"n_{r.lower()}") for r in RELATIONS}
@@ -72,9 +79,10 @@ def sentence_sums(pairs: DataFrame, relations: str = "relations") -> DataFrame:
     return parsed.withColumns({name: sum_where(F.col("_map"), keep) for name, keep in sums.items()}).drop("_map")
 
 
-def degrees(pairs: DataFrame, key: str, name: str) -> DataFrame:
-    """Pairs per key and log(1 + pairs)."""
-    return pairs.groupBy(key).agg(F.count(F.lit(1)).alias(name)).withColumn(f"log_{name}", F.log1p(name))
+def degrees(pairs: DataFrame, key: str, name: str, distinct: str | None = None) -> DataFrame:
+    """Pairs per key, or distinct values of a column, and the log of 1 more."""
+    count = F.count_distinct(distinct) if distinct else F.count(F.lit(1))
+    return pairs.groupBy(key).agg(count.alias(name)).withColumn(f"log_{name}", F.log1p(name))
 
 
 def disproportionality(pairs: DataFrame, drug: str = "drug", condition: str = "condition", reports: str = "a") -> DataFrame:

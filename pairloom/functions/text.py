@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,12 +33,24 @@ VOCABULARIES = {
     "EFO": "EFO",
     "GARD": "GARD",
 }
-REACHABLE = ("SNOMED", "MESH", "MEDDRA", "OMIM", "Orphanet", "ICD10", "ICD10CM", "ICD9", "ICD9CM", "NCIT")
 STOPWORDS = ("of", "the", "a", "an", "in", "on", "with", "and", "to", "by")
 TRUE_WORDS = ("true", "1", "1.0", "yes", "y", "t")
-# Latin letters with diacritics and what NFKD and ASCII leave of them.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+# Greek letters and isomer marks of drug names, and the marks of name lists that follow a name.
+SPELLED = ("alpha", "beta", "gamma", "delta", "omega", "l", "d")
+ISOMERS = ("+/-", "+-", "rs", "+", "-")
+NAME_LISTS = ("USP", "JAN", "INN", "USAN", "BAN", "TN", "DCF", "NF", "JP")
+
+
+def _ascii_parts() -> dict[str, str]:
+    """What compatibility decomposition and ASCII leave of each character that has such a part."""
+    every = (chr(c) for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000)
+    return {c: kept for c in every if (kept := unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode())}
+
+
+_PARTS = _ascii_parts()
+#: Characters that become one, and those that become several.
+_ONE = {c: p for c, p in _PARTS.items() if len(p) == 1}
+_MANY = {c: p for c, p in _PARTS.items() if len(p) > 1}
 
 
 def colon_id(c: Column) -> Column:
@@ -62,8 +77,15 @@ def xref(raw: Column) -> Column:
 
 
 def ascii_fold(c: Column) -> Column:
-    """Letters without diacritics; other characters beyond ASCII are dropped."""
-    return F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
+    """Characters in their compatibility decomposition, without what is beyond ASCII then.
+
+    Those that become several (ligatures, fractions, units) are looked up one
+    by one, in the few texts that have any.
+    """
+    table = F.create_map(*[F.lit(x) for pair in _MANY.items() for x in pair])
+    spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    whole = F.when(c.rlike("[" + "".join(_MANY) + "]"), spelled).otherwise(c)
+    return F.regexp_replace(F.translate(whole, "".join(_ONE), "".join(_ONE.values())), r"[^\x00-\x7F]", "")
 
 
 def normalise(c: Column) -> Column:
@@ -80,11 +102,46 @@ def token_key(normalised: Column) -> Column:
 
 
 def drug_name(c: Column) -> Column:
-    """Letters and digits of a drug's name, without isomer signs; null if nothing is left."""
-    x = F.lower(ascii_fold(c))
-    x = F.regexp_replace(x, r"\.(alpha|beta|gamma|delta|omega|l|d)\.", "$1")
-    x = F.regexp_replace(x, r"\(\+/-\)|\(\+-\)|\(rs\)|\(\+\)|\(-\)", " ")
-    return F.nullif(F.regexp_replace(x, "[^a-z0-9]+", ""), F.lit(""))
+    """Letters and digits of a drug's name; spelled-out marks between points stay, isomer signs in brackets go; null if nothing is left."""
+    spelled = F.regexp_replace(F.lower(ascii_fold(c)), rf"\.({'|'.join(SPELLED)})\.", "$1")
+    bare = F.regexp_replace(spelled, rf"\((?:{'|'.join(map(re.escape, ISOMERS))})\)|[^a-z0-9]", "")
+    return F.nullif(bare, F.lit(""))
+
+
+def name_keys(names: Column) -> Column:
+    """Keys of a ``;`` list of names, each without the mark of the list that it comes from."""
+    bare = F.transform(F.split(names, ";"), lambda x: drug_name(F.regexp_replace(x, rf"\((?:{'|'.join(NAME_LISTS)})[^)]*\)", "")))
+    return F.array_sort(F.array_distinct(F.filter(bare, lambda x: x.isNotNull())))
+
+
+def without_prefix(c: Column, *prefixes: str) -> Column:
+    """The text without the first of the prefixes that it begins with."""
+    return F.regexp_replace(c, f"^(?:{'|'.join(map(re.escape, prefixes))})", "")
+
+
+def gene_tokens(c: Column) -> Column:
+    """Gene symbols that are followed by a human gene number, distinct and sorted."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(r"([A-Z0-9][A-Z0-9\-]{1,12})\s*\[HSA:"), F.lit(1))))
+
+
+def section(c: Column, begin: str, end: str | None = None) -> Column:
+    """What follows a heading, up to another one or the end of the text; empty without the heading."""
+    return F.regexp_extract(c, rf"(?s){re.escape(begin)}(.*?)(?:{re.escape(end)}|\z)" if end else rf"(?s){re.escape(begin)}(.*)\z", 1)
+
+
+def clamped(c: Column) -> Column:
+    """A figure between 0 and 1; null if it is no number."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), number(c)))
+
+
+def number(c: Column) -> Column:
+    """A finite number, or null."""
+    x = c.cast("string").try_cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
+
+def shortened(c: Column, length: int) -> Column:
+    return F.substring(c, 1, length)
 
 
 def truth(c: Column) -> Column:

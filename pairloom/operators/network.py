@@ -45,9 +45,20 @@ def transported_rate(pairs: DataFrame, near: DataFrame, flagged: DataFrame, rate
     return out.withColumns({"rate": rate, "excess": rate - F.col("p_c")})
 
 
+def shrunk_rates(transported: DataFrame, strengths: tuple[float, ...] = (5.0, 10.0, 20.0)) -> DataFrame:
+    """``rate_k`` and ``excess_k`` for several numbers of pseudo-neighbours, from one count."""
+    out = transported
+    for k in strengths:
+        rate = (F.col("n_flagged") + k * F.col("p_c")) / (F.col("n_neighbours") + k)
+        out = out.withColumns({f"rate_{k:g}": rate, f"excess_{k:g}": rate - F.col("p_c")})
+    return out
+
+
 def neighbour_coverage(transported: DataFrame) -> DataFrame:
+    """Shares of pairs whose drug has neighbours, 1 or 3 at least, and the share of drugs without any."""
     n = F.col("n_neighbours")
-    return transported.agg(F.avg((n >= 1).cast("double")).alias("share_1"), F.avg((n >= 3).cast("double")).alias("share_3"))
+    alone = transported.groupBy("drug").agg(F.max("n_neighbours").alias("n")).agg(F.avg((F.col("n") == 0).cast("double"))).scalar()
+    return transported.agg(F.avg((n >= 1).cast("double")).alias("share_1"), F.avg((n >= 3).cast("double")).alias("share_3")).withColumn("drugs_without", alone)
 
 
 def gene_idf(condition_genes: DataFrame) -> DataFrame:
@@ -57,8 +68,10 @@ def gene_idf(condition_genes: DataFrame) -> DataFrame:
     return per.withColumn("idf", F.log(every / F.greatest(F.col("df"), F.lit(1))))
 
 
-def overlap(pairs: DataFrame, drug_values: DataFrame, condition_values: DataFrame, value: str, weight: str | None = None) -> DataFrame:
-    """Shared values of each pair with their Jaccard index (0 without any value), and the sum and maximum of a weight.
+def overlap(pairs: DataFrame, drug_values: DataFrame, condition_values: DataFrame, value: str, weight: str | tuple[str, ...] | None = None) -> DataFrame:
+    """Shared values of each pair with their Jaccard index (0 without any value), and the sum and maximum of each weight.
+
+    One weight is reported as ``sum_weight`` and ``max_weight``, several under their own names.
 
     Value counts join by side; shared values are counted only for the pairs
     asked for, so no drug-by-condition matrix is formed.
@@ -67,10 +80,11 @@ def overlap(pairs: DataFrame, drug_values: DataFrame, condition_values: DataFram
     right = condition_values.where(F.col(value).isNotNull())
     sizes = left.groupBy("drug").agg(F.count(F.lit(1)).alias("n_left")), right.groupBy("condition").agg(F.count_distinct(value).alias("n_right"))
     wanted = pairs.select("drug", "condition").distinct()
-    sums = [F.count_distinct(value).alias("n_shared")] + ([F.sum(weight).alias("sum_weight"), F.max(weight).alias("max_weight")] if weight else [])
+    weights = {"weight": weight} if isinstance(weight, str) else {w: w for w in weight or ()}
+    sums = [F.count_distinct(value).alias("n_shared"), *[f(w).alias(f"{kind}_{name}") for name, w in weights.items() for kind, f in (("sum", F.sum), ("max", F.max))]]
     shared = wanted.join(left, "drug").join(right, ["condition", value]).groupBy("drug", "condition").agg(*sums)
     out = pairs.join(shared, ["drug", "condition"], "left").join(sizes[0], "drug", "left").join(sizes[1], "condition", "left")
-    filled = ["n_shared", "n_left", "n_right"] + (["sum_weight", "max_weight"] if weight else [])
+    filled = ["n_shared", "n_left", "n_right", *[f"{kind}_{name}" for name in weights for kind in ("sum", "max")]]
     out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in filled})
     union = F.col("n_left") + F.col("n_right") - F.col("n_shared")
     return out.withColumn("jaccard", F.when(union > 0, F.col("n_shared") / union).otherwise(0.0))
@@ -164,3 +178,13 @@ def tanimoto(queries: DataFrame, reference: DataFrame, key: str = "bits") -> Dat
     shared = q.join(r, "_bit").where("id <> _ref").groupBy("id", "_ref", "_n", "_m").agg(F.count(F.lit(1)).alias("_both"))
     best = shared.groupBy("id").agg(F.max(F.col("_both") / (F.col("_n") + F.col("_m") - F.col("_both"))).alias("best"))
     return queries.select("id").join(best, "id", "left").select("id", F.coalesce("best", F.lit(0.0)).alias("best"))
+
+
+def in_domain(similar: DataFrame, least: float = 0.4) -> DataFrame:
+    """Whether a query is as similar to the reference set as a model may be trusted with."""
+    return similar.withColumn("in_domain", F.col("best") >= least)
+
+
+def wide_panel(panel: DataFrame, targets: list[str], key: str = "drug", target: str = "off_target", value: str = "affinity") -> DataFrame:
+    """A column for each off-target: the strongest affinity of the drug."""
+    return panel.groupBy(key).pivot(target, targets).agg(F.max(value))

@@ -53,6 +53,25 @@ def greedy_folds(sizes: DataFrame, seed: int = 42, folds: dict[str, float] = FOL
     return dealt.select(F.explode(F.arrays_zip("queue", "folds")).alias("x")).select("x.queue.group_key", F.col("x.folds").alias("fold"))
 
 
+def class_groups(targets: DataFrame, drugs: DataFrame) -> DataFrame:
+    """``drug, group_key``: the class of a drug's most trusted target that has one, or the drug alone."""
+    order = F.struct(-F.coalesce(F.col("efficacy").cast("double"), F.lit(-1.0)), -F.coalesce(F.col("direct").cast("double"), F.lit(-1.0)), F.col("leaf"))
+    first = targets.where("leaf is not null").groupBy("drug").agg(F.min_by("leaf", order).alias("_leaf"))
+    key = F.coalesce(F.concat(F.lit("leaf:"), F.col("_leaf")), F.concat(F.lit("ing:"), F.col("drug").cast("string")))
+    return drugs.select("drug").distinct().join(first, "drug", "left").select("drug", key.alias("group_key"))
+
+
+def resplit(pairs: DataFrame, groups: DataFrame, folds: tuple[str, ...] = ("train", "validate"), seed: int = 42) -> DataFrame:
+    """The pairs with a fold of their drug's group, by the shares of the named folds alone; an error if a drug has two."""
+    total = sum(FOLDS[f] for f in folds)
+    with_group = pairs.join(groups, "drug")
+    sizes = with_group.groupBy("group_key").agg(F.count(F.lit(1)).alias("n_pairs"))
+    out = with_group.join(greedy_folds(sizes, seed, {f"{f}2": FOLDS[f] / total for f in folds}), "group_key")
+    if not leaks(out, "drug").isEmpty():
+        raise ValueError("a drug is in more than one fold")
+    return out
+
+
 def fold_summary(assigned: DataFrame) -> DataFrame:
     """``fold, n_pairs, share, n_drugs, n_conditions, positive_rate``."""
     every = assigned.agg(F.count(F.lit(1))).scalar()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +52,40 @@ def two_way_demean(rows: DataFrame, a: str, b: str, value: str, rounds: int = 4,
     return out
 
 
+def fixed_effects(train: DataFrame, a: str, b: str, value: str, rounds: int = 200, tolerance: float = 1e-9) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Train's two-way effects: a row with ``mean``, and tables ``a, a_offset`` and ``b, b_offset``.
+
+    The offsets of a key are what alternating means take off its rows, so the
+    residual of a train row is its value less the mean and both offsets.
+    """
+    every = keep(train.agg(F.avg(value).alias("mean")), "mean")
+    out = train.select(a, b, (F.col(value) - every.scalar()).alias("residual"))
+    offsets = {a: None, b: None}
+    for _ in range(rounds):
+        largest = 0.0
+        for key in (a, b):
+            means = keep(out.groupBy(key).agg(F.avg("residual").alias("_mean")), "means")
+            out = keep(out.join(means, key).select(a, b, (F.col("residual") - F.col("_mean")).alias("residual")), "residuals")
+            so_far = offsets[key]
+            step = means.select(key, F.col("_mean").alias(f"{key}_offset"))
+            if so_far is not None:
+                step = so_far.join(means, key).select(key, (F.col(f"{key}_offset") + F.col("_mean")).alias(f"{key}_offset"))
+            offsets[key] = keep(step, "offsets")
+            largest = max(largest, means.agg(F.max(F.abs("_mean"))).first()[0] or 0.0)
+        if largest < tolerance:
+            break
+    return every, offsets[a], offsets[b]
+
+
+def apply_effects(rows: DataFrame, effects: tuple[DataFrame, DataFrame, DataFrame], a: str, b: str, value: str) -> DataFrame:
+    """Rows with train's offsets, never fit anew: those of an unseen key are 0 and flagged; ``residual`` is what is left."""
+    mean, of_a, of_b = effects
+    out = rows.join(of_a, a, "left").join(of_b, b, "left")
+    for key in (a, b):
+        out = out.withColumns({f"{key}_unseen": F.col(f"{key}_offset").isNull(), f"{key}_offset": F.coalesce(f"{key}_offset", F.lit(0.0))})
+    return out.withColumn("residual", F.col(value) - mean.scalar() - F.col(f"{a}_offset") - F.col(f"{b}_offset"))
+
+
 def draw(seed: int, n: Column, *cols: Column) -> Column:
     """A number in 0 .. n-1 from a hash of the columns."""
     return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", *cols, F.lit(str(seed)))), 1, 8), 16, 10).cast("long"), n)
@@ -70,6 +106,29 @@ def bootstrap(values: DataFrame, key: str, value: str, rounds: int = 200, seed:
     return means.agg(F.percentile("m", quantiles[0]).alias("low"), F.percentile("m", quantiles[1]).alias("high")).select(whole.alias("mean"), "low", "high")
 
 
+def paired_bootstrap(first: DataFrame, second: DataFrame, key: str, value: str, **options) -> DataFrame:
+    """``mean, low, high`` of the second's gain over the first, over the groups that both have."""
+    both = first.select(key, F.col(value).alias("_a")).join(second.select(key, F.col(value).alias("_b")), key)
+    return bootstrap(both.select(key, (F.col("_b") - F.col("_a")).alias("gain")), key, "gain", **options)
+
+
+def against_floor(scored: DataFrame, floor: float, key: str, value: str, **options) -> DataFrame:
+    """As ``bootstrap`` for the gain over one floor."""
+    return bootstrap(scored.select(key, (F.col(value) - floor).alias("gain")), key, "gain", **options)
+
+
+def bootstrap_by(values: DataFrame, outcome: str, key: str, value: str, rounds: int = 200, seed: int = 42, quantiles: tuple[float, float] = (0.025, 0.975)) -> DataFrame:
+    """``outcome, n, mean, low, high``: an interval for each outcome, resampling its own groups."""
+    at = Window.partitionBy(outcome).orderBy(key)  # a row for each group of an outcome
+    placed = keep(values.where(F.col(value).isNotNull()).select(outcome, F.col(value).alias("v"), (F.row_number().over(at) - 1).cast("long").alias("at")), "placed")
+    sizes = placed.groupBy(outcome).agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"))
+    draws = placed.select(outcome, "at").join(sizes, outcome).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    drawn = draws.select(outcome, "round", draw(seed, F.col("n"), F.col(outcome).cast("string"), F.col("round").cast("string"), F.col("at").cast("string")).alias("at"))
+    means = drawn.join(placed, [outcome, "at"]).groupBy(outcome, "round").agg(F.avg("v").alias("m"))
+    ends = means.groupBy(outcome).agg(F.percentile("m", quantiles[0]).alias("low"), F.percentile("m", quantiles[1]).alias("high"))
+    return sizes.join(ends, outcome)
+
+
 def permuted(rows: DataFrame, group: str, key: str, value: str, seed: int = 42) -> DataFrame:
     """Placebo: the values of each group dealt anew among its rows."""
     there = Window.partitionBy(group).orderBy(key)
@@ -118,10 +177,19 @@ def increments(results: DataFrame, order: str, metric: str, noise: float = 0.01)
     return out.withColumn("is_noise", F.abs("increment") < noise)
 
 
-def dictionary(df: DataFrame, table: str) -> DataFrame:
-    """``table, column, type, share_present``: one pass over the table."""
+def dictionary(df: DataFrame, table: str, spec: dict[str, str] | None = None, patterns: list[tuple[str, str]] | None = None) -> DataFrame:
+    """``table, column, type, share_present`` and, with a spec, ``description``: one pass over the table.
+
+    A column is described by its name, else by the first pattern that matches
+    all of it; with a spec, a column that neither knows is an error.
+    """
+    described = {c: (spec or {}).get(c) or next((text for p, text in patterns or [] if re.fullmatch(p, c)), None) for c in df.columns}
+    unknown = [c for c, text in described.items() if text is None]
+    if spec is not None and unknown:
+        raise ValueError(f"no description of {', '.join(unknown)} in {table}")
     kinds = dict(df.dtypes)
     present = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns])
-    long = present.unpivot(["_n"], df.columns, "column", "present")
-    kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
-    return long.select(F.lit(table).alias("table"), "column", kind[F.col("column")].alias("type"), F.bround(F.col("present") / F.col("_n"), 4).alias("share_present"))
+    long = present.unpivot(["_n"], [f"`{c}`" for c in df.columns], "column", "present")
+    named = lambda m: F.create_map(*[F.lit(x) for pair in m.items() for x in pair])[F.col("column")]
+    out = long.select(F.lit(table).alias("table"), "column", named(kinds).alias("type"), F.bround(F.col("present") / F.col("_n"), 4).alias("share_present"))
+    return out if spec is None else out.withColumn("description", named(described))

@@ -166,9 +166,9 @@ def neighbour_shrunk_rate(spark: SparkSession, d: str) -> DataFrame:
     return transported(spark, d).select("drug", "condition", "n_neighbours", "n_flagged", r6(F.col("rate")).alias("rate"), r6(F.col("excess")).alias("excess"))
 
 
-@query(f"WITH {NEIGHBOUR_SQL} SELECT round(avg(CAST(n_neighbours >= 1 AS INT)), 6) AS share_1, round(avg(CAST(n_neighbours >= 3 AS INT)), 6) AS share_3 FROM nt")
+@query(f"WITH {NEIGHBOUR_SQL} SELECT round(avg(CAST(n_neighbours >= 1 AS INT)), 6) AS share_1, round(avg(CAST(n_neighbours >= 3 AS INT)), 6) AS share_3, (SELECT round(avg(CAST(n = 0 AS INT)), 6) FROM (SELECT drug, max(n_neighbours) AS n FROM nt GROUP BY 1)) AS drugs_without FROM nt")
 def neighbour_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return N.neighbour_coverage(transported(spark, d)).select(r6(F.col("share_1")).alias("share_1"), r6(F.col("share_3")).alias("share_3"))
+    return N.neighbour_coverage(B.keep(transported(spark, d))).select(*[r6(F.col(c)).alias(c) for c in ("share_1", "share_3", "drugs_without")])
 
 
 @query(f"""WITH {B.PAIR_SQL}, {B.GENE_SQL}, sh AS (SELECT drug, condition, count(*) AS n, sum(score) AS s, max(score) AS m FROM dg JOIN cg USING (gene) GROUP BY 1, 2),

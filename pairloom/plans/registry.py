@@ -1,6 +1,6 @@
 """Queries and their DuckDB equivalents, gathered from the plan modules."""
 
-from . import analysis, evidence
+from . import analysis, evidence, features
 
-QUERIES = {**evidence.QUERIES, **analysis.QUERIES}
-ORACLES = {**evidence.ORACLES, **analysis.ORACLES}
+QUERIES = {**evidence.QUERIES, **analysis.QUERIES, **features.QUERIES}
+ORACLES = {**evidence.ORACLES, **analysis.ORACLES, **features.ORACLES}

@@ -54,6 +54,18 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns])
 
 
+def cached(spark: SparkSession, path: str) -> DataFrame:
+    """A table of strings that stays in memory, spilling to disk, until ``forget`` or ``replace``."""
+    return load(spark, path).persist()
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Drop what is cached of a table, as after it has changed."""
+    if exists(spark, path):
+        load(spark, path).unpersist()
+    spark.catalog.refreshByPath(path)
+
+
 def numbered(df: DataFrame, order: list) -> DataFrame:
     """``row_index`` from 0 in the given order (names or sort columns).
 
@@ -140,7 +152,7 @@ def replace(df: DataFrame, path: str) -> None:
         raise OSError(f"the new table could not be moved to {path}")
     if held:
         fs.delete(aside, True)
-    spark.catalog.refreshByPath(path)
+    forget(spark, path)
 
 
 def search(df: DataFrame, column: str, text: str, limit: int = 20) -> DataFrame:

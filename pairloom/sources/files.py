@@ -53,6 +53,22 @@ def json_array(spark: SparkSession, path, schema: StructType | str | None = None
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def conform(df: DataFrame, schema: StructType) -> DataFrame:
+    """The columns of a schema, in its order and types; a value that does not fit and a column that is missing are null, others go."""
+    there = {c.lower(): c for c in df.columns}
+    pick = lambda f: F.col(f"`{there[f.name.lower()]}`").try_cast(f.dataType) if f.name.lower() in there else F.lit(None).cast(f.dataType)
+    return df.select(*[pick(f).alias(f.name) for f in schema])
+
+
+def write(df: DataFrame, path: str, kind: str, schema: StructType | None = None) -> None:
+    """Write a table as ``parquet``, ``csv`` (with a header), ``tsv`` or ``json``, in a schema if one is given."""
+    writer = (conform(df, schema) if schema else df).write.mode("overwrite")
+    if kind in ("csv", "tsv"):
+        writer.option("header", True).option("sep", "," if kind == "csv" else "\t").option("quote", '"').option("escape", '"').csv(path)
+    else:
+        writer.format(kind).save(path)
+
+
 def append_records(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
@@ -71,8 +87,15 @@ def append_checked(rows: DataFrame, path: str, catalogs: dict[str, DataFrame], a
 
 
 def blocks(spark: SparkSession, path, separator: str) -> DataFrame:
-    """``block``: a text file cut at a separator line."""
-    return spark.read.option("lineSep", separator).text(path).select(F.trim("value").alias("block")).where("block <> ''")
+    """``block``: text files cut at a line that is the separator (an empty one for ``""``), whatever their line ends.
+
+    A file is read as one row and cut by an expression, since a separator that
+    a reader is given may be of one form only and would also cut inside lines.
+    """
+    whole = F.regexp_replace("value", "\\r\\n?", "\n")
+    cut = r"\n(?:[ \t]*\n)+" if not separator else rf"(?:\A|\n){separator}[ \t]*(?=\n|\z)"
+    each = spark.read.option("wholetext", True).text(path).select(F.explode(F.split(whole, cut)).alias("block"))
+    return each.select(F.regexp_replace("block", r"\A\s*\n|\s+\z", "").alias("block")).where("trim(block) <> ''")
 
 
 def field_values(block: Column, name: str) -> Column:
@@ -86,7 +109,7 @@ def obo_terms(spark: SparkSession, path, keep_obsolete: bool = True, scopes: tup
     Synonyms of all scopes, or of those named.
     """
     block = F.col("block")
-    terms = blocks(spark, path, "\n\n").where(block.startswith("[Term]"))
+    terms = blocks(spark, path, "").where(block.startswith("[Term]"))
     first = lambda name: F.get(field_values(block, name), F.lit(0))
     bare = lambda values: F.transform(values, lambda v: F.trim(F.regexp_replace(F.regexp_replace(v, r"\s*!.*$", ""), r"\s*\{.*\}\s*$", "")))
     scoped = field_values(block, "synonym")
@@ -116,8 +139,9 @@ def flat_records(spark: SparkSession, path) -> DataFrame:
         now = F.coalesce(x["name"], acc["now"])
         return F.struct(now.alias("now"), F.concat(acc["out"], F.array(F.struct(now.alias("field"), x["value"].alias("value")))).alias("out"))
 
-    each = pieces.select("entry", F.explode(F.aggregate("x", start, step)["out"]).alias("y")).where("y.field is not null")
-    return each.groupBy("entry", "y.field").agg(F.collect_list("y.value").alias("lines"))
+    each = pieces.select("entry", F.posexplode(F.aggregate("x", start, step)["out"]).alias("i", "y")).where("y.field is not null")
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("i", "y.value"))), lambda x: x["value"])
+    return each.groupBy("entry", "y.field").agg(lines.alias("lines"))
 
 
 def scan(spark: SparkSession, paths: list[str], columns: dict[str, str], column: str, values: list) -> DataFrame:

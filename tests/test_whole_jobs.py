@@ -34,7 +34,7 @@ def test_neighbours_of_hub_genes(spark, hub_dir):
     for r in got:
         assert r.n_neighbours == len(near[r.drug]) >= 39
         assert r.n_flagged == sum((o, r.condition) in flagged for o in near[r.drug])
-    assert tuple(A.neighbour_coverage(spark, hub_dir).first()) == (1.0, 1.0)
+    assert tuple(A.neighbour_coverage(spark, hub_dir).first()) == (1.0, 1.0, 0.0)
 
 
 def test_neighbours_in_blocks(spark, monkeypatch):
