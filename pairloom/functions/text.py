@@ -131,7 +131,7 @@ def section(c: Column, begin: str, end: str | None = None) -> Column:
 
 def clamped(c: Column) -> Column:
     """A figure between 0 and 1; null if it is no number."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), number(c)))
+    return F.when(number(c).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number(c))))
 
 
 def number(c: Column) -> Column:

@@ -94,7 +94,7 @@ def blocks(spark: SparkSession, path, separator: str) -> DataFrame:
     """
     whole = F.regexp_replace("value", "\\r\\n?", "\n")
     cut = r"\n(?:[ \t]*\n)+" if not separator else rf"(?:\A|\n){separator}[ \t]*(?=\n|\z)"
-    each = spark.read.option("wholetext", True).text(path).select(F.explode(F.split(whole, cut)).alias("block"))
+    each = spark.read.text(path, wholetext=True).select(F.explode(F.split(whole, cut)).alias("block"))
     return each.select(F.regexp_replace("block", r"\A\s*\n|\s+\z", "").alias("block")).where("trim(block) <> ''")
 
 
