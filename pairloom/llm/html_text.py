@@ -1,32 +1,35 @@
 """Main text of web pages, by a site style tree.
 
-Pages of one host are merged into a tree of element paths. A path knows on
-how many pages it occurs, which presentation styles (sequences of child
+Each page is parsed once, into its blocks of text and the elements that hold
+them. Pages of one host are merged into a tree of element paths. A path knows
+on how many pages it occurs, which presentation styles (sequences of child
 elements) it has there, and which blocks of text. A presentation that varies
 from page to page has a high entropy and is important; a block of text that
 is the same on page after page spreads evenly over them and is not. The
-importance of a branch is composed of that of its node and of its children.
-Branches of low importance are cut from every page of the host.
-
-Elements that mark themselves as no part of the article (menus, forms,
-adverts, comments and the like) are cut before, on any host, and where a page
-has an ``article`` or ``main`` element the text is looked for there.
+importance of a branch is composed of that of its node and of its children. A
+branch whose node and whose descendants are all of low importance is cut from
+every page of the host.
+
+What a tree cannot tell is told by marks: adverts, reader comments and menus
+whose text differs from page to page look like content to it, and so does
+everything on a host of few pages. Elements whose tag, role or class marks
+them as no part of the article are cut on any host, and where a page has an
+``article`` or ``main`` element the text is looked for there.
 """
 
 from __future__ import annotations
 
 import html
-import math
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import keep
+from .storage import keep, rows_a_batch
 from .textarrays import row_chunks
 
 #: A host with fewer distinct pages has no say.
@@ -35,6 +38,8 @@ MIN_PAGES = 6
 LOW = 0.3
 #: Branches to cut are sent to every task up to this size.
 SENT_BYTES = 8 << 20
+#: Deeper elements share the path of the one at this depth.
+DEEPEST = 64
 #: Weight of the children in a node's importance, to the power of the number of its styles.
 GAMMA = 0.9
 
@@ -50,24 +55,53 @@ CUT_WORDS = frozenset(
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 CLOSES = {"li": ("li", ("ul", "ol")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table"))}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# Neither form of tag crosses another angle bracket, so that a page of unclosed ones takes time in proportion.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*>?|<(/?)([a-zA-Z][^\s/<>]*)([^<>\"']*(?:\"[^\"<>]*\"[^<>\"']*|'[^'<>]*'[^<>\"']*)*)>|<(?=/?[a-zA-Z])", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)")
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)")
 
 
 class Open:
-    """An open element: its name with classes, whether it is cut, and its children's names."""
+    """An open element: its name with classes, whether it is marked, and its children's names.
+
+    ``cut`` is set in a marked block, ``skip`` in a marked inline element, whose text is no part of its block.
+    """
 
-    __slots__ = ("tag", "name", "path", "cut", "inside", "children")
+    __slots__ = ("tag", "name", "path", "depth", "cut", "skip", "inside", "children")
 
-    def __init__(self, tag: str, name: str, parent: Open | None, cut: bool):
+    def __init__(self, tag: str, name: str, parent: Open | None, marked: bool):
         self.tag, self.name = tag, name
-        self.path = f"{parent.path}/{name}" if parent else name
-        self.cut = cut or bool(parent and parent.cut)
+        self.depth = parent.depth + 1 if parent else 0
+        self.path = name if not parent else f"{parent.path}/{name}" if self.depth <= DEEPEST else parent.path
+        self.cut = (marked and tag not in INLINE) or bool(parent and parent.cut)
+        self.skip = (marked and tag in INLINE) or bool(parent and parent.skip)
         self.inside = 2 if tag == "article" else max(parent.inside if parent else 0, int(tag == "main"))
         self.children: list[str] = []
 
 
+class Tags:
+    """Where the tags of a page end, quoted brackets apart; what no scan can close ends at the next bracket."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, {q: page.rfind(q) for q in "\"'>"}
+        self.quotes = True  # until a scan has come to the end of the page
+
+    def end(self, at: int) -> int:
+        """Index of the bracket that ends the tag whose name ends at ``at``; -1 if there is none."""
+        page, i = self.page, at
+        while self.quotes and i <= self.last[">"]:
+            found = min((k for k in (page.find(c, i, i + 4096) for c in "\"'>") if k >= 0), default=-1)
+            if found < 0:
+                i += 4096
+            elif page[found] == ">":
+                return found
+            else:
+                i = page.find(page[found], found + 1) + 1 if found < self.last[page[found]] else found + 1
+        self.quotes = self.quotes and i <= self.last[">"]
+        return page.find(">", at)
+
+
 def describe(tag: str, raw: str, in_article: bool) -> tuple[str, bool]:
     """Name of an element in the tree, and whether it marks itself as no part of the text."""
     cut = tag in CUT_TAGS or (tag == "header" and not in_article)
@@ -88,63 +122,77 @@ def describe(tag: str, raw: str, in_article: bool) -> tuple[str, bool]:
     return ".".join([tag, *sorted(set(classes))]), cut
 
 
-def parse(page: str) -> tuple[list[tuple[str, str, int]], list[tuple[str, str]]]:
-    """Blocks ``(path, text, inside)`` in page order, and the styles ``(path, child names)`` of elements that are not cut.
+def parse(page: str) -> tuple[list[tuple[str, str, int, bool]], list[tuple[str, str, bool]]]:
+    """Blocks ``(path, text, inside, marked)`` in page order, and the styles ``(path, child names, marked)`` of block elements.
 
     ``inside`` is 2 in an article, 1 in a main element, else 0. Markup may be
     broken: an end tag closes up to its start tag if that is open, and a block
     closes an open paragraph.
     """
     root = Open("#", "#", None, False)
-    stack, blocks, styles, text = [root], [], [], []
+    stack, blocks, styles, text, opened, tags = [root], [], [], [], Counter(), Tags(page)
 
     def flush() -> None:
         joined = " ".join(html.unescape("".join(text)).split())
         text.clear()
         if joined:
-            # inline elements are part of their block; nothing in a cut one was added
-            holder = next(x for x in reversed(stack) if x.tag not in INLINE and not x.cut)
-            blocks.append((holder.path, joined, holder.inside))
+            # inline elements are part of their block
+            holder = next(x for x in reversed(stack) if x.tag not in INLINE)
+            blocks.append((holder.path, joined, holder.inside, holder.cut))
 
     def close(depth: int) -> None:
         while len(stack) > depth:
             gone = stack.pop()
-            if not gone.cut and gone.tag not in INLINE:
-                styles.append((gone.path, " ".join(gone.children)))
+            opened[gone.tag] -= 1
+            if gone.tag not in INLINE:
+                styles.append((gone.path, " ".join(gone.children), gone.cut))
+
+    def push(element: Open) -> None:
+        stack.append(element)
+        opened[element.tag] += 1
 
     def up_to(tags: tuple[str, ...], stops: tuple[str, ...]) -> int:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                return k
-            if stack[k].tag in stops:
-                break
+        if any(opened[t] > 0 for t in tags):
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag in tags:
+                    return k
+                if stack[k].tag in stops:
+                    break
         return 0
 
     at, end = 0, len(page)
     while at < end:
         m = TOKEN.search(page, at)
         stop = m.start() if m else end
-        if stop > at and not stack[-1].cut:
+        if stop > at and not stack[-1].skip:
             text.append(page[at:stop])
         if not m:
             break
         at = m.end()
-        if not m[2]:
+        if m[2]:
+            shut, tag, raw = m[1], m[2].lower(), m[3]
+        elif page[m.start() : m.start() + 2] in ("<!", "<?"):
             continue
-        tag = m[2].lower()
+        else:  # a tag with brackets in quotes, or a broken one
+            name = NAME.match(page, m.start())
+            after = tags.end(name.end())
+            if after < 0:
+                text.append("<") if not stack[-1].skip else None
+                continue
+            shut, tag, raw, at = name[1], name[2].lower(), page[name.end() : after], after + 1
         if tag in INLINE and tag != "br" and tag not in VOID:
-            if m[1]:
+            if shut:
                 k = up_to((tag,), ("p", "div", "li", "td", "article", "body"))
                 if k:
                     close(k)
             else:
-                name, cut = describe(tag, m[3], stack[-1].inside == 2)
-                stack.append(Open(tag, name, stack[-1], cut))
+                name, marked = describe(tag, raw, stack[-1].inside == 2)
+                push(Open(tag, name, stack[-1], marked))
             continue
         if tag == "br":
             text.append(" ")
             continue
-        if m[1]:
+        if shut:
             k = up_to((tag,), ())
             if k:
                 flush()
@@ -154,8 +202,8 @@ def parse(page: str) -> tuple[list[tuple[str, str, int]], list[tuple[str, str]]]
         if tag in VOID:
             continue
         if tag in RAW:
-            shut = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = shut.end() if shut else end
+            over = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            at = over.end() if over else end
             continue
         if tag == "body":
             k = up_to(("head",), ())
@@ -169,13 +217,12 @@ def parse(page: str) -> tuple[list[tuple[str, str, int]], list[tuple[str, str]]]
             k = up_to(tuple(names.split()), stops)
             if k:
                 close(k)
-        name, cut = describe(tag, m[3], stack[-1].inside == 2)
+        name, marked = describe(tag, raw, stack[-1].inside == 2)
         stack[-1].children.append(name)
-        stack.append(Open(tag, name, stack[-1], cut))
+        push(Open(tag, name, stack[-1], marked))
     flush()
     close(1)
-    best = max((b[2] for b in blocks), default=0)
-    return [b for b in blocks if b[2] == best], styles
+    return blocks, styles
 
 
 def host(url: str | None) -> str:
@@ -183,56 +230,69 @@ def host(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-FEATURES = "host string, path string, kind int, feature long, page long"
+PARSED = "page_id {kind}, url string, host string, page binary, blocks array<struct<path:string,text:string,inside:int,marked:boolean>>, styles array<struct<path:string,style:string,marked:boolean>>"
 
 
-def hashed(text: str) -> int:
-    data = text.encode("utf-8", "replace")
-    return zlib.crc32(data) << 31 ^ zlib.adler32(data)
+def parsed(pages: DataFrame) -> DataFrame:
+    """``page_id, url, host, page, blocks, styles`` of ``page_id, url, html``; ``page`` is a hash of the html."""
+    block = pa.struct([("path", pa.string()), ("text", pa.string()), ("inside", pa.int32()), ("marked", pa.bool_())])
+    style = pa.struct([("path", pa.string()), ("style", pa.string()), ("marked", pa.bool_())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in row_chunks(batch, "html"):
+                found = [parse(page or "") for page in part.column("html").to_pylist()]
+                blocks = pa.array([[dict(zip(("path", "text", "inside", "marked"), b, strict=True)) for b in x] for x, _ in found], type=pa.list_(block))
+                styles = pa.array([[dict(zip(("path", "style", "marked"), b, strict=True)) for b in x] for _, x in found], type=pa.list_(style))
+                hosts = pa.array([host(u) for u in part.column("url").to_pylist()], type=pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), hosts, part.column("page"), blocks, styles], names=["page_id", "url", "host", "page", "blocks", "styles"])
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each distinct style (kind 0) and block (kind 1) of a page."""
-    for batch in batches:
-        for part in row_chunks(batch, "html"):
-            rows = set()
-            for url, page in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
-                blocks, styles = parse(page or "")
-                name, site = hashed(page or ""), host(url)
-                rows |= {(site, path, 0, hashed(style), name) for path, style in styles}
-                rows |= {(site, path, 1, hashed(text), name) for path, text, _ in blocks}
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            types = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=["host", "path", "kind", "feature", "page"])
+    named = pages.withColumn("page", F.unhex(F.md5(F.coalesce("html", F.lit("")))))
+    return named.mapInArrow(run, PARSED.format(kind=pages.schema["page_id"].dataType.simpleString()))
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """``host, path, pages, styles, style_entropy, blocks, block_entropy``: the merged tree of each host.
+    """``host, path, pages, styles, style_entropy, blocks, block_entropy, marked``: the merged tree of each host's parsed pages.
 
     Equal pages count once. Entropies are to the base of the number of pages
     that have the path. A block on k of m pages spreads evenly over them and
     has the entropy log k / log m; ``block_entropy`` is the mean over the
-    blocks met on the pages.
+    blocks met on the pages. Both follow from sums of n log n, so no count of
+    a path meets all of its features.
     """
-    seen = pages.select("url", "html").mapInArrow(_features, FEATURES).distinct()
-    per_feature = seen.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("k"))
-    on = seen.groupBy("host", "path", "kind").agg(F.count_distinct("page").alias("m"))
-    n = F.col("k").cast("double")
-    joined = per_feature.join(on, ["host", "path", "kind"])
-    base = F.log(F.greatest(F.col("m"), F.lit(2)).cast("double"))
-    share = n / F.col("m")
-    tree = joined.groupBy("host", "path").agg(
+    seen = pages.select("host", "page", F.explode(F.array_distinct(features())).alias("x")).select("host", "page", "x.*").distinct()
+    n = F.col("n").cast("double")
+    per_feature = seen.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("n"), F.max("marked").alias("marked"))
+    sums = per_feature.groupBy("host", "path", "kind").agg(F.count(F.lit(1)).alias("features"), F.sum(n).alias("s"), F.sum(n * F.log(n)).alias("t"), F.max("marked").alias("marked"))
+    on = seen.select("host", "path", "kind", "page").distinct().groupBy("host", "path", "kind").agg(F.count(F.lit(1)).alias("m"))
+    joined = sums.join(on, ["host", "path", "kind"])
+    m, log_m = F.col("m").cast("double"), F.log(F.greatest(F.col("m"), F.lit(2)).cast("double"))
+    is_style = F.col("kind") == 0
+    return joined.groupBy("host", "path").agg(
         F.max("m").alias("pages"),
-        F.sum((F.col("kind") == 0).cast("long")).alias("styles"),
-        F.sum(F.when(F.col("kind") == 0, -share * F.log(share) / base)).alias("style_entropy"),
-        F.sum((F.col("kind") == 1).cast("long")).alias("blocks"),
-        (F.sum(F.when(F.col("kind") == 1, n * F.log(n) / base)) / F.sum(F.when(F.col("kind") == 1, n))).alias("block_entropy"),
+        F.sum(F.when(is_style, F.col("features")).otherwise(0)).alias("styles"),
+        F.max(F.when(is_style, (F.log(m) * F.col("s") - F.col("t")) / (m * log_m))).alias("style_entropy"),
+        F.sum(F.when(is_style, 0).otherwise(F.col("features"))).alias("blocks"),
+        F.max(F.when(~is_style, F.col("t") / F.col("s") / log_m)).alias("block_entropy"),
+        F.max("marked").alias("marked"),
     )
-    return tree.where(F.col("pages") >= 1)
+
+
+def features() -> Column:
+    """A page's styles (kind 0) and blocks (kind 1), as hashes."""
+
+    def feature(kind: int, field: str):
+        return lambda x: F.struct(x["path"].alias("path"), F.lit(kind).alias("kind"), F.xxhash64(x[field]).alias("feature"), x["marked"].alias("marked"))
+
+    return F.concat(F.transform("styles", feature(0, "style")), F.transform("blocks", feature(1, "text")))
 
 
 def low_branches(tree: pd.DataFrame, low: float = LOW, min_pages: int = MIN_PAGES) -> list[str]:
-    """Topmost paths of one host whose composed importance is low."""
+    """Paths of one host that hold text and are in a branch whose composed importance is low throughout.
+
+    ``tree`` has the paths on ``min_pages`` pages or more; ``rare`` says that a
+    path has children on fewer, of which nothing can be said, so it stays.
+    """
     rows = tree.set_index("path").to_dict("index")
     children: dict[str, list[str]] = {}
     for path in rows:
@@ -240,24 +300,37 @@ def low_branches(tree: pd.DataFrame, low: float = LOW, min_pages: int = MIN_PAGE
     score: dict[str, float | None] = {}
     for path in sorted(rows, key=lambda p: -p.count("/")):
         row = rows[path]
-        own = None if not row["blocks"] else 1.0 if row["pages"] < 2 else 1.0 - row["block_entropy"]
-        below = [s for c in children.get(path, []) if (s := score[c]) is not None]
-        parts = ([own] if own is not None else []) + below
+        own = None if not row["blocks"] else 1.0 - row["block_entropy"]
+        parts = ([own] if own is not None else []) + [s for c in children.get(path, []) if (s := score[c]) is not None]
         if not parts:
             score[path] = None  # no text below it
             continue
-        node = 1.0 if row["pages"] < 2 or pd.isna(row["style_entropy"]) else row["style_entropy"]
+        node = 1.0 if pd.isna(row["style_entropy"]) else row["style_entropy"]
         weight = GAMMA ** max(1, row["styles"])
         # a leaf has one style, so its content decides
         mixed = sum(parts) / len(parts)
         score[path] = mixed if row["styles"] <= 1 else max(mixed, (1 - weight) * node + weight * mixed)
-    best = max((s for s in score.values() if s is not None), default=0.0)
-    found = sorted(p for p, s in score.items() if s is not None and rows[p]["pages"] >= min_pages and s < low and s < low * best)
-    return [p for p in found if not any(p.startswith(q + "/") for q in found)]
+    best = max((s for p, s in score.items() if s is not None and not rows[p]["marked"]), default=0.0)
+    noisy: dict[str, bool] = {}
+    for path in sorted(rows, key=lambda p: -p.count("/")):
+        s = score[path]
+        noisy[path] = not rows[path]["rare"] and (s is None or (s < low and s < low * best)) and all(noisy[c] for c in children.get(path, []))
+    return sorted(p for p in rows if noisy[p] and rows[p]["blocks"])
 
 
-def _low(key: tuple, tree: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"host": [key[0]], "low": [low_branches(tree)]})
+def branches_to_cut(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """``host, low``: for each host that has any, the paths of the blocks to cut."""
+    tree = keep(style_tree(pages), "tree")
+    judged = tree.where(F.col("pages") >= min_pages)
+    parent = F.regexp_replace("path", "/[^/]*$", "")
+    rare = tree.where(F.col("pages") < min_pages).select("host", parent.alias("path")).distinct().withColumn("rare", F.lit(True))
+    # a host's rows are the paths of its templates, whatever the number of its pages
+    rows = judged.join(rare, ["host", "path"], "left").withColumn("rare", F.coalesce("rare", F.lit(False)))
+
+    def cut(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": [key[0]], "low": [low_branches(group, min_pages=min_pages)]})
+
+    return rows.groupBy("host").applyInPandas(cut, "host string, low array<string>").where(F.size("low") > 0)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -270,25 +343,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     long.
     """
     pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    # A tree has a row for each path of a host's templates, whatever the number of its pages.
-    low = keep(style_tree(pages).groupBy("host").applyInPandas(_low, "host string, low array<string>").where(F.size("low") > 0), "branches")
+    with rows_a_batch(pages.sparkSession, 256):
+        pages = keep(parsed(pages), "parsed")
+    low = keep(branches_to_cut(pages), "branches")
     # Sent to every task while it is small, so that pages stay where they are; beyond that Spark joins by host.
     size = low.agg(F.sum(F.octet_length("host") + F.octet_length(F.array_join("low", " ")) + 64)).first()[0] or 0
-    if size <= SENT_BYTES:
-        low = F.broadcast(low)
-    named = F.coalesce(F.lower(F.nullif(F.regexp_extract("url", HOST.pattern, 1), F.lit(""))), F.lit(""))
-    joined = pages.withColumn("_host", named).join(low.withColumnRenamed("host", "_host"), "_host", "left").select("page_id", "url", "html", "low")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in row_chunks(batch, "html"):
-                texts = []
-                for page, cuts in zip(part.column("html").to_pylist(), part.column("low").to_pylist(), strict=True):
-                    blocks, _ = parse(page or "")
-                    if cuts:
-                        blocks = [b for b in blocks if not any(b[0] == c or b[0].startswith(c + "/") for c in cuts)]
-                    texts.append("\n\n".join(b[1] for b in blocks))
-                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, type=pa.string()), pa.array([len(t) for t in texts], type=pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    joined = pages.join(F.broadcast(low) if size <= SENT_BYTES else low, "host", "left")
+    unmarked = F.filter("blocks", lambda b: ~b["marked"])
+    best = F.array_max(F.transform("_left", lambda b: b["inside"]))
+    main = F.filter("_left", lambda b: (b["inside"] == best) & ~F.coalesce(F.array_contains("low", b["path"]), F.lit(False)))
+    text = F.array_join(F.transform(main, lambda b: b["text"]), "\n\n")
+    return joined.withColumn("_left", unmarked).select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
