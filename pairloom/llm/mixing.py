@@ -8,8 +8,9 @@ source's exact quota of block draws.
 
 The quotas are dealt to the output shards by a binary tree: at each node the
 left half receives half of all draws, and how many of them are from which
-source is a multivariate-hypergeometric draw. Shards then take disjoint runs
-of each source's permuted draws, and shuffle what they have taken.
+source is a multivariate-hypergeometric draw. Shards, as many as the words
+call for, then take disjoint runs of each source's permuted draws, and shuffle
+what they have taken.
 
 All of it is DataFrame and SQL functions; random numbers are hashes of fixed
 seeds, so reruns agree.
@@ -22,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import keep
+from .storage import fresh, keep
 
 #: Weights of the sources in the order of their names, repeated (by contract).
 WEIGHTS = (5, 2, 1)
@@ -34,8 +35,13 @@ BLOCK_WORDS = 65_536
 BLOCK_DOCS = 4096
 #: A prefix sum over a source's blocks is made of sums over this many blocks.
 BLOCKS_A_GROUP = 1024
-SHARDS = 64
-#: Larger than any number of draws of a source, and prime, so that multiples of it permute them.
+#: Words of a shard, about; shards are a power of two, and this many at least.
+SHARD_WORDS, FEWEST_SHARDS = 1 << 22, 16
+#: A task of the mixed documents holds one shard, or more where there are more shards than this.
+MOST_TASKS = 1 << 18
+#: Levels of the tree that are one plan; after them its nodes are written and dealt over tasks.
+LEVELS_A_TABLE = 8
+#: Larger than any number of draws of a source (140,000 GB of words), which is checked, and prime, so that multiples of it permute them.
 STRIDE = 2_147_483_647
 HASH_BITS = 60
 
@@ -107,11 +113,11 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: int = SH
 
 
 def blocked(rows: DataFrame, per_source: DataFrame) -> DataFrame:
-    """``src, doc_id, at, size, words, block, passes, rest``: documents in blocks, runs of their source's permutation."""
+    """``src, doc_id, at, size, copies, words, block, passes, rest``: documents in blocks, runs of their source's permutation."""
     figures = per_source.select("src", F.col("source").alias("_source"), "blocks", "passes", "rest")
     found = rows.join(figures, F.col("source").eqNullSafe(F.col("_source")))
     block = F.least(F.floor(F.col("at").cast("double") / float(1 << HASH_BITS) * F.col("blocks")).cast("long"), F.col("blocks") - 1)
-    return found.select("src", "doc_id", "at", "size", (F.col("size") * F.col("copies")).alias("words"), block.alias("block"), "passes", "rest")
+    return found.select("src", "doc_id", "at", "size", "copies", (F.col("size") * F.col("copies")).alias("words"), block.alias("block"), "passes", "rest")
 
 
 def ends(blocks: DataFrame) -> DataFrame:
@@ -131,33 +137,29 @@ def ends(blocks: DataFrame) -> DataFrame:
 
 
 def fill(blocks: DataFrame, last: DataFrame) -> DataFrame:
-    """``src, at, size`` taken from each source's last block.
+    """``src, at, size, n`` taken from each source's last block, ``n`` of the copies of a row.
 
-    In permuted order, each document that still fits; then the smallest of
-    the others if that brings the words nearer to the target.
+    In permuted order, each copy that still fits; then one more of the
+    smallest of the others if that brings the words nearer to the target.
 
     It is one block for each source, so the array of its documents is small.
     """
     there = blocks.join(last, "src").where("block = last_block and words > 0")
-    lists = there.groupBy("src", "room").agg(F.sort_array(F.collect_list(F.struct("at", "size", "words"))).alias("items"))
-    start = F.struct(F.col("room").alias("room"), F.array().cast("array<int>").alias("taken"), F.lit(0).alias("i"))
+    lists = there.groupBy("src", "room").agg(F.sort_array(F.collect_list(F.struct("at", "size", "copies"))).alias("items"))
+    start = F.struct(F.col("room").alias("room"), F.array().cast("array<bigint>").alias("counts"))
 
     def step(acc: Column, x: Column) -> Column:
-        fits = x["words"] <= acc["room"]
-        return F.struct(
-            F.when(fits, acc["room"] - x["words"]).otherwise(acc["room"]).alias("room"),
-            F.when(fits, F.concat(acc["taken"], F.array(acc["i"]))).otherwise(acc["taken"]).alias("taken"),
-            (acc["i"] + 1).alias("i"),
-        )
+        return let(F.greatest(F.lit(0), F.least(x["copies"], F.floor(acc["room"] / x["size"]))).cast("long"), lambda k: F.struct((acc["room"] - k * x["size"]).alias("room"), F.concat(acc["counts"], F.array(k)).alias("counts")))
 
     def finish(acc: Column) -> Column:
-        nearer = F.filter("items", lambda x, i: ~F.array_contains(acc["taken"], i) & (x["words"] < 2 * acc["room"]))
-        one = F.array_min(F.transform(nearer, lambda x: F.struct(x["words"], x["at"], x["size"])))
-        taken = F.transform(acc["taken"], lambda i: F.struct(F.get(F.col("items"), i)["at"].alias("at"), F.get(F.col("items"), i)["size"].alias("size")))
-        return F.when(one.isNull(), taken).otherwise(F.concat(taken, F.array(F.struct(one["at"].alias("at"), one["size"].alias("size")))))
+        counted = F.zip_with("items", acc["counts"], lambda x, k: F.struct(x["size"].alias("size"), x["at"].alias("at"), (x["copies"] > k).alias("more"), k.alias("n")))
+        nearer = F.filter(counted, lambda x: x["more"] & (x["size"] < 2 * acc["room"]))
+        one = F.array_min(F.transform(nearer, lambda x: F.struct(x["size"].alias("size"), x["at"].alias("at"))))
+        added = F.transform(counted, lambda x: F.struct(x["at"].alias("at"), x["size"].alias("size"), (x["n"] + F.coalesce((x["at"] == one["at"]) & (x["size"] == one["size"]), F.lit(False)).cast("long")).alias("n")))
+        return F.filter(added, lambda x: x["n"] > 0)
 
     taken = F.explode(let(F.aggregate("items", start, step), finish)).alias("x")
-    return lists.select("src", taken).select("src", "x.at", "x.size")
+    return lists.select("src", taken).select("src", "x.at", "x.size", "x.n")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -229,32 +231,32 @@ def hypergeometric(good: Column, bad: Column, drawn: Column, u: Column) -> Colum
 
 
 def splitting_tree(quota: DataFrame, shards: int, seed: int) -> DataFrame:
-    """``source, shard, first, draws``: how the ``draws`` of each source are dealt to ``shards`` (a power of two).
+    """``src, shard, first, draws``: how the ``draws`` of each source are dealt to ``shards`` (a power of two).
 
-    A node holds the draws of every source; it exists as one row, so a level
-    of the tree is one projection and the sources' number is its width.
+    A node is a row that holds the draws of every source and, as ``first``,
+    how many went to nodes left of it, so a level of the tree is one
+    projection and the sources' number is its width.
     """
-    node = quota.groupBy().agg(F.sort_array(F.collect_list(F.struct("src", "draws"))).alias("have")).select(F.lit(1).alias("level"), F.lit(0).alias("node"), "have")
+    have = F.sort_array(F.collect_list(F.struct("src", F.lit(0).cast("long").alias("first"), "draws")))
+    node = quota.groupBy().agg(have.alias("have")).select(F.lit(1).alias("level"), F.lit(0).alias("node"), "have")
     total = F.aggregate("have", F.lit(0).cast("long"), lambda acc, x: acc + x["draws"])
     start = F.struct(total.alias("left"), F.floor((total + F.col("node") % 2) / 2).cast("long").alias("room"), F.array().cast("array<bigint>").alias("took"))
 
     def step(acc: Column, x: Column) -> Column:
         u = uniform(F.concat(F.lit(f"{seed}:"), F.col("level").cast("string")), F.col("node").cast("string"), F.size(acc["took"]).cast("string"))
         k = hypergeometric(x["draws"], acc["left"] - x["draws"], acc["room"], u)
-        return F.struct((acc["left"] - x["draws"]).alias("left"), (acc["room"] - k).alias("room"), F.concat(acc["took"], F.array(k)).alias("took"))
+        return let(k, lambda k: F.struct((acc["left"] - x["draws"]).alias("left"), (acc["room"] - k).alias("room"), F.concat(acc["took"], F.array(k)).alias("took")))
 
     # one expression serves all levels
     took = F.aggregate("have", start, step)["took"]
-    left = F.zip_with("have", "took", lambda x, k: F.struct(x["src"].alias("src"), k.alias("draws")))
-    right = F.zip_with("have", "took", lambda x, k: F.struct(x["src"].alias("src"), (x["draws"] - k).alias("draws")))
+    left = F.zip_with("have", "took", lambda x, k: F.struct(x["src"].alias("src"), x["first"].alias("first"), k.alias("draws")))
+    right = F.zip_with("have", "took", lambda x, k: F.struct(x["src"].alias("src"), (x["first"] + k).alias("first"), (x["draws"] - k).alias("draws")))
     halves = F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), left.alias("have")), F.struct((F.col("node") * 2 + 1).alias("node"), right.alias("have")))).alias("h")
-    level = 1
-    while level < shards:
-        level *= 2
+    for depth in range(1, shards.bit_length()):
         node = node.withColumn("took", took).select("level", halves).select((F.col("level") * 2).alias("level"), "h.node", "h.have")
-    leaves = node.select(F.col("node").alias("shard"), F.explode("have").alias("h")).select(F.col("h.src").alias("src"), "shard", F.col("h.draws").alias("draws"))
-    before = Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return leaves.withColumn("first", F.coalesce(F.sum("draws").over(before), F.lit(0)))
+        if depth % LEVELS_A_TABLE == 0:
+            node = keep(node.repartition("node"), "nodes")
+    return node.select(F.col("node").alias("shard"), F.explode("have").alias("h")).select("h.src", "shard", "h.first", "h.draws")
 
 
 class Mix:
@@ -265,54 +267,81 @@ class Mix:
     taken from the blocks in which an extra pass ends.
 
     Sources may be null (one more source, last in order); a null text has no
-    words. Rows that repeat an id, source and size are taken together, each
-    as often as the others. A null id is placed by a hash of its text. Columns
-    besides the three named are only carried. An empty table gives an empty
-    mix, and a source without words a target of 0.
+    words; texts are counted whole, however long. Rows that repeat an id,
+    source and size are copies, which go to the shards together but are taken
+    one by one where an extra pass ends. Documents of equal place in the
+    permutation go by size. A null id is placed by a hash of its text. Columns
+    besides the three named are only carried, whatever their names. An empty
+    table gives an empty mix, and a source without words a target of 0.
     """
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, share: int = SHARE, block_words: int = BLOCK_WORDS):
-        self.docs, self.names, self.shards, self.seed = docs, (id_col, text_col, source_col), shards, seed
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int | None = None, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, share: int = SHARE, block_words: int = BLOCK_WORDS):
+        self.docs, self.names, self.seed = docs, (id_col, text_col, source_col), seed
         self.rows = keep(sized(docs, id_col, text_col, source_col, seed), "sizes")
         self.per_source = keep(targets(self.rows, weights, share, block_words=block_words), "targets")
+        if shards is None:
+            mixed, shards = self.per_source.agg(F.sum("target")).first()[0] or 0, FEWEST_SHARDS
+            while shards * SHARD_WORDS < mixed:
+                shards *= 2
+        self.shards = shards
         self.blocks = blocked(self.rows, self.per_source)
         last = keep(ends(self.blocks), "ends")
         self.last = keep(fill(self.blocks, last), "last")
         # a pass that ends inside a block draws that block too
         quota = self.per_source.join(last, "src", "left").withColumn("draws", F.col("passes") * F.col("blocks") + F.coalesce(F.col("last_block") + 1, F.lit(0)))
-        self.quota = quota.select("src", "blocks", "passes", "last_block", "draws")
+        self.quota = keep(quota.select("src", "blocks", "passes", "last_block", "draws"), "quota")
         self.draws = keep(self._deal(), "draws")
 
     def _deal(self) -> DataFrame:
         tree = splitting_tree(self.quota.select("src", "draws"), self.shards, self.seed).where("draws > 0")
-        taken = tree.select("src", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("draws") - 1)).alias("place"))
+        # a source's draws are spread over tasks by shard before each becomes a row
+        taken = tree.repartition("src", "shard").select("src", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("draws") - 1)).alias("place"))
         # multiples of a prime permute the source's draws
-        taken = taken.join(self.quota, "src").withColumn("draw", F.pmod(F.col("place") * STRIDE, F.col("draws")))
+        placed = F.when(F.col("draws") < STRIDE, F.pmod(F.col("place") * STRIDE, F.col("draws"))).otherwise(F.raise_error(F.lit("a source has more draws than can be permuted: raise block_words")))
+        taken = taken.join(self.quota, "src").withColumn("draw", placed)
         return taken.select("src", "shard", F.pmod("draw", "blocks").alias("block"), F.floor(F.col("draw") / F.col("blocks")).alias("pass"), (F.col("draw") == F.col("passes") * F.col("blocks") + F.col("last_block")).alias("ends"))
 
     def drawn(self) -> DataFrame:
-        """``src, at, size, pass, shard``: one row for each time that a document is taken."""
-        met = self.blocks.select("src", "at", "size", "block").join(self.draws, ["src", "block"]).drop("block")
-        whole = met.where(~F.coalesce("ends", F.lit(False))).drop("ends")
-        partly = met.where("ends").drop("ends").join(self.last, ["src", "at", "size"], "left_semi")
+        """``src, at, size, pass, shard, n``: for each draw of a document's block, how many of its copies are taken."""
+        met = self.blocks.select("src", "at", "size", "copies", "block").join(self.draws, ["src", "block"]).drop("block")
+        whole = met.where(~F.coalesce("ends", F.lit(False))).drop("ends").withColumnRenamed("copies", "n")
+        partly = met.where("ends").drop("ends", "copies").join(self.last, ["src", "at", "size"])
         return whole.unionByName(partly.select(whole.columns))
 
+    def _draws_of_rows(self) -> DataFrame:
+        """``src, at, size, drawn``: the draws of each document, in order of pass; one for each pass at most."""
+        return self.drawn().groupBy("src", "at", "size").agg(F.sort_array(F.collect_list(F.struct("pass", "shard", "n"))).alias("drawn"))
+
     def taken(self) -> DataFrame:
-        """``doc_id, size, source_size, target, taken`` for every row of the input."""
-        times = self.drawn().groupBy("src", "at", "size").agg(F.count(F.lit(1)).alias("times"))
+        """``doc_id, size, source_size, target, taken, shards`` for every row of the input.
+
+        ``shards`` are the numbers of the shards that take the row, in order
+        of pass, joined by commas.
+        """
         figures = self.per_source.select("src", F.col("source").alias("_source"), "source_size", "target")
-        rows = self.rows.join(figures, F.col("source").eqNullSafe(F.col("_source"))).join(times, ["src", "at", "size"], "left")
+        rows = self.rows.join(figures, F.col("source").eqNullSafe(F.col("_source"))).join(self._draws_of_rows(), ["src", "at", "size"], "left")
         each = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-        return each.select("doc_id", "size", "source_size", "target", (F.coalesce("times", F.lit(0)) * F.col("size")).alias("taken"))
+        mine = F.coalesce(F.filter("drawn", lambda d: d["n"] >= F.col("_copy")), F.array().cast("array<struct<pass:bigint,shard:int,n:bigint>>"))
+        each = each.withColumn("_mine", mine)
+        shards = F.array_join(F.transform("_mine", lambda d: d["shard"].cast("string")), ",")
+        return each.select("doc_id", "size", "source_size", "target", (F.size("_mine") * F.col("size")).cast("long").alias("taken"), shards.alias("shards"))
 
     def documents(self) -> DataFrame:
-        """The mixed documents with all their columns, a partition for some shards, each shard shuffled."""
+        """The mixed documents with all their columns, a partition for each shard, each shard shuffled.
+
+        Copies (rows that repeat an id, source and size) are numbered to tell
+        how many of them a draw takes, so they meet in one task.
+        """
         id_col, text_col, source_col = self.names
-        sources = self.per_source.select("src", F.col("source").alias("_source"))
-        times = self.drawn().groupBy("src", "at", "size").agg(F.collect_list(F.struct("shard", "pass")).alias("_draws")).join(sources, "src")
-        times = times.select(F.col("at").alias("_at"), F.col("size").alias("_size"), "_source", "_draws")
-        full = self.docs.withColumns({"_place": place(self.seed, id_col, text_col), "_words": words(F.col(text_col))})
-        found = full.join(times, (F.col("_place") == F.col("_at")) & (F.col("_words") == F.col("_size")) & F.col(source_col).eqNullSafe(F.col("_source")))
-        found = found.withColumn("_draw", F.explode("_draws")).withColumn("_shard", F.col("_draw.shard"))
-        order = F.xxhash64(F.lit(self.seed), "_at", "_draw.pass")
-        return found.repartition(self.shards, "_shard").sortWithinPartitions("_shard", order).select(*[F.col(c) for c in self.docs.columns])
+        columns = self.docs.columns
+        at, size, source, drawn, where, words_, copy, draw = (fresh(c, columns) for c in ("_at", "_size", "_source", "_drawn", "_place", "_words", "_copy", "_draw"))
+        sources = self.per_source.select("src", F.col("source").alias(source))
+        times = self._draws_of_rows().join(sources, "src").select(F.col("at").alias(at), F.col("size").alias(size), source, F.col("drawn").alias(drawn))
+        full = self.docs.withColumns({where: place(self.seed, id_col, text_col), words_: words(F.col(text_col))})
+        found = full.join(times, (F.col(where) == F.col(at)) & (F.col(words_) == F.col(size)) & F.col(source_col).eqNullSafe(F.col(source)))
+        numbered = found.withColumn(copy, F.row_number().over(Window.partitionBy(where, words_, source_col).orderBy(where)))
+        shown = numbered.withColumn(draw, F.explode(F.filter(drawn, lambda d: d["n"] >= F.col(copy))))
+        tasks = min(self.shards, MOST_TASKS)
+        shard = F.col(draw)["shard"]
+        dealt = shown.repartitionById(tasks, F.pmod(shard, F.lit(tasks)).cast("int"))
+        return dealt.sortWithinPartitions(shard, F.xxhash64(F.lit(self.seed), where, F.col(draw)["pass"])).select(*[F.col(f"`{c}`") for c in columns])

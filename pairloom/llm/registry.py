@@ -19,7 +19,12 @@ def tokenizer_path() -> str:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.Mix(table(spark, sf_dir, "documents")).taken()
+    return mixing.Mix(table(spark, sf_dir, "documents")).taken().drop("shards")
+
+
+def mixed_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shards that the tree deals each document's draws to."""
+    return mixing.Mix(table(spark, sf_dir, "documents")).taken().select("doc_id", "taken", "shards")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +118,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "mixed_shards": mixed_shards,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_html_text": op3_html_text,
     "op4_url_filter": op4_url_filter,
