@@ -1,11 +1,9 @@
 """Near duplicates: exact Jaccard join of word n-grams, light sets apart from heavy ones.
 
-A document's set holds 64-bit hashes of its distinct five-word shingles. The
-sets are found in one pass over the texts and written, once for each task
-that meets them; all later steps read them there. Documents with one and the
-same set form a node, so copies meet once. Sets are the same when 128 bits
-of hash are; a node is then known by 64 of them, or by other 64 where two
-nodes share these.
+A document's set holds 64-bit hashes of its distinct five-word shingles.
+Documents with one and the same set form a node, so copies meet once. Sets are
+the same when 128 bits of hash are; a node is then known by 64 of them, or by
+the other 64 where two nodes share these.
 
 Two linked sets of sizes n and m share at least c(n, m) shingles. A light set,
 of few shingles, enumerates its subsets of each size c that a light partner
@@ -22,6 +20,9 @@ in blocks. Parity sketches drop the pairs that they prove too different. The
 others are verified on the full sets, nearest first, until none is left
 between components. So no link is missed or invented, short of two shingles
 of one pair of sets that share a 64-bit hash.
+
+Texts are shingled anew by each of the four passes that need sets: kept sets
+would take more disk than the texts.
 """
 
 from __future__ import annotations
@@ -63,10 +64,7 @@ FILTER_BITS = 1 << 26
 #: Bits of a hash that choose a bucket, so that there may be 16 million of them.
 BUCKET_BITS = 24
 
-#: A task holds a row group of a table of sets while it writes it.
-SMALL_GROUPS = {"parquet.block.size": str(8 << 20), "parquet.enable.dictionary": "false"}
-
-NODES = "doc_id long, n int, sig long, check long, sketch binary, members binary"
+NODES = "doc_id long, n int, sig long, check long, sketch binary, small binary"
 
 
 def common(n: int, m: int) -> int:
@@ -89,26 +87,34 @@ def signature(x: np.ndarray) -> tuple[int, int]:
         return tuple(int(v) for v in mix(np.array(names, dtype=np.uint64)).view(np.int64))
 
 
+class Names:
+    """Names of sets by 64 bits: the first half of the signature, or the second where two nodes share the first.
+
+    Among N nodes about N * N / 2**65 pairs share a half (three of ten billion
+    nodes), so the set of shared halves is small.
+    """
+
+    def __init__(self, shared: frozenset[int] = frozenset()):
+        self.shared = shared
+
+    def __call__(self, x: np.ndarray) -> int:
+        a, b = signature(x)
+        return b if a in self.shared else a
+
+
 def sketch(x: np.ndarray) -> bytes:
     """Parity of the number of shingles that fall to each bit: it differs in at most as many bits as sets in shingles."""
     return np.packbits((np.bincount((x & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
 
 
 def find_nodes(docs: DataFrame) -> DataFrame:
-    """One row per document; ``members`` is null where a task has met the set before (it remembers 16 bytes a set)."""
+    """One row per document; ``small`` are the first shingles of a set that may be light."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for part in row_chunks(batch, "text"):
-                sets, names, members = list(shingle_sets(part.column("text"))), [], []
-                for doc, x in zip(part.column("doc_id").to_pylist(), sets, strict=True):
-                    name = signature(x) if len(x) else (0, 0)
-                    new = len(x) and doc is not None and name not in seen
-                    if new:
-                        seen.add(name)
-                    names.append(name)
-                    members.append(x.tobytes() if new else None)
+                sets = list(shingle_sets(part.column("text")))
+                names = [signature(x) if len(x) else (0, 0) for x in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
@@ -116,33 +122,21 @@ def find_nodes(docs: DataFrame) -> DataFrame:
                         pa.array([a for a, _ in names], type=pa.int64()),
                         pa.array([b for _, b in names], type=pa.int64()),
                         pa.array([sketch(x) if len(x) else b"" for x in sets], type=pa.binary()),
-                        pa.array(members, type=pa.binary()),
+                        pa.array([x[: prefix(len(x))].tobytes() if 0 < len(x) <= LARGEST_LIGHT else None for x in sets], type=pa.binary()),
                     ],
-                    names=["doc_id", "n", "sig", "check", "sketch", "members"],
+                    names=["doc_id", "n", "sig", "check", "sketch", "small"],
                 )
 
     return docs.mapInArrow(run, NODES)
 
 
-def named(rows: DataFrame) -> DataFrame:
-    """``rows`` with nodes told apart by ``sig`` alone.
-
-    Among N nodes about N * N / 2**65 pairs share a ``sig`` (three of ten
-    billion nodes), so the list of these is short; they are named anew.
-    """
-    pairs = rows.where("members is not null").select("sig", "check").distinct()
-    shared = [r[0] for r in pairs.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("sig").collect()]
-    return rows.withColumn("sig", F.when(F.col("sig").isin(shared), F.xxhash64("sig", "check")).otherwise(F.col("sig"))) if shared else rows
-
-
-def set_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield from row_chunks(batch, "members")
+def shared_halves(rows: DataFrame) -> frozenset[int]:
+    pairs = rows.where("n > 0").select("sig", "check").distinct()
+    return frozenset(r[0] for r in pairs.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("sig").collect())
 
 
-def sets_in(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    for name, x in zip(batch.column("sig").to_pylist(), batch.column("members"), strict=True):
-        yield name, np.frombuffer(x.as_buffer(), dtype=np.uint64)
+def renamed(rows: DataFrame, shared: frozenset[int]) -> DataFrame:
+    return rows.withColumn("sig", F.when(F.col("sig").isin(list(shared)), F.col("check")).otherwise(F.col("sig"))) if shared else rows
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -166,30 +160,37 @@ def in_buckets(keys: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator
 
 
 def counted(n):
-    """How many first shingles of a set of ``n`` are counted, n a number or a column."""
+    """How many first shingles of a set of ``n`` are counted."""
     return prefix(n) * 3 // 2 + 8
 
 
-def frequent_shingles(sets: DataFrame, buckets: int) -> np.ndarray:
+def frequent_shingles(docs: DataFrame, buckets: int, rows: DataFrame, name: Names) -> np.ndarray:
     """Shingles with many postings, and how many each has: a structured array sorted by shingle.
 
-    Counts cover the first shingles of all sets, half again as many as a
+    Counts cover the first shingles of all documents, half again as many as a
     search needs, so that those that move up as frequent ones move back are
     counted too. A frequent shingle has more than the threshold of these
-    postings, so there are at most ``MOST_FREQUENT``.
+    postings, so there are at most ``MOST_FREQUENT``. A task counts a set once
+    (it remembers 8 bytes a set).
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in set_chunks(batches):
-            heads = [x[: counted(len(x))] for _, x in sets_in(batch)]
-            if heads:
-                keys = np.concatenate(heads)
-                rows = list(in_buckets(keys, buckets, (keys >> np.uint64(BUCKET_BITS)).astype(np.uint32)))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], type=pa.int32()), pa.array([r[1] for r in rows], type=pa.binary())], names=["bucket", "keys"])
+        seen: set[int] = set()
+        for batch in batches:
+            for part in row_chunks(batch, "text"):
+                heads = []
+                for x in shingle_sets(part.column("text")):
+                    if len(x) and (own := name(x)) not in seen:
+                        seen.add(own)
+                        heads.append(x[: counted(len(x))])
+                if heads:
+                    keys = np.concatenate(heads)
+                    rows = list(in_buckets(keys, buckets, (keys >> np.uint64(BUCKET_BITS)).astype(np.uint32)))
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], type=pa.int32()), pa.array([r[1] for r in rows], type=pa.binary())], names=["bucket", "keys"])
 
     n = F.col("n")
-    some = n - F.floor((PERCENT * n + 99) / 100) + 1
-    postings = sets.agg(F.sum(F.least(n, F.floor(some * 3 / 2) + 8))).first()[0] or 0
+    first = n - F.floor((PERCENT * n + 99) / 100) + 1
+    postings = rows.where("n > 0").agg(F.sum(F.least(n, F.floor(first * 3 / 2) + 8))).first()[0] or 0
     least = max(FREQUENT, -(-postings // MOST_FREQUENT))
 
     def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -197,23 +198,22 @@ def frequent_shingles(sets: DataFrame, buckets: int) -> np.ndarray:
         often = n > least
         return pa.table({"key": pa.array(keys[often].astype(np.int64) | key[0].as_py() << 32), "postings": pa.array(n[often])})
 
-    found = sets.select("sig", "members").mapInArrow(emit, "bucket int, keys binary").groupBy("bucket").applyInArrow(count, "key long, postings long").toArrow()
+    found = docs.mapInArrow(emit, "bucket int, keys binary").groupBy("bucket").applyInArrow(count, "key long, postings long").toArrow()
     out = np.zeros(found.num_rows, dtype=[("key", np.uint64), ("postings", np.int64)])
     for c in ("key", "postings"):
         out[c] = found.column(c).to_numpy()
     return np.sort(out, order="key")
 
 
-def pairs_a_posting(sets: DataFrame) -> float:
+def pairs_a_posting(rows: DataFrame) -> float:
     """Pairs that a posting of the small sets leads to, counted in the lists of all of them."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in set_chunks(batches):
-            heads = [x[: prefix(len(x))] for _, x in sets_in(batch)]
-            if heads:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64))], names=["key"])
+        for batch in batches:
+            keys = np.frombuffer(b"".join(batch.column("small").to_pylist()), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys)], names=["key"])
 
-    small = sets.where(f"n <= {LARGEST_LIGHT}").select("sig", "members").mapInArrow(emit, "key long")
+    small = rows.where("small is not null").select("sig", "small").dropDuplicates(["sig"]).mapInArrow(emit, "key long")
     k = F.col("k").cast("double")
     return small.groupBy("key").agg(F.count(F.lit(1)).alias("k")).agg(F.sum(k * (k - 1) / 2) / F.sum(k)).first()[0] or 0.0
 
@@ -264,28 +264,34 @@ def subset_keys(x: np.ndarray, light: int) -> np.ndarray:
     return mix(np.array(keys, dtype=np.uint64))
 
 
-def emit_postings(frequent, buckets: int, light: int):
+def emit_postings(frequent, buckets: int, light: int, naming: Names):
     """``frequent`` is a broadcast array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in set_chunks(batches):
-            keys, names, sizes = [], [], []
-            for name, x in sets_in(batch):
-                n, own = len(x), []
-                if n <= light:
-                    own.append(subset_keys(x, light))
-                if 100 * n >= PERCENT * (light + 1):  # a partner may be heavy
-                    own.append(head(x, frequent.value, buckets))
-                count = sum(map(len, own))
-                keys += own
-                names.append(np.full(count, name, dtype=np.int64))
-                sizes.append(np.full(count, min(n, CLIPPED), dtype=np.uint16))
-            if keys:
-                keys = np.concatenate(keys)
-                # six bytes and the bucket tell keys apart; a clash would only add a candidate
-                short = np.ascontiguousarray((keys >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
-                rows = list(in_buckets(keys, buckets, short, np.concatenate(names), np.concatenate(sizes)))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], type=pa.int32())] + [pa.array([r[k] for r in rows], type=pa.binary()) for k in (1, 2, 3)], names=["bucket", "keys", "sigs", "sizes"])
+        seen: set[int] = set()
+        for batch in batches:
+            for part in row_chunks(batch, "text"):
+                keys, names, sizes = [], [], []
+                for x in shingle_sets(part.column("text")):
+                    n = len(x)
+                    if not n or (name := naming(x)) in seen:
+                        continue
+                    seen.add(name)
+                    own = []
+                    if n <= light:
+                        own.append(subset_keys(x, light))
+                    if 100 * n >= PERCENT * (light + 1):  # a partner may be heavy
+                        own.append(head(x, frequent.value, buckets))
+                    count = sum(map(len, own))
+                    keys += own
+                    names.append(np.full(count, name, dtype=np.int64))
+                    sizes.append(np.full(count, min(n, CLIPPED), dtype=np.uint16))
+                if keys:
+                    keys = np.concatenate(keys)
+                    # six bytes and the bucket tell keys apart; a clash would only add a candidate
+                    short = np.ascontiguousarray((keys >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
+                    rows = list(in_buckets(keys, buckets, short, np.concatenate(names), np.concatenate(sizes)))
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], type=pa.int32())] + [pa.array([r[k] for r in rows], type=pa.binary()) for k in (1, 2, 3)], names=["bucket", "keys", "sigs", "sizes"])
 
     return run
 
@@ -365,21 +371,29 @@ def filter_words(names: DataFrame) -> np.ndarray:
     return out
 
 
-def sets_of(sets: DataFrame, names: DataFrame) -> DataFrame:
-    """``sig, members`` of the named nodes."""
-    words = sets.sparkSession.sparkContext.broadcast(filter_words(names))
+def sets_of(docs: DataFrame, names: DataFrame, naming: Names) -> DataFrame:
+    """``sig, members`` of the named nodes, found again from the texts."""
+    sent = docs.sparkSession.sparkContext.broadcast(filter_words(names))
+
+    def asked(words: np.ndarray, name: int) -> bool:
+        mask = len(words) * 64 - 1
+        places = (name & mask, (name & 0xFFFFFFFFFFFFFFFF) >> 32 & mask)
+        return all(int(words[p >> 6]) >> (p & 63) & 1 for p in places)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = words.value
-        mask = np.uint64(len(bits) * 64 - 1)
+        seen: set[int] = set()
+        words = sent.value
         for batch in batches:
-            name = batch.column("sig").to_numpy().view(np.uint64)
-            asked = np.ones(len(name), dtype=bool)
-            for at in (name & mask, name >> np.uint64(32) & mask):
-                asked &= (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-            yield batch.filter(pa.array(asked))
+            for part in row_chunks(batch, "text"):
+                found = []
+                for x in shingle_sets(part.column("text")):
+                    if len(x) and (name := naming(x)) not in seen and asked(words, name):
+                        seen.add(name)
+                        found.append((name, x.tobytes()))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], type=pa.int64()), pa.array([x[1] for x in found], type=pa.binary())], names=["sig", "members"])
 
-    return sets.select("sig", "members").mapInArrow(run, "sig long, members binary").join(names, "sig", "left_semi").dropDuplicates(["sig"])
+    return docs.mapInArrow(run, "sig long, members binary").join(names, "sig", "left_semi").dropDuplicates(["sig"])
 
 
 def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,10 +408,9 @@ def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that link, found on the full sets, of which only those that the pairs name are moved."""
-    some = sets_of(sets, pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct())
-    x = some.select(F.col("sig").alias("a"), F.col("members").alias("x"))
-    y = some.select(F.col("sig").alias("b"), F.col("members").alias("y"))
+    """The pairs that link, found on the full sets."""
+    x = sets.select(F.col("sig").alias("a"), F.col("members").alias("x"))
+    y = sets.select(F.col("sig").alias("b"), F.col("members").alias("y"))
     return keep(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(linked, "a long, b long"), "links")
 
 
@@ -506,23 +519,24 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def _link(docs: DataFrame) -> DataFrame:
-    spark = docs.sparkSession
-    rows = named(keep(find_nodes(docs), "sets", **SMALL_GROUPS))
-    sets = rows.where("members is not null").select("sig", "n", "members")
+    rows = keep(find_nodes(docs), "nodes")
+    naming = Names(shared_halves(rows))
+    rows = renamed(rows, naming.shared)
     nodes = rows.where("doc_id is not null and n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = keep(nodes, "nodes")
-    total = sets.agg(F.sum(F.floor(F.col("n") / 5) + 1)).first()[0] or 0
+    total = rows.agg(F.sum(F.floor(F.col("n") / 5) + 1)).first()[0] or 0
     sizes = {r.n: r["count"] for r in nodes.where(f"n <= {LARGEST_LIGHT}").groupBy("n").count().collect()}
     buckets = max(1, min(1 << BUCKET_BITS, -(-total // POSTINGS_PER_BUCKET)))
-    frequent = spark.sparkContext.broadcast(frequent_shingles(sets, buckets))
-    light = light_boundary(sizes, pairs_a_posting(sets))
-    lists = sets.select("sig", "members").mapInArrow(emit_postings(frequent, buckets, light), "bucket int, keys binary, sigs binary, sizes binary")
+    known = docs.where("doc_id is not null")
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(known, buckets, rows.where("doc_id is not null"), naming))
+    light = light_boundary(sizes, pairs_a_posting(rows.where("doc_id is not null")))
+    lists = known.mapInArrow(emit_postings(frequent, buckets, light, naming), "bucket int, keys binary, sigs binary, sizes binary")
     lists = keep(lists.groupBy("bucket").applyInArrow(scan_lists, LISTS), "lists")
 
     sketches = nodes.select("sig", "n", "sketch")
     members = lists.where("key is not null").select(F.struct("bucket", "key").alias("key"), F.col("a").alias("sig"), F.col("na").alias("n"))
     members = keep(members.join(members.groupBy("sig").agg(F.count(F.lit(1)).alias("lists")), "sig"), "members")
-    # What sketches leave possible is settled first; then the sets are read.
+    # What sketches leave possible is settled first, so that one more pass over the texts finds the sets.
     pairs = keep(plausible(ordered_pairs(lists.where("key is null"), "a", "b").unionByName(leader_pairs(members, None, 0)).distinct(), sketches), "pairs")
     likely = components(pairs)
     for turn in range(1, LEADER_ROUNDS):
@@ -532,8 +546,9 @@ def _link(docs: DataFrame) -> DataFrame:
         pairs = pairs.unionByName(more).dropDuplicates(["a", "b"])
         likely = components(more, likely)
     pairs = keep(pairs.unionByName(rest_pairs(members, likely, sketches)).dropDuplicates(["a", "b"]), "pairs")
+    sets = keep(sets_of(known, pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct(), naming), "members")
     labels = verified_labels(pairs, sets)
-    # Members of one list that only seemed to be in one component.
+    # Members of one list that only seemed to be in one component; their sets are known.
     missed = keep(rest_pairs(members, labels, sketches).join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not missed.isEmpty():
         labels = verified_labels(missed, sets, labels)

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from pairloom.llm import jaccard as J
@@ -101,8 +102,7 @@ def test_light_half_finds_links(spark, monkeypatch):
             text[-1 if i % 2 else 0] = f"u{g}.{i % 20}"
             rows.append((len(rows), " ".join(text)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    sets = J.find_nodes(docs).where("members is not null")
-    assert J.pairs_a_posting(sets) > 5
+    assert J.pairs_a_posting(J.find_nodes(docs)) > 5
     chosen = []
     boundary = J.light_boundary
     monkeypatch.setattr(J, "light_boundary", lambda *a: chosen.append(boundary(*a)) or chosen[-1])
@@ -110,11 +110,14 @@ def test_light_half_finds_links(spark, monkeypatch):
     assert chosen[0] > 5
 
 
-def test_nodes_that_share_a_name(spark):
+def test_nodes_that_share_half_a_name(spark, monkeypatch):
     rows = [(1, 10, 1), (2, 10, 2), (3, 11, 1), (4, 10, 1)]
-    got = J.named(spark.createDataFrame([(*r, b"") for r in rows], "doc_id long, sig long, check long, members binary")).collect()
-    name = {r.doc_id: r.sig for r in got}
-    assert name[1] == name[4] != name[2] and name[3] == 11 and len(set(name.values())) == 3
+    df = spark.createDataFrame([(*r, 6) for r in rows], "doc_id long, sig long, check long, n int")
+    shared = J.shared_halves(df)
+    assert shared == {10} and {r.doc_id: r.sig for r in J.renamed(df, shared).collect()} == {1: 1, 2: 2, 3: 11, 4: 1}
+    x = np.arange(9, dtype=np.uint64)
+    a, b = J.signature(x)
+    assert a != b and J.Names()(x) == a and J.Names(frozenset({a}))(x) == b
 
 
 def test_boundary_by_cost():
