@@ -26,3 +26,22 @@ def test_stages(spark, sf_dir, tmp_path):
     encoder = packing.encoder(registry.tokenizer_path())
     assert sum(r.length for r in out.collect()) == sum(n * (len(encoder.whole(mixed[d])) // 4 + 1) for d, n in times.items())
     assert list(quality_rules.RULES) and max(times.values()) <= 2
+
+
+def test_stages_take_nulls_repeats_and_clashes(spark, tmp_path):
+    """Every stage on rows of null ids, texts and sources, repeated rows and names that the operators use inside."""
+    good = " ".join(f"word{i}" for i in range(60))
+    names = ["lang", "n_chars", "_at", "_a", "digest", "sig", "n", "part", "component_id"]
+    rows = [(1, good, "a"), (1, good, "a"), (None, good + " end", None), (None, good + " end", None), (3, None, "a"), (4, "", None), (5, good.replace("word7 ", "x "), "b"), (6, " ".join(f"w{i}z" for i in range(30_000)), "b")]
+    docs = spark.createDataFrame([(*r, *[f"{c}{i}" for c in names]) for i, r in enumerate(rows)], ["doc_id", "text", "source", *names])
+    counts, out = [], docs
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, out.limit(0), "").count() == 0
+        stage(spark, out, "").write.parquet(f"{tmp_path}/{k}")
+        out = spark.read.parquet(f"{tmp_path}/{k}")
+        assert k == 4 or out.columns == docs.columns
+        counts.append(out.count())
+    # null and empty texts go; repeats become one; 5 is near 1, a null id links with nothing
+    assert counts[:3] == [6, 4, 3] and counts[3] >= 3
+    given = {tuple(r)[3:]: tuple(r)[:3] for r in docs.collect()}
+    assert all(given[tuple(r)[3:]] == tuple(r)[:3] for r in spark.read.parquet(f"{tmp_path}/3").collect())
