@@ -19,12 +19,7 @@ def tokenizer_path() -> str:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.Mix(table(spark, sf_dir, "documents")).taken().drop("shards")
-
-
-def mixed_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shards that the tree deals each document's draws to."""
-    return mixing.Mix(table(spark, sf_dir, "documents")).taken().select("doc_id", "taken", "shards")
+    return mixing.Mix(table(spark, sf_dir, "documents")).taken()
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,13 +107,43 @@ def _secret_sql() -> str:
         FROM d LEFT JOIN w USING (doc_id) GROUP BY d.doc_id"""
 
 
+#: Levels and sources that the SQL of the splitting tree spells out: up to 1,024 shards, 24 sources.
+TREE_LEVELS, TREE_SOURCES = 6, 24
+
+
+def _tree_sql() -> str:
+    """The splitting tree, level by level and in each node source by source, as common table expressions.
+
+    A draw is the first number, outwards from the mode, at which the summed
+    probabilities exceed the uniform one.
+    """
+    steps = ["l0 AS (SELECT 1 AS level, 0 AS node, list(draws ORDER BY src) AS have, list(CAST(0 AS BIGINT) ORDER BY src) AS firsts FROM q)"]
+    for k in range(TREE_LEVELS):
+        steps.append(f"t{k}_0 AS (SELECT *, CAST(list_sum(have) AS BIGINT) AS remain, CAST(floor((list_sum(have) + node % 2) / 2) AS BIGINT) AS room, CAST([] AS BIGINT[]) AS took FROM l{k} WHERE level < (SELECT n FROM shards))")
+        for i in range(TREE_SOURCES):
+            steps.append(f"""t{k}_{i + 1} AS (
+                WITH g AS (SELECT *, have[{i + 1}] AS good, remain - have[{i + 1}] AS bad, (CAST('0x' || substr(md5(concat_ws('|', '1:' || level, node, {i})), 1, 15) AS BIGINT) + 0.5::DOUBLE) / 1152921504606846976::DOUBLE AS u FROM t{k}_{i} WHERE len(have) > {i}),
+                m AS (SELECT *, greatest(0, room - bad) AS low, least(good, room) AS high, least(least(good, room), greatest(greatest(0, room - bad), (good + 1) * (room + 1) // (good + bad + 2))) AS mode FROM g),
+                x AS (SELECT *, unnest(range(low, high + 1)) AS x FROM m),
+                w AS (SELECT *, CASE WHEN x > mode THEN 2 * (x - mode) - 1 ELSE 2 * (mode - x) END AS o, exp(lgamma(good + 1) - lgamma(x + 1) - lgamma(good - x + 1) + lgamma(bad + 1) - lgamma(room - x + 1) - lgamma(bad - room + x + 1) - lgamma(good + bad + 1) + lgamma(room + 1) + lgamma(good + bad - room + 1)) AS p FROM x),
+                c AS (SELECT *, sum(p) OVER (PARTITION BY node ORDER BY o) > u AS over FROM w),
+                k AS (SELECT node, coalesce(min_by(x, o) FILTER (WHERE over), min_by(x, o)) AS k FROM c GROUP BY node)
+                SELECT level, node, have, firsts, remain - good AS remain, room - k AS room, list_append(took, k) AS took FROM g JOIN k USING (node)
+                UNION ALL SELECT * FROM t{k}_{i} WHERE len(have) <= {i})""")
+        last = f"t{k}_{TREE_SOURCES}"
+        steps.append(f"""l{k + 1} AS (
+            SELECT level * 2 AS level, node * 2 AS node, took AS have, firsts FROM {last}
+            UNION ALL SELECT level * 2, node * 2 + 1, list_transform(list_zip(have, took), lambda z: z[1] - z[2]), list_transform(list_zip(firsts, took), lambda z: z[1] + z[2]) FROM {last})""")
+    leaves = " UNION ALL ".join(f"SELECT node AS shard, unnest(have) AS have, unnest(firsts) AS first, generate_subscripts(have, 1) AS src FROM l{k + 1} WHERE level = (SELECT n FROM shards)" for k in range(TREE_LEVELS))
+    return ", ".join([*steps, f"leaf AS ({leaves})"])
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES = {
     "op1_mixing": op1_mixing,
-    "mixed_shards": mixed_shards,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_html_text": op3_html_text,
     "op4_url_filter": op4_url_filter,
@@ -173,11 +198,26 @@ ORACLES = {
             SELECT DISTINCT ON (q.source) q.source, q.doc_id FROM queue q JOIN left_over r ON q.source IS NOT DISTINCT FROM r.source
             JOIN walk w ON w.source IS NOT DISTINCT FROM q.source AND w.doc_id = q.doc_id AND NOT w.fits
             WHERE q.size < 2 * r.room ORDER BY q.source, q.size, q.n),
-        extra AS (SELECT source, doc_id FROM walk WHERE fits UNION ALL SELECT source, doc_id FROM nearer)
+        extra AS (SELECT source, doc_id FROM walk WHERE fits UNION ALL SELECT source, doc_id FROM nearer),
+        q AS (
+            SELECT row_number() OVER (ORDER BY s.source NULLS LAST) AS src, s.source, CAST(s.blocks AS BIGINT) AS blocks, CAST(s.passes AS BIGINT) AS passes, CAST(l.last_block AS BIGINT) AS last_block,
+                   CAST(s.passes * s.blocks + coalesce(l.last_block + 1, 0) AS BIGINT) AS draws
+            FROM s LEFT JOIN last l ON s.source IS NOT DISTINCT FROM l.source),
+        shards AS (SELECT min(16 * CAST(pow(2, k) AS BIGINT)) AS n FROM range(7) r(k) WHERE 16 * pow(2, k) * 4194304 >= (SELECT sum(target) FROM s)),
+        """ + _tree_sql() + r""",
+        place AS (SELECT src, shard, unnest(range(first, first + have)) AS place FROM leaf),
+        dealt AS (SELECT q.source, shard, place * 2147483647 % draws AS draw, blocks, passes, last_block FROM place JOIN q USING (src)),
+        draw AS (SELECT source, shard, draw % blocks AS block, draw // blocks AS pass, coalesce(draw = passes * blocks + last_block, false) AS ends FROM dealt),
+        mine AS (
+            SELECT b.doc_id, string_agg(shard, ',' ORDER BY pass) AS shards
+            FROM b JOIN draw ON b.source IS NOT DISTINCT FROM draw.source AND b.block = draw.block
+            WHERE NOT ends OR EXISTS (SELECT 1 FROM extra w WHERE w.doc_id = b.doc_id AND w.source IS NOT DISTINCT FROM b.source)
+            GROUP BY b.doc_id)
         SELECT b.doc_id, b.size, b.source_size, b.target,
-               CAST(b.size * (b.passes + CASE WHEN b.block < l.last_block OR w.doc_id IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS taken
+               CAST(b.size * (b.passes + CASE WHEN b.block < l.last_block OR w.doc_id IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS taken, coalesce(mine.shards, '') AS shards
         FROM b LEFT JOIN last l ON b.source IS NOT DISTINCT FROM l.source
-        LEFT JOIN extra w ON w.doc_id = b.doc_id AND w.source IS NOT DISTINCT FROM b.source""",
+        LEFT JOIN extra w ON w.doc_id = b.doc_id AND w.source IS NOT DISTINCT FROM b.source
+        LEFT JOIN mine ON mine.doc_id = b.doc_id""",
     "op2_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
