@@ -344,7 +344,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     with rows_a_batch(pages.sparkSession, 256):
-        pages = keep(parsed(pages), "parsed")
+        pages = keep(parsed(pages), "parsed", compression="zstd")
     low = keep(branches_to_cut(pages), "branches")
     # Sent to every task while it is small, so that pages stay where they are; beyond that Spark joins by host.
     size = low.agg(F.sum(F.octet_length("host") + F.octet_length(F.array_join("low", " ")) + 64)).first()[0] or 0
