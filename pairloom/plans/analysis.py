@@ -330,13 +330,12 @@ def within_group_permutation(spark: SparkSession, d: str) -> DataFrame:
     return T.permuted(B.scored(spark, d), "condition", "drug", "case_count").select("drug", "condition", "case_count", "placebo")
 
 
-@query()
+@query(f"WITH {B.PAIR_SQL}, {B.GENE_SQL} SELECT 'drug' AS side, CAST(drug AS VARCHAR) AS node, count(*) AS degree FROM dg GROUP BY 2 UNION ALL SELECT 'gene', gene, count(*) FROM dg GROUP BY 2")
 def edge_swap(spark: SparkSession, d: str) -> DataFrame:
-    """Degrees of the rewired edges, which equal those before, and how many edges are new."""
-    edges = B.drug_genes(spark, d)
-    new = T.swap_edges(edges, "drug", "gene", rounds=2)
-    kept = edges.withColumn("kept", F.lit(1))
-    return new.join(kept, ["drug", "gene"], "left").groupBy("drug").agg(F.count(F.lit(1)).alias("degree"), F.count(F.when(F.col("kept").isNull(), 1)).alias("n_new"))
+    """Degrees of both sides of the rewired edges, which equal those before; a test counts the edges that are new."""
+    new = B.keep(T.swap_edges(B.drug_genes(spark, d), "drug", "gene"))
+    sides = [new.groupBy(F.lit(c).alias("side"), F.col(c).cast("string").alias("node")).agg(F.count(F.lit(1)).alias("degree")) for c in ("drug", "gene")]
+    return sides[0].unionByName(sides[1])
 
 
 @query(f"""WITH {B.PAIR_SQL}, x AS (SELECT ntile(4) OVER (ORDER BY drug, condition) AS design, score FROM sc), m AS (SELECT design, avg(score) AS metric FROM x GROUP BY 1)
