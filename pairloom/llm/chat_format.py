@@ -20,7 +20,9 @@ from .storage import keep
 
 #: Turns of a chunk of a running sum, and of a rendered part.
 CHUNK = 256
-#: Bits of one lane of the rolling hash: sums of 2**22 turns fit a long.
+#: Rows of 256 turn numbers beyond which these are spread over smaller chunks.
+CROWDED = 4096
+#: Bits of one lane of the rolling hash: a sum over a chunk, of up to 2**22 rows, fits a long.
 LANE_BITS = 40
 LANES = ("h1", "h2", "h3")
 TEMPLATE = ("<|", "|>\n", "\n")
@@ -30,31 +32,43 @@ def lane(k: int, *cols: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(k), *cols), F.lit(1 << LANE_BITS))
 
 
-def running(df: DataFrame, key: str, chunk: str, order: list[Column], sums: dict[str, Column]) -> DataFrame:
-    """Running sums per key in two levels: over chunks, then inside each; needs ``order`` to refine ``chunk``."""
+def running(df: DataFrame, key: str, chunk: str, order: list[Column], sums: dict[str, Column], bits: int = 62) -> DataFrame:
+    """Running sums per key in two levels, modulo 2 ** ``bits``: over chunks, then inside each; needs ``order`` to refine ``chunk``.
+
+    Sums over chunks are decimal ones, so they hold however many chunks there are.
+    """
+    whole = F.lit(1 << bits)
     inside = Window.partitionBy(key, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     per_chunk = df.groupBy(key, chunk).agg(*[F.sum(v).alias(f"_t_{k}") for k, v in sums.items()])
     before = Window.partitionBy(key).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    per_chunk = per_chunk.select(F.col(key).alias("_ck"), F.col(chunk).alias("_cc"), *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in sums])
+    so_far = {k: F.pmod(F.sum(F.col(f"_t_{k}").cast("decimal(38,0)")).over(before), whole.cast("decimal(38,0)")).cast("long") for k in sums}
+    per_chunk = per_chunk.select(F.col(key).alias("_ck"), F.col(chunk).alias("_cc"), *[F.coalesce(v, F.lit(0)).alias(f"_b_{k}") for k, v in so_far.items()])
     within = df.withColumns({f"_w_{k}": F.sum(v).over(inside) for k, v in sums.items()})
     joined = within.join(per_chunk, F.col(key).eqNullSafe(F.col("_ck")) & F.col(chunk).eqNullSafe(F.col("_cc")))
-    return joined.select(*df.columns, *[(F.col(f"_b_{k}") + F.col(f"_w_{k}")).alias(k) for k in sums])
+    return joined.select(*df.columns, *[F.pmod(F.col(f"_b_{k}") + F.pmod(F.col(f"_w_{k}"), whole), whole).alias(k) for k in sums])
 
 
-def turns(chats: DataFrame) -> DataFrame:
+def turns(chats: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """``conv_id, place, role, text`` and the rolling hash up to each turn; places count from 1.
 
     Turns are ordered by ``turn`` (null first), then role and text; rows that
-    repeat all four columns are one turn. Turns without a number
-    go to chunks by role and the first bits of the hash that orders them.
+    repeat all four columns are one turn. A chunk is 256 turn numbers. Where
+    an id has more than ``crowded`` rows with these (a logger that uses an id
+    again, or rows without an id or a number), its chunks are single numbers,
+    by role and the first bits of the hash that orders them.
     """
     rows = chats.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    stretch = F.floor(F.col("turn") / CHUNK)
+    busy = chats.groupBy(F.col("conv_id").alias("_k"), stretch.alias("_s")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > crowded)
+    rows = rows.join(busy, F.col("conv_id").eqNullSafe(F.col("_k")) & stretch.eqNullSafe(F.col("_s")), "left")
+    split = F.col("_n").isNotNull()
     # a struct of what the order begins with
-    rows = rows.withColumn("_chunk", F.struct(F.floor(F.col("turn") / CHUNK).alias("a"), F.when(F.col("turn").isNull(), F.col("role")).alias("b"), F.when(F.col("turn").isNull(), F.shiftright(F.xxhash64("text"), 54)).alias("c")))
+    parts = {"a": stretch, "b": F.when(split, F.col("turn")), "c": F.when(split, F.col("role")), "d": F.when(split, F.shiftright(F.xxhash64("text"), 54))}
+    rows = rows.withColumn("_chunk", F.struct(*[v.alias(k) for k, v in parts.items()])).drop("_k", "_s", "_n")
     order = [F.col("turn"), F.col("role"), F.xxhash64("text"), F.col("text")]
     placed = running(rows, "conv_id", "_chunk", order, {"place": F.lit(1).cast("long")})
     lanes = {name: lane(k, F.col("place"), F.col("role"), F.col("text")) for k, name in enumerate(LANES)}
-    return running(placed.withColumn("_part", F.floor((F.col("place") - 1) / CHUNK)), "conv_id", "_part", [F.col("place")], lanes)
+    return running(placed.withColumn("_part", F.floor((F.col("place") - 1) / CHUNK)), "conv_id", "_part", [F.col("place")], lanes, LANE_BITS)
 
 
 def maximal(rolled: DataFrame) -> DataFrame:

@@ -93,3 +93,34 @@ def test_turns_without_numbers_and_long_texts(spark):
     assert len({r.text for r in placed}) == 900
     out = {(r.conv_id, r.part): r for r in C.render(df).collect()}
     assert {k[0] for k in out} == {1, 3} and len(out[3, 0].text) > 300_000
+
+
+def test_sums_beyond_a_long_and_ids_that_are_used_again(spark, monkeypatch):
+    rows = [(None, i % 6, ("user", "bot")[i % 2], f"t{i}") for i in range(4000)] + [(1, i, "user", f"t{i}") for i in range(60)] + [(2, i, "user", f"t{i}") for i in range(59)] + [(3, None, "user", f"n{i}") for i in range(500)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    # two rows of 61 bits fit a long, the sum over the 30 chunks of conversation 1 does not
+    monkeypatch.setattr(C, "CHUNK", 2)
+    monkeypatch.setattr(C, "LANE_BITS", 61)
+    one = df.where("conv_id in (1, 2)")
+    assert {r.conv_id for r in C.render(one).collect()} == {1}
+    rolled = C.turns(one).where("conv_id = 1").orderBy("place").collect()
+    assert len({r.h1 for r in rolled}) == 60 and all(0 <= r.h1 < 1 << 61 for r in rolled)
+    monkeypatch.undo()
+    # the null id's rows are dealt over many chunks
+    seen = []
+    real = C.running
+    monkeypatch.setattr(C, "running", lambda d, key, chunk, *a: seen.append(d) or real(d, key, chunk, *a))
+    placed = C.turns(df, crowded=100).where("conv_id is null").orderBy("place").collect()
+    sizes = [r["count"] for r in seen[0].where("conv_id is null").groupBy("_chunk").count().collect()]
+    assert len(sizes) > 1000 and max(sizes) < 40
+    assert [r.place for r in placed] == list(range(1, 4001))
+    assert [(r.role, int(r.text[1:]) % 6) for r in placed] == sorted(((r.role, int(r.text[1:]) % 6) for r in placed), key=lambda x: x[1])
+    known = lambda rows: sorted((str(r.conv_id), r.part, r.n_turns, r.text) for r in rows)
+    assert known(C.render(df).collect()) == known(real_render(df, monkeypatch))
+
+
+def real_render(df, monkeypatch):
+    """Rendered with other chunks."""
+    turns = C.turns
+    monkeypatch.setattr(C, "turns", lambda chats: turns(chats, crowded=10))
+    return C.render(df).collect()
