@@ -152,11 +152,9 @@ def in_buckets(keys: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator
     """Rows ``(bucket, bytes, bytes, ...)`` of the columns of the keys."""
     bucket = bucket_of(keys, buckets)
     order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        at = order[cuts[b] : cuts[b + 1]]
-        if len(at):
-            yield (b, *(c[at].tobytes() for c in columns))
+    present, first = np.unique(bucket[order], return_index=True)
+    for b, at in zip(present.tolist(), np.split(order, first[1:]), strict=True):
+        yield (b, *(c[at].tobytes() for c in columns))
 
 
 def counted(n):
