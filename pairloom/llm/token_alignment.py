@@ -17,7 +17,6 @@ import hashlib
 import json
 import os
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,48 +34,35 @@ HEAVY_PAIRS = 1_000_000
 ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
 NO_TOKENS = (0, 0, 0, 0, "", [], [])
 START = re.compile(r"(?<=\S)(?=[ \n])")
-# White space of other kinds, or several in a row: such texts are cut by START.
-ODD = re.compile(r"[^\S \n]|[ \n]{2}|\A[ \n]|[ \n]\Z")
 _aligners: dict[tuple[str, str], "Aligner"] = {}
 
 
-def overlaps(a_sizes: list[int], b_sizes: list[int]) -> list[tuple[int, int]]:
-    """Index pairs of tokens whose byte ranges overlap; both lists of sizes cover the same bytes."""
-    out, i, j, a_left, b_left = [], 0, 0, 0, 0
-    while i < len(a_sizes) and j < len(b_sizes):
-        out.append((i, j))
-        a_end, b_end = a_left + a_sizes[i], b_left + b_sizes[j]
-        if a_end <= b_end:
-            i, a_left = i + 1, a_end
-        if b_end <= a_end:
-            j, b_left = j + 1, b_end
-    return out
-
-
-def components(n_a: int, n_b: int, links: list[tuple[int, int]]) -> dict[int, tuple[list[int], list[int]]]:
-    """Union-find over ``n_a + n_b`` token nodes: members of each side by the component's first A token."""
-    parent = list(range(n_a + n_b))
-    for i, j in links:
-        j += n_a
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        while parent[j] != j:
-            parent[j] = j = parent[parent[j]]
-        if i < j:
-            parent[j] = i
-        else:
-            parent[i] = j
-    out: dict[int, tuple[list[int], list[int]]] = {}
-    for x, r in enumerate(parent):
-        while parent[r] != r:
-            r = parent[r]
-        if r == x:
-            out[x] = ([x], [])
-        elif x < n_a:
-            out[r][0].append(x)
-        else:
-            out[r][1].append(x - n_a)
-    return out
+def overlaps(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of tokens whose byte ranges overlap; both sides cover the same bytes and are given by the tokens' ends."""
+    ends = np.union1d(a_ends, b_ends)  # each piece between two ends lies in one token of either side
+    return np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+
+
+def components(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Union-find over ``n`` nodes and the links ``x, y``, all at once: the smallest node of each node's component.
+
+    In each round roots that a link joins are merged, the larger under the
+    smaller, and every path is then halved until nodes point at their roots.
+    """
+    parent = np.arange(n)
+    while True:
+        r, s = parent[x], parent[y]
+        apart = r != s
+        if not apart.any():
+            return parent
+        np.minimum.at(parent, np.maximum(r, s)[apart], np.minimum(r, s)[apart])
+        while (up := parent[parent]).tobytes() != parent.tobytes():
+            parent = up
+
+
+def starts(labels: np.ndarray) -> list[int]:
+    """Where runs of equal labels start, and the end of the last."""
+    return [*np.flatnonzero(np.diff(labels, prepend=-1)).tolist(), len(labels)]
 
 
 class Aligner(dict):
@@ -96,8 +82,8 @@ class Aligner(dict):
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.space = self.b.piece_to_id("▁")
-        self.a_size = [len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)]
-        self.b_size = list(map(len, self.b_bytes))
+        self.a_size = np.array([len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)])
+        self.b_size = np.array(list(map(len, self.b_bytes)))
         self.shown = list(map(str, range(max(len(self.a_size), len(self.b_size)))))
         # chunks stand for themselves if no B piece crosses their start and A splits by the usual pattern
         rules = json.loads(self.a.to_str())
@@ -108,7 +94,7 @@ class Aligner(dict):
         """``" " + text`` cut before spaces and line breaks that follow other text."""
         if not self.by_chunk:
             return [" " + text]
-        if ODD.search(text):
+        if " ".join(text.split()) != text.replace("\n", " "):  # white space of other kinds, or several in a row
             return START.split(" " + text)
         return [w if w[0] == "\n" else " " + w for w in text.replace("\n", " \n").split(" ")]
 
@@ -123,25 +109,39 @@ class Aligner(dict):
             out.append(ids)
         return out
 
-    def align(self, a: list[int], b: list[int]) -> tuple[str, bytes, int, int]:
-        """Groups as text, the id pair of each link as 64-bit numbers (A's id in the upper half), and both numbers of tokens."""
-        links = overlaps([self.a_size[x] for x in a], [self.b_size[x] for x in b])
-        left, right = [self.shown[x] for x in a], [self.shown[x] for x in b]
-        if len(a) == 1 or len(b) == 1:
-            groups = f"{','.join(left)}|{','.join(right)}"
-        else:
-            found = components(len(a), len(b), links)
-            groups = ";".join([f"{','.join([left[x] for x in of_a])}|{','.join([right[x] for x in of_b])}" for of_a, of_b in found.values()])
-        return groups, array("q", [a[i] << 32 | b[j] for i, j in links]).tobytes(), len(a), len(b)
-
     def find(self, chunks: list[str]) -> dict[str, tuple | None]:
-        out = {}
-        for chunk, a, b in zip(chunks, self.a.encode_batch_fast(chunks, add_special_tokens=False), self.b_ids(chunks), strict=True):
-            a, raw = a.ids, chunk.encode()
-            whole = b"".join([self.a_bytes[x] for x in a]) == raw and b"".join([self.b_bytes[x] for x in b]) == raw
-            out[chunk] = self.align(a, b) if whole else None
+        """For each chunk its groups as text, the id pair of each link as 64-bit numbers (A's id in the upper half), and both numbers of tokens."""
+        out: dict[str, tuple | None] = dict.fromkeys(chunks)
+        of_b = {c: b for c, b in zip(chunks, self.b_ids(chunks), strict=True) if b"".join([self.b_bytes[x] for x in b]) == c.encode()}
+        # those that end in a letter or mark can follow each other as in a text
+        line = [c for c in of_b if self.by_chunk and not c[-1].isspace()]
+        found = self.align(line, self.a.encode("".join(line), add_special_tokens=False).ids, [of_b[c] for c in line]) if line else {}
+        out |= found
+        for c in of_b.keys() - found.keys():
+            out |= self.align([c], self.a.encode(c, add_special_tokens=False).ids, [of_b[c]])
         return out
 
+    def align(self, chunks: list[str], a_line: list[int], b_each: list[list[int]]) -> dict[str, tuple]:
+        """Chunks that lie one after the other, as one line of bytes, aligned together; nothing where A's tokens are not cut as the chunks are."""
+        sizes = np.cumsum([len(c.encode()) for c in chunks])
+        b_line = [x for ids in b_each for x in ids]
+        a, b = np.array(a_line), np.array(b_line)
+        a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        a_cuts = np.searchsorted(a_ends, sizes)
+        if b"".join([self.a_bytes[x] for x in a_line]) != "".join(chunks).encode() or (a_ends[a_cuts] != sizes).any():
+            return {}
+        x, y = overlaps(a_ends, b_ends)
+        group = components(len(a) + len(b), x, len(a) + y)
+        left, right = [self.shown[i] for i in a_line], [self.shown[i] for i in b_line]
+        # a group's tokens of one side lie next to each other
+        a_at, b_at = starts(group[: len(a)]), starts(group[len(a) :])
+        groups = [f"{','.join(left[s:t])}|{','.join(right[u:v])}" for s, t, u, v in zip(a_at, a_at[1:], b_at, b_at[1:], strict=False)]
+        pairs = (a[x] << 32 | b[y]).astype("<i8").tobytes()
+        n_a = np.diff(a_cuts + 1, prepend=0).tolist()
+        g = [0, *np.searchsorted(a_at, a_cuts + 1).tolist()]
+        link = [0, *(np.searchsorted(x, a_cuts, side="right") * 8).tolist()]
+        return {c: (";".join(groups[g[k] : g[k + 1]]), pairs[link[k] : link[k + 1]], n_a[k], len(b_each[k])) for k, c in enumerate(chunks)}
+
     def rows(self, texts: list[str | None]) -> list[tuple]:
         """One row of figures for each text; all chunks of the batch that are new are tokenised together."""
         cut = [self.chunks(t) if t else [] for t in texts]
