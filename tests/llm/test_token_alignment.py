@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from pairloom.llm import registry
@@ -118,12 +119,27 @@ def test_components_are_the_cuts_at_common_ends():
             ends = sorted({size, *(rng.randint(1, size) for _ in range(rng.randint(0, 12)))})
             return [e - s for s, e in zip([0, *ends], ends, strict=False)]
 
-        a, b = cut(), cut()
-        groups = A.components(len(a), len(b), A.overlaps(a, b))
-        assert [x for left, _ in groups.values() for x in left] == list(range(len(a)))
-        assert [y for _, right in groups.values() for y in right] == list(range(len(b)))
-        common = {sum(a[: i + 1]) for i in range(len(a))} & {sum(b[: j + 1]) for j in range(len(b))}
-        assert len(groups) == len(common)
+        a, b = np.cumsum(cut()), np.cumsum(cut())
+        x, y = A.overlaps(a, b)
+        groups = A.components(len(a) + len(b), x, len(a) + y)
+        assert len(set(groups)) == len(set(a) & set(b))
+        for side, ends in ((groups[: len(a)], a), (groups[len(a) :], b)):
+            cuts = [e for e, now, then in zip(ends, side, side[1:], strict=False) if now != then]
+            assert cuts == sorted(set(map(int, a)) & set(map(int, b)))[:-1]
+
+
+def test_union_find_on_any_graph():
+    rng = random.Random(8)
+    for n in (1, 5, 60):
+        for m in (0, 3, 40):
+            x, y = ([rng.randrange(n) for _ in range(m)] for _ in range(2))
+            label = list(range(n))
+            for _ in range(n):
+                for i, j in zip(x, y, strict=True):
+                    label[i] = label[j] = min(label[i], label[j])
+            assert A.components(n, np.array(x, dtype=int), np.array(y, dtype=int)).tolist() == label
+    chain = np.arange(5000)
+    assert set(A.components(5001, chain[::-1], chain[::-1] + 1)) == {0}
 
 
 def test_the_cache_is_bounded(monkeypatch):
