@@ -44,11 +44,18 @@ def at_k(scored: DataFrame, group: str = "drug", y: str = "y", score: str = "sco
     return per.select(group, (F.col("_p") / F.least(F.lit(precision_k), F.col("_n"))).alias("precision"), F.when(F.col("_all") > 0, F.col("_r") / F.col("_all")).alias("recall"))
 
 
-def average_precision(scored: DataFrame, group: str, y: str = "y", score: str = "score") -> DataFrame:
-    """``group, average_precision``: precision at each distinct score, weighted by the recall gained there."""
+def average_precision(scored: DataFrame, group: str, y: str = "y", score: str = "score", spread: bool = False) -> DataFrame:
+    """``group, average_precision``: precision at each distinct score, weighted by the recall gained there.
+
+    With ``spread`` the scores of a group are dealt over tasks by prefix sums, for few and large groups.
+    """
     steps = scored.groupBy(group, score).agg(F.sum(F.col(y).cast("double")).alias("_hits"), F.count(F.lit(1)).alias("_n"))
-    down = Window.partitionBy(group).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    seen = steps.withColumns({"_tp": F.sum("_hits").over(down), "_seen": F.sum("_n").over(down)})
+    if spread:
+        before = prefix_sums(steps.withColumn("_down", -F.col(score)), group, "_down", {"_tp": "_hits", "_seen": "_n"})
+        seen = before.withColumns({"_tp": F.col("_tp") + F.col("_hits"), "_seen": F.col("_seen") + F.col("_n")})
+    else:
+        down = Window.partitionBy(group).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
+        seen = steps.withColumns({"_tp": F.sum("_hits").over(down), "_seen": F.sum("_n").over(down)})
     per = seen.groupBy(group).agg(F.sum(F.col("_hits") * F.col("_tp") / F.col("_seen")).alias("_sum"), F.sum("_hits").alias("_all"))
     return per.where("_all > 0").select(group, (F.col("_sum") / F.col("_all")).alias("average_precision"))
 
