@@ -146,3 +146,13 @@ def feature_screen(wide: DataFrame, features: list[str], y: str = "y") -> DataFr
 def restricted_auc(scored: DataFrame, outcomes: DataFrame, group: str = "condition", **options) -> DataFrame:
     """Per-outcome AUC over a given list of outcomes."""
     return group_auc(scored.join(outcomes, group, "left_semi"), group=group, **options)
+
+
+def best_features(ranking: DataFrame, feature: str = "feature", label: str = "label", value: str = "value") -> DataFrame:
+    """``label, best, agree``: the feature of the highest value under each label, and whether it is the same under all.
+
+    Of equal values the first name wins; labels without any value have no best and no say.
+    """
+    known = ranking.where(F.col(value).isNotNull() & ~F.isnan(value))
+    best = keep(known.groupBy(label).agg(F.min_by(feature, F.struct(-F.col(value), F.col(feature))).alias("best")), "best")
+    return best.withColumn("agree", (best.agg(F.count_distinct("best")).scalar() == 1))

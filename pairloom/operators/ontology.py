@@ -100,3 +100,47 @@ def tree_rows(records: DataFrame, id_col: str, children: str, levels: int) -> Da
         now = opened.select("root", F.col(f"x.{id_col}").alias("id"), F.lit(level).alias("depth"), (F.col(f"x.{children}") if children in field else F.lit(None).cast("string")).alias("_below"))
         out = out.unionByName(now.select("root", "id", "depth"))
     return out
+
+
+def json_tree(records: DataFrame, seed: str, tree: str, fields: str, children: str = "children", level: str | None = "level") -> DataFrame:
+    """Nodes of trees in JSON texts, of any depth: ``seed``, the named fields and ``level``.
+
+    ``fields`` is a schema like ``id string, name string``. A tree's top is
+    always listed; below it, nodes without children of their own are not, as
+    they are no ancestors of what the tree was asked for. A node's level is
+    what it says of itself in the field ``level``, else its depth, the top
+    being at 1. A text that is no JSON object has no nodes. Each round opens
+    one level and writes what is open, until nothing is; the text of a branch
+    is read once for each level above its end.
+    """
+    own = f", {level} int" if level else ""
+    inner = f"struct<{fields}{own}, {children} array<string>, _bad string>"  # a child's text stays text
+    whole = {"columnNameOfCorruptRecord": "_bad"}
+    now = records.select(F.col(seed).alias(seed), F.from_json(tree, inner, whole).alias("_node")).where("_node is not null and _node._bad is null")
+    names = [c.strip().split()[0] for c in fields.split(",")]
+    out = None
+    for depth in count(1):
+        now = keep(now.select(seed, "_node"), "level")
+        if depth > 1 and now.isEmpty():
+            return out
+        at = F.coalesce(F.col(f"_node.{level}"), F.lit(depth)) if level else F.lit(depth)
+        rows = now.select(seed, *[F.col(f"_node.{n}").alias(n) for n in names], at.alias("level"))
+        out = rows if out is None else out.unionByName(rows)
+        if depth % LEVELS_A_TABLE == 0:
+            out = keep(out, "tree")
+        opened = now.select(seed, F.explode(f"_node.{children}").alias("_text"))
+        now = opened.select(seed, F.from_json("_text", inner, whole).alias("_node")).where(F.size(f"_node.{children}") > 0)
+
+
+def term_context(terms: DataFrame, ancestors: DataFrame, synonyms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Scalars of each term, and its ancestors as a long table.
+
+    ``ancestors`` are ``term, ancestor, ancestor_name, distance`` with the term
+    itself at 0, which is no ancestor. The scalars are the columns of
+    ``terms``, ``n_ancestors`` and ``depth`` (the largest distance), null for a
+    term without ancestors, and ``n_synonyms``, null for one without.
+    """
+    above = ancestors.where("distance > 0")
+    of_term = above.groupBy("term").agg(F.count(F.lit(1)).alias("n_ancestors"), F.max("distance").alias("depth"))
+    named = synonyms.groupBy("term").agg(F.count(F.lit(1)).alias("n_synonyms"))
+    return terms.join(of_term, "term", "left").join(named, "term", "left"), above.select("term", "ancestor", "ancestor_name", "distance")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -129,6 +130,48 @@ def bootstrap_by(values: DataFrame, outcome: str, key: str, value: str, rounds:
     return sizes.join(ends, outcome)
 
 
+def poisson_weights() -> list[int]:
+    """Sums of exp(-1) / k! times 2 ** 32, rounded down, up to where nothing is left."""
+    out, term, total = [], math.exp(-1), 0.0
+    for k in range(1, 14):
+        total += term
+        out.append(math.floor(total * 2**32))
+        term /= k
+    return out
+
+
+def weight(seed: int, *cols: Column) -> Column:
+    """How often a resample holds a row: a Poisson number of mean 1 from a hash of the columns."""
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", *cols, F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
+    return sum(((u >= c).cast("int") for c in poisson_weights()), F.lit(0))
+
+
+def slope(n: Column, x: Column, y: Column, xx: Column, xy: Column) -> Column:
+    """Least-squares slope from sums; null where x has one value."""
+    spread = n * xx - x * x
+    return F.when(spread > 1e-12 * F.abs(n * xx), (n * xy - x * y) / spread)
+
+
+def slope_interval(values: DataFrame, key: str, x: str, y: str, rounds: int = 1000, seed: int = 0, quantiles: tuple[float, float] = (0.025, 0.975)) -> DataFrame:
+    """``n, slope, low, high``: the slope of y on x over groups, and its percentile interval over resampled groups.
+
+    A resample gives each group a weight by a hash of the round and its key,
+    and its slope comes from weighted sums. So draws are added up where the
+    groups are, and only a row of sums for each round and task is shuffled.
+    Rounds whose groups share one x have no slope and are left out; groups
+    without an x or y as well.
+    """
+    rows = keep(values.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), "slopes")
+    one = rows.select(F.lit(1.0).alias("w"), "x", "y")
+    drawn = rows.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).select("round", weight(seed, F.col("round").cast("string"), F.col("key")).cast("double").alias("w"), "x", "y")
+    w = F.col("w")
+    sums = [F.sum(w).alias("n"), F.sum(w * F.col("x")).alias("x"), F.sum(w * F.col("y")).alias("y"), F.sum(w * F.col("x") * F.col("x")).alias("xx"), F.sum(w * F.col("x") * F.col("y")).alias("xy")]
+    found = slope(*[F.col(c) for c in ("n", "x", "y", "xx", "xy")])
+    point = keep(one.agg(*sums).select(F.col("n").cast("long").alias("n"), found.alias("slope")), "slope")  # one row
+    ends = drawn.groupBy("round").agg(*sums).select(found.alias("s")).agg(F.percentile("s", quantiles[0]).alias("low"), F.percentile("s", quantiles[1]).alias("high"))
+    return ends.select(point.select("n").scalar().alias("n"), point.select("slope").scalar().alias("slope"), "low", "high")
+
+
 def permuted(rows: DataFrame, group: str, key: str, value: str, seed: int = 42) -> DataFrame:
     """Placebo: the values of each group dealt anew among its rows."""
     there = Window.partitionBy(group).orderBy(key)

@@ -346,22 +346,6 @@ def ablation_increments(spark: SparkSession, d: str) -> DataFrame:
     return out.select("design", r6(F.col("metric")).alias("metric"), r6(F.col("increment")).alias("increment"), "is_noise")
 
 
-@query()
-def gbt_floor(spark: SparkSession, d: str) -> DataFrame:
-    """Held-out AUC of a learned floor on degrees and the condition's rate (its fit isn't bit-reproducible in SQL)."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    df, train = B.scored(spark, d), B.train_drugs(spark, d)
-    known = df.join(train, "drug", "left_semi")
-    wide = df.join(L.degrees(df, "drug", "n_drug"), "drug").join(T.rates(known), "condition").withColumn("label", F.col("y").cast("double"))
-    rows = VectorAssembler(inputCols=["log_n_drug", "p_c"], outputCol="features").transform(wide)
-    model = GBTClassifier(maxIter=5, maxDepth=3, seed=42).fit(rows.join(train, "drug", "left_semi"))
-    held = model.transform(rows.join(train, "drug", "left_anti")).select("drug", "y", vector_to_array("probability")[1].alias("score"))
-    return R.macro_auc(held, min_pairs=5)
-
-
 @query("SELECT n_nationkey AS term, n_regionkey AS n_descendants FROM nation WHERE n_regionkey <= 3")
 def term_generality(spark: SparkSession, d: str) -> DataFrame:
     nation = B.table(spark, d, "nation").withColumn("n", F.col("n_regionkey"))

@@ -1,6 +1,7 @@
 """Queries and their DuckDB equivalents, gathered from the plan modules."""
 
-from . import analysis, evidence, features
+from . import analysis, evidence, features, models, trials
 
-QUERIES = {**evidence.QUERIES, **analysis.QUERIES, **features.QUERIES}
-ORACLES = {**evidence.ORACLES, **analysis.ORACLES, **features.ORACLES}
+PLANS = (evidence, analysis, features, models, trials)
+QUERIES = {name: q for plan in PLANS for name, q in plan.QUERIES.items()}
+ORACLES = {name: sql for plan in PLANS for name, sql in plan.ORACLES.items()}

@@ -171,3 +171,43 @@ def test_imputation_by_group(spark):
     rows = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", None), ("b", None)], "g string, v double")
     assert sorted((r.g, r.v) for r in J.impute(rows, "v", "g").collect()) == [("a", 1.0), ("a", 2.0), ("a", 3.0), ("b", 2.0)]
     assert [r.v for r in J.impute(rows.where("g = 'b'"), "v").collect()] == [0.0]
+
+
+def test_trees_of_any_depth(spark):
+    import json
+
+    from pairloom.operators import ontology as O
+
+    def chain(n, at=1):
+        node = {"id": f"n{at}", "name": None if at % 9 == 0 else f"x{at}", "children": []}
+        if at < n:
+            node["children"] = [chain(n, at + 1), {"id": f"side{at}", "name": "s"}, {"id": f"none{at}", "children": []}]
+        return node
+
+    top = {"id": "t", "level": 5, "children": [{"id": "a", "level": 7, "children": [{"id": "leaf"}]}, {"id": "b", "children": [{"id": "c", "children": [{"id": "d"}]}]}, {"id": "seed"}]}
+    rows = [(1, json.dumps(chain(70))), (2, json.dumps(top)), (3, '{"id": "alone"}'), (4, "no json"), (5, None)]
+    got = O.json_tree(spark.createDataFrame(rows, "seed int, body string"), "seed", "body", "id string, name string").collect()
+    # a node without children is listed only at the top: it is no ancestor of what was asked for
+    assert sorted((r.id, r.level) for r in got if r.seed == 1) == sorted((f"n{k}", k) for k in range(1, 70))
+    assert sorted((r.id, r.level) for r in got if r.seed == 2) == [("a", 7), ("b", 2), ("c", 3), ("t", 5)]
+    assert [(r.seed, r.id, r.level) for r in got if r.seed > 2] == [(3, "alone", 1)]
+    assert {r.name for r in got if r.id == "n9"} == {None}
+    assert O.json_tree(spark.createDataFrame([], "seed int, body string"), "seed", "body", "id string").count() == 0
+
+
+def test_slopes_and_agreement(spark):
+    from pairloom.operators import metrics as R
+    from pairloom.operators import statistics as T
+
+    rows = spark.createDataFrame([(k, k / 10.0, 3 * k / 10.0 + (k % 7 - 3) / 10.0) for k in range(80)] + [(99, None, 1.0), (98, 1.0, None)], "k int, x double, y double")
+    r = T.slope_interval(rows, "k", "x", "y").first()
+    assert r.n == 80 and abs(r.slope - 3) < 0.05 and 2.8 < r.low < r.slope < r.high < 3.2
+    assert tuple(T.slope_interval(rows.withColumn("x", F.lit(1.0)), "k", "x", "y").first())[1:] == (None, None, None)
+    assert tuple(T.slope_interval(rows.limit(0), "k", "x", "y").first())[1:] == (None, None, None)
+    weights = spark.range(20000).select(T.weight(1, F.col("id").cast("string")).alias("w")).groupBy("w").count().collect()
+    share = {w.w: w["count"] / 20000 for w in weights}
+    assert abs(share[0] - 0.3679) < 0.02 and abs(share[1] - 0.3679) < 0.02 and abs(share[2] - 0.1839) < 0.02 and abs(sum(w * s for w, s in share.items()) - 1) < 0.03
+    ranking = spark.createDataFrame([("p", "a", 0.9), ("p", "b", 0.5), ("q", "a", 0.7), ("q", "b", 0.7), ("r", "a", None)], "label string, feature string, value double")
+    assert sorted(map(tuple, R.best_features(ranking).collect())) == [("p", "a", True), ("q", "a", True)]
+    more = ranking.union(spark.createDataFrame([("s", "b", 0.1)], ranking.schema))
+    assert {x.agree for x in R.best_features(more).collect()} == {False}

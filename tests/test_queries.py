@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from pairloom.operators import learners
 from pairloom.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -34,7 +35,9 @@ def duck(sf_dir):
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
-def test_query(spark, duck, sf_dir, name):
+def test_query(spark, duck, sf_dir, name, monkeypatch):
+    monkeypatch.setattr(learners, "ROUNDS", 5)  # the models' full size is for the queries, not for the tests
+    monkeypatch.setattr(learners, "TREES", 5)
     df = registry.QUERIES[name](spark, sf_dir)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
     if name not in registry.ORACLES:
