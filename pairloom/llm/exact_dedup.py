@@ -1,7 +1,7 @@
 """Exact dedup by a tree-merge of sorted digest runs.
 
 The digests of all texts are written once, each with its lane, a number that
-its input partition gives it. A lane's digests, sorted, are its run, with one
+its place in the input gives it. A lane's digests, sorted, are its run, with one
 row for each digest: the id that stays and the number of rows. There are
 ``radix ** rounds`` lanes. In round k the lanes whose numbers differ only in
 digit k exchange their runs (two lanes for radix 2, a binomial exchange):
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .storage import fresh, keep
 
-RADIX = 16
+RADIX = 2
+#: Rounds of exchange, at least: 16 lanes for radix 2.
+LEAST_ROUNDS = 4
 #: Lanes are so many that one has about this many documents, radix to a whole power.
 LANE_ROWS = 1 << 20
 #: Digests are equal when all of this is: SHA-256, length and a second hash.
@@ -36,9 +38,10 @@ KEY = ("digest", "length", "check")
 
 
 def digested(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, digest, length, check, second, part``: one pass over the texts."""
+    """``doc_id, digest, length, check, second, part, place``: one pass over the texts; ``place`` is the row's in its input partition."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).alias("length"), F.xxhash64(text).alias("check"), F.xxhash64(F.lit(7), text).alias("second"), F.spark_partition_id().alias("part"))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).alias("length"), F.xxhash64(text).alias("check"), F.xxhash64(F.lit(7), text).alias("second"), F.spark_partition_id().alias("part"), place.alias("place"))
 
 
 def same_as_next(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
@@ -89,10 +92,12 @@ def exchange(runs: DataFrame, k: int, radix: int, rounds: int) -> DataFrame:
 def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radix: int = RADIX, lane_rows: int = LANE_ROWS) -> DataFrame:
     """``doc_id, digest, length, check, second, keep_id, group_size, kept`` for every row of ``docs``."""
     digests = keep(digested(docs, id_col, text_col), "digests")
-    total, rounds = digests.count(), 1
+    total, rounds = digests.count(), LEAST_ROUNDS if radix == RADIX else 1
     while radix**rounds * lane_rows < total:
         rounds += 1
-    rows = digests.withColumn("lane", F.pmod(F.col("part"), F.lit(radix**rounds))).drop("part")
+    # a partition of many rows is dealt over lanes
+    lane = F.pmod(F.col("part") + F.floor(F.col("place") / lane_rows), F.lit(radix**rounds)).cast("int")
+    rows = digests.withColumn("lane", lane).drop("part", "place")
     # what a task reads of a lane is merged before it moves
     first = rows.select("doc_id", *KEY, "lane", F.col("lane").alias("home"), F.lit(1).cast("long").alias("n"))
     first = first.sortWithinPartitions("lane", *KEY, F.col("doc_id").asc_nulls_first()).mapInArrow(merge_lane_pieces, first.schema)

@@ -61,3 +61,18 @@ def test_repeated_and_null_ids(spark):
     assert len(rows) == 6 and sum(r.kept for r in rows) == 3
     assert sorted((r.doc_id or 0, r.text) for r in E.drop_copies(docs).collect()) == [(0, "z"), (1, "a"), (1, "b")]
     assert E.mark_copies(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_several_rounds_and_lanes_by_rows(spark, monkeypatch):
+    rounds, real = [], E.exchange
+    monkeypatch.setattr(E, "exchange", lambda runs, k, *a: rounds.append(k) or real(runs, k, *a))
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = E.mark_copies(docs).collect()
+    assert rounds == [0, 1, 2, 3] and len(rows) == 10_000
+    assert sorted(map(tuple, rows)) == brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    # one input partition fills all lanes
+    seen, merge = [], E.run_of_lanes
+    monkeypatch.setattr(E, "run_of_lanes", lambda rows, lanes: seen.append(rows) or merge(rows, lanes))
+    one = spark.range(1000).selectExpr("id doc_id", "cast(id as string) text").coalesce(1)
+    assert E.mark_copies(one, lane_rows=50).count() == 1000
+    assert max(r["count"] for r in seen[0].groupBy("lane").count().collect()) <= 100
