@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 
@@ -79,13 +80,15 @@ def xref(raw: Column) -> Column:
 def ascii_fold(c: Column) -> Column:
     """Characters in their compatibility decomposition, without what is beyond ASCII then.
 
-    Those that become several (ligatures, fractions, units) are looked up one
-    by one, in the few texts that have any.
+    A text of ASCII alone is passed on as it is. Characters that become
+    several (ligatures, fractions, units) are looked up one by one, in the few
+    texts that have any.
     """
-    table = F.create_map(*[F.lit(x) for pair in _MANY.items() for x in pair])
+    table = F.from_json(F.lit(json.dumps(_MANY)), "map<string,string>")  # a constant, folded when the query is planned
     spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
     whole = F.when(c.rlike("[" + "".join(_MANY) + "]"), spelled).otherwise(c)
-    return F.regexp_replace(F.translate(whole, "".join(_ONE), "".join(_ONE.values())), r"[^\x00-\x7F]", "")
+    folded = F.regexp_replace(F.translate(whole, "".join(_ONE), "".join(_ONE.values())), r"[^\x00-\x7F]", "")
+    return F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c)
 
 
 def normalise(c: Column) -> Column:
