@@ -47,10 +47,10 @@ def macro_auc(spark: SparkSession, d: str) -> DataFrame:
     return R.macro_auc(B.scored(spark, d)).withColumn("macro_auc", r6(F.col("macro_auc")))
 
 
-@query(f"""WITH {B.PAIR_SQL}, rk AS (SELECT *, rank() OVER (PARTITION BY condition ORDER BY score) + (count(*) OVER (PARTITION BY condition, score) - 1) / 2.0::DOUBLE AS r FROM sc WHERE condition LIKE '%1%')
+@query(f"""WITH {B.PAIR_SQL}, rk AS (SELECT *, rank() OVER (PARTITION BY condition ORDER BY score) + (count(*) OVER (PARTITION BY condition, score) - 1) / 2.0::DOUBLE AS r FROM sc)
     SELECT condition, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives, round((sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y) * (count(*) - sum(y)))::DOUBLE, 6) AS auc FROM rk GROUP BY 1 HAVING count(*) >= 5 AND sum(y) > 0 AND sum(y) < count(*)""")
 def outcome_auc(spark: SparkSession, d: str) -> DataFrame:
-    outcomes = B.table(spark, d, "part").where("p_brand like '%1%'").select(F.col("p_brand").alias("condition")).distinct()
+    outcomes = B.table(spark, d, "part").select(F.col("p_brand").alias("condition")).distinct()
     return R.restricted_auc(B.scored(spark, d), outcomes, min_pairs=5).withColumn("auc", r6(F.col("auc")))
 
 
@@ -203,19 +203,19 @@ def distance_rungs(spark: SparkSession, d: str) -> DataFrame:
     return N.rungs(supplier, B.train_drugs(spark, d), levels, supplier.where("drug % 2 = 0"))
 
 
-@query("""WITH s AS (SELECT p_type AS set_id, p_partkey AS condition FROM part WHERE p_size = 3), m AS (SELECT p_partkey AS condition, p_name || p_brand AS ontology_id FROM part),
+@query("""WITH s AS (SELECT p_type AS set_id, p_partkey AS condition FROM part), m AS (SELECT p_partkey AS condition, p_name || p_brand AS ontology_id FROM part),
     t AS (SELECT DISTINCT set_id, ontology_id FROM s JOIN m USING (condition)) SELECT set_id, condition FROM s UNION SELECT set_id, condition FROM t JOIN m USING (ontology_id)""")
 def syndrome_widening(spark: SparkSession, d: str) -> DataFrame:
     part = B.table(spark, d, "part")
-    members = part.where("p_size = 3").select(F.col("p_type").alias("set_id"), F.col("p_partkey").alias("condition"))
+    members = part.select(F.col("p_type").alias("set_id"), F.col("p_partkey").alias("condition"))
     return N.widened(members, part.select(F.col("p_partkey").alias("condition"), F.concat("p_name", "p_brand").alias("ontology_id")))
 
 
-@query(f"""WITH {B.PAIR_SQL}, {B.GENE_SQL}, pn AS (SELECT drug, gene AS off_target, max(q) AS affinity FROM li WHERE q > 47 GROUP BY 1, 2), sy AS (SELECT DISTINCT p_brand AS condition, p_name AS off_target FROM part WHERE p_size < 5),
+@query(f"""WITH {B.PAIR_SQL}, {B.GENE_SQL}, pn AS (SELECT drug, gene AS off_target, max(q) AS affinity FROM li GROUP BY 1, 2), sy AS (SELECT DISTINCT p_brand AS condition, p_name AS off_target FROM part),
     b AS (SELECT drug, condition, max(affinity) AS affinity FROM pn JOIN sy USING (off_target) GROUP BY 1, 2) SELECT drug, condition, affinity, affinity IS NOT NULL AS has_affinity FROM pc LEFT JOIN b USING (drug, condition)""")
 def syndrome_affinity(spark: SparkSession, d: str) -> DataFrame:
-    panel = B.lines(spark, d).where("l_quantity > 47").groupBy("drug", F.col("gene").alias("off_target")).agg(F.max("l_quantity").alias("affinity"))
-    sets = B.table(spark, d, "part").where("p_size < 5").select(F.col("p_brand").alias("condition"), F.col("p_name").alias("off_target")).distinct()
+    panel = B.lines(spark, d).groupBy("drug", F.col("gene").alias("off_target")).agg(F.max("l_quantity").alias("affinity"))
+    sets = B.table(spark, d, "part").select(F.col("p_brand").alias("condition"), F.col("p_name").alias("off_target")).distinct()
     return N.affinity(B.pair_counts(spark, d).select("drug", "condition"), panel, sets)
 
 
@@ -271,9 +271,9 @@ def fold_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {B.PAIR_SQL} SELECT s_suppkey AS drug, coalesce('gene:' || g, 'ing:' || s_suppkey) AS group_key FROM supplier LEFT JOIN (
-    SELECT drug, first(gene ORDER BY e DESC, q DESC, gene) AS g FROM (SELECT drug, gene, CAST(f = 'R' AS INT) AS e, q FROM li WHERE drug % 9 <> 0 AND q > 48) GROUP BY 1) ON drug = s_suppkey""")
+    SELECT drug, first(gene ORDER BY e DESC, q DESC, gene) AS g FROM (SELECT drug, CASE WHEN drug % 9 <> 0 THEN gene END AS gene, CAST(f = 'R' AS INT) AS e, q FROM li) WHERE gene IS NOT NULL GROUP BY 1) ON drug = s_suppkey""")
 def primary_gene_groups(spark: SparkSession, d: str) -> DataFrame:
-    targets = B.lines(spark, d).where("drug % 9 <> 0 and l_quantity > 48").select("drug", "gene", (F.col("l_returnflag") == "R").cast("int").alias("efficacy"), F.col("l_quantity").alias("direct"))
+    targets = B.lines(spark, d).select("drug", F.when(F.col("drug") % 9 != 0, F.col("gene")).alias("gene"), (F.col("l_returnflag") == "R").cast("int").alias("efficacy"), F.col("l_quantity").alias("direct"))
     return S.primary_gene(targets, B.table(spark, d, "supplier").select(F.col("s_suppkey").alias("drug")))
 
 

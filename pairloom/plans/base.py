@@ -20,6 +20,16 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def dictionary_sql(name: str, described: dict[str, str | None]) -> str:
+    """The SQL of a table's dictionary: types and shares are read from the table."""
+    kind = "CASE typeof(any_value({c})) WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' END"
+    parts = []
+    for c, text in described.items():
+        told = f", '{text}' AS description" if text else ""
+        parts.append(f"SELECT '{name}' AS \"table\", '{c}' AS \"column\", {kind.format(c=c)} AS type, round_even(count({c}) / count(*)::DOUBLE, 4) AS share_present{told} FROM {name}")
+    return " UNION ALL ".join(parts)
+
+
 def r6(c: Column) -> Column:
     return F.round(c, 6)
 

@@ -78,9 +78,9 @@ def nuisance_join(spark: SparkSession, d: str) -> DataFrame:
     return out.select("drug", "condition", "drug_degree", "condition_degree")
 
 
-@query("SELECT * FROM (SELECT p_brand AS condition, p_partkey AS term, p_type AS tier, min(p_type) OVER (PARTITION BY p_brand) AS best FROM part WHERE p_size > 40) WHERE tier = best")
+@query("SELECT * FROM (SELECT p_brand AS condition, p_partkey AS term, p_type AS tier, min(p_type) OVER (PARTITION BY p_brand) AS best FROM part) WHERE tier = best")
 def best_tier_matches(spark: SparkSession, d: str) -> DataFrame:
-    part = B.table(spark, d, "part").where("p_size > 40").select(F.col("p_brand").alias("condition"), F.col("p_partkey").alias("term"), F.col("p_type").alias("tier"))
+    part = B.table(spark, d, "part").select(F.col("p_brand").alias("condition"), F.col("p_partkey").alias("term"), F.col("p_type").alias("tier"))
     return J.best_tier(part, "condition", "tier").withColumn("best", F.col("tier"))
 
 
@@ -114,10 +114,9 @@ def condition_scalars(spark: SparkSession, d: str) -> DataFrame:
     return M.condition_scalars(full_outer_evidence(spark, d))
 
 
-@query("SELECT p_brand AS condition, string_agg(DISTINCT p_type, '+' ORDER BY p_type) AS types FROM part WHERE p_size > 35 GROUP BY 1")
+@query("SELECT p_brand AS condition, string_agg(DISTINCT p_type, '+' ORDER BY p_type) AS types FROM part GROUP BY 1")
 def distinct_join_sorted(spark: SparkSession, d: str) -> DataFrame:
-    part = B.table(spark, d, "part").where("p_size > 35")
-    return part.groupBy(F.col("p_brand").alias("condition")).agg(F.array_join(F.sort_array(F.collect_set("p_type")), "+").alias("types"))
+    return B.table(spark, d, "part").groupBy(F.col("p_brand").alias("condition")).agg(F.array_join(F.sort_array(F.collect_set("p_type")), "+").alias("types"))
 
 
 @query(f"WITH {B.PAIR_SQL}, {B.GENE_SQL} SELECT condition, gene, score FROM (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY score DESC, gene) AS n FROM cg) WHERE n <= 5")
@@ -193,11 +192,11 @@ def id_forms(spark: SparkSession, d: str) -> DataFrame:
     return B.table(spark, d, "nation").select("n_nationkey", colon.alias("colon"), X.underscore_id(colon).alias("back"))
 
 
-@query("SELECT p_partkey AS id, CASE p_type WHEN 'SMALL' THEN 'SNOMED' WHEN 'LARGE' THEN 'Orphanet' ELSE 'ICD10' END AS source, CAST(p_size AS VARCHAR) AS code FROM part WHERE p_type IN ('SMALL', 'LARGE', 'PROMO') AND p_size > 9")
+@query("SELECT p_partkey AS id, CASE p_type WHEN 'SMALL' THEN 'SNOMED' WHEN 'LARGE' THEN 'Orphanet' ELSE 'ICD10' END AS source, CAST(p_size AS VARCHAR) AS code FROM part WHERE p_type IN ('SMALL', 'LARGE', 'PROMO')")
 def xref_triples(spark: SparkSession, d: str) -> DataFrame:
     kind, size = F.col("p_type"), F.col("p_size").cast("string")
     raw = F.when(kind == "SMALL", F.concat(F.lit("snomedct_us: "), size)).when(kind == "LARGE", F.concat(F.lit("ORPHA:"), size)).when(kind == "PROMO", F.concat(F.lit("icd-10:"), size)).otherwise(F.concat(F.lit("FOO:"), size))
-    part = B.table(spark, d, "part").where("p_size > 9").withColumn("_x", F.explode(F.array(raw, F.lit("MESH:"))))
+    part = B.table(spark, d, "part").withColumn("_x", F.explode(F.array(raw, F.lit("MESH:"))))
     return part.select(F.col("p_partkey").alias("id"), X.xref(F.col("_x")).alias("x")).where("x is not null").select("id", "x.source", "x.code")
 
 
@@ -227,7 +226,7 @@ def gene_evidence(spark: SparkSession, d: str) -> DataFrame:
     return M.gene_evidence(found, mapping)
 
 
-@query(f"""WITH {B.PAIR_SQL}, r AS (SELECT drug, condition, 'mesh' AS route, f, q FROM li WHERE q > 45 UNION ALL SELECT drug, condition, 'ontology', f, q FROM li WHERE q < 8)
+@query(f"""WITH {B.PAIR_SQL}, r AS (SELECT drug, condition, CASE WHEN CAST(q AS INT) % 3 = 0 THEN 'mesh' ELSE 'ontology' END AS route, f, q FROM li)
     SELECT drug, condition, max(CAST(q AS INT) % 5) AS max_phase, count(DISTINCT route) > 0 AND max(CAST(q AS INT) % 5) >= 4 AS is_approved, CAST(max(CAST(q AS INT)) AS INT) AS n_refs, string_agg(DISTINCT route, '+' ORDER BY route) AS matched_via, min(CAST(q AS INT) * 10) AS n_descendants
     FROM r WHERE CAST(q AS INT) * 10 <= 480 GROUP BY 1, 2""")
 def pair_indications(spark: SparkSession, d: str) -> DataFrame:
@@ -235,7 +234,7 @@ def pair_indications(spark: SparkSession, d: str) -> DataFrame:
 
     q = F.col("l_quantity").cast("int")
     rows = B.lines(spark, d).select("drug", "condition", (q % 5).alias("max_phase"), q.alias("n_refs"), (q * 10).alias("n_descendants"))
-    both = rows.where("n_refs > 45").withColumn("route", F.lit("mesh")).unionByName(rows.where("n_refs < 8").withColumn("route", F.lit("ontology")))
+    both = rows.withColumn("route", F.when(F.col("n_refs") % 3 == 0, "mesh").otherwise("ontology"))
     return J.pair_indications(not_too_general(both, 480))
 
 
@@ -288,6 +287,6 @@ def json_fields(spark: SparkSession, d: str) -> DataFrame:
     return B.table(spark, d, "events").select("event_id", k.alias("k"), X.truth((k % 2).cast("string")).alias("odd"))
 
 
-@query("SELECT 'customer' AS \"table\", c AS \"column\", t AS type, 1.0 AS share_present FROM (VALUES ('c_custkey', 'bigint'), ('c_name', 'string'), ('c_nationkey', 'int'), ('c_acctbal', 'double'), ('c_mktsegment', 'string')) v(c, t)".replace("1.0 AS", "CAST(1.0 AS DOUBLE) AS"))
+@query(B.dictionary_sql("customer", {"c_custkey": None, "c_name": None, "c_nationkey": None, "c_acctbal": None, "c_mktsegment": None}))
 def data_dictionary(spark: SparkSession, d: str) -> DataFrame:
     return T.dictionary(B.table(spark, d, "customer"), "customer")

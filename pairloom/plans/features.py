@@ -142,14 +142,14 @@ def overlap_share(spark: SparkSession, d: str) -> DataFrame:
     return E.overlap_share(B.condition_genes(spark, d), B.gene_pathways(spark, d), "gene")
 
 
-@query(f"""WITH {B.PAIR_SQL}, pn AS (SELECT drug, gene AS target, avg(q) AS affinity FROM li WHERE drug % 3 > 0 GROUP BY 1, 2), sy AS (SELECT DISTINCT p_brand AS condition, p_name AS target FROM part WHERE p_size < 12),
+@query(f"""WITH {B.PAIR_SQL}, pn AS (SELECT drug, gene AS target, avg(q) AS affinity FROM li GROUP BY 1, 2), sy AS (SELECT DISTINCT p_brand AS condition, p_name AS target FROM part),
     ct AS (SELECT target, count(*) AS n, median(affinity) AS m, max(affinity) AS top FROM pn GROUP BY 1 HAVING count(*) >= 5),
     mk AS (SELECT target, drug, affinity >= CASE WHEN top >= 25 THEN greatest(25, m) ELSE m END AS hi FROM pn JOIN ct USING (target)),
     rw AS (SELECT target, hi, y FROM sc JOIN mk USING (drug) JOIN sy USING (target, condition))
     SELECT target, round(avg(y) FILTER (WHERE hi), 6) AS rate_hi, round(avg(y) FILTER (WHERE NOT hi), 6) AS rate_lo, count(*) FILTER (WHERE hi) AS n_hi, count(*) FILTER (WHERE NOT hi) AS n_lo FROM rw GROUP BY 1 HAVING count(*) FILTER (WHERE hi) >= 5 AND count(*) FILTER (WHERE NOT hi) >= 5""")
 def potency_contrast(spark: SparkSession, d: str) -> DataFrame:
-    panel = B.lines(spark, d).where("drug % 3 > 0").groupBy("drug", F.col("gene").alias("target")).agg(F.avg("l_quantity").alias("affinity"))
-    sets = B.table(spark, d, "part").where("p_size < 12").select(F.col("p_brand").alias("condition"), F.col("p_name").alias("target")).distinct()
+    panel = B.lines(spark, d).groupBy("drug", F.col("gene").alias("target")).agg(F.avg("l_quantity").alias("affinity"))
+    sets = B.table(spark, d, "part").select(F.col("p_brand").alias("condition"), F.col("p_name").alias("target")).distinct()
     out = E.potency_contrast(B.scored(spark, d), panel, sets, potent=25.0)
     return out.select("target", r6(F.col("rate_hi")).alias("rate_hi"), r6(F.col("rate_lo")).alias("rate_lo"), "n_hi", "n_lo")
 
@@ -208,11 +208,11 @@ def id_routes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {B.PAIR_SQL} SELECT s_suppkey AS drug, b.condition, round(prr, 6) AS prr, round(CASE WHEN prr > 0 THEN ln(prr) END, 6) AS log_prr
-    FROM supplier CROSS JOIN (SELECT DISTINCT p_brand AS condition FROM part WHERE p_size = 7) b LEFT JOIN sc ON drug = s_suppkey AND sc.condition = b.condition AND case_count > 2""")
+    FROM supplier CROSS JOIN (SELECT DISTINCT p_brand AS condition FROM part) b LEFT JOIN sc ON drug = s_suppkey AND sc.condition = b.condition""")
 def incumbent_scores(spark: SparkSession, d: str) -> DataFrame:
-    brands = B.table(spark, d, "part").where("p_size = 7").agg(F.collect_set("p_brand").alias("b"))  # brands are few
+    brands = B.table(spark, d, "part").agg(F.collect_set("p_brand").alias("b"))  # brands are few
     pairs = B.table(spark, d, "supplier").select(F.col("s_suppkey").alias("drug"), F.explode(brands.scalar()).alias("condition"))
-    out = E.incumbent(pairs, B.scored(spark, d).where("case_count > 2"), ["drug", "condition"], "prr")
+    out = E.incumbent(pairs, B.scored(spark, d), ["drug", "condition"], "prr")
     return out.select("drug", "condition", r6(F.col("prr")).alias("prr"), r6(F.col("log_prr")).alias("log_prr"))
 
 
@@ -225,9 +225,9 @@ def design_matrix(spark: SparkSession, d: str) -> DataFrame:
     return E.design(pairs, [(drugs, ["drug"]), (brands, ["condition"]), (degree, ["drug"])])
 
 
-@query("SELECT p_brand AS condition, substr(coalesce(string_agg(DISTINCT t, '|' ORDER BY t), ''), 1, 40) AS events FROM (SELECT p_brand, unnest([p_type, p_name]) AS t, p_size FROM part) WHERE p_size > 20 GROUP BY 1")
+@query("SELECT p_brand AS condition, substr(coalesce(string_agg(DISTINCT t, '|' ORDER BY t), ''), 1, 40) AS events FROM (SELECT p_brand, unnest([p_type, p_name]) AS t FROM part) GROUP BY 1")
 def united_sets(spark: SparkSession, d: str) -> DataFrame:
-    rows = B.table(spark, d, "part").where("p_size > 20").select(F.col("p_brand").alias("condition"), F.concat("p_type", F.lit("||"), "p_name").alias("events"))
+    rows = B.table(spark, d, "part").select(F.col("p_brand").alias("condition"), F.concat("p_type", F.lit("||"), "p_name").alias("events"))
     return E.united(rows, "condition", "events", limit=40)
 
 
@@ -237,9 +237,9 @@ def wide_records(spark: SparkSession, d: str) -> DataFrame:
     return E.wide_records(nested, "gene", "records", E.slug(F.col("r.label")), F.col("r.value"), ["tract_large", "tract_small"])
 
 
-@query("SELECT DISTINCT p_name AS target, p_partkey AS condition FROM part WHERE p_size < 20")
+@query("SELECT DISTINCT p_name AS target, p_partkey AS condition FROM part")
 def map_pairs(spark: SparkSession, d: str) -> DataFrame:
-    part = B.table(spark, d, "part").where("p_size < 20").groupBy("p_name").agg(F.collect_list("p_partkey").alias("keys"))
+    part = B.table(spark, d, "part").groupBy("p_name").agg(F.collect_list("p_partkey").alias("keys"))
     return E.map_pairs(part.select(F.to_json(F.map_from_arrays(F.array("p_name"), F.array("keys"))).alias("j")), "j", "target", "condition")
 
 
@@ -371,7 +371,23 @@ def designs(df: DataFrame, train: DataFrame, held: DataFrame, genes: DataFrame,
     return E.scorer_table(rows, ["copying", "free", "union"], least=5).withColumnRenamed("scorer", "design")
 
 
-@query()
+DESIGN_SQL = f"""{B.PAIR_SQL}, {B.GENE_SQL}, {B.TRAIN_SQL},
+    cn AS (SELECT DISTINCT condition FROM sc), co AS (SELECT condition, row_number() OVER (ORDER BY md5(condition || '42')) <= floor((SELECT count(*) FROM cn) * 0.2::DOUBLE) AS cold FROM cn),
+    sp AS (SELECT 'standard' AS split, drug, condition, y, drug IN (SELECT drug FROM tr) AS train FROM sc UNION ALL SELECT 'cold', drug, condition, y, NOT cold FROM sc JOIN co USING (condition)),
+    td AS (SELECT DISTINCT split, drug FROM sp WHERE train), nb AS (SELECT DISTINCT split, a.drug, b.drug AS neighbour FROM dg a JOIN dg b USING (gene) JOIN td ON td.drug = b.drug WHERE a.drug <> b.drug),
+    kn AS (SELECT split, drug, count(*) AS n FROM nb GROUP BY ALL), pcr AS (SELECT split, condition, avg(y) AS p_c FROM sp WHERE train GROUP BY ALL),
+    fl AS (SELECT nb.split, nb.drug, s.condition, count(*) AS n FROM nb JOIN sp s ON s.split = nb.split AND s.drug = nb.neighbour AND s.train AND s.y = 1 GROUP BY ALL),
+    sh AS (SELECT drug, condition, count(*) AS n FROM dg JOIN cg USING (gene) GROUP BY 1, 2), dl AS (SELECT drug, count(*) AS n FROM dg GROUP BY 1), cr AS (SELECT condition, count(*) AS n FROM cg GROUP BY 1),
+    xs AS (SELECT sp.split, sp.drug, y, coalesce((coalesce(fl.n, 0) + 10 * p_c) / (coalesce(kn.n, 0) + 10), 0) AS copying,
+                  CASE WHEN coalesce(dl.n, 0) + coalesce(cr.n, 0) - coalesce(sh.n, 0) > 0 THEN coalesce(sh.n, 0) / (coalesce(dl.n, 0) + coalesce(cr.n, 0) - coalesce(sh.n, 0))::DOUBLE ELSE 0 END AS free
+           FROM sp LEFT JOIN fl ON fl.split = sp.split AND fl.drug = sp.drug AND fl.condition = sp.condition LEFT JOIN kn ON kn.split = sp.split AND kn.drug = sp.drug LEFT JOIN pcr ON pcr.split = sp.split AND pcr.condition = sp.condition
+           LEFT JOIN sh ON sh.drug = sp.drug AND sh.condition = sp.condition LEFT JOIN dl ON dl.drug = sp.drug LEFT JOIN cr ON cr.condition = sp.condition WHERE NOT train),
+    lo AS (SELECT split, drug, y, 'copying' AS design, round(copying, 9) AS v FROM xs UNION ALL SELECT split, drug, y, 'free', round(free, 9) FROM xs UNION ALL SELECT split, drug, y, 'union', round(copying + free, 9) FROM xs),
+    rk AS (SELECT *, rank() OVER (PARTITION BY split, design, drug ORDER BY v) + (count(*) OVER (PARTITION BY split, design, drug, v) - 1) / 2.0::DOUBLE AS r FROM lo),
+    au AS (SELECT split, design, drug, (sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y) * (count(*) - sum(y)))::DOUBLE AS auc FROM rk GROUP BY ALL HAVING count(*) >= 5 AND sum(y) > 0 AND sum(y) < count(*))"""
+
+
+@query(f"WITH {DESIGN_SQL} SELECT split, design, round(avg(auc), 6) AS macro_auc, count(*) AS n_groups FROM au GROUP BY 1, 2")
 def split_designs(spark: SparkSession, d: str) -> DataFrame:
     """The three designs on the split by drugs and on the one by conditions; each takes its features from its own train pairs."""
     df = B.keep(B.scored(spark, d), "scored")
@@ -385,6 +401,6 @@ def split_designs(spark: SparkSession, d: str) -> DataFrame:
     return tables[0].unionByName(tables[1]).select("split", "design", r6(F.col("macro_auc")).alias("macro_auc"), "n_groups")
 
 
-@query("SELECT 'supplier' AS \"table\", c AS \"column\", t AS type, CAST(1 AS DOUBLE) AS share_present, x AS description FROM (VALUES ('s_suppkey', 'bigint', 'a key'), ('s_name', 'string', 'a name'), ('s_nationkey', 'int', 'a key'), ('s_acctbal', 'double', 'balance')) v(c, t, x)")
+@query(B.dictionary_sql("supplier", {"s_suppkey": "a key", "s_name": "a name", "s_nationkey": "a key", "s_acctbal": "balance"}))
 def described_columns(spark: SparkSession, d: str) -> DataFrame:
     return T.dictionary(B.table(spark, d, "supplier"), "supplier", {"s_acctbal": "balance"}, [(".*key", "a key"), (".*name", "a name")])
