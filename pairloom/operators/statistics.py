@@ -39,43 +39,47 @@ def variance_shares(residuals: DataFrame, key: str, value: str) -> DataFrame:
     return residuals.agg((1 - F.var_pop("residual") / F.var_pop(value)).alias("between"), (F.var_pop("residual") / F.var_pop(value)).alias("inside"))
 
 
-def two_way_demean(rows: DataFrame, a: str, b: str, value: str, rounds: int = 4, tolerance: float | None = None) -> DataFrame:
-    """Residuals of two-way fixed effects by alternating means, for a number of rounds or until means are below a tolerance."""
-    out = rows.withColumn("residual", F.col(value).cast("double"))
+def offsets(rows: DataFrame, a: str, b: str, value: str, rounds: int, tolerance: float | None) -> tuple[DataFrame, DataFrame]:
+    """``a, a_offset`` and ``b, b_offset``: what alternating means take off the rows of each key.
+
+    A key's offset is its mean less the mean of the other side's offsets over
+    its rows, so a half round needs the number of rows of each pair of keys
+    and the sums of each key, found once, and the other side's offsets: rows
+    are neither rewritten nor read again. A pair's count is one row however
+    often the pair comes. Rounds end once no offset moves by ``tolerance``.
+    """
+    known = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    cells = keep(known.groupBy(a, b).agg(F.count(F.lit(1)).alias("_n"), F.sum(value).cast("double").alias("_s")), "cells")
+    totals = {k: keep(cells.groupBy(k).agg(F.sum("_n").alias("_rows"), F.sum("_s").alias("_sum")), "totals") for k in (a, b)}
+    found = {k: totals[k].select(k, F.lit(0.0).alias(f"{k}_offset")) for k in (a, b)}
     for _ in range(rounds):
-        for key in (a, b):
-            means = out.groupBy(key).agg(F.avg("residual").alias("_mean"))
-            out = keep(out.join(means, key).withColumn("residual", F.col("residual") - F.col("_mean")))
-            largest = out.agg(F.max(F.abs("_mean"))).first()[0] if tolerance is not None else None
-            out = out.drop("_mean")
-        if tolerance is not None and (largest or 0.0) < tolerance:
+        largest = 0.0
+        for key, other in ((a, b), (b, a)):
+            taken = cells.join(found[other], other).groupBy(key).agg(F.sum(F.col("_n") * F.col(f"{other}_offset")).alias("_taken"))
+            moved = totals[key].join(taken, key).join(found[key].withColumnRenamed(f"{key}_offset", "_old"), key)
+            new = keep(moved.select(key, ((F.col("_sum") - F.col("_taken")) / F.col("_rows")).alias(f"{key}_offset"), "_old"), "offsets")
+            if tolerance is not None:
+                largest = max(largest, new.agg(F.max(F.abs(F.col(f"{key}_offset") - F.col("_old")))).first()[0] or 0.0)
+            found[key] = new.drop("_old")
+        if tolerance is not None and largest < tolerance:
             break
-    return out
+    return found[a], found[b]
+
+
+def two_way_demean(rows: DataFrame, a: str, b: str, value: str, rounds: int = 4, tolerance: float | None = None) -> DataFrame:
+    """Residuals of two-way fixed effects by alternating means, for a number of rounds or until no offset moves by a tolerance; rows without a key go."""
+    of_a, of_b = offsets(rows, a, b, value, rounds, tolerance)
+    return rows.join(of_a, a).join(of_b, b).withColumn("residual", F.col(value).cast("double") - F.col(f"{a}_offset") - F.col(f"{b}_offset")).drop(f"{a}_offset", f"{b}_offset")
 
 
 def fixed_effects(train: DataFrame, a: str, b: str, value: str, rounds: int = 200, tolerance: float = 1e-9) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Train's two-way effects: a row with ``mean``, and tables ``a, a_offset`` and ``b, b_offset``.
 
-    The offsets of a key are what alternating means take off its rows, so the
-    residual of a train row is its value less the mean and both offsets.
+    The residual of a train row is its value less the mean and both offsets.
     """
     every = keep(train.agg(F.avg(value).alias("mean")), "mean")
-    out = train.select(a, b, (F.col(value) - every.scalar()).alias("residual"))
-    offsets = {a: None, b: None}
-    for _ in range(rounds):
-        largest = 0.0
-        for key in (a, b):
-            means = keep(out.groupBy(key).agg(F.avg("residual").alias("_mean")), "means")
-            out = keep(out.join(means, key).select(a, b, (F.col("residual") - F.col("_mean")).alias("residual")), "residuals")
-            so_far = offsets[key]
-            step = means.select(key, F.col("_mean").alias(f"{key}_offset"))
-            if so_far is not None:
-                step = so_far.join(means, key).select(key, (F.col(f"{key}_offset") + F.col("_mean")).alias(f"{key}_offset"))
-            offsets[key] = keep(step, "offsets")
-            largest = max(largest, means.agg(F.max(F.abs("_mean"))).first()[0] or 0.0)
-        if largest < tolerance:
-            break
-    return every, offsets[a], offsets[b]
+    centred = train.select(a, b, (F.col(value) - every.scalar()).alias("_centred"))
+    return every, *offsets(centred, a, b, "_centred", rounds, tolerance)
 
 
 def apply_effects(rows: DataFrame, effects: tuple[DataFrame, DataFrame, DataFrame], a: str, b: str, value: str) -> DataFrame:
