@@ -22,10 +22,22 @@ def filled_scores(scored: DataFrame, group: str, score: str) -> DataFrame:
     return clean.join(middle, group).withColumn(score, F.coalesce(score, "_median")).drop("_median")
 
 
-def group_auc(scored: DataFrame, group: str = "drug", y: str = "y", score: str = "score", min_pairs: int = 20) -> DataFrame:
-    """``group, n, positives, auc`` of the groups with ``min_pairs`` rows and both classes."""
-    ranked = filled_scores(scored.where(F.col(group).isNotNull()), group, score).withColumn("_rank", average_rank([group], score))
-    per = ranked.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("positives"), F.sum(F.when(F.col(y) == 1, F.col("_rank"))).alias("_ranks"))
+def group_auc(scored: DataFrame, group: str = "drug", y: str = "y", score: str = "score", min_pairs: int = 20, spread: bool = False) -> DataFrame:
+    """``group, n, positives, auc`` of the groups with ``min_pairs`` rows and both classes.
+
+    Rows of one score are counted before they are shuffled. With ``spread``
+    the scores of a group are dealt over tasks by prefix sums, for few and
+    large groups; else a group's distinct scores meet in one task.
+    """
+    filled = filled_scores(scored.where(F.col(group).isNotNull()), group, score)
+    cells = filled.groupBy(group, score).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(y).cast("long")).alias("_hits"))
+    if spread:
+        placed = prefix_sums(cells, group, score, {"_before": "_n"})
+    else:
+        below = Window.partitionBy(group).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+        placed = cells.withColumn("_before", F.coalesce(F.sum("_n").over(below), F.lit(0)))
+    rank = F.col("_before") + (F.col("_n") + 1) / F.lit(2.0)
+    per = placed.groupBy(group).agg(F.sum("_n").alias("n"), F.sum("_hits").alias("positives"), F.sum(F.col("_hits") * rank).alias("_ranks"))
     per = per.where((F.col("n") >= min_pairs) & (F.col("positives") > 0) & (F.col("positives") < F.col("n")))
     p = F.col("positives").cast("double")
     return per.select(group, "n", "positives", ((F.col("_ranks") - p * (p + 1) / 2) / (p * (F.col("n") - p))).alias("auc"))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .joins import top_per_group
 from ..sources.shared import keep
@@ -14,6 +20,9 @@ from ..sources.shared import keep
 #: Drugs of one value are joined in blocks of about this many.
 DRUGS_A_BLOCK = 256
 
+#: Queries that one pass sends to all tasks, at most, and those of one dense comparison.
+QUERIES_A_PASS, QUERIES_A_SLICE = 16_384, 1024
+
 
 def neighbours(edges: DataFrame, train: DataFrame, drug: str = "drug", value: str = "value") -> DataFrame:
     """``drug, neighbour``: train drugs that share a value with a drug, itself left out.
@@ -168,16 +177,84 @@ def is_star_forest(edges: DataFrame) -> bool:
     return per.where("n > 1").unionByName(inner).isEmpty()
 
 
-def tanimoto(queries: DataFrame, reference: DataFrame, key: str = "bits") -> DataFrame:
+def packed(bits: pa.Array, words: int) -> np.ndarray:
+    """A row of 64-bit words for each list of set positions."""
+    sizes = np.diff(bits.offsets.to_numpy())
+    out = np.zeros((len(bits), words * 64), dtype=bool)
+    out[np.repeat(np.arange(len(bits)), sizes), bits.flatten().to_numpy()] = True
+    return np.packbits(out, axis=1).view(np.uint64)
+
+
+def _nearest(queries: Broadcast, words: int, rows_a_slice: int):
+    """Best similarity of each query to the rows of a task, slice by slice; ``queries`` are ids and their bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, bits = queries.value
+        own = packed(bits, words)
+        n = np.bitwise_count(own).sum(axis=1, dtype=np.int64)
+        distinct = pc.unique(ids)
+        code = pc.index_in(ids, distinct).to_numpy()
+        best = np.zeros(len(ids))
+        for batch in batches:
+            there = pc.fill_null(pc.index_in(batch.column("id"), distinct), -1).to_numpy()
+            for at in range(0, batch.num_rows, rows_a_slice):
+                part = batch.slice(at, rows_a_slice)
+                x = packed(part.column("bits"), words)
+                m = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+                # sets of n and m bits are alike by min / max at most
+                near = np.clip(n, m.min(), m.max())
+                open_ = np.flatnonzero(np.minimum(n, near) > best * np.maximum(np.maximum(n, near), 1))
+                for first in range(0, len(open_), QUERIES_A_SLICE):
+                    q = open_[first : first + QUERIES_A_SLICE]
+                    both = np.zeros((len(m), len(q)), dtype=np.int64)
+                    for w in range(words):
+                        both += np.bitwise_count(x[:, w, None] & own[None, q, w])
+                    alike = both / np.maximum(m[:, None] + n[q] - both, 1)
+                    alike[there[at : at + len(m), None] == code[q]] = 0.0
+                    best[q] = np.maximum(best[q], alike.max(axis=0))
+        found = best > 0
+        yield pa.RecordBatch.from_arrays([ids.filter(pa.array(found)), pa.array(best[found])], names=["id", "best"])
+
+    return run
+
+
+def tanimoto(queries: DataFrame, reference: DataFrame, key: str = "bits", queries_a_pass: int = QUERIES_A_PASS) -> DataFrame:
     """``id, best``: the highest Tanimoto similarity of each query's bits to the rows of a reference set of other ids.
 
-    Bits are given as arrays of set positions; only rows that share one meet.
+    Bits are arrays of set positions from 0, packed to words in the tasks.
+    Queries are a stated set: they go to all tasks in passes of bounded size,
+    and in each pass every row meets them where it lies, so nothing is
+    shuffled but a number for each query and task, and no task holds a bit.
+    Bits counted before are an upper bound that passes most slices by.
+    A query without bits, or without another row, is like none: 0. Ids that
+    repeat have the best of their rows; rows without an id or bits go.
     """
-    q = queries.select("id", F.size(key).alias("_n"), F.explode(key).alias("_bit"))
-    r = reference.select(F.col("id").alias("_ref"), F.size(key).alias("_m"), F.explode(key).alias("_bit"))
-    shared = q.join(r, "_bit").where("id <> _ref").groupBy("id", "_ref", "_n", "_m").agg(F.count(F.lit(1)).alias("_both"))
-    best = shared.groupBy("id").agg(F.max(F.col("_both") / (F.col("_n") + F.col("_m") - F.col("_both"))).alias("best"))
-    return queries.select("id").join(best, "id", "left").select("id", F.coalesce("best", F.lit(0.0)).alias("best"))
+    spark, kind = queries.sparkSession, queries.schema["id"].dataType.simpleString()
+    ask, rows = (d.where(F.col("id").isNotNull() & F.col(key).isNotNull()).select("id", F.array_distinct(F.array_compact(key)).cast("array<int>").alias("bits")) for d in (queries, reference))
+    widths = [d.agg(F.max(F.array_max("bits"))).first()[0] or 0 for d in (ask, rows)]
+    words = max(widths) // 64 + 1
+    rows_a_slice = max(1, min(256, (1 << 24) // (words * 64)))
+    parts, held = [], []
+    step = max(1, min(queries_a_pass, (1 << 27) // (words * 64)))
+
+    def scan() -> None:
+        ids = pa.array([r.id for r in held], to_arrow_type(queries.schema["id"].dataType))
+        bits = pa.array([r.bits for r in held], pa.list_(pa.int32()))
+        sent = spark.sparkContext.broadcast((ids, bits))
+        parts.append(keep(rows.mapInArrow(_nearest(sent, words, rows_a_slice), f"id {kind}, best double").groupBy("id").agg(F.max("best").alias("best")), "nearest"))
+        held.clear()
+
+    for row in ask.toLocalIterator():
+        held.append(row)
+        if len(held) == step:
+            scan()
+    if held:
+        scan()
+    asked = queries.select("id")
+    if not parts:
+        return asked.withColumn("best", F.lit(0.0))
+    best = reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.max("best").alias("best"))
+    return asked.join(best, "id", "left").select("id", F.coalesce("best", F.lit(0.0)).alias("best"))
 
 
 def in_domain(similar: DataFrame, least: float = 0.4) -> DataFrame:

@@ -211,3 +211,40 @@ def test_slopes_and_agreement(spark):
     assert sorted(map(tuple, R.best_features(ranking).collect())) == [("p", "a", True), ("q", "a", True)]
     more = ranking.union(spark.createDataFrame([("s", "b", 0.1)], ranking.schema))
     assert {x.agree for x in R.best_features(more).collect()} == {False}
+
+
+def test_tanimoto_by_brute_force(spark):
+    import random
+
+    from pairloom.operators import network as N
+
+    rng = random.Random(9)
+    sets = {i: sorted(rng.sample(range(200), rng.choice([0, 1, 5, 40, 120]))) for i in range(150)}
+    sets[150] = sets[3]
+    rows = spark.createDataFrame([*sets.items(), (3, [1, 2]), (None, [1]), (151, None)], "id long, bits array<int>").repartition(5)
+    every = [(i, set(b)) for i, b in sets.items()] + [(3, {1, 2})]
+    expected = {}
+    for i, b in every:
+        alike = [len(b & c) / len(b | c) for j, c in every if j != i and b | c]
+        expected[i] = max([expected.get(i, 0.0), *alike])
+    for size in (16_384, 40):
+        got = N.tanimoto(rows.where("id % 3 = 0"), rows, queries_a_pass=size).collect()
+        assert len(got) == 52 and all(abs(r.best - expected[r.id]) < 1e-12 for r in got)
+    words = N.tanimoto(spark.createDataFrame([("a", [70000, 3])], "id string, bits array<int>"), spark.createDataFrame([("a", [3]), ("b", [3, 5])], "id string, bits array<int>")).collect()
+    assert [(r.id, round(r.best, 6)) for r in words] == [("a", 0.333333)]
+    assert N.tanimoto(rows.limit(0), rows).count() == 0 and {r.best for r in N.tanimoto(rows.where("id < 5"), rows.limit(0)).collect()} == {0.0}
+
+
+def test_ranks_of_one_large_group(spark):
+    import random
+
+    rng = random.Random(11)
+    rows = [(g, None if rng.random() < 0.1 else rng.randint(0, 40) / 7, rng.randint(0, 1)) for g in ("a", "b") for _ in range(900 if g == "a" else 30)] + [("c", 1.0, 1), (None, 1.0, 0)]
+    df = spark.createDataFrame(rows, "drug string, score double, y int")
+    plain, spread = ({r.drug: (r.n, r.positives, round(r.auc, 9)) for r in R.group_auc(df, spread=s).collect()} for s in (False, True))
+    assert plain == spread and set(plain) == {"a", "b"}
+    median = sorted(s for g, s, _ in rows if g == "b" and s is not None)
+    median = (median[(len(median) - 1) // 2] + median[len(median) // 2]) / 2
+    b = [(median if s is None else s, y) for g, s, y in rows if g == "b"]
+    wins = [(x > z) + (x == z) / 2 for x, p in b for z, q in b if p and not q]
+    assert abs(plain["b"][2] - sum(wins) / len(wins)) < 1e-9
