@@ -96,18 +96,34 @@ def draw(seed: int, n: Column, *cols: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", *cols, F.lit(str(seed)))), 1, 8), 16, 10).cast("long"), n)
 
 
+def poisson_weights() -> list[int]:
+    """Sums of exp(-1) / k! times 2 ** 32, rounded down, up to where nothing is left."""
+    out, term, total = [], math.exp(-1), 0.0
+    for k in range(1, 14):
+        total += term
+        out.append(math.floor(total * 2**32))
+        term /= k
+    return out
+
+
+def weight(seed: int, *cols: Column) -> Column:
+    """How often a resample holds a row: a Poisson number of mean 1 from a hash of the columns."""
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", *cols, F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
+    return sum(((u >= c).cast("int") for c in poisson_weights()), F.lit(0))
+
+
 def bootstrap(values: DataFrame, key: str, value: str, rounds: int = 200, seed: int = 42, quantiles: tuple[float, float] = (0.025, 0.975)) -> DataFrame:
     """``mean, low, high``: percentile interval of the mean over resampled groups.
 
-    Values are one per group (a drug, say); rounds times groups rows are
-    drawn by hashes, so a rerun gives the same interval.
+    Values are one per group (a drug, say). A resample gives each group a
+    weight by a hash of the round and its key, so a rerun gives the same
+    interval, draws are added up where the groups are, and two sums for each
+    round and task are shuffled. Rounds without a group are left out.
     """
-    placed = keep(numbered(values.where(F.col(value).isNotNull()).select(key, F.col(value).alias("v")), [key]).select("v", F.col("row_index").alias("at")))
-    n = placed.agg(F.count(F.lit(1))).scalar()
-    draws = placed.select("at").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    picked = draws.select("round", draw(seed, n, F.col("round").cast("string"), F.col("at").cast("string")).alias("at")).join(placed, "at")
-    means = picked.groupBy("round").agg(F.avg("v").alias("m"))
-    whole = placed.agg(F.avg("v")).scalar()
+    rows = keep(values.where(F.col(value).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("v")), "values")
+    drawn = rows.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).select("round", weight(seed, F.col("round").cast("string"), F.col("key")).alias("w"), "v")
+    means = drawn.groupBy("round").agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    whole = rows.agg(F.avg("v")).scalar()
     return means.agg(F.percentile("m", quantiles[0]).alias("low"), F.percentile("m", quantiles[1]).alias("high")).select(whole.alias("mean"), "low", "high")
 
 
@@ -124,30 +140,12 @@ def against_floor(scored: DataFrame, floor: float, key: str, value: str, **optio
 
 def bootstrap_by(values: DataFrame, outcome: str, key: str, value: str, rounds: int = 200, seed: int = 42, quantiles: tuple[float, float] = (0.025, 0.975)) -> DataFrame:
     """``outcome, n, mean, low, high``: an interval for each outcome, resampling its own groups."""
-    at = Window.partitionBy(outcome).orderBy(key)  # a row for each group of an outcome
-    placed = keep(values.where(F.col(value).isNotNull()).select(outcome, F.col(value).alias("v"), (F.row_number().over(at) - 1).cast("long").alias("at")), "placed")
-    sizes = placed.groupBy(outcome).agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"))
-    draws = placed.select(outcome, "at").join(sizes, outcome).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    drawn = draws.select(outcome, "round", draw(seed, F.col("n"), F.col(outcome).cast("string"), F.col("round").cast("string"), F.col("at").cast("string")).alias("at"))
-    means = drawn.join(placed, [outcome, "at"]).groupBy(outcome, "round").agg(F.avg("v").alias("m"))
+    rows = keep(values.where(F.col(value).isNotNull()).select(outcome, F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("v")), "values")
+    w = weight(seed, F.col(outcome).cast("string"), F.col("round").cast("string"), F.col("key"))
+    drawn = rows.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).select(outcome, "round", w.alias("w"), "v")
+    means = drawn.groupBy(outcome, "round").agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
     ends = means.groupBy(outcome).agg(F.percentile("m", quantiles[0]).alias("low"), F.percentile("m", quantiles[1]).alias("high"))
-    return sizes.join(ends, outcome)
-
-
-def poisson_weights() -> list[int]:
-    """Sums of exp(-1) / k! times 2 ** 32, rounded down, up to where nothing is left."""
-    out, term, total = [], math.exp(-1), 0.0
-    for k in range(1, 14):
-        total += term
-        out.append(math.floor(total * 2**32))
-        term /= k
-    return out
-
-
-def weight(seed: int, *cols: Column) -> Column:
-    """How often a resample holds a row: a Poisson number of mean 1 from a hash of the columns."""
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", *cols, F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
-    return sum(((u >= c).cast("int") for c in poisson_weights()), F.lit(0))
+    return rows.groupBy(outcome).agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean")).join(ends, outcome)
 
 
 def slope(n: Column, x: Column, y: Column, xx: Column, xy: Column) -> Column:

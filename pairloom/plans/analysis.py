@@ -316,8 +316,7 @@ def two_way_demean(spark: SparkSession, d: str) -> DataFrame:
     return out.select("drug", "condition", (F.round("residual", 5) + 0).alias("residual"))
 
 
-@query(f"""WITH {B.PAIR_SQL}, v AS (SELECT drug, avg(score) AS v, row_number() OVER (ORDER BY drug) - 1 AS at_ FROM sc GROUP BY 1), n AS (SELECT count(*) AS n FROM v),
-    p AS (SELECT b, CAST('0x' || substr(md5(concat_ws('|', b, at_, 42)), 1, 8) AS BIGINT) % n AS k FROM v, n, range(1000) AS r(b)), m AS (SELECT b, avg(v) AS m FROM p JOIN v ON v.at_ = p.k GROUP BY 1)
+@query(f"""WITH {B.PAIR_SQL}, v AS (SELECT drug, avg(score) AS v FROM sc GROUP BY 1), w AS (SELECT b, {B.weight_sql(42, 'b', 'drug')} AS w, v FROM v, range(1000) AS r(b)), m AS (SELECT b, sum(w * v) / sum(w) AS m FROM w GROUP BY 1 HAVING sum(w) > 0)
     SELECT round((SELECT avg(v) FROM v), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     per = B.scored(spark, d).groupBy("drug").agg(F.avg("score").alias("v"))

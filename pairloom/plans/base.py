@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..operators.statistics import poisson_weights
 from ..sources.shared import keep
 
 MIN_PRR = 1.3  # the tables are near uniform, so that 2 leaves hardly a signal
@@ -30,6 +31,12 @@ def dictionary_sql(name: str, described: dict[str, str | None]) -> str:
     return " UNION ALL ".join(parts)
 
 
+def weight_sql(seed: int, *cols: str) -> str:
+    """The SQL of a resample's weight."""
+    cuts = ", ".join(map(str, poisson_weights()))
+    return f"len(list_filter([{cuts}]::BIGINT[], lambda c: c <= CAST('0x' || substr(md5(concat_ws('|', {', '.join(cols)}, {seed})), 1, 8) AS BIGINT)))"
+
+
 def r6(c: Column) -> Column:
     return F.round(c, 6)
 

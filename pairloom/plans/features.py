@@ -305,8 +305,7 @@ def heldout_effects(spark: SparkSession, d: str) -> DataFrame:
     return out.select("drug", "condition", (F.round("residual", 4) + 0).alias("residual"), "drug_unseen", "condition_unseen")
 
 
-@query(f"""WITH {B.PAIR_SQL}, g AS (SELECT drug, avg(case_count) - avg(score) AS v, row_number() OVER (ORDER BY drug) - 1 AS at_ FROM sc GROUP BY 1), n AS (SELECT count(*) AS n FROM g),
-    p AS (SELECT b, CAST('0x' || substr(md5(concat_ws('|', b, at_, 42)), 1, 8) AS BIGINT) % n AS k FROM g, n, range(200) AS r(b)), m AS (SELECT b, avg(v) AS m FROM p JOIN g ON g.at_ = p.k GROUP BY 1)
+@query(f"""WITH {B.PAIR_SQL}, g AS (SELECT drug, avg(case_count) - avg(score) AS v FROM sc GROUP BY 1), w AS (SELECT b, {B.weight_sql(42, 'b', 'drug')} AS w, v FROM g, range(200) AS r(b)), m AS (SELECT b, sum(w * v) / sum(w) AS m FROM w GROUP BY 1 HAVING sum(w) > 0)
     SELECT round((SELECT avg(v) FROM g), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""")
 def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     df = B.scored(spark, d)
@@ -314,9 +313,8 @@ def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return T.paired_bootstrap(first, second, "drug", "v").select(*[r6(F.col(c)).alias(c) for c in ("mean", "low", "high")])
 
 
-@query(f"""WITH {B.PAIR_SQL}, g AS (SELECT condition, drug, score AS v, row_number() OVER (PARTITION BY condition ORDER BY drug) - 1 AS at_, count(*) OVER (PARTITION BY condition) AS n FROM sc),
-    p AS (SELECT condition, b, CAST('0x' || substr(md5(concat_ws('|', condition, b, at_, 42)), 1, 8) AS BIGINT) % n AS k FROM g, range(200) AS r(b)), m AS (SELECT condition, b, avg(v) AS m FROM p JOIN g USING (condition) WHERE g.at_ = p.k GROUP BY 1, 2)
-    SELECT condition, a.n, round(a.m, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high FROM (SELECT condition, count(*) AS n, avg(v) AS m FROM g GROUP BY 1) a JOIN (SELECT condition, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY 1) USING (condition)""")
+@query(f"""WITH {B.PAIR_SQL}, w AS (SELECT condition, b, {B.weight_sql(42, 'condition', 'b', 'drug')} AS w, score AS v FROM sc, range(200) AS r(b)), m AS (SELECT condition, b, sum(w * v) / sum(w) AS m FROM w GROUP BY 1, 2 HAVING sum(w) > 0)
+    SELECT condition, a.n, round(a.m, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high FROM (SELECT condition, count(*) AS n, avg(score) AS m FROM sc GROUP BY 1) a JOIN (SELECT condition, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY 1) USING (condition)""")
 def outcome_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     out = T.bootstrap_by(B.scored(spark, d), "condition", "drug", "score")
     return out.select("condition", "n", *[r6(F.col(c)).alias(c) for c in ("mean", "low", "high")])

@@ -248,3 +248,20 @@ def test_ranks_of_one_large_group(spark):
     b = [(median if s is None else s, y) for g, s, y in rows if g == "b"]
     wins = [(x > z) + (x == z) / 2 for x, p in b for z, q in b if p and not q]
     assert abs(plain["b"][2] - sum(wins) / len(wins)) < 1e-9
+
+
+def test_intervals_of_means(spark):
+    import random
+    import statistics
+
+    from pairloom.operators import statistics as T
+
+    rng = random.Random(12)
+    values = [rng.gauss(5, 2) for _ in range(400)]
+    df = spark.createDataFrame([(k, "o", v) for k, v in enumerate(values)] + [(k, "p", 1.0) for k in range(9)] + [(1, "q", None)], "k int, o string, v double")
+    r = T.bootstrap(df.where("o = 'o'"), "k", "v", rounds=500).first()
+    mean, error = statistics.mean(values), statistics.stdev(values) / 20
+    assert abs(r.mean - mean) < 1e-9 and abs(r.low - (mean - 1.96 * error)) < 0.06 and abs(r.high - (mean + 1.96 * error)) < 0.06
+    got = {r.o: r for r in T.bootstrap_by(df, "o", "k", "v").collect()}
+    assert set(got) == {"o", "p"} and (got["p"].n, got["p"].low, got["p"].high) == (9, 1.0, 1.0) and got["o"].low < mean < got["o"].high
+    assert tuple(T.bootstrap(df.limit(0), "k", "v").first()) == (None, None, None)
