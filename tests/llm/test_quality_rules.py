@@ -68,3 +68,22 @@ def test_empty_and_null_ids(spark):
     assert Q.measure(docs).collect() == [] and Q.keep_good(docs).collect() == []
     docs = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, "c")], "doc_id long, text string")
     assert [r.n_words for r in Q.measure(docs).orderBy("n_words").collect()] == [1, 2, 2]
+
+
+def kept_by_hand(text):
+    """Every rule again, from the text itself."""
+    n, chars, symbols, copies, _, failed = brute(text)
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    letters = [c for c in text or "" if c.isascii() and c.isalpha()]
+    upper = sum(c.isupper() for c in letters)
+    return not (failed or 10 * symbols > n or chars < 2 * n or chars > 15 * n or 10 * upper > 6 * len(letters) or 2 * copies > len(lines))
+
+
+def test_kept_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r.kept for r in Q.measure(docs).collect()}
+    assert got == {r.doc_id: kept_by_hand(r.text) for r in docs.collect()} and len(set(got.values())) == 2
+    base = [f"word{i} thing{i}" for i in range(15)]
+    texts = [" ".join(base), " ".join(base).upper(), " ".join(base) + " #" * 3, " ".join(base) + " #" * 4, "\n".join(base + base[:14] * 2), " ".join("ab"[i % 2] for i in range(30)), " ".join("x" * 16 + str(i) for i in range(30)), " ".join(base[:10]), None]
+    rows = {r.doc_id: r.kept for r in Q.measure(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert rows == {i: kept_by_hand(t) for i, t in enumerate(texts)} and rows[0] and not any(rows[i] for i in (1, 3, 4, 5, 6))
