@@ -237,9 +237,13 @@ def tanimoto_max(spark: SparkSession, d: str) -> DataFrame:
     return N.tanimoto(rows.where("id % 100 = 0"), rows).withColumn("best", r6(F.col("best")))
 
 
-def group_sizes(spark: SparkSession, d: str) -> DataFrame:
+def grouped(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
     supplier = B.table(spark, d, "supplier").select(F.col("s_suppkey").alias("drug"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("group_key"))
-    return B.pair_counts(spark, d).join(supplier, "drug").groupBy("group_key").agg(F.count(F.lit(1)).alias("n_pairs"))
+    return pairs.join(supplier, "drug")
+
+
+def folds_of(rows: DataFrame) -> DataFrame:
+    return S.greedy_folds(rows.groupBy("group_key").agg(F.count(F.lit(1)).alias("n_pairs")))
 
 
 FOLD_SQL = f"""{B.PAIR_SQL}, gs AS (SELECT 'n' || s_nationkey AS group_key, count(*) AS n_pairs FROM pc JOIN supplier ON drug = s_suppkey GROUP BY 1),
@@ -252,12 +256,12 @@ FOLD_SQL = f"""{B.PAIR_SQL}, gs AS (SELECT 'n' || s_nationkey AS group_key, coun
 
 @query(f"WITH RECURSIVE {FOLD_SQL} SELECT group_key, fold FROM fo")
 def fold_assignment(spark: SparkSession, d: str) -> DataFrame:
-    return S.greedy_folds(group_sizes(spark, d))
+    return folds_of(grouped(spark, d, B.pair_counts(spark, d)))
 
 
 def assigned(spark: SparkSession, d: str) -> DataFrame:
-    supplier = B.table(spark, d, "supplier").select(F.col("s_suppkey").alias("drug"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("group_key"))
-    return B.scored(spark, d).join(supplier, "drug").join(fold_assignment(spark, d), "group_key")
+    rows = grouped(spark, d, B.keep(B.scored(spark, d), "scored"))
+    return rows.join(folds_of(rows), "group_key")
 
 
 @query(f"WITH RECURSIVE {FOLD_SQL} SELECT fold, count(*) AS n_pairs, count(DISTINCT drug) AS n_drugs, count(DISTINCT condition) AS n_conditions, round_even(avg(y), 4) AS positive_rate, round_even(count(*) / (SELECT count(*) FROM sc)::DOUBLE, 4) AS share FROM sc JOIN supplier ON drug = s_suppkey JOIN fo ON group_key = 'n' || s_nationkey GROUP BY 1")

@@ -265,3 +265,28 @@ def test_intervals_of_means(spark):
     got = {r.o: r for r in T.bootstrap_by(df, "o", "k", "v").collect()}
     assert set(got) == {"o", "p"} and (got["p"].n, got["p"].low, got["p"].high) == (9, 1.0, 1.0) and got["o"].low < mean < got["o"].high
     assert tuple(T.bootstrap(df.limit(0), "k", "v").first()) == (None, None, None)
+
+
+def test_classes_of_one_size_are_dealt_as_one_by_one(spark):
+    import hashlib
+    import random
+
+    from pairloom.operators import splits as S
+
+    rng = random.Random(13)
+    for m, folds in ((1, S.FOLDS), (7, S.FOLDS), (600, S.FOLDS), (300, {"a": 0.25, "b": 0.25, "c": 0.5}), (40, {"only": 1.0})):
+        sizes = {f"g{k}": rng.choice([1, 1, 1, 2, 3, 7, rng.randint(1, 60)]) for k in range(m)}
+        total, dealt, expected = sum(sizes.values()), dict.fromkeys(folds, 0), {}
+        for key in sorted(sizes, key=lambda k: (-sizes[k], hashlib.md5(f"{k}42".encode()).hexdigest())):
+            lack = {f: (s * total - dealt[f]) / (s * total) for f, s in folds.items()}
+            expected[key] = max(folds, key=lambda f: lack[f])
+            dealt[expected[key]] += sizes[key]
+        got = S.greedy_folds(spark.createDataFrame(list(sizes.items()), "group_key string, n_pairs long"), folds=folds)
+        assert {r.group_key: r.fold for r in got.collect()} == expected
+    assert S.greedy_folds(spark.createDataFrame([], "group_key string, n_pairs long")).count() == 0
+    # many small groups: as many steps as sizes
+    import numpy as np
+
+    starts = S.class_starts([(1, 10_000_000), (2, 3_000_000), (50, 9)], np.array([0.5, 0.3, 0.2]) * 16_000_450)
+    assert [s[:2] for s in starts] == [(50, 0), (2, 9), (1, 3_000_009)]
+    assert abs(starts[2][2][0] / sum(starts[2][2]) - 0.5) < 1e-5
