@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..operators import learners as M
 from ..operators import metrics as R
 from ..operators import network as N
+from ..operators import splits as S
+from ..operators import statistics as T
 from ..sources.shared import keep
 from . import base as B
 from .base import r6
@@ -88,12 +90,48 @@ def zeroed_features(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def refit_in_subset(spark: SparkSession, d: str) -> DataFrame:
-    """Gain of ``gene_overlap`` where it is 0 throughout: the noise of refitting, by seed."""
-    train, held_out = (rows.where("gene_overlap = 0") for rows in designs(spark, d))
-    out = M.refit_gains(train, held_out, ["log_condition_degree", "p_c", "score"], "gene_overlap", seeds=(0, 1), rounds=min(FEWER_ROUNDS, M.ROUNDS))
+    """Gain of a score that only even drugs have, among odd drugs, where it is 0 throughout: the noise of refitting, by seed."""
+    even = F.when(F.col("drug") % 2 == 0, F.col("score")).otherwise(F.lit(0.0))
+    train, held_out = (rows.withColumn("even_score", even).where("drug % 2 = 1") for rows in designs(spark, d))
+    out = M.refit_gains(train, held_out, ["log_condition_degree", "p_c", "score"], "even_score", seeds=(0, 1), rounds=min(FEWER_ROUNDS, M.ROUNDS), min_pairs=5)
     return out.select("seed", "n_train", "n_held_out", *[r6(F.col(c)).alias(c) for c in ("base_auc", "auc", "gain")])
 
 
+#: Features of the designs that copy labels, that know none, and of both together.
+COPYING, FREE = ["rate", "excess", "p_c"], ["n_shared", "sum_weight", "jaccard"]
+
+
+@query
+def split_unions(spark: SparkSession, d: str) -> DataFrame:
+    """Models on label copies, on label-free features and on both, on the split by drugs and the one by conditions.
+
+    All features are found anew from each split's train pairs; a leak audit of
+    their names guards the label-free ones.
+    """
+    if T.forbidden(FREE, ("y", "p_c", "prr", "rate", "excess"), ("faers_", "n_flagged")):
+        raise ValueError("a label-free design holds a label")
+    pairs = keep(B.scored(spark, d).select("drug", "condition", "y"), "scored")
+    genes, of_conditions, inside = B.drug_genes(spark, d), B.condition_genes(spark, d), B.train_drugs(spark, d)
+    cold = pairs.join(S.cold_conditions(pairs.select("condition")), "condition")
+    splits = {"standard": (pairs.join(inside, "drug", "left_semi"), pairs.join(inside, "drug", "left_anti")), "cold": (cold.where("not cold").drop("cold"), cold.where("cold").drop("cold"))}
+    tables = {}
+    for name, (train, held_out) in splits.items():
+        near = keep(N.neighbours(genes.withColumnRenamed("gene", "value"), train.select("drug").distinct()), "near")
+        known = keep(T.rates(train), "rates")
+        for part, rows in (("train", train), ("held_out", held_out)):
+            copied = N.transported_rate(rows.select("drug", "condition"), near, train.where("y = 1"), known).select("drug", "condition", *COPYING)
+            free = N.overlap(rows.select("drug", "condition"), genes, of_conditions, "gene", "score").select("drug", "condition", *FREE)
+            tables[name, part] = keep(rows.join(copied, ["drug", "condition"]).join(free, ["drug", "condition"]), "design")
+    designs_ = {"copying": COPYING, "free": FREE, "union": COPYING + FREE}
+    cases = [(split, design) for split in splits for design in designs_]
+    fits = M.at_once(spark, [lambda s=s, f=f: M.fit(tables[s, "train"], designs_[f], "y", M.boosted, rounds=min(FEWER_ROUNDS, M.ROUNDS)) for s, f in cases])
+    parts = []
+    for (split, design), model in zip(cases, fits, strict=True):
+        auc = R.macro_auc(model.score(tables[split, "held_out"]).select("drug", "y", "score"), min_pairs=5)
+        parts.append(auc.select(F.lit(split).alias("split"), F.lit(design).alias("design"), r6(F.col("macro_auc")).alias("macro_auc"), "n_groups"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def train_held_out_gap(spark: SparkSession, d: str) -> DataFrame:
     """Mean AUC of drugs out of fold in train and on held-out rows, and whether train exceeds them by too much."""
