@@ -18,7 +18,8 @@ Short lists give all their pairs. In a long list every node is paired with a
 leader; what is left between the components that this makes likely is paired
 in blocks. Parity sketches drop the pairs that they prove too different. The
 others are verified on the full sets, nearest first, until none is left
-between components. So no link is missed or invented, short of two shingles
+between components; where two blocks have many, as of documents that share a
+template and little more, the sets are sent there and no pair is written. So no link is missed or invented, short of two shingles
 of one pair of sets that share a 64-bit hash.
 
 Texts are shingled anew by each of the four passes that need sets: kept sets
@@ -33,7 +34,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -54,6 +55,10 @@ LEADER_ROUNDS = 2
 #: Rounds in which a component verifies its nearest pair only.
 NEAREST_ROUNDS = 2
 BLOCK = 2048
+#: Pairs of two blocks are written while they are no more than this for each member; beyond, they are verified inside the blocks.
+LOOSE = 8
+#: Bytes of sets that a part of a block holds, about.
+BLOCK_BYTES = 16 << 20
 POSTINGS_PER_BUCKET = 400_000
 SKETCH_BITS = 1024
 #: Postings carry sizes in two bytes; larger ones look alike there, and are told apart when a pair is verified.
@@ -472,35 +477,102 @@ def leader_pairs(members: DataFrame, labels: DataFrame | None, turn: int) -> Dat
     return ordered_pairs(met, "sig", "lead.sig")
 
 
-def block_pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Pairs between components, from two blocks of a list, that sketches don't rule out."""
-    _, i, j = (k.as_py() for k in key)
+def near_by_sketch(bits: np.ndarray, sizes: np.ndarray, x: int, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``other`` the members that sizes and sketches leave possible for ``x``, and how far apart they are."""
+    other = other[100 * np.minimum(sizes[other], sizes[x]) >= PERCENT * np.maximum(sizes[other], sizes[x])]
+    total, apart = sizes[other] + sizes[x], differ(bits[other], bits[x])
+    near = np.flatnonzero(100 * (total - apart) >= PERCENT * (total + apart))
+    return other[near], apart[near] / total[near]
+
+
+def block_of(table: pa.Table, i: int, j: int) -> tuple:
     block, names, labels, sizes = (table.column(c).to_numpy().astype(np.int64) for c in ("block", "sig", "label", "n"))
     bits = np.stack([np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("sketch")])
-    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    a, b, gaps = [], [], []
+    return names, labels, sizes, bits, np.flatnonzero(block == i), np.flatnonzero(block == j)
+
+
+def block_pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Pairs between components, from two blocks of a list, that sketches don't rule out; one row without a pair where these are many."""
+    where, i, j = (k.as_py() for k in key)
+    names, labels, sizes, bits, left, right = block_of(table, i, j)
+    a, b, gaps, n = [], [], [], 0
+    for x in left:
+        other, apart = near_by_sketch(bits, sizes, x, right[(labels[right] != labels[x]) & ((names[right] > names[x]) | (i != j))])
+        n += len(other)
+        if n > LOOSE * len(names):
+            a, b, gaps = None, None, None
+            break
+        a.append(np.full(len(other), names[x]))
+        b.append(names[other])
+        gaps.append(apart)
+    if a is None:
+        a, b, gaps = (pa.array([None], type=t) for t in (pa.int64(), pa.int64(), pa.float64()))
+    else:
+        a, b, gaps = (np.concatenate(v) if v else np.zeros(0) for v in (a, b, gaps))
+        a, b, gaps = pa.array(np.minimum(a, b), type=pa.int64()), pa.array(np.maximum(a, b), type=pa.int64()), pa.array(gaps, type=pa.float64())
+    same = {"bucket": (where["bucket"], pa.int32()), "key": (where["key"], pa.int64()), "i": (i, pa.int32()), "j": (j, pa.int32())}
+    return pa.table({c: pa.array([v] * len(a), type=t) for c, (v, t) in same.items()} | {"a": a, "b": b, "apart": gaps})
+
+
+def block_links(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Links that join components of two blocks of a list, verified on the full sets; none inside a component that others have joined."""
+    _, i, j = (k.as_py() for k in key)
+    names, labels, sizes, bits, left, right = block_of(table, i, j)
+    sets = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("members")]
+    found = []
     for x in left:
-        other = right[(labels[right] != labels[x]) & ((names[right] > names[x]) | (i != j))]
-        other = other[(100 * np.minimum(sizes[other], sizes[x]) >= PERCENT * np.maximum(sizes[other], sizes[x]))]
-        total, apart = sizes[other] + sizes[x], differ(bits[other], bits[x])
-        near = np.flatnonzero(100 * (total - apart) >= PERCENT * (total + apart))
-        a.append(np.full(len(near), names[x]))
-        b.append(names[other[near]])
-        gaps.append(apart[near] / total[near])
-    a, b, gaps = (np.concatenate(v) if v else np.zeros(0) for v in (a, b, gaps))
-    return pa.table({"a": pa.array(np.minimum(a, b), type=pa.int64()), "b": pa.array(np.maximum(a, b), type=pa.int64()), "apart": pa.array(gaps, type=pa.float64())})
-
-
-def rest_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs of long lists that leaders have left open: between components, in bounded blocks."""
+        other, apart = near_by_sketch(bits, sizes, x, right[labels[right] != labels[x]])
+        for y in other[np.argsort(apart, kind="stable")]:
+            if labels[x] == labels[y]:
+                continue
+            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if 100 * both >= PERCENT * (len(sets[x]) + len(sets[y]) - both):
+                found.append((names[x], names[y]))
+                labels[labels == labels[y]] = labels[x]
+    return pa.table({"a": pa.array([p[0] for p in found], type=pa.int64()), "b": pa.array([p[1] for p in found], type=pa.int64())})
+
+
+def open_lists(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``key, sig, label, blocks``: members of the long lists that lie in more than one component. Lists of the same members open the same pairs: one of them stays."""
     members = members.join(labels, members.sig == labels.node, "left").select("key", "sig", F.coalesce("label", "sig").alias("label"))
     lists = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("who")).where("low <> high")
-    # lists of the same members open the same pairs
     lists = lists.groupBy("size", "who").agg(F.min("key").alias("key")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    spread = members.join(lists.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64(F.lit(7), "sig"), F.col("blocks")).cast("int"))
-    spread = spread.join(sketches, "sig").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    return spread.select("key", "i", "j", "block", "sig", "label", "n", "sketch").groupBy("key", "i", "j").applyInArrow(block_pairs, "a long, b long, apart double").dropDuplicates(["a", "b"])
+    return members.join(lists.select("key", "blocks"), "key")
+
+
+def place(blocks: Column) -> Column:
+    """A member's block; with a multiple of ``blocks``, a part of it."""
+    return F.pmod(F.xxhash64(F.lit(7), "sig"), blocks).cast("int")
+
+
+def in_pairs_of_blocks(rows: DataFrame, blocks: Column) -> DataFrame:
+    """Each member once for each pair ``i <= j`` of blocks that its own is of."""
+    spread = rows.withColumn("block", place(blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return spread.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+
+
+def rest_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What leaders have left open in long lists, between components, in bounded blocks: ``a, b, apart``, and ``key, i, j`` of the pairs of blocks that have more such pairs than are worth writing."""
+    spread = in_pairs_of_blocks(open_lists(members, labels).join(sketches, "sig"), F.col("blocks"))
+    found = keep(spread.select("key", "i", "j", "block", "sig", "label", "n", "sketch").groupBy("key", "i", "j").applyInArrow(block_pairs, "bucket int, key long, i int, j int, a long, b long, apart double"), "blocks")
+    return found.where("a is not null").select("a", "b", "apart").dropDuplicates(["a", "b"]), found.where("a is null").select(F.struct("bucket", "key").alias("key"), "i", "j")
+
+
+def dense_links(members: DataFrame, labels: DataFrame, sketches: DataFrame, dense: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b``: links between components in the pairs of blocks that are full of similar sets.
+
+    The sets are sent to the blocks and verified there, so no pair is written
+    that does not link, and of those that do no more than join the components.
+    Blocks are cut further where their sets are large.
+    """
+    rows = open_lists(members, labels).join(dense.select("key").distinct(), "key", "left_semi").join(sketches, "sig")
+    heavy = rows.groupBy("key", place(F.col("blocks")).alias("_block")).agg(F.sum(F.col("n") * F.lit(8)).alias("_bytes"))
+    parts = heavy.groupBy("key").agg(F.ceil(F.max("_bytes") / BLOCK_BYTES).cast("int").alias("_parts"))
+    spread = in_pairs_of_blocks(rows.join(parts, "key"), F.col("blocks") * F.col("_parts"))
+    # the blocks that the parts are of
+    whole = spread.withColumns({"_i": F.least(F.col("i") % F.col("blocks"), F.col("j") % F.col("blocks")), "_j": F.greatest(F.col("i") % F.col("blocks"), F.col("j") % F.col("blocks"))})
+    asked = whole.join(dense.select("key", F.col("i").alias("_i"), F.col("j").alias("_j")), ["key", "_i", "_j"], "left_semi").join(sets, "sig")
+    return asked.select("key", "i", "j", "block", "sig", "label", "n", "sketch", "members").groupBy("key", "i", "j").applyInArrow(block_links, "a long, b long")
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -543,13 +615,21 @@ def _link(docs: DataFrame) -> DataFrame:
             break
         pairs = pairs.unionByName(more).dropDuplicates(["a", "b"])
         likely = components(more, likely)
-    pairs = keep(pairs.unionByName(rest_pairs(members, likely, sketches)).dropDuplicates(["a", "b"]), "pairs")
-    sets = keep(sets_of(known, pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct(), naming), "members")
+    rest, dense = rest_pairs(members, likely, sketches)
+    pairs = keep(pairs.unionByName(rest).dropDuplicates(["a", "b"]), "pairs")
+    named = pairs.select(F.col("a").alias("sig")).union(pairs.select("b"))
+    if not dense.isEmpty():
+        named = named.union(open_lists(members, likely).join(dense.select("key").distinct(), "key", "left_semi").select("sig"))
+    sets = keep(sets_of(known, named.distinct(), naming), "members")
     labels = verified_labels(pairs, sets)
-    # Members of one list that only seemed to be in one component; their sets are known.
-    missed = keep(rest_pairs(members, labels, sketches).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    # Members of one list that only seemed to be in one component, and blocks full of similar sets; their sets are known.
+    rest, dense = rest_pairs(members, labels, sketches)
+    missed = keep(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not missed.isEmpty():
         labels = verified_labels(missed, sets, labels)
+    if not dense.isEmpty():
+        links = keep(dense_links(members, labels, sketches, dense, sets), "links")
+        labels = components(links, labels)
 
     belongs = nodes.join(labels, nodes.sig == labels.node, "left").select("sig", "rep", F.coalesce("label", "sig").alias("label"))
     least = belongs.groupBy("label").agg(F.min("rep").alias("component_id"))

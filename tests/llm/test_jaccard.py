@@ -60,13 +60,16 @@ def test_light_sets(spark):
     agrees(spark, rows)
 
 
-@pytest.mark.parametrize("small", [False, True])
+@pytest.mark.parametrize("small", [False, True, "dense"])
 def test_large_group_of_near_copies(spark, monkeypatch, small):
     """A chain of copies, far ones apart, and a passage that strangers share; also with blocks of a few nodes."""
     if small:
         monkeypatch.setattr(J, "BLOCK", 7)
         monkeypatch.setattr(J, "LEADER_ROUNDS", 1)
         monkeypatch.setattr(J, "FREQUENT", 3)
+    if small == "dense":
+        monkeypatch.setattr(J, "LOOSE", 0)
+        monkeypatch.setattr(J, "BLOCK_BYTES", 2000)
     rng = random.Random(3)
     base = [f"b{i}" for i in range(120)]
     rows = []
@@ -128,3 +131,22 @@ def test_boundary_by_cost():
 def test_keeps_one_of_each_group(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (3, "q", None), (None, "q", None)], "doc_id long, text string, lang string")
     assert sorted((r.doc_id or 0, r.lang or "") for r in J.drop_near_copies(docs).collect()) == [(0, ""), (1, "x"), (3, "")]
+
+
+def templates(n, own, shared=52):
+    """Documents of one template: 48 shingles that all have and some of their own."""
+    return [(i, " ".join([f"s{k}" for k in range(shared)] + [f"o{i}.{k}" for k in range(own)])) for i in range(n)]
+
+
+def test_documents_of_one_template_write_few_pairs(spark, monkeypatch):
+    written, real = [], J.rest_pairs
+    monkeypatch.setattr(J, "rest_pairs", lambda *a: written.append(real(*a)) or written[-1])
+    for n in (400, 800):
+        written.clear()
+        rows = templates(n, 7)  # 48 of 62 shingles in common: no links
+        rows += [(5000 + k, f"{rows[k][1]} o{k}.7") for k in range(30)]  # a shingle more: a link each
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r.doc_id: r.component_id for r in J.link(docs).collect()}
+        assert all(got[i] == i for i in range(n)) and all(got[5000 + k] == k for k in range(30))
+        assert sum(pairs.count() for pairs, _ in written) <= J.LOOSE * n
+        assert any(not dense.isEmpty() for _, dense in written)
