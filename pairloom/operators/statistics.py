@@ -46,22 +46,20 @@ def offsets(rows: DataFrame, a: str, b: str, value: str, rounds: int, tolerance:
     its rows, so a half round needs the number of rows of each pair of keys
     and the sums of each key, found once, and the other side's offsets: rows
     are neither rewritten nor read again. A pair's count is one row however
-    often the pair comes. Rounds end once no offset moves by ``tolerance``.
+    often the pair comes. Rounds end once no offset of ``b`` moves by ``tolerance``.
     """
     known = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     cells = keep(known.groupBy(a, b).agg(F.count(F.lit(1)).alias("_n"), F.sum(value).cast("double").alias("_s")), "cells")
     totals = {k: keep(cells.groupBy(k).agg(F.sum("_n").alias("_rows"), F.sum("_s").alias("_sum")), "totals") for k in (a, b)}
     found = {k: totals[k].select(k, F.lit(0.0).alias(f"{k}_offset")) for k in (a, b)}
     for _ in range(rounds):
-        largest = 0.0
         for key, other in ((a, b), (b, a)):
             taken = cells.join(found[other], other).groupBy(key).agg(F.sum(F.col("_n") * F.col(f"{other}_offset")).alias("_taken"))
             moved = totals[key].join(taken, key).join(found[key].withColumnRenamed(f"{key}_offset", "_old"), key)
             new = keep(moved.select(key, ((F.col("_sum") - F.col("_taken")) / F.col("_rows")).alias(f"{key}_offset"), "_old"), "offsets")
-            if tolerance is not None:
-                largest = max(largest, new.agg(F.max(F.abs(F.col(f"{key}_offset") - F.col("_old")))).first()[0] or 0.0)
             found[key] = new.drop("_old")
-        if tolerance is not None and largest < tolerance:
+        # a's offsets follow from b's: once these stay, both do
+        if tolerance is not None and (new.agg(F.max(F.abs(F.col(f"{b}_offset") - F.col("_old")))).first()[0] or 0.0) < tolerance:
             break
     return found[a], found[b]
 
