@@ -55,8 +55,8 @@ LEADER_ROUNDS = 2
 #: Rounds in which a component verifies its nearest pair only.
 NEAREST_ROUNDS = 2
 BLOCK = 2048
-#: Pairs of two blocks are written while they are no more than this for each member; beyond, they are verified inside the blocks.
-LOOSE = 8
+#: Pairs of two blocks are written up to so many for each member, or in all; where there are more they are verified inside the blocks.
+LOOSE, MANY_PAIRS = 8, 1 << 16
 #: Bytes of sets that a part of a block holds, about.
 BLOCK_BYTES = 16 << 20
 POSTINGS_PER_BUCKET = 400_000
@@ -492,21 +492,23 @@ def block_of(table: pa.Table, i: int, j: int) -> tuple:
 
 
 def block_pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Pairs between components, from two blocks of a list, that sketches don't rule out; one row without a pair where these are many."""
+    """Pairs between components, from two blocks of a list, that sketches don't rule out; where these are many, the nodes that they are of, alone."""
     where, i, j = (k.as_py() for k in key)
     names, labels, sizes, bits, left, right = block_of(table, i, j)
-    a, b, gaps, n = [], [], [], 0
+    a, b, gaps, n, met = [], [], [], 0, np.zeros(len(names), dtype=bool)
+    most = max(LOOSE * len(names), MANY_PAIRS)
     for x in left:
         other, apart = near_by_sketch(bits, sizes, x, right[(labels[right] != labels[x]) & ((names[right] > names[x]) | (i != j))])
         n += len(other)
-        if n > LOOSE * len(names):
-            a, b, gaps = None, None, None
-            break
-        a.append(np.full(len(other), names[x]))
-        b.append(names[other])
-        gaps.append(apart)
-    if a is None:
-        a, b, gaps = (pa.array([None], type=t) for t in (pa.int64(), pa.int64(), pa.float64()))
+        met[other] = True
+        met[x] |= len(other) > 0
+        if n <= most:
+            a.append(np.full(len(other), names[x]))
+            b.append(names[other])
+            gaps.append(apart)
+    if n > most:
+        alone = names[met]
+        a, b, gaps = pa.array(alone), pa.nulls(len(alone), pa.int64()), pa.nulls(len(alone), pa.float64())
     else:
         a, b, gaps = (np.concatenate(v) if v else np.zeros(0) for v in (a, b, gaps))
         a, b, gaps = pa.array(np.minimum(a, b), type=pa.int64()), pa.array(np.maximum(a, b), type=pa.int64()), pa.array(gaps, type=pa.float64())
@@ -552,10 +554,10 @@ def in_pairs_of_blocks(rows: DataFrame, blocks: Column) -> DataFrame:
 
 
 def rest_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What leaders have left open in long lists, between components, in bounded blocks: ``a, b, apart``, and ``key, i, j`` of the pairs of blocks that have more such pairs than are worth writing."""
+    """What leaders have left open in long lists, between components, in bounded blocks: ``a, b, apart``, and ``key, i, j, sig`` of the nodes in pairs of blocks that have more such pairs than are worth writing."""
     spread = in_pairs_of_blocks(open_lists(members, labels).join(sketches, "sig"), F.col("blocks"))
     found = keep(spread.select("key", "i", "j", "block", "sig", "label", "n", "sketch").groupBy("key", "i", "j").applyInArrow(block_pairs, "bucket int, key long, i int, j int, a long, b long, apart double"), "blocks")
-    return found.where("a is not null").select("a", "b", "apart").dropDuplicates(["a", "b"]), found.where("a is null").select(F.struct("bucket", "key").alias("key"), "i", "j")
+    return found.where("b is not null").select("a", "b", "apart").dropDuplicates(["a", "b"]), found.where("b is null").select(F.struct("bucket", "key").alias("key"), "i", "j", F.col("a").alias("sig"))
 
 
 def dense_links(members: DataFrame, labels: DataFrame, sketches: DataFrame, dense: DataFrame, sets: DataFrame) -> DataFrame:
@@ -565,13 +567,13 @@ def dense_links(members: DataFrame, labels: DataFrame, sketches: DataFrame, dens
     that does not link, and of those that do no more than join the components.
     Blocks are cut further where their sets are large.
     """
-    rows = open_lists(members, labels).join(dense.select("key").distinct(), "key", "left_semi").join(sketches, "sig")
+    rows = open_lists(members, labels).join(dense.select("key", "sig").distinct(), ["key", "sig"], "left_semi").join(sketches, "sig")
     heavy = rows.groupBy("key", place(F.col("blocks")).alias("_block")).agg(F.sum(F.col("n") * F.lit(8)).alias("_bytes"))
     parts = heavy.groupBy("key").agg(F.ceil(F.max("_bytes") / BLOCK_BYTES).cast("int").alias("_parts"))
     spread = in_pairs_of_blocks(rows.join(parts, "key"), F.col("blocks") * F.col("_parts"))
     # the blocks that the parts are of
     whole = spread.withColumns({"_i": F.least(F.col("i") % F.col("blocks"), F.col("j") % F.col("blocks")), "_j": F.greatest(F.col("i") % F.col("blocks"), F.col("j") % F.col("blocks"))})
-    asked = whole.join(dense.select("key", F.col("i").alias("_i"), F.col("j").alias("_j")), ["key", "_i", "_j"], "left_semi").join(sets, "sig")
+    asked = whole.join(dense.select("key", F.col("i").alias("_i"), F.col("j").alias("_j"), "sig"), ["key", "_i", "_j", "sig"], "left_semi").join(sets, "sig")
     return asked.select("key", "i", "j", "block", "sig", "label", "n", "sketch", "members").groupBy("key", "i", "j").applyInArrow(block_links, "a long, b long")
 
 
@@ -619,7 +621,7 @@ def _link(docs: DataFrame) -> DataFrame:
     pairs = keep(pairs.unionByName(rest).dropDuplicates(["a", "b"]), "pairs")
     named = pairs.select(F.col("a").alias("sig")).union(pairs.select("b"))
     if not dense.isEmpty():
-        named = named.union(open_lists(members, likely).join(dense.select("key").distinct(), "key", "left_semi").select("sig"))
+        named = named.union(dense.select("sig"))
     sets = keep(sets_of(known, named.distinct(), naming), "members")
     labels = verified_labels(pairs, sets)
     # Members of one list that only seemed to be in one component, and blocks full of similar sets; their sets are known.

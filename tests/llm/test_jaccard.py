@@ -69,6 +69,7 @@ def test_large_group_of_near_copies(spark, monkeypatch, small):
         monkeypatch.setattr(J, "FREQUENT", 3)
     if small == "dense":
         monkeypatch.setattr(J, "LOOSE", 0)
+        monkeypatch.setattr(J, "MANY_PAIRS", 0)
         monkeypatch.setattr(J, "BLOCK_BYTES", 2000)
     rng = random.Random(3)
     base = [f"b{i}" for i in range(120)]
@@ -140,6 +141,7 @@ def templates(n, own, shared=52):
 
 def test_documents_of_one_template_write_few_pairs(spark, monkeypatch):
     written, real = [], J.rest_pairs
+    monkeypatch.setattr(J, "MANY_PAIRS", 1000)
     monkeypatch.setattr(J, "rest_pairs", lambda *a: written.append(real(*a)) or written[-1])
     for n in (400, 800):
         written.clear()
