@@ -491,29 +491,33 @@ def block_of(table: pa.Table, i: int, j: int) -> tuple:
     return names, labels, sizes, bits, np.flatnonzero(block == i), np.flatnonzero(block == j)
 
 
-def block_pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+def block_pairs(loose: int, many: int):
     """Pairs between components, from two blocks of a list, that sketches don't rule out; where these are many, the nodes that they are of, alone."""
-    where, i, j = (k.as_py() for k in key)
-    names, labels, sizes, bits, left, right = block_of(table, i, j)
-    a, b, gaps, n, met = [], [], [], 0, np.zeros(len(names), dtype=bool)
-    most = max(LOOSE * len(names), MANY_PAIRS)
-    for x in left:
-        other, apart = near_by_sketch(bits, sizes, x, right[(labels[right] != labels[x]) & ((names[right] > names[x]) | (i != j))])
-        n += len(other)
-        met[other] = True
-        met[x] |= len(other) > 0
-        if n <= most:
-            a.append(np.full(len(other), names[x]))
-            b.append(names[other])
-            gaps.append(apart)
-    if n > most:
-        alone = names[met]
-        a, b, gaps = pa.array(alone), pa.nulls(len(alone), pa.int64()), pa.nulls(len(alone), pa.float64())
-    else:
-        a, b, gaps = (np.concatenate(v) if v else np.zeros(0) for v in (a, b, gaps))
-        a, b, gaps = pa.array(np.minimum(a, b), type=pa.int64()), pa.array(np.maximum(a, b), type=pa.int64()), pa.array(gaps, type=pa.float64())
-    same = {"bucket": (where["bucket"], pa.int32()), "key": (where["key"], pa.int64()), "i": (i, pa.int32()), "j": (j, pa.int32())}
-    return pa.table({c: pa.array([v] * len(a), type=t) for c, (v, t) in same.items()} | {"a": a, "b": b, "apart": gaps})
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        where, i, j = (k.as_py() for k in key)
+        names, labels, sizes, bits, left, right = block_of(table, i, j)
+        a, b, gaps, n, met = [], [], [], 0, np.zeros(len(names), dtype=bool)
+        most = max(loose * len(names), many)
+        for x in left:
+            other, apart = near_by_sketch(bits, sizes, x, right[(labels[right] != labels[x]) & ((names[right] > names[x]) | (i != j))])
+            n += len(other)
+            met[other] = True
+            met[x] |= len(other) > 0
+            if n <= most:
+                a.append(np.full(len(other), names[x]))
+                b.append(names[other])
+                gaps.append(apart)
+        if n > most:
+            alone = names[met]
+            a, b, gaps = pa.array(alone), pa.nulls(len(alone), pa.int64()), pa.nulls(len(alone), pa.float64())
+        else:
+            a, b, gaps = (np.concatenate(v) if v else np.zeros(0) for v in (a, b, gaps))
+            a, b, gaps = pa.array(np.minimum(a, b), type=pa.int64()), pa.array(np.maximum(a, b), type=pa.int64()), pa.array(gaps, type=pa.float64())
+        same = {"bucket": (where["bucket"], pa.int32()), "key": (where["key"], pa.int64()), "i": (i, pa.int32()), "j": (j, pa.int32())}
+        return pa.table({c: pa.array([v] * len(a), type=t) for c, (v, t) in same.items()} | {"a": a, "b": b, "apart": gaps})
+
+    return run
 
 
 def block_links(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -556,7 +560,7 @@ def in_pairs_of_blocks(rows: DataFrame, blocks: Column) -> DataFrame:
 def rest_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What leaders have left open in long lists, between components, in bounded blocks: ``a, b, apart``, and ``key, i, j, sig`` of the nodes in pairs of blocks that have more such pairs than are worth writing."""
     spread = in_pairs_of_blocks(open_lists(members, labels).join(sketches, "sig"), F.col("blocks"))
-    found = keep(spread.select("key", "i", "j", "block", "sig", "label", "n", "sketch").groupBy("key", "i", "j").applyInArrow(block_pairs, "bucket int, key long, i int, j int, a long, b long, apart double"), "blocks")
+    found = keep(spread.select("key", "i", "j", "block", "sig", "label", "n", "sketch").groupBy("key", "i", "j").applyInArrow(block_pairs(LOOSE, MANY_PAIRS), "bucket int, key long, i int, j int, a long, b long, apart double"), "blocks")
     return found.where("b is not null").select("a", "b", "apart").dropDuplicates(["a", "b"]), found.where("b is null").select(F.struct("bucket", "key").alias("key"), "i", "j", F.col("a").alias("sig"))
 
 
