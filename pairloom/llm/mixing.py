@@ -334,12 +334,14 @@ class Mix:
         """
         id_col, text_col, source_col = self.names
         columns = self.docs.columns
-        at, size, source, drawn, where, words_, copy, draw = (fresh(c, columns) for c in ("_at", "_size", "_source", "_drawn", "_place", "_words", "_copy", "_draw"))
-        sources = self.per_source.select("src", F.col("source").alias(source))
-        times = self._draws_of_rows().join(sources, "src").select(F.col("at").alias(at), F.col("size").alias(size), source, F.col("drawn").alias(drawn))
-        full = self.docs.withColumns({where: place(self.seed, id_col, text_col), words_: words(F.col(text_col))})
-        found = full.join(times, (F.col(where) == F.col(at)) & (F.col(words_) == F.col(size)) & F.col(source_col).eqNullSafe(F.col(source)))
-        numbered = found.withColumn(copy, F.row_number().over(Window.partitionBy(where, words_, source_col).orderBy(where)))
+        where, words_, named, none, drawn, copy, draw = (fresh(c, columns) for c in ("_place", "_words", "_named", "_none", "_drawn", "_copy", "_draw"))
+        # a source and whether it is null, as keys of the join and of the window: texts are shuffled once for both
+        source = {named: lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")), none: lambda c: F.col(c).isNull()}
+        times = self._draws_of_rows().join(self.per_source.select("src", *[f("source").alias(n) for n, f in source.items()]), "src")
+        times = times.select(F.col("at").alias(where), F.col("size").alias(words_), named, none, F.col("drawn").alias(drawn))
+        full = self.docs.withColumns({where: place(self.seed, id_col, text_col), words_: words(F.col(text_col))} | {n: f(source_col) for n, f in source.items()})
+        keys = [where, words_, named, none]
+        numbered = full.join(times, keys).withColumn(copy, F.row_number().over(Window.partitionBy(*keys).orderBy(where)))
         shown = numbered.withColumn(draw, F.explode(F.filter(drawn, lambda d: d["n"] >= F.col(copy))))
         tasks = min(self.shards, MOST_TASKS)
         shard = F.col(draw)["shard"]
