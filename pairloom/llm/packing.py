@@ -38,7 +38,7 @@ PACKED = PIECES + ", sequence_id long, offset long"
 
 # White space other than single spaces and line breaks between words, or the start of a special token.
 ODD_SPACE = r"[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]|  | \n|\n |\n\n|[ \n]\Z|\A[ \n]|<\|"
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 CACHE_LENGTH = 48
 _encoders: dict[str, "Encoder"] = {}
 
