@@ -14,12 +14,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .joins import top_per_group
+from ..sources.catalog import numbered
 from ..sources.shared import keep
 
 
 #: Drugs of one value are joined in blocks of about this many.
 DRUGS_A_BLOCK = 256
 
+#: Where neighbours are only counted: drugs that a task asks for, train drugs of a task, a bit each, drugs whose
+#: bits are counted at once, and the members from which a value is held as bits and not as places.
+DRUGS_A_CHUNK, BITS_A_BLOCK, DRUGS_A_SLICE, DENSE = 4096, 65_536, 64, 512
+
 #: Queries that one pass sends to all tasks, at most, and those of one dense comparison.
 QUERIES_A_PASS, QUERIES_A_SLICE = 16_384, 1024
 
@@ -38,16 +43,95 @@ def neighbours(edges: DataFrame, train: DataFrame, drug: str = "drug", value: st
     return dealt.join(right, [value, "_block"]).where(F.col(drug) != F.col("neighbour")).select(drug, "neighbour").distinct()
 
 
-def transported_rate(pairs: DataFrame, near: DataFrame, flagged: DataFrame, rates: DataFrame, k: float = 10.0) -> DataFrame:
+def bits_of(places: list[np.ndarray], block: int) -> np.ndarray:
+    """A row of ``block`` bits for each list of places."""
+    out = np.zeros((len(places), block // 64), dtype=np.uint64)
+    for row, at in zip(out, places, strict=True):
+        np.bitwise_or.at(row, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    return out
+
+
+def _count_near(asked: pa.Table, held: pa.Table, block: int, dense: int) -> pa.Table:
+    """For a chunk of drugs and a block of train drugs: neighbours of each drug (null condition), and those flagged for each condition."""
+    flag = pc.is_valid(held.column("condition"))
+    sides = []
+    for part in (held.filter(pc.invert(flag)), held.filter(flag)):
+        ends = pa.concat_arrays(part.column("places").chunks) if part.num_rows else pa.array([], pa.list_(pa.int32()))
+        places = [np.asarray(x, dtype=np.int64) for x in np.split(ends.flatten().to_numpy(), ends.value_lengths().to_numpy(zero_copy_only=False).cumsum()[:-1])] if len(ends) else []
+        many = [k for k, x in enumerate(places) if len(x) >= dense]
+        sides.append((part, places, dict(zip(many, bits_of([places[k] for k in many], block), strict=True))))
+    (values, of_value, value_bits), (flags, of_flag, flag_bits) = sides
+    lists = pa.concat_arrays(asked.column("values").chunks)
+    code = pc.fill_null(pc.index_in(lists.flatten(), pa.array(values.column("value").combine_chunks())), -1).to_numpy()
+    first = np.concatenate([[0], lists.value_lengths().to_numpy(zero_copy_only=False).cumsum()])
+    own = pc.fill_null(asked.column("own"), -1).to_numpy()
+    found = []
+    for start in range(0, asked.num_rows, DRUGS_A_SLICE):
+        stop = min(start + DRUGS_A_SLICE, asked.num_rows)
+        near = np.zeros((stop - start, block // 64), dtype=np.uint64)
+        for row, drug in zip(near, range(start, stop), strict=True):
+            for k in code[first[drug] : first[drug + 1]]:
+                if k in value_bits:
+                    row |= value_bits[k]
+                elif k >= 0:
+                    np.bitwise_or.at(row, of_value[k] >> 6, np.uint64(1) << (of_value[k] & 63).astype(np.uint64))
+            if own[drug] >= 0:  # no drug is its own neighbour
+                row[own[drug] >> 6] &= ~(np.uint64(1) << np.uint64(own[drug] & 63))
+        found.append((start, -1, np.bitwise_count(near).sum(axis=1, dtype=np.int64)))
+        for k, at in enumerate(of_flag):
+            if k in flag_bits:
+                n = np.bitwise_count(near & flag_bits[k]).sum(axis=1, dtype=np.int64)
+            else:
+                n = ((near[:, at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).sum(axis=1, dtype=np.int64)
+            found.append((start, k, n))
+    at = [np.flatnonzero(n) for _, _, n in found]
+    drugs = np.concatenate([start + x for (start, _, _), x in zip(found, at, strict=True)])
+    kinds = np.concatenate([np.full(len(x), k) for (_, k, _), x in zip(found, at, strict=True)])
+    counts = np.concatenate([n[x] for (_, _, n), x in zip(found, at, strict=True)])
+    condition = flags.column("condition").combine_chunks().take(pa.array(kinds, mask=kinds < 0))
+    return pa.table({"drug": asked.column("drug").combine_chunks().take(pa.array(drugs)), "condition": condition, "n": pa.array(counts)})
+
+
+def neighbour_counts(pairs: DataFrame, edges: DataFrame, train: DataFrame, flagged: DataFrame, drug: str = "drug", value: str = "value") -> DataFrame:
+    """``drug, condition, n``: how many of ``neighbours`` a drug of ``pairs`` has (``condition`` null), and how many flagged for each condition.
+
+    No pair of drugs becomes a row. Train drugs are numbered and stand for
+    bits, in blocks; a value and a condition are the places of their train
+    drugs in a block. A task meets a chunk of drugs with a block: a drug's
+    neighbours are the union of its values' bits, and counts are those of
+    set bits. So work is a 64th of the pairs of drugs, and memory that of a
+    block, of a chunk, and of the conditions.
+    """
+    own = edges.where(F.col(value).isNotNull() & F.col(drug).isNotNull()).select(F.col(drug).alias("drug"), F.col(value).alias("value")).distinct()
+    own = keep(own, "edges")
+    known = keep(numbered(own.join(train.select(F.col(drug).alias("drug")), "drug", "left_semi").select("drug").distinct(), ["drug"]), "train")
+    placed = known.select("drug", F.floor(F.col("row_index") / BITS_A_BLOCK).cast("int").alias("_block"), (F.col("row_index") % BITS_A_BLOCK).cast("int").alias("_place"))
+    wanted = own.join(pairs.select("drug").distinct(), "drug", "left_semi").groupBy("drug").agg(F.collect_list("value").alias("values"))
+    wanted = keep(wanted.join(placed, "drug", "left"), "wanted")
+    blocks, chunks = -(-known.count() // BITS_A_BLOCK), -(-wanted.count() // DRUGS_A_CHUNK)
+    chunk = F.pmod(F.xxhash64("drug"), F.lit(max(1, chunks))).cast("int").alias("_chunk")
+    spread = wanted.select("drug", "values", "_block", "_place", chunk, F.explode(F.sequence(F.lit(0), F.lit(max(1, blocks) - 1))).alias("_to"))
+    spread = spread.select("_chunk", F.col("_to").alias("_block"), "drug", "values", F.when(F.col("_block") == F.col("_to"), F.col("_place")).alias("own"))
+    kinds = dict(value=own.schema["value"].dataType, condition=flagged.schema["condition"].dataType)
+    marks = flagged.select(F.col("drug"), "condition").where("condition is not null").distinct().join(pairs.select("condition").distinct(), "condition", "left_semi")
+    held = [rows.join(placed, "drug").groupBy("_block", of).agg(F.collect_list("_place").alias("places")).select("_block", *[F.col(c) if c == of else F.lit(None).cast(kinds[c]).alias(c) for c in kinds], "places") for rows, of in ((own, "value"), (marks, "condition"))]
+    held = held[0].unionByName(held[1]).select(F.explode(F.sequence(F.lit(0), F.lit(max(1, chunks) - 1))).alias("_chunk"), "_block", *kinds, "places")
+    cells = max(1, blocks * chunks)
+    left, right = (rows.repartition(cells, "_chunk", "_block").groupBy("_chunk", "_block") for rows in (spread, held))
+    kind = {"drug": wanted.schema["drug"].dataType, **kinds}
+    block, dense = BITS_A_BLOCK, DENSE
+    counted = left.cogroup(right).applyInArrow(lambda asked, there: _count_near(asked, there, block, dense), f"drug {kind['drug'].simpleString()}, condition {kind['condition'].simpleString()}, n long")
+    return keep(counted.groupBy("drug", "condition").agg(F.sum("n").alias("n")), "near")
+
+
+def transported_rate(pairs: DataFrame, near: DataFrame, rates: DataFrame, k: float = 10.0) -> DataFrame:
     """Share of a drug's neighbours flagged for the condition, shrunk to the condition's rate by ``k`` pseudo-neighbours.
 
-    ``pairs`` drug, condition; ``flagged`` the train pairs with the label;
-    ``rates`` condition, p_c. The label is joined before counting, so only
-    pairs that have a flagged neighbour are counted.
+    ``pairs`` drug, condition; ``near`` as ``neighbour_counts`` gives it of
+    these pairs; ``rates`` condition, p_c.
     """
-    counts = near.groupBy("drug").agg(F.count(F.lit(1)).alias("n_neighbours"))
-    hits = near.join(flagged.select(F.col("drug").alias("neighbour"), "condition").distinct(), "neighbour").join(pairs.select("drug", "condition"), ["drug", "condition"], "left_semi")
-    hits = hits.groupBy("drug", "condition").agg(F.count(F.lit(1)).alias("n_flagged"))
+    counts = near.where("condition is null").select("drug", F.col("n").alias("n_neighbours"))
+    hits = near.where("condition is not null").withColumnRenamed("n", "n_flagged")
     out = pairs.join(counts, "drug", "left").join(hits, ["drug", "condition"], "left").join(rates, "condition", "left")
     out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("n_neighbours", "n_flagged")})
     rate = (F.col("n_flagged") + k * F.col("p_c")) / (F.col("n_neighbours") + k)

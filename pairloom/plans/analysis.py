@@ -155,10 +155,10 @@ NEIGHBOUR_SQL = f"""{B.PAIR_SQL}, {B.GENE_SQL}, {B.TRAIN_SQL},
 
 
 def transported(spark: SparkSession, d: str) -> DataFrame:
-    df, train = B.scored(spark, d), B.train_drugs(spark, d)
-    near = N.neighbours(B.drug_genes(spark, d).withColumnRenamed("gene", "value"), train)
+    df, train = B.keep(B.scored(spark, d), "scored"), B.train_drugs(spark, d)
     known = df.join(train, "drug", "left_semi")
-    return N.transported_rate(df.select("drug", "condition"), near, known.where("y = 1"), T.rates(known))
+    near = N.neighbour_counts(df, B.drug_genes(spark, d).withColumnRenamed("gene", "value"), train, known.where("y = 1"))
+    return N.transported_rate(df.select("drug", "condition"), near, T.rates(known))
 
 
 @query(f"WITH {NEIGHBOUR_SQL} SELECT drug, condition, n_neighbours, n_flagged, round((n_flagged + 10 * p_c) / (n_neighbours + 10), 6) AS rate, round((n_flagged + 10 * p_c) / (n_neighbours + 10) - p_c, 6) AS excess FROM nt")

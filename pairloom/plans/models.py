@@ -111,15 +111,15 @@ def split_unions(spark: SparkSession, d: str) -> DataFrame:
     if T.forbidden(FREE, ("y", "p_c", "prr", "rate", "excess"), ("faers_", "n_flagged")):
         raise ValueError("a label-free design holds a label")
     pairs = keep(B.scored(spark, d).select("drug", "condition", "y"), "scored")
-    genes, of_conditions, inside = B.drug_genes(spark, d), B.condition_genes(spark, d), B.train_drugs(spark, d)
+    genes, of_conditions, inside = keep(B.drug_genes(spark, d), "genes"), keep(B.condition_genes(spark, d), "genes"), B.train_drugs(spark, d)
     cold = pairs.join(S.cold_conditions(pairs.select("condition")), "condition")
     splits = {"standard": (pairs.join(inside, "drug", "left_semi"), pairs.join(inside, "drug", "left_anti")), "cold": (cold.where("not cold").drop("cold"), cold.where("cold").drop("cold"))}
     tables = {}
     for name, (train, held_out) in splits.items():
-        near = keep(N.neighbours(genes.withColumnRenamed("gene", "value"), train.select("drug").distinct()), "near")
+        near = N.neighbour_counts(pairs, genes.withColumnRenamed("gene", "value"), train.select("drug").distinct(), train.where("y = 1"))
         known = keep(T.rates(train), "rates")
         for part, rows in (("train", train), ("held_out", held_out)):
-            copied = N.transported_rate(rows.select("drug", "condition"), near, train.where("y = 1"), known).select("drug", "condition", *COPYING)
+            copied = N.transported_rate(rows.select("drug", "condition"), near, known).select("drug", "condition", *COPYING)
             free = N.overlap(rows.select("drug", "condition"), genes, of_conditions, "gene", "score").select("drug", "condition", *FREE)
             tables[name, part] = keep(rows.join(copied, ["drug", "condition"]).join(free, ["drug", "condition"]), "design")
     designs_ = {"copying": COPYING, "free": FREE, "union": COPYING + FREE}

@@ -1,5 +1,7 @@
 """Queries on small tables of their own, against brute force, where the given tables hide a cut."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +47,23 @@ def test_neighbours_in_blocks(spark, monkeypatch):
     assert got == sorted((a, b) for a in range(30) for b in range(0, 30, 2) if a != b and (a // 2 == b // 2 or (a % 5 and b % 5)))
 
 
+def test_neighbours_are_counted_without_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    values = {d: {f"v{rng.randrange(9)}" for _ in range(3)} | ({"hub"} if d % 5 else set()) for d in range(150)}
+    train = {d for d in range(150) if d % 3}
+    flagged = {(d, c) for d in train for c in range(6) if rng.random() < (0.02 if c == 5 else 0.4)}
+    edges = spark.createDataFrame([(d, v) for d, vs in values.items() for v in vs] + [(1, None), (900, "alone")], "drug int, value string")
+    pairs = spark.createDataFrame([(d, c) for d in range(150) for c in range(6)] + [(900, 1)], "drug int, condition int")
+    near = {d: {o for o in train if o != d and values[d] & values[o]} for d in range(150)}
+    want = {(d, None): len(near[d]) for d in near} | {(d, c): sum((o, c) in flagged for o in near[d]) for d in near for c in range(6)}
+    monkeypatch.setattr(N, "neighbours", None)  # no pair is formed
+    for chunk, block, dense in ((4096, 65_536, 512), (20, 64, 5)):
+        for name, size in (("DRUGS_A_CHUNK", chunk), ("BITS_A_BLOCK", block), ("DENSE", dense)):
+            monkeypatch.setattr(N, name, size)
+        got = N.neighbour_counts(pairs, edges, spark.createDataFrame([(d,) for d in train], "drug int"), spark.createDataFrame(sorted(flagged), "drug int, condition int"))
+        assert {(r.drug, r.condition): r.n for r in got.collect()} == {k: n for k, n in want.items() if n}
+
+
 def tau_b(pairs):
     sign = lambda v: (v > 0) - (v < 0)
     both = [(sign(a[0] - b[0]), sign(a[1] - b[1])) for i, a in enumerate(pairs) for b in pairs[:i]]
