@@ -267,6 +267,28 @@ def test_intervals_of_means(spark):
     assert tuple(T.bootstrap(df.limit(0), "k", "v").first()) == (None, None, None)
 
 
+def test_outcomes_are_resampled_with_replacement(spark, monkeypatch):
+    """Each round draws as many groups as there are; small slices and tasks give the same."""
+    import hashlib
+    import statistics
+
+    from pairloom.operators import statistics as T
+
+    own = {"a": [float(k * k % 7) for k in range(50)], "b": [1.0, 2.0, 9.0]}
+    df = spark.createDataFrame([(k, o, v) for o, vs in own.items() for k, v in enumerate(vs)], "k int, o string, v double")
+    want = {}
+    for o, vs in own.items():
+        n = len(vs)
+        draws = [[vs[int(hashlib.md5(f"{o}|{b}|{i}|42".encode()).hexdigest()[:8], 16) % n] for i in range(n)] for b in range(30)]
+        means = sorted(sum(x) / n for x in draws)
+        want[o] = (n, statistics.mean(vs), means[0], means[-1])
+    for part, turns, step in ((4_000_000, 20, 100_000), (8, 7, 5)):
+        for name, size in (("GROUPS_A_SLICE", part), ("ROUNDS_A_TASK", turns), ("PLACES_A_STEP", step)):
+            monkeypatch.setattr(T, name, size)
+        got = T.bootstrap_by(df, "o", "k", "v", rounds=30, quantiles=(0.0, 1.0)).collect()
+        assert {r.o: tuple(round(x, 9) for x in (r.n, r.mean, r.low, r.high)) for r in got} == {o: tuple(round(x, 9) for x in w) for o, w in want.items()}
+
+
 def test_classes_of_one_size_are_dealt_as_one_by_one(spark):
     import hashlib
     import random
