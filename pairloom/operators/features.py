@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import xref
+from ..sources.shared import keep
 from .joins import lookup
 from .metrics import macro_auc
 from .statistics import floor_scores
 
 MISSING, OTHER = "__missing__", "other"
+#: Terms and genes of one code that meet in a cell, and pairs of a task, at about most; and tasks at most.
+IDS_A_CELL, GENES_A_CELL, PAIRS_A_TASK, MOST_TASKS = 4096, 1024, 20_000_000, 4096
 #: Term identifiers of diseases (fixed values).
 DISEASES = ("MONDO:", "EFO:", "Orphanet:", "DOID:")
 
@@ -158,9 +161,25 @@ def is_disease(term: Column) -> Column:
 
 
 def genes_by_code(xrefs: DataFrame, genes: DataFrame, sources: tuple[str, ...] = ("OMIM", "Orphanet")) -> DataFrame:
-    """``id, gene, association`` of the terms whose cross reference (``id, source, code``) a gene's disease code names."""
-    named = genes.withColumn("_x", xref(F.col("disease"))).where("_x is not null").select(F.col("_x.source").alias("source"), F.col("_x.code").alias("code"), "gene", "association")
-    return xrefs.where(F.col("source").isin(*sources)).join(named, ["source", "code"]).select("id", "gene", "association")
+    """``id, gene, association`` of the terms whose cross reference (``id, source, code``) a gene's disease code names.
+
+    The rows of a frequent code are pairs of its terms and genes: both are
+    dealt over a grid of cells by hashes, and tasks are as many as the pairs
+    need, so that none has all pairs of a code.
+    """
+    on = ["source", "code"]
+    named = keep(genes.withColumn("_x", xref(F.col("disease"))).where("_x is not null").select(F.col("_x.source").alias("source"), F.col("_x.code").alias("code"), "gene", "association"), "genes")
+    known = xrefs.where(F.col("source").isin(*sources)).select("id", *on)
+    sizes = known.groupBy(*on).agg(F.count(F.lit(1)).alias("_ids")).join(named.groupBy(*on).agg(F.count(F.lit(1)).alias("_genes")), on)
+    wide, high = (F.ceil(F.col(c) / most).cast("int") for c, most in (("_ids", IDS_A_CELL), ("_genes", GENES_A_CELL)))
+    grid = keep(sizes.select(*on, wide.alias("_wide"), high.alias("_high"), (F.col("_ids") * F.col("_genes")).alias("_pairs")), "grid")
+    tasks = max(1, min(MOST_TASKS, -(-int(grid.agg(F.sum("_pairs")).first()[0] or 0) // PAIRS_A_TASK)))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = known.join(grid, on).select("id", *on, place("id", "_wide").alias("_i"), each("_high").alias("_j"))
+    right = named.join(grid, on).select("gene", "association", *on, place("gene", "_high").alias("_j"), each("_wide").alias("_i"))
+    cell = [*on, "_i", "_j"]
+    return left.repartition(tasks, *cell).join(right.repartition(tasks, *cell).hint("shuffle_hash"), cell).select("id", "gene", "association")
 
 
 def phenotype_pairs(rows: DataFrame, disease: str, phenotype: str) -> DataFrame:

@@ -141,3 +141,38 @@ def test_search_takes_text_literally(spark):
     df = spark.createDataFrame([("Alpha (x)",), ("alphax",), (None,), ("beta",)], "name string")
     assert [r.name for r in catalog.search(df, "name", "PHA (X").collect()] == ["Alpha (x)"]
     assert catalog.search(df, "name", ".").collect() == [] and len(catalog.search(df, "name", "a", 2).collect()) == 2
+
+
+def test_a_frequent_code_is_dealt_over_tasks(spark, monkeypatch):
+    """All pairs of one code, in several tasks of a bounded number of pairs."""
+    from pairloom.operators import features as E
+
+    for name, size in (("IDS_A_CELL", 20), ("GENES_A_CELL", 10), ("PAIRS_A_TASK", 500)):
+        monkeypatch.setattr(E, name, size)
+    xrefs = spark.createDataFrame([(f"t{k}", "OMIM", "7") for k in range(100)] + [("u", "OMIM", "8"), ("w", "MESH", "7")], "id string, source string, code string")
+    genes = spark.createDataFrame([("OMIM:7", k, "M") for k in range(60)] + [("OMIM:8", 5, "M")] * 2 + [("OMIM:9", 6, "M")], "disease string, gene int, association string")
+    out = E.genes_by_code(xrefs, genes)
+    want = [(f"t{k}", g, "M") for k in range(100) for g in range(60)] + [("u", 5, "M")] * 2
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    parts = out.groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) > 4 and max(r["count"] for r in parts) < 3000
+
+
+def test_widened_sets_are_told_apart_in_bounded_tasks(spark, monkeypatch):
+    from pairloom.operators import network as N
+
+    monkeypatch.setattr(N, "ROWS_A_PART", 100)
+    members = spark.createDataFrame([(f"s{k % 3}", k) for k in range(300)], "set_id string, condition int")
+    mapping = spark.createDataFrame([(k, f"o{k // 6}") for k in range(300)] + [(k, "all") for k in (0, 1)], "condition int, ontology_id string")
+    out = N.widened(members, mapping)
+    assert sorted(map(tuple, out.collect())) == sorted((f"s{j}", k) for j in range(3) for k in range(300))
+    parts = out.groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) > 6 and max(r["count"] for r in parts) < 200
+
+
+def test_folding_looks_for_no_character_in_a_list(spark):
+    from pairloom.functions import text as X
+
+    out = spark.createDataFrame([("\u00e9\u4e2d\ufb01x" * 50,)], "t string").select(X.ascii_fold(F.col("t")))
+    assert out.first()[0] == "efix" * 50
+    assert "[" + "".join(X._MANY)[:8] not in out._jdf.queryExecution().analyzed().toString()
