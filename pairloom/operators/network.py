@@ -25,6 +25,9 @@ DRUGS_A_BLOCK = 256
 #: bits are counted at once, and the members from which a value is held as bits and not as places.
 DRUGS_A_CHUNK, BITS_A_BLOCK, DRUGS_A_SLICE, DENSE = 4096, 65_536, 64, 512
 
+#: Rows that a task tells apart, about.
+ROWS_A_PART = 1_000_000
+
 #: Queries that one pass sends to all tasks, at most, and those of one dense comparison.
 QUERIES_A_PASS, QUERIES_A_SLICE = 16_384, 1024
 
@@ -214,9 +217,16 @@ def rungs(drugs: DataFrame, train: DataFrame, levels: dict[str, DataFrame], anno
 
 
 def widened(members: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Conditions of a set, and those that share an ontology term with one of them."""
-    terms = members.join(mapping, "condition").select("set_id", "ontology_id").distinct()
-    return members.select("set_id", "condition").unionByName(terms.join(mapping, "ontology_id").select("set_id", "condition")).distinct()
+    """Conditions of a set, and those that share an ontology term with one of them.
+
+    Rows are told apart in tasks of a bounded number of rows, dealt by
+    condition and set: the terms' rows are counted before they are formed.
+    """
+    terms = keep(members.join(mapping, "condition").select("set_id", "ontology_id").distinct(), "terms")
+    many = [rows.groupBy("ontology_id").agg(F.count(F.lit(1)).cast("double").alias(n)) for rows, n in ((terms, "_sets"), (mapping, "_conditions"))]
+    n = members.count() + int(many[0].join(many[1], "ontology_id").agg(F.sum(F.col("_sets") * F.col("_conditions"))).first()[0] or 0)
+    every = members.select("set_id", "condition").unionByName(terms.join(mapping, "ontology_id").select("set_id", "condition"))
+    return every.repartition(-(-n // ROWS_A_PART) or 1, "set_id", "condition").distinct()
 
 
 def affinity(pairs: DataFrame, panel: DataFrame, syndromes: DataFrame) -> DataFrame:
