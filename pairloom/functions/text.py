@@ -77,25 +77,36 @@ def xref(raw: Column) -> Column:
     return F.when(source.isNotNull() & (F.length(code) > 0), F.struct(source.alias("source"), code.alias("code")))
 
 
+def _pages() -> list[list[str | None] | None]:
+    """What the characters of ``_MANY`` become, by page of 256 code points and place there."""
+    out: list = [None] * (max(map(ord, _MANY)) // 256 + 1)
+    for c, p in _MANY.items():
+        page = out[ord(c) // 256] = out[ord(c) // 256] or [None] * 256
+        page[ord(c) % 256] = p
+    return out
+
+
 def ascii_fold(c: Column) -> Column:
     """Characters in their compatibility decomposition, without what is beyond ASCII then.
 
     A text of ASCII alone is passed on as it is. Characters that become
-    several (ligatures, fractions, units) are looked up one by one, in the few
-    texts that have any.
+    several (ligatures, fractions, units) are looked up by code point, in the
+    texts that have any. No step tests a character against a list of them.
     """
-    table = F.from_json(F.lit(json.dumps(_MANY)), "map<string,string>")  # a constant, folded when the query is planned
-    spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
-    whole = F.when(c.rlike("[" + "".join(_MANY) + "]"), spelled).otherwise(c)
-    folded = F.regexp_replace(F.translate(whole, "".join(_ONE), "".join(_ONE.values())), r"[^\x00-\x7F]", "")
+    table = F.from_json(F.lit(json.dumps(_pages())), "array<array<string>>")  # a constant, folded when the query is planned
+    at = lambda x: F.get(F.get(table, F.call_function("shiftright", F.ascii(x), F.lit(8))), F.ascii(x).bitwiseAND(F.lit(255)))
+    spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.when(x < "\x80", x).otherwise(F.coalesce(at(x), x))), "")
+    beyond = F.regexp_replace(c, r"[\x00-\x7F]+", "")
+    whole = F.when(F.translate(beyond, "".join(_MANY), "") != beyond, spelled).otherwise(c)
+    folded = F.regexp_replace(F.translate(whole, "".join(_ONE), "".join(_ONE.values())), r"[^\x00-\x7F]+", "")
     return F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c)
 
 
 def normalise(c: Column) -> Column:
     """Lower case, without accents, bracketed parts and punctuation; a null is empty."""
-    x = F.regexp_replace(F.lower(ascii_fold(F.coalesce(c, F.lit("")))), "&", " and ")
+    x = F.replace(F.lower(ascii_fold(F.coalesce(c, F.lit("")))), F.lit("&"), F.lit(" and "))
     x = F.regexp_replace(x, r"\(.*?\)", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(x, "[^a-z0-9 ]+", " "), " +", " "))
+    return F.trim(F.regexp_replace(x, "[^a-z0-9]+", " "))
 
 
 def token_key(normalised: Column) -> Column:
