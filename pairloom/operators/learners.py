@@ -30,8 +30,10 @@ from .statistics import rates
 ROUNDS, STEP, DEPTH, BINS, LEAST_ROWS = 200, 0.06, 6, 255, 20
 TREES, FOREST_DEPTH, FOREST_LEAST_ROWS = 300, 14, 2
 MOST_GAP = 0.15
-#: Rows of a partition that a model is fitted on.
+#: Rows of a partition that a model is fitted on, where the cluster has cores for as many partitions.
 ROWS_A_PART = 100_000
+#: Rows from which equal ones are fitted as one row with a weight.
+GROUPED_FROM = 100_000
 
 
 def logistic(seed: int = 0) -> LogisticRegression:
@@ -88,12 +90,27 @@ class Fitted:
         return [(k + 1, f, g) for k, (g, f) in enumerate(sorted(zip(gains, self.features, strict=True), key=lambda x: (-x[0], x[1]))[:most])]
 
 
+def weighted(model, n: int):
+    """The learner for rows that stand for several, of ``n`` in all; None where it draws rows one by one."""
+    if model.hasParam("subsamplingRate"):
+        if isinstance(model, RandomForestRegressor) or model.getSubsamplingRate() < 1.0:
+            return None
+        # the least rows of a node, as a share of the weight of all
+        model.setMinInstancesPerNode(1).setMinWeightFractionPerNode((LEAST_ROWS - 0.5) / n)
+    return model.setWeightCol("_w")
+
+
 def fit(train: DataFrame, features: list[str], label: str, learner: Callable = boosted, **options) -> Fitted:
     """Fit a learner on rows whose label is known.
 
     Missing features take the median of these rows, 0 where a feature has no
     value at all. Where a classifier would see one class only, or a regression
     no row, the score is the labels' mean (null without rows).
+
+    Of many rows, equal ones are fitted as one row with their number as its
+    weight, unless the learner draws rows. Partitions are no more than the
+    cluster's cores: each step of a fit sends something to the driver from
+    every one of them.
     """
     rows = train.where(F.col(label).isNotNull()).select(*[number(f).alias(f"_f{k}") for k, f in enumerate(features)], F.col(label).cast("double").alias("_y"))
     middles = [F.coalesce(F.percentile_approx(f"_f{k}", 0.5), F.lit(0.0)) for k in range(len(features))]
@@ -102,8 +119,14 @@ def fit(train: DataFrame, features: list[str], label: str, learner: Callable = b
     if not n or low == high:
         return Fitted(features, medians, None, mean)
     filled = F.array(*[F.coalesce(f"_f{k}", F.lit(m)) for k, m in enumerate(medians)])
-    vectors = rows.select(array_to_vector(filled).alias("_x"), "_y").repartition(-(-n // ROWS_A_PART))
-    return Fitted(features, medians, model.fit(vectors))
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    alike = weighted(learner(**options), n) if n > GROUPED_FROM else None
+    if alike is None:
+        vectors = rows.select(array_to_vector(filled).alias("_x"), "_y").repartition(min(-(-n // ROWS_A_PART), cores))
+        return Fitted(features, medians, model.fit(vectors))
+    grouped = keep(rows.select(filled.alias("_v"), "_y").groupBy("_v", "_y").agg(F.count(F.lit(1)).cast("double").alias("_w")), "weighted")
+    vectors = grouped.select(array_to_vector("_v").alias("_x"), "_y", "_w").repartition(min(-(-grouped.count() // ROWS_A_PART), cores))
+    return Fitted(features, medians, alike.fit(vectors))
 
 
 def at_once(spark: SparkSession, jobs: list[Callable]) -> list:

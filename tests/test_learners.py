@@ -114,3 +114,31 @@ def test_gap():
     M.check_gap(0.8, 0.7)
     with pytest.raises(ValueError, match="0.2000"):
         M.check_gap(0.9, 0.7)
+
+
+@pytest.mark.parametrize("learner, label", [(M.logistic, "y"), (M.boosted, "y"), (M.linear, "z"), (M.boosted_regression, "z")])
+def test_equal_rows_are_fitted_as_one(spark, monkeypatch, learner, label):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(1500):
+        a, b = rng.randrange(5), rng.randrange(4)
+        rows.append((float(a), float(b), int(rng.random() < 0.15 * a + 0.05 * b), float(a * b + rng.randrange(3))))
+    df = spark.createDataFrame(rows, "a double, b double, y int, z double")
+    options = {"rounds": 8} if "boosted" in learner.__name__ else {}
+    plain = M.fit(df, ["a", "b"], label, learner, **options)
+    sizes, whole = [], M.weighted
+    monkeypatch.setattr(M, "GROUPED_FROM", 100)
+    monkeypatch.setattr(M, "weighted", lambda model, n: sizes.append(n) or whole(model, n))
+    alike = M.fit(df, ["a", "b"], label, learner, **options)
+    every = alike.score(plain.score(df), "other").distinct().collect()
+    assert sizes == [1500] and all(r.score == pytest.approx(r.other, abs=1e-4) for r in every)
+    assert M.weighted(M.forest(), 100) is None and M.weighted(M.boosted(share=0.8), 100) is None
+
+
+def test_partitions_are_no_more_than_cores(pairs, monkeypatch):
+    seen = []
+    real = M.logistic().__class__.fit
+    monkeypatch.setattr(M.LogisticRegression, "fit", lambda self, rows: seen.append(rows.rdd.getNumPartitions()) or real(self, rows))
+    monkeypatch.setattr(M, "ROWS_A_PART", 10)
+    M.fit(pairs, ["x"], "y", M.logistic)
+    assert seen == [pairs.sparkSession.sparkContext.defaultParallelism]
