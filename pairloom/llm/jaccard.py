@@ -16,12 +16,17 @@ lead to, as counted in the lists of the small sets.
 
 Short lists give all their pairs. In a long list every node is paired with a
 leader; what is left between the components that this makes likely is paired
-in blocks. Parity sketches drop the pairs that they prove too different. The
+in blocks. Parity sketches, as wide as their sets are large, drop the pairs
+that they prove too different. The
 others are verified on the full sets, nearest first, until none is left
 between components; where two blocks have many, as of documents that share a
 template and little more, the sets are sent there and no pair is written. So no link is missed or invented, short of two shingles
 of one pair of sets that share a 64-bit hash.
 
+What is sent to blocks and pairs may grow faster than the input. It goes in
+rounds of a bounded share of the sets' bytes, and the shuffle files of a round
+are freed at its end.
+
 Texts are shingled anew by each of the four passes that need sets: kept sets
 would take more disk than the texts.
 """
@@ -38,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import keep, rows_a_batch
+from .storage import freed_shuffles, keep, rows_a_batch
 from .textarrays import mix, row_chunks, shingle_sets
 
 #: 100 * intersection >= PERCENT * union links two sets.
@@ -60,7 +65,12 @@ LOOSE, MANY_PAIRS = 8, 1 << 16
 #: Bytes of sets that a part of a block holds, about.
 BLOCK_BYTES = 16 << 20
 POSTINGS_PER_BUCKET = 400_000
-SKETCH_BITS = 1024
+#: Bits of a sketch: a power of two, not below the set's size; from the first number to the second (16 KB).
+SKETCH_BITS, WIDEST_SKETCH = 1024, 1 << 17
+#: Bytes of sketches that are compared at once.
+COMPARED_BYTES = 8 << 20
+#: Bytes that a round sends to blocks or pairs: a quarter of all sets' (the first), but so many at least.
+ROUND_SHARE, ROUND_BYTES = 4, 256 << 20
 #: Postings carry sizes in two bytes; larger ones look alike there, and are told apart when a pair is verified.
 CLIPPED = 0xFFFF
 #: Bits of the filter that spares the join most sets of other nodes: 8 MB at most. With more than some
@@ -108,8 +118,23 @@ class Names:
 
 
 def sketch(x: np.ndarray) -> bytes:
-    """Parity of the number of shingles that fall to each bit: it differs in at most as many bits as sets in shingles."""
-    return np.packbits((np.bincount((x & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+    """Parity of the number of shingles that fall to each bit: it differs in at most as many bits as sets in shingles.
+
+    With fewer bits than shingles, sketches of any two sets would differ in
+    half of their bits, which proves nothing.
+    """
+    bits = min(WIDEST_SKETCH, max(SKETCH_BITS, 1 << (len(x) - 1).bit_length()))
+    return np.packbits((np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches as rows of 64-bit words, of ``width`` bytes: wider ones as they would be with so many bits."""
+    lengths = np.array([len(x) for x in sketches])
+    out = np.empty((len(sketches), width // 8), dtype=np.uint64)
+    for length in np.unique(lengths):
+        at = np.flatnonzero(lengths == length)
+        out[at] = np.bitwise_xor.reduce(np.frombuffer(b"".join([sketches[i] for i in at]), dtype=np.uint64).reshape(len(at), -1, width // 8), axis=1)
+    return out
 
 
 def find_nodes(docs: DataFrame) -> DataFrame:
@@ -350,9 +375,12 @@ def plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for c in ("x", "y"))
+            x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
             total = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
-            apart = differ(x, y)
+            width, apart = np.array([min(len(v), len(w)) for v, w in zip(x, y, strict=True)]), np.empty(len(x), dtype=np.int64)
+            for w in np.unique(width).tolist():
+                at = np.flatnonzero(width == w)
+                apart[at] = differ(folded([x[k] for k in at], w), folded([y[k] for k in at], w))
             # sets that differ in d shingles share (total - d) / 2
             out = batch.select(["a", "b"]).append_column("apart", pa.array(apart / total))
             yield out.filter(pa.array(100 * (total - apart) >= PERCENT * (total + apart)))
@@ -410,11 +438,28 @@ def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(yes, type=pa.bool_()))
 
 
-def links_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that link, found on the full sets."""
+def rounds(size: int | None, room: int) -> int:
+    return max(1, -(-(size or 0) // room))
+
+
+def of_round(k: int, n: int, *key: str) -> Column:
+    return F.lit(True) if n == 1 else F.pmod(F.xxhash64(F.lit(11), *key), F.lit(n)) == k
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def links_of(pairs: DataFrame, sets: DataFrame, room: int) -> DataFrame:
+    """The pairs that link, found on the full sets. A round sends the sets' own bytes, or ``room``, to its pairs."""
     x = sets.select(F.col("sig").alias("a"), F.col("members").alias("x"))
     y = sets.select(F.col("sig").alias("b"), F.col("members").alias("y"))
-    return keep(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(linked, "a long, b long"), "links")
+    own = sets.agg(F.sum("bytes")).first()[0] or 0
+    n = rounds(pairs.join(sets.select(F.col("sig").alias("a"), "bytes"), "a").agg(F.sum("bytes")).first()[0], max(room, own))
+    return union([keep(pairs.select("a", "b").where(of_round(k, n, "a", "b")).join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(linked, "a long, b long"), "links") for k in range(n)])
 
 
 def labelled(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -427,7 +472,7 @@ def labelled(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     return pairs.where("la <> lb")
 
 
-def verified_labels(pairs: DataFrame, sets: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def verified_labels(pairs: DataFrame, sets: DataFrame, room: int, labels: DataFrame | None = None) -> DataFrame:
     """Components by the pairs that link, verifying no pair inside a component.
 
     In each of the first rounds every component verifies its nearest open
@@ -445,7 +490,7 @@ def verified_labels(pairs: DataFrame, sets: DataFrame, labels: DataFrame | None
         if labels is not None and left.isEmpty():
             break
         tried = left if tried is None else tried.unionByName(left)
-        labels = components(links_of(left, sets), labels)
+        labels = components(links_of(left, sets, room), labels)
     return labels
 
 
@@ -477,18 +522,40 @@ def leader_pairs(members: DataFrame, labels: DataFrame | None, turn: int) -> Dat
     return ordered_pairs(met, "sig", "lead.sig")
 
 
-def near_by_sketch(bits: np.ndarray, sizes: np.ndarray, x: int, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of ``other`` the members that sizes and sketches leave possible for ``x``, and how far apart they are."""
-    other = other[100 * np.minimum(sizes[other], sizes[x]) >= PERCENT * np.maximum(sizes[other], sizes[x])]
-    total, apart = sizes[other] + sizes[x], differ(bits[other], bits[x])
+class Sketches:
+    """Sketches of a block's members, for each width that occurs: those of that width, and wider ones folded to it."""
+
+    def __init__(self, sketches: list[bytes]):
+        self.width = np.array([len(x) for x in sketches])
+        self.levels = {}
+        for w in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width >= w)
+            place = np.zeros(len(sketches), dtype=np.int64)
+            place[at] = np.arange(len(at))
+            self.levels[w] = place, folded([sketches[k] for k in at], w)
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        width, out = np.minimum(self.width[x], self.width[y]), np.empty(len(x), dtype=np.int64)
+        for w, (place, rows) in self.levels.items():
+            at, step = np.flatnonzero(width == w), max(1, COMPARED_BYTES // w)
+            for k in range(0, len(at), step):
+                some = at[k : k + step]
+                out[some] = differ(rows[place[x[some]]], rows[place[y[some]]])
+        return out
+
+
+def near_by_sketch(bits: Sketches, sizes: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of members those that sizes and sketches leave possible, and how far apart they are."""
+    near = 100 * np.minimum(sizes[x], sizes[y]) >= PERCENT * np.maximum(sizes[x], sizes[y])
+    x, y = x[near], y[near]
+    total, apart = sizes[x] + sizes[y], bits.apart(x, y)
     near = np.flatnonzero(100 * (total - apart) >= PERCENT * (total + apart))
-    return other[near], apart[near] / total[near]
+    return x[near], y[near], apart[near] / total[near]
 
 
 def block_of(table: pa.Table, i: int, j: int) -> tuple:
     block, names, labels, sizes = (table.column(c).to_numpy().astype(np.int64) for c in ("block", "sig", "label", "n"))
-    bits = np.stack([np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("sketch")])
-    return names, labels, sizes, bits, np.flatnonzero(block == i), np.flatnonzero(block == j)
+    return names, labels, sizes, Sketches(table.column("sketch").to_pylist()), np.flatnonzero(block == i), np.flatnonzero(block == j)
 
 
 def block_pairs(loose: int, many: int):
@@ -499,14 +566,17 @@ def block_pairs(loose: int, many: int):
         names, labels, sizes, bits, left, right = block_of(table, i, j)
         a, b, gaps, n, met = [], [], [], 0, np.zeros(len(names), dtype=bool)
         most = max(loose * len(names), many)
-        for x in left:
-            other, apart = near_by_sketch(bits, sizes, x, right[(labels[right] != labels[x]) & ((names[right] > names[x]) | (i != j))])
-            n += len(other)
-            met[other] = True
-            met[x] |= len(other) > 0
+        step = max(1, (1 << 16) // max(1, len(right)))
+        for k in range(0, len(left), step):
+            some = left[k : k + step]
+            x, y = np.repeat(some, len(right)), np.tile(right, len(some))
+            open_ = (labels[x] != labels[y]) & ((names[y] > names[x]) | (i != j))
+            x, y, apart = near_by_sketch(bits, sizes, x[open_], y[open_])
+            n += len(x)
+            met[x] = met[y] = True
             if n <= most:
-                a.append(np.full(len(other), names[x]))
-                b.append(names[other])
+                a.append(names[x])
+                b.append(names[y])
                 gaps.append(apart)
         if n > most:
             alone = names[met]
@@ -527,7 +597,8 @@ def block_links(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     sets = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("members")]
     found = []
     for x in left:
-        other, apart = near_by_sketch(bits, sizes, x, right[labels[right] != labels[x]])
+        other = right[labels[right] != labels[x]]
+        _, other, apart = near_by_sketch(bits, sizes, np.full(len(other), x), other)
         for y in other[np.argsort(apart, kind="stable")]:
             if labels[x] == labels[y]:
                 continue
@@ -557,28 +628,38 @@ def in_pairs_of_blocks(rows: DataFrame, blocks: Column) -> DataFrame:
     return spread.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
 
 
-def rest_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What leaders have left open in long lists, between components, in bounded blocks: ``a, b, apart``, and ``key, i, j, sig`` of the nodes in pairs of blocks that have more such pairs than are worth writing."""
-    spread = in_pairs_of_blocks(open_lists(members, labels).join(sketches, "sig"), F.col("blocks"))
-    found = keep(spread.select("key", "i", "j", "block", "sig", "label", "n", "sketch").groupBy("key", "i", "j").applyInArrow(block_pairs(LOOSE, MANY_PAIRS), "bucket int, key long, i int, j int, a long, b long, apart double"), "blocks")
+def rest_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame, room: int) -> tuple[DataFrame, DataFrame]:
+    """What leaders have left open in long lists, between components, in bounded blocks: ``a, b, apart``, and ``key, i, j, sig`` of the nodes in pairs of blocks that have more such pairs than are worth writing.
+
+    A round sends about ``room`` bytes to the blocks.
+    """
+    left = keep(open_lists(members, labels), "open")
+    rows = left.join(sketches, "sig")
+    n = rounds(rows.agg(F.sum(F.col("blocks") * (F.octet_length("sketch") + F.lit(48)))).first()[0], room)
+    spread = in_pairs_of_blocks(rows, F.col("blocks")).select("key", "i", "j", "block", "sig", "label", "n", "sketch")
+    found = union([keep(spread.where(of_round(k, n, "key", "i", "j")).groupBy("key", "i", "j").applyInArrow(block_pairs(LOOSE, MANY_PAIRS), "bucket int, key long, i int, j int, a long, b long, apart double"), "blocks") for k in range(n)])
     return found.where("b is not null").select("a", "b", "apart").dropDuplicates(["a", "b"]), found.where("b is null").select(F.struct("bucket", "key").alias("key"), "i", "j", F.col("a").alias("sig"))
 
 
-def dense_links(members: DataFrame, labels: DataFrame, sketches: DataFrame, dense: DataFrame, sets: DataFrame) -> DataFrame:
+def dense_links(members: DataFrame, labels: DataFrame, sketches: DataFrame, dense: DataFrame, sets: DataFrame, room: int) -> DataFrame:
     """``a, b``: links between components in the pairs of blocks that are full of similar sets.
 
     The sets are sent to the blocks and verified there, so no pair is written
     that does not link, and of those that do no more than join the components.
-    Blocks are cut further where their sets are large.
+    Blocks are cut further where their sets are large. A round sends about
+    ``room`` bytes.
     """
     rows = open_lists(members, labels).join(dense.select("key", "sig").distinct(), ["key", "sig"], "left_semi").join(sketches, "sig")
     heavy = rows.groupBy("key", place(F.col("blocks")).alias("_block")).agg(F.sum(F.col("n") * F.lit(8)).alias("_bytes"))
     parts = heavy.groupBy("key").agg(F.ceil(F.max("_bytes") / BLOCK_BYTES).cast("int").alias("_parts"))
-    spread = in_pairs_of_blocks(rows.join(parts, "key"), F.col("blocks") * F.col("_parts"))
+    rows = keep(rows.join(parts, "key"), "dense")
+    spread = in_pairs_of_blocks(rows, F.col("blocks") * F.col("_parts"))
     # the blocks that the parts are of
     whole = spread.withColumns({"_i": F.least(F.col("i") % F.col("blocks"), F.col("j") % F.col("blocks")), "_j": F.greatest(F.col("i") % F.col("blocks"), F.col("j") % F.col("blocks"))})
-    asked = whole.join(dense.select("key", F.col("i").alias("_i"), F.col("j").alias("_j"), "sig"), ["key", "_i", "_j", "sig"], "left_semi").join(sets, "sig")
-    return asked.select("key", "i", "j", "block", "sig", "label", "n", "sketch", "members").groupBy("key", "i", "j").applyInArrow(block_links, "a long, b long")
+    asked = dense.select("key", F.col("i").alias("_i"), F.col("j").alias("_j"), "sig")
+    n = rounds(rows.agg(F.sum(F.col("blocks") * F.col("_parts") * (F.col("n").cast("long") * 8 + F.octet_length("sketch")))).first()[0], room)
+    sent = [whole.where(of_round(k, n, "key", "i", "j")).join(asked, ["key", "_i", "_j", "sig"], "left_semi").join(sets, "sig") for k in range(n)]
+    return union([keep(x.select("key", "i", "j", "block", "sig", "label", "n", "sketch", "members").groupBy("key", "i", "j").applyInArrow(block_links, "a long, b long"), "links") for x in sent])
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -590,7 +671,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     with nothing. Repeated ids are separate rows. Other columns are not read;
     an empty table gives no rows.
     """
-    with rows_a_batch(docs.sparkSession):
+    with rows_a_batch(docs.sparkSession), freed_shuffles(docs.sparkSession):
         return _link(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
 
 
@@ -603,6 +684,7 @@ def _link(docs: DataFrame) -> DataFrame:
     total = rows.agg(F.sum(F.floor(F.col("n") / 5) + 1)).first()[0] or 0
     sizes = {r.n: r["count"] for r in nodes.where(f"n <= {LARGEST_LIGHT}").groupBy("n").count().collect()}
     buckets = max(1, min(1 << BUCKET_BITS, -(-total // POSTINGS_PER_BUCKET)))
+    room = max(ROUND_BYTES, (nodes.agg(F.sum(F.col("n").cast("long") * 8)).first()[0] or 0) // ROUND_SHARE)
     known = docs.where("doc_id is not null")
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(known, buckets, rows.where("doc_id is not null"), naming))
     light = light_boundary(sizes, pairs_a_posting(rows.where("doc_id is not null")))
@@ -621,21 +703,20 @@ def _link(docs: DataFrame) -> DataFrame:
             break
         pairs = pairs.unionByName(more).dropDuplicates(["a", "b"])
         likely = components(more, likely)
-    rest, dense = rest_pairs(members, likely, sketches)
+    rest, dense = rest_pairs(members, likely, sketches, room)
     pairs = keep(pairs.unionByName(rest).dropDuplicates(["a", "b"]), "pairs")
     named = pairs.select(F.col("a").alias("sig")).union(pairs.select("b"))
     if not dense.isEmpty():
         named = named.union(dense.select("sig"))
-    sets = keep(sets_of(known, named.distinct(), naming), "members")
-    labels = verified_labels(pairs, sets)
+    sets = keep(sets_of(known, named.distinct(), naming).withColumn("bytes", F.octet_length("members").cast("long")), "members")
+    labels = verified_labels(pairs, sets, room)
     # Members of one list that only seemed to be in one component, and blocks full of similar sets; their sets are known.
-    rest, dense = rest_pairs(members, labels, sketches)
+    rest, dense = rest_pairs(members, labels, sketches, room)
     missed = keep(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not missed.isEmpty():
-        labels = verified_labels(missed, sets, labels)
+        labels = verified_labels(missed, sets, room, labels)
     if not dense.isEmpty():
-        links = keep(dense_links(members, labels, sketches, dense, sets), "links")
-        labels = components(links, labels)
+        labels = components(dense_links(members, labels, sketches, dense, sets, room), labels)
 
     belongs = nodes.join(labels, nodes.sig == labels.node, "left").select("sig", "rep", F.coalesce("label", "sig").alias("label"))
     least = belongs.groupBy("label").agg(F.min("rep").alias("component_id"))

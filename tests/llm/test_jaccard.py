@@ -152,3 +152,52 @@ def test_documents_of_one_template_write_few_pairs(spark, monkeypatch):
         assert all(got[i] == i for i in range(n)) and all(got[5000 + k] == k for k in range(30))
         assert sum(pairs.count() for pairs, _ in written) <= J.LOOSE * n
         assert any(not dense.isEmpty() for _, dense in written)
+
+
+def test_sketches_tell_large_strangers_apart(spark):
+    """Sets larger than the least sketch has bits: strangers are no candidates, linked sets stay so across widths."""
+    rng = np.random.default_rng(4)
+    draw = lambda n: np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+    sets = [draw(6000) for _ in range(6)]
+    sets += [np.unique(np.concatenate([sets[0][:5600], draw(300)])), draw(1020)]
+    sets.append(np.unique(np.concatenate([sets[7], draw(100)])))  # twice as wide a sketch
+    rows = spark.createDataFrame([(k, len(x), J.sketch(x)) for k, x in enumerate(sets)], "sig long, n int, sketch binary")
+    pairs = spark.createDataFrame([(a, b) for b in range(9) for a in range(b)], "a long, b long")
+    assert sorted((r.a, r.b) for r in J.plausible(pairs, rows).collect()) == [(0, 6), (7, 8)]
+    bits, sizes = J.Sketches([J.sketch(x) for x in sets]), np.array([len(x) for x in sets])
+    a, b = np.triu_indices(9, 1)
+    x, y, apart = J.near_by_sketch(bits, sizes, a, b)
+    assert list(zip(x.tolist(), y.tolist(), strict=True)) == [(0, 6), (7, 8)]
+    true = [len(np.setxor1d(sets[i], sets[j])) / (len(sets[i]) + len(sets[j])) for i, j in zip(x, y, strict=True)]
+    assert all(0 < g <= t for g, t in zip(apart, true, strict=True))
+
+
+@pytest.mark.parametrize("dense", [False, True])
+def test_rounds_give_the_same(spark, monkeypatch, dense):
+    """What goes to blocks and pairs in many rounds links as brute force does."""
+    monkeypatch.setattr(J, "BLOCK", 15)
+    monkeypatch.setattr(J, "LEADER_ROUNDS", 1)
+    monkeypatch.setattr(J, "ROUND_BYTES", 12_000)
+    monkeypatch.setattr(J, "ROUND_SHARE", 1 << 40)
+    if dense:
+        monkeypatch.setattr(J, "LOOSE", 0)
+        monkeypatch.setattr(J, "MANY_PAIRS", 0)
+    asked, real = [], J.rounds
+    monkeypatch.setattr(J, "rounds", lambda *a: asked.append(real(*a)) or asked[-1])
+    rows = templates(40, 7)
+    rows += [(5000 + k, f"{rows[k][1]} o{k}.7") for k in range(10)]
+    agrees(spark, rows)
+    assert max(asked) > 1
+
+
+def test_shuffle_files_are_freed(spark):
+    """No shuffle file of the queries behind a result is left when it is returned."""
+    from glob import glob
+
+    folders = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {x for d in folders for x in glob(f"{d}/*/shuffle_*.data")}
+    docs = spark.createDataFrame(templates(60, 7), "doc_id long, text string")
+    before = files()
+    found = J.link(docs)
+    assert not files() - before
+    assert found.count() == 60
