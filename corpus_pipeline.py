@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.llm import exact_dedup, jaccard, mixing, packing, quality_rules, registry
-from pairloom.llm.storage import shared_dir
+from pairloom.llm.storage import freed_shuffles, shared_dir
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is a table in the shared folder."""
+    """All stages over ``documents``; each result is a table in the shared folder. A query's shuffle files are freed at its end."""
     where = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{where}/{k}")
-        docs = spark.read.parquet(f"{where}/{k}")
+    with freed_shuffles(spark):
+        for k, (_, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.parquet(f"{where}/{k}")
+            docs = spark.read.parquet(f"{where}/{k}")
     return docs

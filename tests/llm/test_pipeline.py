@@ -45,3 +45,15 @@ def test_stages_take_nulls_repeats_and_clashes(spark, tmp_path):
     assert counts[:3] == [6, 4, 3] and counts[3] >= 3
     given = {tuple(r)[3:]: tuple(r)[:3] for r in docs.collect()}
     assert all(given[tuple(r)[3:]] == tuple(r)[:3] for r in spark.read.parquet(f"{tmp_path}/3").collect())
+
+
+def test_stages_leave_no_shuffle_files(spark, sf_dir, monkeypatch):
+    from glob import glob
+
+    folders = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {x for d in folders for x in glob(f"{d}/*/shuffle_*.data")}
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [s for s in corpus_pipeline.STAGES if s[0] == "exact dedup"])
+    before = files()
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert not files() - before
+    assert out.count() > 0
